@@ -218,3 +218,46 @@ def q_top_prospects(spark, sf):
     c = cu.rfm_customers(cu.drop_sales_anomaly(fx.transactions(spark, sf)))
     return rounded(sg.top_prospects(c.select("id_customer", "Monetary_Value", "Frequency"),
                                     "Monetary_Value", n=100))
+
+
+# ---------------------------------------------------------------- churn
+from ..operators import churn as ch  # noqa: E402
+
+
+@register("churn_flags")
+def q_churn_flags(spark, sf):
+    return rounded(ch.churn_flags(fx.transactions(spark, sf), 31))
+
+
+@register("churn_flags_dense")
+def q_churn_flags_dense(spark, sf):
+    return rounded(ch.churn_flags(fx.dense_transactions(spark, sf), fx.DENSE_PERIOD_DAYS))
+
+
+@register("customer_churn")
+def q_customer_churn(spark, sf):
+    tx = fx.transactions(spark, sf)
+    c = ch.customer_churn(cu.churn_customers(tx), ch.churn_flags(tx, 31))
+    return c.select("id_customer", "Recency", "Churn")
+
+
+@register("customer_churn_dense")
+def q_customer_churn_dense(spark, sf):
+    tx = fx.dense_transactions(spark, sf)
+    c = ch.customer_churn(cu.churn_customers(tx), ch.churn_flags(tx, fx.DENSE_PERIOD_DAYS))
+    return c.select("id_customer", "Recency", "Churn")
+
+
+@register("churned_count_dense")
+def q_churned_count_dense(spark, sf):
+    return ch.count_distinct_flagged(
+        ch.churn_flags(fx.dense_transactions(spark, sf), fx.DENSE_PERIOD_DAYS), "Churned")
+
+
+@register("attach_segment")
+def q_attach_segment(spark, sf):
+    tx = fx.transactions(spark, sf)
+    seg = rfm_segments(tx).regular.select(
+        "id_customer", F.col("Customer_Segment").alias("Final_Segment"))
+    c = ch.attach_segment(cu.churn_customers(tx), seg)
+    return rounded(c.select("id_customer", "Monetary_Value", "Final_Segment"))

@@ -334,3 +334,69 @@ clean AS (SELECT * FROM tx WHERE net_sales < gross_sales)
 ORACLES["top_prospects"] = _CLEAN_CUST + f"""
 SELECT id_customer, {r('Monetary_Value', 'Monetary_Value')}, Frequency FROM cust
 ORDER BY cust.Monetary_Value DESC, id_customer LIMIT 100"""
+
+
+# ---------------------------------------------------------------- churn
+def churn_flags_sql(src_sql: str, days: int) -> str:
+    return period_sql(src_sql, days) + f""",
+ci AS (SELECT pm.*,
+    AVG_Ticket * (CASE WHEN AVG_ipt <> 0 THEN {float(days)!r} / AVG_ipt END) AS Predicted_Monetary_Value,
+    sqrt(STD_Ticket * STD_Ticket / Purchases
+         + STD_ipt * STD_ipt * (CASE WHEN AVG_ipt <> 0 THEN AVG_Ticket / (AVG_ipt * AVG_ipt) END)
+                             * (CASE WHEN AVG_ipt <> 0 THEN AVG_Ticket / (AVG_ipt * AVG_ipt) END)) AS Std_Error
+    FROM pm),
+ci2 AS (SELECT *,
+    coalesce(CASE WHEN Purchases > 1 THEN Predicted_Monetary_Value - 1.96 * Std_Error END, AVG_Ticket * 0.8) AS CI_Lower,
+    coalesce(CASE WHEN Purchases > 1 THEN Predicted_Monetary_Value + 1.96 * Std_Error END, AVG_Ticket * 1.2) AS CI_Upper
+    FROM ci),
+w1 AS (SELECT *,
+    sum(CI_Lower) OVER (PARTITION BY id_customer ORDER BY Period_ID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS Cumulative_Sum_Lower,
+    sum(CI_Upper) OVER (PARTITION BY id_customer ORDER BY Period_ID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS Cumulative_Sum_Upper,
+    count(*) OVER (PARTITION BY id_customer ORDER BY Period_ID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS Cumulative_Count
+    FROM ci2),
+w2 AS (SELECT *,
+    lag(Cumulative_Sum_Lower / Cumulative_Count) OVER (PARTITION BY id_customer ORDER BY Period_ID) AS Rolling_CI_Lower,
+    lag(Cumulative_Sum_Upper / Cumulative_Count) OVER (PARTITION BY id_customer ORDER BY Period_ID) AS Rolling_CI_Upper
+    FROM w1),
+w3 AS (SELECT *,
+    CASE WHEN Rolling_CI_Lower IS NULL THEN CI_Lower ELSE least(CI_Lower, Rolling_CI_Lower) END AS Combined_CI_Lower,
+    CASE WHEN Rolling_CI_Upper IS NULL THEN CI_Upper ELSE greatest(CI_Upper, Rolling_CI_Upper) END AS Combined_CI_Upper
+    FROM w2),
+w4 AS (SELECT *, CASE WHEN Monetary_Value < Combined_CI_Lower THEN 1 ELSE 0 END AS Underperforming,
+    row_number() OVER (PARTITION BY id_customer ORDER BY Period_ID DESC) AS rn_desc FROM w3),
+flags AS (SELECT * EXCLUDE (rn_desc),
+    CASE WHEN count(*) OVER (PARTITION BY id_customer) >= 3
+          AND sum(CASE WHEN rn_desc <= 3 THEN Underperforming ELSE 0 END) OVER (PARTITION BY id_customer) = 3
+         THEN 1 ELSE 0 END AS Churned FROM w4)"""
+
+
+FLAG_COLS = PM_COLS + ["Predicted_Monetary_Value", "Std_Error", "CI_Lower", "CI_Upper",
+                       "Cumulative_Sum_Lower", "Cumulative_Sum_Upper", "Cumulative_Count",
+                       "Rolling_CI_Lower", "Rolling_CI_Upper", "Combined_CI_Lower",
+                       "Combined_CI_Upper", "Underperforming", "Churned"]
+FLAG_DOUBLES = PM_DOUBLES | {"Predicted_Monetary_Value", "Std_Error", "CI_Lower", "CI_Upper",
+                             "Cumulative_Sum_Lower", "Cumulative_Sum_Upper", "Rolling_CI_Lower",
+                             "Rolling_CI_Upper", "Combined_CI_Lower", "Combined_CI_Upper"}
+
+ORACLES["churn_flags"] = churn_flags_sql(FIXTURE_SQL["tx"], 31) + \
+    f"\nSELECT {sel(FLAG_COLS, FLAG_DOUBLES)} FROM flags"
+ORACLES["churn_flags_dense"] = churn_flags_sql(FIXTURE_SQL["dense"], 5) + \
+    f"\nSELECT {sel(FLAG_COLS, FLAG_DOUBLES)} FROM flags"
+
+
+def customer_churn_sql(src_sql: str, days: int) -> str:
+    return churn_flags_sql(src_sql, days) + f""",{customers_cte('tx', extended=True)},
+churned AS (SELECT DISTINCT id_customer FROM flags WHERE Churned > 0)
+SELECT c.id_customer, c.Recency,
+       CASE WHEN h.id_customer IS NOT NULL OR c.Recency > 31 THEN 1 ELSE 0 END AS Churn
+FROM cust c LEFT JOIN churned h USING (id_customer)"""
+
+
+ORACLES["customer_churn"] = customer_churn_sql(FIXTURE_SQL["tx"], 31)
+ORACLES["customer_churn_dense"] = customer_churn_sql(FIXTURE_SQL["dense"], 5)
+ORACLES["churned_count_dense"] = churn_flags_sql(FIXTURE_SQL["dense"], 5) + \
+    "\nSELECT count(DISTINCT id_customer) AS flagged_ids FROM flags WHERE Churned > 0"
+ORACLES["attach_segment"] = rfm_ctes() + f""",{customers_cte('tx', name='cc', extended=True)}
+SELECT cc.id_customer, {rx('cc.Monetary_Value', 'Monetary_Value')} AS Monetary_Value,
+       coalesce(lab.Customer_Segment, 'Not Clusterized') AS Final_Segment
+FROM cc LEFT JOIN lab USING (id_customer)"""
