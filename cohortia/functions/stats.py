@@ -245,3 +245,40 @@ def chi2_sf(x: float, dof: int) -> float:
         if abs(delta - 1) < 1e-15:
             break
     return math.exp(-z + a * math.log(z) - math.lgamma(a)) * h
+
+
+def ordered_prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
+                        buckets: int = 256, descending: bool = False,
+                        inclusive: bool = True) -> DataFrame:
+    """Running sums of ``sum_cols`` in ``order_col`` order, without pulling
+    every row into one window task.
+
+    Rows should be one per distinct ``order_col`` value (aggregate first).
+    A sketch cuts the order column into ``buckets`` value ranges; the bucket
+    is a pure function of the value, so the result does not depend on how
+    Spark partitions the data. Per-bucket totals (``buckets`` rows) give each
+    bucket's offset; the window then runs within each bucket only.
+    Adds ``<col>_cum`` columns (inclusive of the row, or exclusive).
+    """
+    sum_cols = list(sum_cols)
+    o = F.col(order_col)
+    key = (-o) if descending else o
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(key.cast("double"), F.array(*[F.lit(p) for p in probs]),
+                                      10 * buckets).alias("__cuts"))
+    b = (df.crossJoin(F.broadcast(cuts))
+         .withColumn("__k", key)
+         .withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c < F.col("__k"))))
+         .drop("__cuts"))
+    totals = b.groupBy("__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__bucket", *[
+        F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
+    frame_end = 0 if inclusive else -1
+    w = (Window.partitionBy("__bucket").orderBy("__k")
+         .rowsBetween(Window.unboundedPreceding, frame_end))
+    out = b.join(F.broadcast(offsets), "__bucket")
+    for c in sum_cols:
+        out = out.withColumn(f"{c}_cum", F.col(f"__o_{c}")
+                             + F.coalesce(F.sum(c).over(w), F.lit(0)))
+    return out.drop("__bucket", "__k", *[f"__o_{c}" for c in sum_cols])

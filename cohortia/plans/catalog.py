@@ -261,3 +261,114 @@ def q_attach_segment(spark, sf):
         "id_customer", F.col("Customer_Segment").alias("Final_Segment"))
     c = ch.attach_segment(cu.churn_customers(tx), seg)
     return rounded(c.select("id_customer", "Monetary_Value", "Final_Segment"))
+
+
+# ---------------------------------------------------------------- evaluation
+from ..operators import evaluate as ev  # noqa: E402
+from ..operators import ranking as rk  # noqa: E402
+
+
+@register("confusion_rates")
+def q_confusion_rates(spark, sf):
+    return rounded(ev.rates(ev.confusion(fx.scored_rows(spark, sf), t=0.5)))
+
+
+@register("threshold_sweep")
+def q_threshold_sweep(spark, sf):
+    return rounded(ev.threshold_sweep(fx.scored_rows(spark, sf)))
+
+
+@register("best_thresholds")
+def q_best_thresholds(spark, sf):
+    return ev.best_thresholds(ev.threshold_sweep(fx.scored_rows(spark, sf)))
+
+
+@register("closest_corner")
+def q_closest_corner(spark, sf):
+    return rounded(ev.closest_corner(ev.threshold_sweep(fx.scored_rows(spark, sf))))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf):
+    return rounded(ev.roc_auc(fx.scored_rows(spark, sf)))
+
+
+@register("roc_curve")
+def q_roc_curve(spark, sf):
+    return rounded(ev.roc_curve(fx.scored_rows(spark, sf)))
+
+
+@register("log_loss")
+def q_log_loss(spark, sf):
+    return rounded(ev.log_loss(fx.scored_rows(spark, sf)))
+
+
+@register("regression_metrics")
+def q_regression_metrics(spark, sf):
+    tx = fx.transactions(spark, sf).withColumn("pred", F.col("net_sales") * 1.05)
+    return rounded(ev.regression_metrics(tx, "gross_sales", "pred"))
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    s = fx.scored_rows(spark, sf)
+    train, test = ev.stratified_split(s, 0.8)
+    both = (train.withColumn("split", F.lit("train"))
+            .unionByName(test.withColumn("split", F.lit("test"))))
+    return both.groupBy("label", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("holdout_by_antijoin")
+def q_holdout_by_antijoin(spark, sf):
+    s = fx.scored_rows(spark, sf)
+    train, _ = ev.random_split(s, 0.8)
+    return rounded(ev.holdout_by_antijoin(s, train))
+
+
+def demo_coefficients(spark, sf):
+    """A coefficient table derived from the customer tables (input of M29)."""
+    c = fx.table(spark, sf, "customer")
+    n = fx.table(spark, sf, "nation")
+    r = fx.table(spark, sf, "region")
+    j = (c.join(n, c.c_nationkey == n.n_nationkey)
+         .join(r, F.col("n_regionkey") == r.r_regionkey))
+    overall = j.agg(F.avg("c_acctbal").alias("__mu"))
+
+    def factor(col, label):
+        return (j.groupBy(col).agg(F.avg("c_acctbal").alias("__m"), F.count(F.lit(1)).alias("__k"))
+                .crossJoin(overall)
+                .select(F.concat(F.lit(f"C({label})[T."), F.col(col), F.lit("]")).alias("term"),
+                        ((F.col("__m") - F.col("__mu")) / 1000.0).alias("estimate"),
+                        ((F.col("__k") % 7) / 100.0).alias("p_value")))
+
+    nums = j.agg(
+        F.corr(F.col("c_nationkey").cast("double"), "c_acctbal").alias("a"),
+        F.corr((F.col("c_custkey") % 100).cast("double"), "c_acctbal").alias("b"),
+        (F.avg("c_acctbal") / 1000.0).alias("i"))
+    nums = nums.select(F.explode(F.array(
+        F.struct(F.lit("c_nationkey").alias("term"), F.col("a").alias("estimate"),
+                 F.lit(0.2).alias("p_value")),
+        F.struct(F.lit("custkey_mod").alias("term"), F.col("b").alias("estimate"),
+                 F.lit(0.03).alias("p_value")),
+        F.struct(F.lit("Intercept").alias("term"), F.col("i").alias("estimate"),
+                 F.lit(0.0).alias("p_value")))).alias("s")).select("s.*")
+    return factor("c_mktsegment", "c_mktsegment").unionByName(factor("r_name", "region")).unionByName(nums)
+
+
+@register("rank_logit")
+def q_rank_logit(spark, sf):
+    out = rk.rank_logit(demo_coefficients(spark, sf), ["c_mktsegment", "region"])
+    return rounded(out.select("Variable", "Importance", "PValueRank", "Rank", "Method"))
+
+
+@register("rank_models")
+def q_rank_models(spark, sf):
+    coefs = demo_coefficients(spark, sf)
+    logit = rk.rank_logit(coefs, ["c_mktsegment", "region"]).select("Variable", "Rank", "Method")
+    per_var = logit.select("Variable").join(
+        rk.rank_logit(coefs, ["c_mktsegment", "region"]).select("Variable", "Importance"), "Variable")
+    forest = rk.rank_by_importance(per_var, "Random Forest")
+    boost = rk.rank_by_importance(per_var.withColumn("Importance", -F.col("Importance")),
+                                  "XGBoost", top=2)
+    methods = ["Logistic Regression", "Random Forest", "XGBoost"]
+    return rounded(rk.rank_models(logit.unionByName(forest).unionByName(boost), methods))

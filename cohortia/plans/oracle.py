@@ -400,3 +400,109 @@ ORACLES["attach_segment"] = rfm_ctes() + f""",{customers_cte('tx', name='cc', ex
 SELECT cc.id_customer, {rx('cc.Monetary_Value', 'Monetary_Value')} AS Monetary_Value,
        coalesce(lab.Customer_Segment, 'Not Clusterized') AS Final_Segment
 FROM cc LEFT JOIN lab USING (id_customer)"""
+
+
+# ---------------------------------------------------------------- evaluation
+from ..operators.evaluate import threshold_grid  # noqa: E402
+
+SC = f"WITH s AS ({FIXTURE_SQL['scored']})"
+ORACLES["confusion_rates"] = SC + f""",
+cm AS (SELECT count_if(label <> 1 AND NOT score > 0.5) AS TN, count_if(label <> 1 AND score > 0.5) AS FP,
+              count_if(label = 1 AND NOT score > 0.5) AS FN, count_if(label = 1 AND score > 0.5) AS TP FROM s)
+SELECT TN, FP, FN, TP, {rx('(TP + TN) / (TN + FP + FN + TP)', 'accuracy')} AS accuracy,
+       {rx('coalesce(CASE WHEN TP + FN > 0 THEN TP / (TP + FN) END, 0.0)', 'sensitivity')} AS sensitivity,
+       {rx('coalesce(CASE WHEN TN + FP > 0 THEN TN / (TN + FP) END, 0.0)', 'specificity')} AS specificity
+FROM cm"""
+
+_GRID = ", ".join(repr(t) for t in threshold_grid())
+SWEEP = SC + f""",
+g AS (SELECT CAST(unnest([{_GRID}]) AS DOUBLE) AS threshold),
+c AS (SELECT g.threshold, count(*) AS n, count_if(s.label = 1) AS p,
+             count_if(s.label = 1 AND s.score > g.threshold) AS tp,
+             count_if(s.label <> 1 AND NOT s.score > g.threshold) AS tn
+      FROM g CROSS JOIN s GROUP BY g.threshold),
+sw AS (SELECT threshold, coalesce(CASE WHEN p > 0 THEN tp / p END, 0.0) AS sensitivity,
+              coalesce(CASE WHEN n - p > 0 THEN tn / (n - p) END, 0.0) AS specificity,
+              (tp + tn) / n AS accuracy, 1 - (tp + tn) / n AS aper FROM c)"""
+ORACLES["threshold_sweep"] = SWEEP + f"""
+SELECT threshold, {r('sensitivity', 'sensitivity')}, {r('specificity', 'specificity')},
+       {r('accuracy', 'accuracy')}, {r('aper', 'aper')} FROM sw"""
+ORACLES["best_thresholds"] = SWEEP + """
+SELECT arg_min(threshold, (-accuracy, threshold)) AS best_accuracy,
+       arg_min(threshold, (abs(sensitivity - specificity), threshold)) AS best_balance,
+       arg_min(threshold, (aper, threshold)) AS min_error FROM sw"""
+ORACLES["closest_corner"] = SWEEP + f""",
+d AS (SELECT threshold, sqrt((1 - sensitivity) ^ 2 + (1 - specificity) ^ 2) AS dist FROM sw)
+SELECT arg_min(threshold, (dist, threshold)) AS closest_corner, {rx('min(dist)', 'corner_distance')} AS corner_distance FROM d"""
+
+BYSCORE = SC + """,
+b AS (SELECT score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM s GROUP BY score)"""
+ORACLES["roc_auc"] = BYSCORE + f""",
+c AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM b)
+SELECT {rx('sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg))', 'auc')} AS auc FROM c"""
+ORACLES["roc_curve"] = BYSCORE + f""",
+t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM b),
+c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pc,
+             sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nc FROM b)
+SELECT {rx('score', 'threshold')} AS threshold, {rx('pc / P', 'tpr')} AS tpr, {rx('nc / N', 'fpr')} AS fpr FROM c, t"""
+ORACLES["log_loss"] = SC + f""",
+q AS (SELECT CAST(label AS DOUBLE) AS y, least(greatest(score, 1e-15), 1 - 1e-15) AS p FROM s)
+SELECT {rx('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))', 'log_loss')} AS log_loss FROM q"""
+ORACLES["regression_metrics"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}),
+e AS (SELECT gross_sales AS y, gross_sales - net_sales * 1.05 AS e FROM tx),
+g AS (SELECT avg(e * e) AS mse, avg(abs(e)) AS mae, sum(e * e) AS sse, var_pop(y) * count(y) AS sst FROM e)
+SELECT {r('mse', 'mse')}, {rx('sqrt(mse)', 'rmse')} AS rmse, {r('mae', 'mae')}, {rx('1 - sse / sst', 'r2')} AS r2 FROM g"""
+
+
+def unit_hash_sql(col: str, salt: int = 0) -> str:
+    x = f"(({col} + {salt}) % 1000000007 + 1000000007) % 1000000007"
+    return f"((({x}) * 2654435761) % 4294967296) / 4294967296.0"
+
+
+ORACLES["stratified_split"] = SC + f"""
+SELECT label, CASE WHEN {unit_hash_sql('row_id')} < 0.8 THEN 'train' ELSE 'test' END AS split,
+       count(*) AS rows FROM s GROUP BY 1, 2"""
+ORACLES["holdout_by_antijoin"] = SC + f"""
+SELECT row_id, label, {rx('score', 'score')} AS score FROM s WHERE NOT ({unit_hash_sql('row_id', 17)} < 0.8)"""
+
+COEFS = """
+j AS (SELECT c.*, r.r_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+      JOIN region r ON n.n_regionkey = r.r_regionkey),
+mu AS (SELECT avg(c_acctbal) AS mu FROM j),
+coefs AS (
+  SELECT 'C(c_mktsegment)[T.' || c_mktsegment || ']' AS term, (avg(c_acctbal) - max(mu.mu)) / 1000.0 AS estimate,
+         (count(*) % 7) / 100.0 AS p_value FROM j, mu GROUP BY c_mktsegment
+  UNION ALL
+  SELECT 'C(region)[T.' || r_name || ']', (avg(c_acctbal) - max(mu.mu)) / 1000.0, (count(*) % 7) / 100.0
+  FROM j, mu GROUP BY r_name
+  UNION ALL SELECT 'c_nationkey', corr(CAST(c_nationkey AS DOUBLE), c_acctbal), 0.2 FROM j
+  UNION ALL SELECT 'custkey_mod', corr(CAST(c_custkey % 100 AS DOUBLE), c_acctbal), 0.03 FROM j
+  UNION ALL SELECT 'Intercept', avg(c_acctbal) / 1000.0, 0.0 FROM j),
+t AS (SELECT CASE WHEN contains(term, 'c_mktsegment') THEN 'c_mktsegment'
+                  WHEN contains(term, 'region') THEN 'region' ELSE term END AS Variable, estimate, p_value
+      FROM coefs WHERE lower(term) NOT IN ('intercept', '(intercept)')),
+g AS (SELECT Variable, min(p_value) AS mp, sum(abs(estimate)) AS Importance FROM t GROUP BY 1),
+lr AS (SELECT Variable, Importance,
+              CASE WHEN mp <= 0.001 THEN 1 WHEN mp <= 0.01 THEN 2 WHEN mp <= 0.05 THEN 3 ELSE 4 END AS PValueRank
+       FROM g),
+lrr AS (SELECT *, row_number() OVER (ORDER BY PValueRank, Importance DESC, Variable) AS Rank FROM lr)"""
+ORACLES["rank_logit"] = "WITH " + COEFS + f"""
+SELECT Variable, {r('Importance', 'Importance')}, PValueRank, Rank, 'Logistic Regression' AS Method
+FROM lrr WHERE Rank <= 17"""
+ORACLES["rank_models"] = "WITH " + COEFS + """,
+rf AS (SELECT Variable, row_number() OVER (ORDER BY Importance DESC, Variable) AS Rank FROM lrr),
+xg AS (SELECT Variable, row_number() OVER (ORDER BY -Importance DESC, Variable) AS Rank FROM lrr),
+allr AS (SELECT Variable, Rank, 'Logistic Regression' AS Method FROM lrr WHERE Rank <= 17
+         UNION ALL SELECT Variable, Rank, 'Random Forest' FROM rf WHERE Rank <= 17
+         UNION ALL SELECT Variable, Rank, 'XGBoost' FROM xg WHERE Rank <= 2),
+vs AS (SELECT DISTINCT Variable FROM allr), ms AS (SELECT DISTINCT Method FROM allr),
+fullg AS (SELECT vs.Variable, ms.Method, coalesce(CAST(a.Rank AS DOUBLE), 21.0) AS Rank
+         FROM vs CROSS JOIN ms LEFT JOIN allr a ON a.Variable = vs.Variable AND a.Method = ms.Method),
+fr AS (SELECT Variable, avg(Rank) AS AggregateRank FROM fullg GROUP BY 1),
+frr AS (SELECT *, row_number() OVER (ORDER BY AggregateRank, Variable) AS FinalRank FROM fr)
+SELECT f.Variable,
+       max(CASE WHEN Method = 'Logistic Regression' THEN Rank END) AS Logistic_Regression,
+       max(CASE WHEN Method = 'Random Forest' THEN Rank END) AS Random_Forest,
+       max(CASE WHEN Method = 'XGBoost' THEN Rank END) AS XGBoost,
+       max(frr.AggregateRank) AS AggregateRank, max(frr.FinalRank) AS FinalRank
+FROM fullg f JOIN frr USING (Variable) GROUP BY f.Variable"""
