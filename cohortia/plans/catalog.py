@@ -372,3 +372,50 @@ def q_rank_models(spark, sf):
                                   "XGBoost", top=2)
     methods = ["Logistic Regression", "Random Forest", "XGBoost"]
     return rounded(rk.rank_models(logit.unionByName(forest).unionByName(boost), methods))
+
+
+# ---------------------------------------------------------------- survival, baskets
+from ..operators import survival as sv  # noqa: E402
+from ..operators import baskets as bk  # noqa: E402
+
+
+def survival_input(spark, sf):
+    tx = fx.transactions(spark, sf)
+    c = ch.customer_churn(cu.churn_customers(tx), ch.churn_flags(tx, 31))
+    return c.select("id_customer", "Purchase_Months", "Churn", "Store_Type_Variety")
+
+
+@register("kaplan_meier")
+def q_kaplan_meier(spark, sf):
+    return rounded(sv.kaplan_meier(survival_input(spark, sf), "Purchase_Months", "Churn"))
+
+
+@register("kaplan_meier_by_store")
+def q_kaplan_meier_by_store(spark, sf):
+    return rounded(sv.kaplan_meier(survival_input(spark, sf), "Purchase_Months", "Churn",
+                                   by="Store_Type_Variety"))
+
+
+@register("log_rank_oe")
+def q_log_rank_oe(spark, sf):
+    out = sv.log_rank(survival_input(spark, sf), "Purchase_Months", "Churn", "Store_Type_Variety")
+    return rounded(out.select("Store_Type_Variety", "observed", "expected"))
+
+
+@register("log_rank")
+def q_log_rank(spark, sf):
+    return rounded(sv.log_rank(survival_input(spark, sf), "Purchase_Months", "Churn",
+                               "Store_Type_Variety"))
+
+
+BASKET_LIMITS = dict(min_support=0.01, min_confidence=0.05, min_lift=1.0)
+
+
+@register("basket_pair_rules")
+def q_basket_pair_rules(spark, sf):
+    return rounded(bk.pair_rules(bk.basket_rules(fx.baskets(spark, sf), **BASKET_LIMITS)))
+
+
+@register("ready_baskets")
+def q_ready_baskets(spark, sf):
+    return rounded(bk.ready_baskets(bk.basket_rules(fx.baskets(spark, sf), **BASKET_LIMITS)))

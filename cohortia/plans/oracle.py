@@ -506,3 +506,63 @@ SELECT f.Variable,
        max(CASE WHEN Method = 'XGBoost' THEN Rank END) AS XGBoost,
        max(frr.AggregateRank) AS AggregateRank, max(frr.FinalRank) AS FinalRank
 FROM fullg f JOIN frr USING (Variable) GROUP BY f.Variable"""
+
+
+# ---------------------------------------------------------------- survival, baskets
+def surv_sql() -> str:
+    return churn_flags_sql(FIXTURE_SQL["tx"], 31) + f""",{customers_cte('tx', extended=True)},
+churned AS (SELECT DISTINCT id_customer FROM flags WHERE Churned > 0),
+surv AS (SELECT c.id_customer, c.Purchase_Months, c.Store_Type_Variety,
+                CASE WHEN h.id_customer IS NOT NULL OR c.Recency > 31 THEN 1 ELSE 0 END AS Churn
+         FROM cust c LEFT JOIN churned h USING (id_customer))"""
+
+
+def km_sql(by: str | None) -> str:
+    k = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    return surv_sql() + f""",
+g AS (SELECT {k}Purchase_Months AS time, count(*) AS c, CAST(sum(Churn) AS BIGINT) AS n_event
+      FROM surv GROUP BY ALL),
+rr AS (SELECT *, CAST(sum(c) OVER ({part}ORDER BY time DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_risk FROM g),
+kk AS (SELECT *,
+    sum(CASE WHEN n_event < n_risk THEN ln(1 - n_event / n_risk) ELSE 0.0 END)
+        OVER ({part}ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ls,
+    sum(CASE WHEN n_event < n_risk THEN 0 ELSE 1 END)
+        OVER ({part}ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS z,
+    sum(CASE WHEN n_event < n_risk THEN n_event / (n_risk * (n_risk - n_event)) ELSE 0.0 END)
+        OVER ({part}ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gw FROM rr),
+ss AS (SELECT *, CASE WHEN z > 0 THEN 0.0 ELSE exp(ls) END AS s,
+              CASE WHEN z > 0 THEN NULL ELSE sqrt(gw) END AS se FROM kk)
+SELECT {k}time, n_risk, n_event, c - n_event AS n_censor, {r('s', 'survival')}, {r('se', 'std_err')},
+       {rx('s * exp(-1.959963984540054 * se)', 'lower')} AS lower,
+       {rx('least(1.0, s * exp(1.959963984540054 * se))', 'upper')} AS upper FROM ss"""
+
+
+ORACLES["kaplan_meier"] = km_sql(None)
+ORACLES["kaplan_meier_by_store"] = km_sql("Store_Type_Variety")
+ORACLES["log_rank_oe"] = surv_sql() + f""",
+g AS (SELECT Store_Type_Variety AS grp, Purchase_Months AS time, count(*) AS c, sum(Churn) AS d FROM surv GROUP BY 1, 2),
+grid AS (SELECT a.grp, b.time, coalesce(g.c, 0) AS c, coalesce(g.d, 0) AS d
+         FROM (SELECT DISTINCT grp FROM g) a CROSS JOIN (SELECT DISTINCT time FROM g) b
+         LEFT JOIN g ON g.grp = a.grp AND g.time = b.time),
+rk AS (SELECT *, sum(c) OVER (PARTITION BY grp ORDER BY time DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM grid),
+tt AS (SELECT time, sum(n) AS NN, sum(d) AS DD FROM rk GROUP BY time)
+SELECT grp AS Store_Type_Variety, CAST(sum(d) AS BIGINT) AS observed, {rx('sum(n * DD / NN)', 'expected')} AS expected
+FROM rk JOIN tt USING (time) WHERE NN > 0 GROUP BY grp"""
+
+PAIRS = f"""WITH b AS ({FIXTURE_SQL['baskets']}),
+n AS (SELECT count(DISTINCT basket_id) AS n FROM b),
+i AS (SELECT item, count(*) AS c FROM b GROUP BY item),
+p AS (SELECT x.item AS a, y.item AS c2, count(*) AS k FROM b x JOIN b y
+      ON x.basket_id = y.basket_id AND x.item <> y.item GROUP BY 1, 2),
+rules AS (SELECT p.a AS antecedent, p.c2 AS consequent, p.k / n.n AS support, p.k / ia.c AS confidence,
+                 (p.k / ia.c) / (ic.c / n.n) AS lift
+          FROM p JOIN i ia ON ia.item = p.a JOIN i ic ON ic.item = p.c2, n),
+pr AS (SELECT * FROM rules WHERE support > 0.01 AND confidence > 0.05 AND lift > 1.0)"""
+ORACLES["basket_pair_rules"] = PAIRS + f"""
+SELECT antecedent, consequent, {r('support', 'support')}, {r('confidence', 'confidence')}, {r('lift', 'lift')} FROM pr"""
+ORACLES["ready_baskets"] = PAIRS + f""",
+top AS (SELECT *, row_number() OVER (PARTITION BY antecedent ORDER BY lift DESC, confidence DESC, consequent) AS rn FROM pr),
+bd AS (SELECT least(antecedent, consequent) AS item_a, greatest(antecedent, consequent) AS item_b, lift, confidence
+       FROM top WHERE rn = 1)
+SELECT item_a, item_b, {rx('max(lift)', 'lift')} AS lift, {rx('max(confidence)', 'confidence')} AS confidence FROM bd GROUP BY 1, 2"""
