@@ -151,3 +151,62 @@ def round_half_even(c: str | Column, places: int) -> Column:
     """numpy / pandas ``round``: scale, round half to even, unscale."""
     k = 10.0 ** places
     return F.bround(_c(c) * k, 0) / k
+
+
+def one_hot(df: DataFrame, col: str, levels: Sequence[str] | None = None,
+            drop_first: bool = True) -> DataFrame:
+    """0/1 columns per level in alphabetical order, first level dropped
+    (it is the reference level). Levels are the distinct values when not
+    given: one small job over a bounded set of categories."""
+    if levels is None:
+        levels = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect()]
+    levels = sorted(levels)
+    use = levels[1:] if drop_first else levels
+    out = df
+    for lv in use:
+        out = out.withColumn(f"{col}_{lv}".replace(" ", "_"),
+                             F.when(F.col(col).isNull(), F.lit(None).cast("int"))
+                             .when(F.col(col) == lv, 1).otherwise(0))
+    return out
+
+
+def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """alphabetical 0-based code (StringIndexer, alphabetAsc)."""
+    from pyspark.ml.feature import StringIndexer
+    out = out or f"{col}_code"
+    model = StringIndexer(inputCol=col, outputCol=out, stringOrderType="alphabetAsc",
+                          handleInvalid="keep").fit(df)
+    return model.transform(df).withColumn(out, F.col(out).cast("int"))
+
+
+def stratify_by_score(df: DataFrame, col: str, ranges: Mapping[str, tuple[float, float]]
+                      ) -> dict[str, DataFrame]:
+    """One table per closed score range."""
+    return {name: df.where(F.col(col).between(lo, hi)) for name, (lo, hi) in ranges.items()}
+
+
+def window_dates(df: DataFrame, col: str, start, end) -> DataFrame:
+    """Keep rows with start <= col <= end (pushed to the scan)."""
+    return df.where(F.col(col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def inflation_adjust(df: DataFrame, col: str, year_col: str, cpi: DataFrame, base_year: int,
+                     out: str | None = None, deflate: bool = False) -> DataFrame:
+    """Value × CPI(year) / CPI(base), as printed in the reference; with
+    ``deflate=True`` value × CPI(base) / CPI(year). ``cpi`` is (year, cpi),
+    one row per year, so it is broadcast."""
+    out = out or f"{col}_adj"
+    base = cpi.where(F.col("year") == base_year).select(F.col("cpi").alias("__base"))
+    j = (df.join(F.broadcast(cpi.withColumnRenamed("year", year_col)), year_col, "left")
+         .crossJoin(F.broadcast(base)))
+    ratio = (F.try_divide(F.col("__base"), F.col("cpi")) if deflate
+             else F.try_divide(F.col("cpi"), F.col("__base")))
+    return j.withColumn(out, F.col(col) * ratio).drop("cpi", "__base")
+
+
+def union_by_name(dfs: Sequence[DataFrame]) -> DataFrame:
+    """Stack tables matching columns by name; absent columns → NULL."""
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out

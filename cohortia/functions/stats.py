@@ -124,21 +124,27 @@ def chi2_sf_1df(x: float) -> float:
     return math.erfc(math.sqrt(x / 2.0))
 
 
+# Coefficients of Acklam's rational approximation of the
+# inverse normal CDF (public, 2003), and its tail split point.
+ACKLAM_A = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+            1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+ACKLAM_B = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+            6.680131188771972e+01, -1.328068155288572e+01]
+ACKLAM_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+            -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+ACKLAM_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+            3.754408661907416e+00]
+ACKLAM_PLOW = 0.02425
+
+
 def normal_ppf_col(p: Column) -> Column:
     """Inverse standard normal CDF as a column expression.
 
     Acklam's rational approximation (relative error below 1.2e-9), written
     with built-in functions so it stays inside generated code.
     """
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-         3.754408661907416e+00]
-    plow = 0.02425
+    a, b, c, d = ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D
+    plow = ACKLAM_PLOW
 
     def poly(coefs, x):
         acc = F.lit(coefs[0])

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from ..functions.stats import grouped_quantiles
+import math
+
+from ..functions.stats import grouped_quantiles, normal_ppf_col, ordered_prefix_sums
 
 # The eight transaction rules of the quality report, in the
 # reference's order and wording.
@@ -127,23 +129,53 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*items)).alias("s")).select("s.*")
 
 
-def kde(df: DataFrame, col: str, by: str, grid: DataFrame, bandwidth: float) -> DataFrame:
-    """Gaussian kernel density per group on a given grid of points.
+def kde(df: DataFrame, col: str, by: str, grid: DataFrame,
+        bandwidth: float | None = None) -> DataFrame:
+    """Gaussian kernel density per group on a grid of points.
 
-    The grid is small by construction (a few hundred points) and broadcast;
-    the sum over rows is a grouped aggregate, partial per task.
+    Bandwidth: the given one, else Scott's rule per group (sample SD times
+    n^(-1/5), the default of the Python reference). The grid is small by
+    construction (tens of points) and broadcast; the sum over rows is a grouped
+    aggregate with partial sums per task.
     """
-    x = df.select(by, F.col(col).alias("__x")).where(F.col("__x").isNotNull())
-    n = x.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    z = (F.col("point") - F.col("__x")) / bandwidth
-    dens = (x.crossJoin(F.broadcast(grid.select("point")))
+    x = df.select(by, F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    st = x.groupBy(by).agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("__x").alias("__sd"))
+    bw = (F.lit(float(bandwidth)) if bandwidth is not None
+          else F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
+    st = st.withColumn("__h", bw)
+    z = (F.col("point") - F.col("__x")) / F.col("__h")
+    dens = (x.join(F.broadcast(st.select(by, "__h")), by)
+            .crossJoin(F.broadcast(grid.select("point")))
             .groupBy(by, "point").agg(F.sum(F.exp(-0.5 * z * z)).alias("__s")))
-    return (dens.join(n, by)
+    return (dens.join(st, by)
             .select(by, "point",
-                    (F.col("__s") / (F.col("__n") * bandwidth * (2 * 3.141592653589793) ** 0.5))
+                    (F.col("__s") / (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi)))
                     .alias("density")))
 
 
+def even_grid(df: DataFrame, col: str, points: int = 50) -> DataFrame:
+    """``points`` evenly spaced values from the column's min to its max."""
+    mm = df.agg(F.min(col).cast("double").alias("__mn"), F.max(col).cast("double").alias("__mx"))
+    return (df.sparkSession.range(points).crossJoin(mm)
+            .select((F.col("__mn") + (F.col("__mx") - F.col("__mn")) * F.col("id") / (points - 1))
+                    .alias("point")))
+
+
+def qq_points(df: DataFrame, col: str) -> DataFrame:
+    """Ordered sample values against standard normal quantiles at
+    (i - 0.5) / n. Ranks come from a bucketed prefix count over distinct
+    values, not from one global window."""
+    x = df.select(F.col(col).cast("double").alias("sample")).where(F.col("sample").isNotNull())
+    counted = x.groupBy("sample").agg(F.count(F.lit(1)).alias("__c"))
+    pre = ordered_prefix_sums(counted, "sample", ["__c"], inclusive=False)
+    n = x.agg(F.count(F.lit(1)).alias("__n"))
+    rows = (pre.crossJoin(F.broadcast(n))
+            .withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))))
+            .withColumn("i", (F.col("__c_cum") + F.col("__k")).cast("long")))
+    return rows.select("i", "sample",
+                       normal_ppf_col((F.col("i") - 0.5) / F.col("__n")).alias("theoretical"))
+
+
 def data_quality_report(df: DataFrame, rules: Mapping[str, Sequence[tuple[str, str]]] | None = None
                         ) -> DataFrame:
     """Accuracy / completeness / consistency / validity rule counts.

@@ -419,3 +419,130 @@ def q_basket_pair_rules(spark, sf):
 @register("ready_baskets")
 def q_ready_baskets(spark, sf):
     return rounded(bk.ready_baskets(bk.basket_rules(fx.baskets(spark, sf), **BASKET_LIMITS)))
+
+
+# ---------------------------------------------------------------- descriptive, encoders
+from ..functions import scalar as sc  # noqa: E402
+
+
+@register("churn_crosstab")
+def q_churn_crosstab(spark, sf):
+    return rounded(qa.proportion_crosstab(survival_input(spark, sf), "Store_Type_Variety", "Churn"))
+
+
+CORR_COLS = ["Frequency", "Monetary_Value", "AVG_Ticket", "STD_Ticket", "PL_ratio",
+             "AVG_Discount", "Purchase_Months"]
+
+
+@register("correlation_matrix")
+def q_correlation_matrix(spark, sf):
+    return rounded(qa.correlation_matrix(cu.churn_customers(fx.transactions(spark, sf)), CORR_COLS))
+
+
+IMPUTE_COLS = ["Teacher_Quality", "Parental_Education_Level", "Distance_from_Home"]
+
+
+@register("mode_impute")
+def q_mode_impute(spark, sf):
+    s = blank_to_null(fx.students(spark, sf))
+    return qa.mode_impute(s, IMPUTE_COLS).select("student_id", *IMPUTE_COLS)
+
+
+@register("kde_by_churn")
+def q_kde_by_churn(spark, sf):
+    s = survival_input(spark, sf).join(
+        cu.churn_customers(fx.transactions(spark, sf)).select("id_customer", "Monetary_Value"),
+        "id_customer")
+    return rounded(qa.kde(s, "Monetary_Value", "Churn", qa.even_grid(s, "Monetary_Value", 50)))
+
+
+@register("qq_points")
+def q_qq_points(spark, sf):
+    c = cu.rfm_customers(cu.drop_sales_anomaly(fx.transactions(spark, sf)))
+    return rounded(qa.qq_points(c, "AVG_Ticket"))
+
+
+ITEMS4 = ["D12_1", "D12_2", "D12_3", "D12_4"]
+
+
+@register("minmax_index")
+def q_minmax_index(spark, sf):
+    s = sc.minmax_scale_0_100(fx.survey_items(spark, sf), ITEMS4)
+    return rounded(s.select("respondent", *[f"{c}_index" for c in ITEMS4]))
+
+
+@register("zscore_items")
+def q_zscore_items(spark, sf):
+    s = sc.zscore(fx.survey_items(spark, sf), ITEMS4, suffix="_z")
+    return rounded(s.select("respondent", *[f"{c}_z" for c in ITEMS4]))
+
+
+@register("encode_students")
+def q_encode_students(spark, sf):
+    s = blank_to_null(fx.students(spark, sf))
+    s = (s.withColumn("Motivation_Code", sc.ordinal_encode("Motivation_Level", fx.LEVELS_LMH))
+         .withColumn("Teacher_Code", sc.ordinal_encode("Teacher_Quality", fx.LEVELS_LMH))
+         .withColumn("Distance_Code", sc.ordinal_encode("Distance_from_Home", fx.DISTANCE))
+         .withColumn("Internet_Yes", sc.binary_encode("Internet_Access", "Yes"))
+         .withColumn("Gender_Male", sc.binary_encode("Gender", "Male")))
+    s = sc.one_hot(s, "Motivation_Level", fx.LEVELS_LMH)
+    s = sc.label_encode(s, "Parental_Education_Level", "Education_Code")
+    return s.select("student_id", "Motivation_Code", "Teacher_Code", "Distance_Code",
+                    "Internet_Yes", "Gender_Male", "Motivation_Level_Low",
+                    "Motivation_Level_Medium", "Education_Code")
+
+
+@register("parse_text_fields")
+def q_parse_text_fields(spark, sf):
+    tx = fx.transactions(spark, sf)
+    cents = F.round(F.col("PL_gross_sales") * 100).cast("bigint")
+    text = tx.select(
+        "id_customer", "date",
+        F.concat((cents / 100).cast("bigint").cast("string"), F.lit(","),
+                 F.lpad((cents % 100).cast("string"), 2, "0")).alias("pl_text"),
+        F.when(F.col("number_item_PL") % 11 == 0, F.lit("n/a"))
+        .otherwise(F.col("number_item_PL").cast("string")).alias("items_text"))
+    return rounded(text.select("id_customer", "date", "pl_text",
+                               sc.parse_decimal_comma("pl_text").alias("PL_gross_sales"),
+                               sc.to_int_or_null("items_text").alias("number_item_PL")))
+
+
+def cpi_by_year(spark, sf):
+    """A price index per year derived from order values (input of P16)."""
+    o = fx.table(spark, sf, "orders")
+    overall = o.agg(F.avg("o_totalprice").alias("__mu"))
+    return (o.groupBy(F.year("o_orderdate").alias("year")).agg(F.avg("o_totalprice").alias("__m"))
+            .crossJoin(overall).select("year", (F.col("__m") / F.col("__mu") * 100).alias("cpi")))
+
+
+@register("inflation_adjust")
+def q_inflation_adjust(spark, sf):
+    w = fx.weekly(spark, sf).withColumn("year", F.year("week"))
+    out = sc.inflation_adjust(w, "sales", "year", cpi_by_year(spark, sf), 1998, out="sales_adj")
+    return rounded(out.select("week", "sales", "sales_adj"))
+
+
+@register("window_merge_features")
+def q_window_merge_features(spark, sf):
+    w = sc.window_dates(fx.weekly(spark, sf), "week", "1996-01-01", "1999-12-31")
+    return rounded(w.select("week", sc.merge_features(["spend_URGENT", "spend_HIGH"]).alias("spend_top"),
+                            sc.square(F.datediff("week", F.lit("1996-01-01").cast("date")) / 7)
+                            .alias("trend_sq"),
+                            sc.interaction("spend_URGENT", "spend_LOW").alias("urgent_x_low")))
+
+
+@register("stratify_by_score")
+def q_stratify_by_score(spark, sf):
+    parts = sc.stratify_by_score(fx.students(spark, sf), "Exam_Score",
+                                 {"low": (900.0, 1399.99), "high": (1400.0, 2100.0)})
+    outs = [d.agg(F.count(F.lit(1)).alias("rows"), F.avg("Exam_Score").alias("mean_score"))
+            .withColumn("stratum", F.lit(k)) for k, d in parts.items()]
+    return rounded(sc.union_by_name(outs))
+
+
+@register("union_segments")
+def q_union_segments(spark, sf):
+    r = _kept(spark, sf)
+    u = sc.union_by_name([r.super_.select("id_customer", "anomaly"),
+                          r.regular.select("id_customer", "Customer_Segment")])
+    return u

@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..operators.quality import ANOMALY_RULES
 from ..operators.segments import SEGMENT_RULES
 from .compare import BIAS, digits_for
-from ..sources.fixtures import FIXTURE_SQL, EDUCATION, DISTANCE, TEACHER_QUALITY, LEVELS_LMH
+from ..sources.fixtures import CHANNELS, FIXTURE_SQL, EDUCATION, DISTANCE, TEACHER_QUALITY, LEVELS_LMH
 
 ORACLES: dict[str, str] = {}
 
@@ -566,3 +566,134 @@ top AS (SELECT *, row_number() OVER (PARTITION BY antecedent ORDER BY lift DESC,
 bd AS (SELECT least(antecedent, consequent) AS item_a, greatest(antecedent, consequent) AS item_b, lift, confidence
        FROM top WHERE rn = 1)
 SELECT item_a, item_b, {rx('max(lift)', 'lift')} AS lift, {rx('max(confidence)', 'confidence')} AS confidence FROM bd GROUP BY 1, 2"""
+
+
+# ---------------------------------------------------------------- descriptive, encoders
+from ..functions.stats import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, ACKLAM_PLOW  # noqa: E402
+
+
+def _poly(coefs, x: str) -> str:
+    acc = repr(coefs[0])
+    for k in coefs[1:]:
+        acc = f"({acc} * {x} + {k!r})"
+    return acc
+
+
+def ppf_sql(p: str) -> str:
+    ql = f"sqrt(-2 * ln({p}))"
+    qh = f"sqrt(-2 * ln(1 - {p}))"
+    q = f"({p} - 0.5)"
+    rr = f"({q} * {q})"
+    low = f"({_poly(ACKLAM_C, ql)} / ({_poly(ACKLAM_D, ql)} * {ql} + 1))"
+    high = f"(-{_poly(ACKLAM_C, qh)} / ({_poly(ACKLAM_D, qh)} * {qh} + 1))"
+    mid = f"({_poly(ACKLAM_A, rr)} * {q} / ({_poly(ACKLAM_B, rr)} * {rr} + 1))"
+    return (f"CASE WHEN {p} < {ACKLAM_PLOW!r} THEN {low} WHEN {p} > {1 - ACKLAM_PLOW!r} "
+            f"THEN {high} ELSE {mid} END")
+
+
+SURV = surv_sql()
+ORACLES["churn_crosstab"] = SURV + f""",
+c AS (SELECT Store_Type_Variety, Churn, count(*) AS count FROM surv GROUP BY 1, 2)
+SELECT Store_Type_Variety, Churn, count,
+       {rx('count / sum(count) OVER (PARTITION BY Store_Type_Variety)', 'proportion')} AS proportion FROM c"""
+
+_CORR = ["Frequency", "Monetary_Value", "AVG_Ticket", "STD_Ticket", "PL_ratio", "AVG_Discount",
+         "Purchase_Months"]
+_pairs = [(a, b) for i, a in enumerate(_CORR) for b in _CORR[i:]]
+ORACLES["correlation_matrix"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}),{customers_cte('tx', extended=True)},
+d AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _CORR)} FROM cust
+      WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _CORR)})
+""" + "\nUNION ALL\n".join(
+    (f"SELECT '{a}' AS var1, '{b}' AS var2, 1.0 AS corr FROM (SELECT 1) t" if a == b else
+     f"SELECT '{a}' AS var1, '{b}' AS var2, {rx(f'corr({a}, {b})', 'corr')} AS corr FROM d "
+     f"UNION ALL SELECT '{b}', '{a}', {rx(f'corr({a}, {b})', 'corr')} FROM d")
+    for a, b in _pairs)
+
+ORACLES["mode_impute"] = f"WITH s AS ({students_clean_sql()}),\n" + ",\n".join(
+    f"m_{c} AS (SELECT {c} AS v FROM s WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+    for c in ["Teacher_Quality", "Parental_Education_Level", "Distance_from_Home"]) + """
+SELECT student_id, coalesce(Teacher_Quality, (SELECT v FROM m_Teacher_Quality)) AS Teacher_Quality,
+       coalesce(Parental_Education_Level, (SELECT v FROM m_Parental_Education_Level)) AS Parental_Education_Level,
+       coalesce(Distance_from_Home, (SELECT v FROM m_Distance_from_Home)) AS Distance_from_Home FROM s"""
+
+ORACLES["kde_by_churn"] = SURV + f""",
+x AS (SELECT s.Churn, CAST(c.Monetary_Value AS DOUBLE) AS x FROM surv s JOIN cust c USING (id_customer)),
+mm AS (SELECT min(x) AS mn, max(x) AS mx FROM x),
+grid AS (SELECT mn + (mx - mn) * CAST(range AS DOUBLE) / 49 AS point FROM range(50), mm),
+st AS (SELECT Churn, count(*) AS n, stddev_samp(x) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h FROM x GROUP BY 1),
+kd AS (SELECT x.Churn, g.point, sum(exp(-0.5 * ((g.point - x.x) / st.h) * ((g.point - x.x) / st.h))) AS s
+       FROM x JOIN st USING (Churn) CROSS JOIN grid g GROUP BY 1, 2)
+SELECT kd.Churn, {rx('kd.point', 'point')} AS point,
+       {rx('kd.s / (st.n * st.h * 2.5066282746310002)', 'density')} AS density
+FROM kd JOIN st USING (Churn)"""
+
+ORACLES["qq_points"] = _CLEAN_CUST + f""",
+q AS (SELECT row_number() OVER (ORDER BY AVG_Ticket) AS i, AVG_Ticket AS sample, count(*) OVER () AS n
+      FROM cust WHERE AVG_Ticket IS NOT NULL)
+SELECT i, {rx('sample', 'sample')} AS sample, {rx(ppf_sql('((i - 0.5) / n)'), 'theoretical')} AS theoretical FROM q"""
+
+_I4 = ["D12_1", "D12_2", "D12_3", "D12_4"]
+ORACLES["minmax_index"] = f"WITH s AS ({FIXTURE_SQL['survey_items']}),\nmm AS (SELECT " + ", ".join(
+    f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _I4) + " FROM s)\nSELECT respondent, " + ", ".join(
+    f"{rx(f'CASE WHEN mx_{c} = mn_{c} THEN 50.0 ELSE ({c} - mn_{c}) / (mx_{c} - mn_{c}) * 100.0 END', c + '_index')} AS {c}_index"
+    for c in _I4) + " FROM s, mm"
+ORACLES["zscore_items"] = f"WITH s AS ({FIXTURE_SQL['survey_items']}),\nmm AS (SELECT " + ", ".join(
+    f"avg({c}) AS mu_{c}, stddev_samp({c}) AS sd_{c}" for c in _I4) + " FROM s)\nSELECT respondent, " + ", ".join(
+    f"{rx(f'({c} - mu_{c}) / sd_{c}', c + '_z')} AS {c}_z" for c in _I4) + " FROM s, mm"
+
+ORACLES["encode_students"] = f"""WITH s AS ({students_clean_sql()}),
+ed AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+       FROM (SELECT DISTINCT Parental_Education_Level AS v FROM s WHERE Parental_Education_Level IS NOT NULL))
+SELECT student_id,
+  CAST(CASE Motivation_Level WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 END AS INTEGER) AS Motivation_Code,
+  CAST(CASE Teacher_Quality WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 END AS INTEGER) AS Teacher_Code,
+  CAST(CASE Distance_from_Home WHEN 'Near' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Far' THEN 3 END AS INTEGER) AS Distance_Code,
+  CASE WHEN Internet_Access IS NULL THEN NULL WHEN Internet_Access = 'Yes' THEN 1 ELSE 0 END AS Internet_Yes,
+  CASE WHEN Gender IS NULL THEN NULL WHEN Gender = 'Male' THEN 1 ELSE 0 END AS Gender_Male,
+  CASE WHEN Motivation_Level IS NULL THEN NULL WHEN Motivation_Level = 'Low' THEN 1 ELSE 0 END AS Motivation_Level_Low,
+  CASE WHEN Motivation_Level IS NULL THEN NULL WHEN Motivation_Level = 'Medium' THEN 1 ELSE 0 END AS Motivation_Level_Medium,
+  coalesce(ed.code, (SELECT count(*) FROM ed)) AS Education_Code
+FROM s LEFT JOIN ed ON s.Parental_Education_Level = ed.v"""
+
+ORACLES["parse_text_fields"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}),
+t AS (SELECT id_customer, date, CAST(round(PL_gross_sales * 100) AS BIGINT) AS cents,
+             CASE WHEN number_item_PL % 11 = 0 THEN 'n/a' ELSE CAST(number_item_PL AS VARCHAR) END AS items_text FROM tx),
+t2 AS (SELECT id_customer, date, CAST(cents // 100 AS VARCHAR) || ',' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS pl_text,
+              items_text FROM t)
+SELECT id_customer, date, pl_text, {rx("TRY_CAST(replace(pl_text, ',', '.') AS DOUBLE)", 'PL_gross_sales')} AS PL_gross_sales,
+       TRY_CAST(items_text AS BIGINT) AS number_item_PL FROM t2"""
+
+
+def weekly_sql() -> str:
+    cols = ", ".join(
+        f"coalesce(max(CASE WHEN channel = '{raw}' THEN spend END), 0.0) AS spend_{name}"
+        for raw, name in CHANNELS.items())
+    return f"""wl AS ({FIXTURE_SQL['weekly_long']}),
+wide AS (SELECT week, {cols} FROM wl GROUP BY week),
+tgt AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week, sum(gross_sales) AS sales FROM tx GROUP BY 1),
+weekly AS (SELECT w.*, coalesce(t.sales, 0.0) AS sales FROM wide w LEFT JOIN tgt t USING (week))"""
+
+
+ORACLES["inflation_adjust"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()},
+mu AS (SELECT avg(o_totalprice) AS mu FROM orders),
+cpi AS (SELECT year(o_orderdate) AS year, avg(o_totalprice) / max(mu.mu) * 100 AS cpi FROM orders, mu GROUP BY 1),
+base AS (SELECT cpi AS b FROM cpi WHERE year = 1998)
+SELECT w.week, {rx('w.sales', 'sales')} AS sales,
+       {rx('w.sales * (CASE WHEN base.b <> 0 THEN c.cpi / base.b END)', 'sales_adj')} AS sales_adj
+FROM weekly w LEFT JOIN cpi c ON year(w.week) = c.year CROSS JOIN base"""
+
+ORACLES["window_merge_features"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()}
+SELECT week, {rx('spend_URGENT + spend_HIGH', 'spend_top')} AS spend_top,
+       {rx("((week - DATE '1996-01-01') / 7) * ((week - DATE '1996-01-01') / 7)", 'trend_sq')} AS trend_sq,
+       {rx('spend_URGENT * spend_LOW', 'urgent_x_low')} AS urgent_x_low
+FROM weekly WHERE week BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"""
+
+ORACLES["stratify_by_score"] = """
+SELECT count(*) AS rows, """ + rx("avg(p_retailprice)", "mean_score") + """ AS mean_score, 'low' AS stratum
+FROM part WHERE p_retailprice BETWEEN 900.0 AND 1399.99
+UNION ALL
+SELECT count(*), """ + rx("avg(p_retailprice)", "mean_score") + """, 'high' FROM part WHERE p_retailprice BETWEEN 1400.0 AND 2100.0"""
+
+ORACLES["union_segments"] = rfm_ctes() + """
+SELECT id_customer, anomaly, CAST(NULL AS VARCHAR) AS Customer_Segment FROM sup
+UNION ALL SELECT id_customer, NULL, Customer_Segment FROM lab"""
