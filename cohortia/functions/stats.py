@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Relative rank error of the sketch; the exact pass reads ~4/ACCURACY of rows.
-SKETCH_ACCURACY = 100_000
+# Relative rank error of the sketch; the exact pass ranks ~8/ACCURACY of a
+# group's rows per probability (1e4: about 1 M rows for a 1e9-row group).
+SKETCH_ACCURACY = 10_000
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
-                      probs: Sequence[float], out: str = "q") -> DataFrame:
+                      probs: Sequence[float], out: str = "q", few_groups: bool = False
+                      ) -> DataFrame:
     """Exact type-7 quantiles of ``col`` per group: ``keys..., out: array<double>``.
 
     Lazy and skew-safe. Per group a sketch (bounded memory) brackets each
@@ -29,7 +31,10 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
     bracket are collapsed to (value, count) and ranked, under one window over
     (group, prob). A bracket that misses its rank is widened to the group's
     min / max, so the result is exact whatever the sketch returns.
+    ``few_groups`` says the caller knows the group count is tiny (one per
+    column), so the per-group bracket tables are broadcast.
     """
+    bc = F.broadcast if few_groups else (lambda d: d)
     keys = list(keys)
     probs = [float(p) for p in probs]
     k = len(probs)
@@ -46,19 +51,21 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
     hi = [F.col("__mx") if p + m >= 1 else F.element_at("__b", k + i + 1)
           for i, p in enumerate(probs)]
     pos = [F.lit(p) * (n - 1) for p in probs]
+    # one row per group, read four times below: persisted so the sketch
+    # merge (which sits above the shuffle) runs once
     sk = sk.select(*keys, "__n", "__mn", "__mx",
                    F.array(*lo).alias("__lo"), F.array(*hi).alias("__hi"),
                    F.array(*[F.floor(ps) for ps in pos]).alias("__r0"),
-                   F.array(*[ps - F.floor(ps) for ps in pos]).alias("__fr"))
+                   F.array(*[ps - F.floor(ps) for ps in pos]).alias("__fr")).persist()
     # rows below / inside each bracket
-    xj = x.join(sk.select(*keys, "__lo", "__hi"), keys)
+    xj = x.join(bc(sk.select(*keys, "__lo", "__hi")), keys)
     cnt = xj.groupBy(*keys).agg(
         F.array(*[F.count_if(F.col("__x") < F.element_at("__lo", i + 1)) for i in range(k)])
         .alias("__below"),
         F.array(*[F.count_if(F.col("__x").between(F.element_at("__lo", i + 1),
                                                   F.element_at("__hi", i + 1)))
                   for i in range(k)]).alias("__inside"))
-    br = sk.join(cnt, keys)
+    br = sk.join(bc(cnt), keys)
     r0 = [F.element_at("__r0", i + 1) for i in range(k)]
     r1 = [F.least(r + 1, n - 1) for r in r0]
     below = [F.element_at("__below", i + 1) for i in range(k)]
@@ -72,9 +79,9 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
                   .otherwise(F.element_at("__hi", i + 1)) for i in range(k)]).alias("__hi"),
         F.array(*[F.when(miss_lo[i], F.lit(0)).otherwise(below[i]) for i in range(k)])
         .alias("__below"),
-        F.array(*r0).alias("__r0"), F.array(*r1).alias("__r1"))
+        F.array(*r0).alias("__r0"), F.array(*r1).alias("__r1")).persist()
     # the bracketed slices, collapsed by value, tagged with the prob index
-    counted = (x.join(br.select(*keys, "__lo", "__hi"), keys)
+    counted = (x.join(bc(br.select(*keys, "__lo", "__hi")), keys)
                .withColumn("__i", F.explode(F.filter(
                    F.sequence(F.lit(0), F.lit(k - 1)),
                    lambda i: F.col("__x").between(F.element_at("__lo", i + 1),
@@ -82,7 +89,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
                .groupBy(*keys, "__i", "__x").agg(F.count(F.lit(1)).alias("__c")))
     w = (Window.partitionBy(*keys, "__i").orderBy("__x")
          .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (counted.join(br.select(*keys, "__below", "__r0", "__r1", "__fr"), keys)
+    ranked = (counted.join(bc(br.select(*keys, "__below", "__r0", "__r1", "__fr")), keys)
               .withColumn("__cum", F.sum("__c").over(w)
                           + F.element_at("__below", F.col("__i") + 1)))
     r0i = F.element_at("__r0", F.col("__i") + 1)
@@ -93,18 +100,39 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
         F.first(F.element_at("__fr", F.col("__i") + 1)).alias("__f"))
     v0, v1, fr = F.col("__v0"), F.col("__v1"), F.col("__f")
     val = F.when((v0 == v1) | (fr == 0), v0).otherwise(v0 + (v1 - v0) * fr)
-    return (picks.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("__i"), val.alias("v")))).alias("__s"))
-            .select(*keys, F.transform("__s", lambda s: s["v"]).alias(out)))
+    res = (picks.groupBy(*keys)
+           .agg(F.array_sort(F.collect_list(F.struct(F.col("__i"), val.alias("v")))).alias("__s"))
+           .select(*keys, F.transform("__s", lambda s: s["v"]).alias(out)))
+    res._cohortia_cached = [sk, br]
+    return res
+
+
+def release(df: DataFrame) -> None:
+    """Drop the small per-group tables a quantile result keeps cached."""
+    for d in getattr(df, "_cohortia_cached", []):
+        d.unpersist()
+
+
+def quantiles_by_col(df: DataFrame, spec: dict[str, Sequence[float]]
+                     ) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns in one job: the columns are
+    unpivoted to (column, value) and the column name is the group key."""
+    cols = list(spec)
+    allp = sorted({float(p) for ps in spec.values() for p in ps})
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("__var"), F.col(c).cast("double").alias("__v")) for c in cols
+    ])).alias("__s")).select("__s.*")
+    res = grouped_quantiles(long, ["__var"], "__v", allp, few_groups=True)
+    rows = res.collect()
+    release(res)
+    got = {r["__var"]: dict(zip(allp, r["q"])) for r in rows}
+    return {c: [(float(got[c][float(p)]) if c in got and got[c][float(p)] is not None else None)
+                for p in spec[c]] for c in cols}
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
     """Exact type-7 quantiles of ``col`` (NULLs ignored) as driver scalars."""
-    probs = list(probs)
-    row = grouped_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], col, probs).first()
-    if row is None:
-        return [None] * len(probs)
-    return [float(v) if v is not None else None for v in row["q"]]
+    return quantiles_by_col(df, {col: list(probs)})[col]
 
 
 def quantile(df: DataFrame, col: str, p: float) -> float | None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import round_half_even
-from ..functions.stats import quantiles
+from ..functions.stats import quantiles, quantiles_by_col
 
 # Fixed values that must equal the reference: the 27 (recency, frequency,
 # money) label triples listed for each segment, in rule order. 25 of the 27
@@ -93,7 +93,7 @@ def percentile_sweep(df: DataFrame, cols: Sequence[str] = ("Frequency", "Monetar
                      probs: Sequence[float] | None = None) -> DataFrame:
     """Rows strictly above each quantile, per column, in one pass."""
     probs = list(probs or percentile_grid())
-    qs = {c: quantiles(df, c, probs) for c in cols}
+    qs = quantiles_by_col(df, {c: probs for c in cols})
     row = df.agg(*[F.count_if(F.col(c) > F.lit(qs[c][i])).alias(f"{c}__{i}")
                    for c in cols for i in range(len(probs))])
     return row.select(F.explode(F.array(*[
@@ -105,10 +105,9 @@ def percentile_sweep(df: DataFrame, cols: Sequence[str] = ("Frequency", "Monetar
 def two_bound_sweep(df: DataFrame, q: float = 0.75,
                     mults: Sequence[float] = (1.0, 1.5, 2.0, 2.5, 3.0)) -> DataFrame:
     """Frequency and money bounds q + m * IQR and the counts above them."""
-    f25, fq = quantiles(df, "Frequency", [0.25, q])
-    f75 = quantiles(df, "Frequency", [0.75])[0]
-    m25, mq = quantiles(df, "Monetary_Value", [0.25, q])
-    m75 = quantiles(df, "Monetary_Value", [0.75])[0]
+    qs = quantiles_by_col(df, {"Frequency": [0.25, q, 0.75], "Monetary_Value": [0.25, q, 0.75]})
+    f25, fq, f75 = qs["Frequency"]
+    m25, mq, m75 = qs["Monetary_Value"]
     fiqr, miqr = f75 - f25, m75 - m25
     fb = [fq + m * fiqr for m in mults]
     mb = [mq + m * miqr for m in mults]
@@ -131,8 +130,9 @@ def super_customers(df: DataFrame, q: float = 0.75, mult: float = 1.5
     Super: frequency or money above q + mult * IQR; ``anomaly`` says which,
     frequency first. Regular is the complement.
     """
-    f25, fq, f75 = quantiles(df, "Frequency", [0.25, q, 0.75])
-    m25, mq, m75 = quantiles(df, "Monetary_Value", [0.25, q, 0.75])
+    qs = quantiles_by_col(df, {"Frequency": [0.25, q, 0.75], "Monetary_Value": [0.25, q, 0.75]})
+    f25, fq, f75 = qs["Frequency"]
+    m25, mq, m75 = qs["Monetary_Value"]
     fb = fq + mult * (f75 - f25)
     mb = mq + mult * (m75 - m25)
     over_f = F.col("Frequency") > F.lit(fb)
@@ -145,9 +145,10 @@ def super_customers(df: DataFrame, q: float = 0.75, mult: float = 1.5
 
 def rfm_labels(df: DataFrame, lo: float = 0.2, mid: float = 0.5) -> DataFrame:
     """H/M/L labels at the 0.2 and 0.5 quantiles; recency reversed."""
-    m1, m2 = quantiles(df, "Monetary_Value", [lo, mid])
-    f1, f2 = quantiles(df, "Frequency", [lo, mid])
-    r1, r2 = quantiles(df, "Recency", [lo, mid])
+    qs = quantiles_by_col(df, {c: [lo, mid] for c in ("Monetary_Value", "Frequency", "Recency")})
+    m1, m2 = qs["Monetary_Value"]
+    f1, f2 = qs["Frequency"]
+    r1, r2 = qs["Recency"]
 
     def lab(c, a, b, reverse=False):
         x = F.col(c)
@@ -206,8 +207,8 @@ def count_by(df: DataFrame, col: str) -> DataFrame:
 def trim_super(sup: DataFrame, q: float = 0.8) -> DataFrame:
     """C11: keep super customers strictly below their own q quantile in
     both money and frequency."""
-    mq = quantiles(sup, "Monetary_Value", [q])[0]
-    fq = quantiles(sup, "Frequency", [q])[0]
+    qs = quantiles_by_col(sup, {"Monetary_Value": [q], "Frequency": [q]})
+    mq, fq = qs["Monetary_Value"][0], qs["Frequency"][0]
     return sup.where((F.col("Monetary_Value") < F.lit(mq)) & (F.col("Frequency") < F.lit(fq)))
 
 
