@@ -13,9 +13,9 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalar import blank_to_null, parse_decimal_comma, to_int_or_null
 
-TRANSACTIONS_RAW = StructType.fromDDL(
-    "id_customer BIGINT, date STRING, gross_sales DOUBLE, net_sales DOUBLE, "
-    "PL_gross_sales STRING, number_item_PL STRING, number_items_other STRING, store_type STRING")
+TRANSACTIONS_RAW = ("id_customer BIGINT, date STRING, gross_sales DOUBLE, net_sales DOUBLE, "
+                    "PL_gross_sales STRING, number_item_PL STRING, number_items_other STRING, "
+                    "store_type STRING")
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
