@@ -546,3 +546,155 @@ def q_union_segments(spark, sf):
     u = sc.union_by_name([r.super_.select("id_customer", "anomaly"),
                           r.regular.select("id_customer", "Customer_Segment")])
     return u
+
+
+# ---------------------------------------------------------------- linear and mixed models
+from ..operators import linear as lm  # noqa: E402
+from ..operators import mixed as mx  # noqa: E402
+
+STUDENT_NUM = ["Attendance", "Hours_Studied", "Sleep_Hours", "Previous_Scores"]
+STUDENT_FAC = ["Motivation_Level", "Internet_Access", "Gender", "Teacher_Quality"]
+STUDENT_INT = [("Teacher_Quality", "Internet_Access"), ("Hours_Studied", "Gender")]
+
+
+def student_table(spark, sf):
+    s = qa.mode_impute(blank_to_null(fx.students(spark, sf)), IMPUTE_COLS)
+    return s.withColumn("Log_Exam_Score", F.log1p("Exam_Score"))
+
+
+def student_design(spark, sf, keep=()):
+    return lm.design(student_table(spark, sf), "Log_Exam_Score", STUDENT_NUM, STUDENT_FAC,
+                     STUDENT_INT, keep=keep)
+
+
+@register("ols_tidy")
+def q_ols_tidy(spark, sf):
+    fit = lm.ols_from_gram(lm.gram(student_design(spark, sf)))
+    return rounded(lm.tidy(spark, fit))
+
+
+@register("ols_performance")
+def q_ols_performance(spark, sf):
+    fit = lm.ols_from_gram(lm.gram(student_design(spark, sf)))
+    return rounded(lm.model_performance(spark, fit))
+
+
+@register("ols_single")
+def q_ols_single(spark, sf):
+    fit, d, g = lm.ols_fit(fx.students(spark, sf), "Exam_Score", ["Hours_Studied"])
+    r2 = 1 - fit.rss / fit.tss
+    rows = [(nm, float(b), r2) for nm, b in zip(fit.names, fit.beta)]
+    return rounded(spark.createDataFrame(rows, "term string, estimate double, r2 double"))
+
+
+@register("residual_table")
+def q_residual_table(spark, sf):
+    st = fx.students(spark, sf)
+    fit, d, _ = lm.ols_fit(st.select("student_id", "Exam_Score", "Hours_Studied"), "Exam_Score",
+                           ["Hours_Studied"])
+    d2 = lm.design(st, "Exam_Score", ["Hours_Studied"], keep=["student_id"])
+    return rounded(lm.residual_table(fit, d2).select("student_id", "fitted", "residual",
+                                                     "sqrt_abs_resid"))
+
+
+@register("breusch_pagan_single")
+def q_breusch_pagan_single(spark, sf):
+    fit, d, _ = lm.ols_fit(fx.students(spark, sf), "Exam_Score", ["Hours_Studied"])
+    bp = lm.breusch_pagan(fit, d)
+    return rounded(spark.createDataFrame([(bp["statistic"], bp["dof"])], "statistic double, dof int"))
+
+
+@register("breusch_pagan")
+def q_breusch_pagan(spark, sf):
+    d = student_design(spark, sf)
+    fit = lm.ols_from_gram(lm.gram(d))
+    a = lm.breusch_pagan(fit, d)
+    rows = [("all_regressors", a["statistic"], a["dof"], a["p_value"])]
+    return rounded(spark.createDataFrame(rows, "form string, statistic double, dof int, p_value double"))
+
+
+@register("vif")
+def q_vif(spark, sf):
+    g = lm.gram(student_design(spark, sf))
+    return rounded(spark.createDataFrame(lm.vif(g), "term string, gvif double, df int, gvif_adj double"))
+
+
+@register("binned_trend")
+def q_binned_trend(spark, sf):
+    d = student_design(spark, sf)
+    fit = lm.ols_from_gram(lm.gram(d))
+    return rounded(lm.binned_trend(lm.residual_table(fit, d), "fitted", "sqrt_abs_resid", 20))
+
+
+@register("backward_select")
+def q_backward_select(spark, sf):
+    g = lm.gram(student_design(spark, sf))
+    fit, dropped = lm.backward_select(g)
+    rows = [(t, "kept", None) for t in dict.fromkeys(fit.terms)] + [(t, "dropped", p) for t, p in dropped]
+    return rounded(spark.createDataFrame(rows, "term string, status string, p_value double"))
+
+
+def _age_knots(spark, sf):
+    return lm.natural_spline_knots(fx.survey_regression(spark, sf), "AGE", 3)
+
+
+@register("natural_spline_basis")
+def q_natural_spline_basis(spark, sf):
+    s = fx.survey_regression(spark, sf)
+    cols = lm.natural_spline_cols(F.col("AGE"), _age_knots(spark, sf), "AGE_ns")
+    return rounded(s.select("respondent", *[c.alias(n) for n, c in cols]))
+
+
+def _spline_model(spark, sf):
+    s = fx.survey_regression(spark, sf)
+    knots = _age_knots(spark, sf)
+    extra = lm.natural_spline_cols(F.col("AGE"), knots, "AGE_ns")
+    d = lm.design(s, "DLIT", [], ["SEX", "REGION", "PROFESSION"], extra=extra, keep=["AGE"])
+    return lm.ols_from_gram(lm.gram(d)), d, knots
+
+
+@register("spline_tidy")
+def q_spline_tidy(spark, sf):
+    fit, _, _ = _spline_model(spark, sf)
+    return rounded(lm.tidy(spark, fit))
+
+
+@register("spline_effect")
+def q_spline_effect(spark, sf):
+    fit, d, knots = _spline_model(spark, sf)
+    return rounded(lm.spline_effect(spark, fit, d, "AGE", knots, "AGE_ns", 18, 87))
+
+
+def _mixed(spark, sf):
+    d = student_design(spark, sf, keep=["Parental_Education_Level"])
+    return mx.mixed_fit(d, "Parental_Education_Level"), d
+
+
+@register("mixed_fit")
+def q_mixed_fit(spark, sf):
+    m, _ = _mixed(spark, sf)
+    return rounded(mx.mixed_tidy(spark, m))
+
+
+@register("likelihood_ratio")
+def q_likelihood_ratio(spark, sf):
+    m, d = _mixed(spark, sf)
+    red = mx.reduced_ols(d)
+    lr = mx.likelihood_ratio(m.loglik, red.loglik)
+    return rounded(spark.createDataFrame([(m.loglik, red.loglik, lr["statistic"], lr["dof"], lr["p_value"])],
+                                         "loglik_full double, loglik_reduced double, statistic double, "
+                                         "dof int, p_value double"))
+
+
+@register("nakagawa_r2")
+def q_nakagawa_r2(spark, sf):
+    m, d = _mixed(spark, sf)
+    r = mx.nakagawa_r2(m, d)
+    return rounded(spark.createDataFrame([tuple(r.values())], ", ".join(f"{k} double" for k in r)))
+
+
+@register("mixed_residuals")
+def q_mixed_residuals(spark, sf):
+    m, d = _mixed(spark, sf)
+    return rounded(mx.mixed_residuals(m, d, "Parental_Education_Level")
+                   .select("Parental_Education_Level", "group_effect", "fitted", "residual"))

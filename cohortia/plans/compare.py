@@ -20,7 +20,8 @@ NOISY = re.compile(
     r"(?i)(std|^sd$|_sd$|^sd_|regularity|var|corr|^se$|_se$|stat|estimate|coef|"
     r"^t$|p_value|pvalue|r2|rsq|aic|bic|loglik|deviance|sigma|auc|loss|rmse|mae|mse|"
     r"alpha|loading|weight|score_|density|surv|ci_|lower|upper|chisq|effect|roi|"
-    r"nrmse|rssd|response|spend_opt|theta|slope|intercept|kernel|silhouette|importance|tpr|fpr)")
+    r"nrmse|rssd|response|spend_opt|theta|slope|intercept|kernel|silhouette|importance|tpr|fpr|"
+    r"fitted|resid|prediction|^ns|_ns\d)")
 
 
 def digits_for(name: str) -> int:

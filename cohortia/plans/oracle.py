@@ -697,3 +697,28 @@ SELECT count(*), """ + rx("avg(p_retailprice)", "mean_score") + """, 'high' FROM
 ORACLES["union_segments"] = rfm_ctes() + """
 SELECT id_customer, anomaly, CAST(NULL AS VARCHAR) AS Customer_Segment FROM sup
 UNION ALL SELECT id_customer, NULL, Customer_Segment FROM lab"""
+
+
+# ---------------------------------------------------------------- linear models (closed forms)
+ORACLES["ols_single"] = f"""WITH s AS (SELECT p_retailprice AS y, CAST(p_size AS DOUBLE) AS x FROM part)
+SELECT 'Intercept' AS term, {rx('regr_intercept(y, x)', 'estimate')} AS estimate, {rx('regr_r2(y, x)', 'r2')} AS r2 FROM s
+UNION ALL SELECT 'Hours_Studied', {rx('regr_slope(y, x)', 'estimate')}, {rx('regr_r2(y, x)', 'r2')} FROM s"""
+
+_RES = """WITH s AS (SELECT p_partkey AS student_id, p_retailprice AS y, CAST(p_size AS DOUBLE) AS x FROM part),
+c AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM s),
+r AS (SELECT s.student_id, s.x, c.a + s.x * c.b AS fitted, s.y - (c.a + s.x * c.b) AS residual FROM s, c)"""
+ORACLES["residual_table"] = _RES + f"""
+SELECT student_id, {r('fitted', 'fitted')}, {r('residual', 'residual')},
+       {rx('sqrt(abs(residual))', 'sqrt_abs_resid')} AS sqrt_abs_resid FROM r"""
+ORACLES["breusch_pagan_single"] = _RES + f"""
+SELECT {rx('count(*) * regr_r2(residual * residual, x)', 'statistic')} AS statistic, 1 AS dof FROM r"""
+
+_SR = f"WITH s AS ({FIXTURE_SQL['survey_regression']}),\n" + """k AS (SELECT quantile_cont(CAST(AGE AS DOUBLE), 0.0) AS k1, quantile_cont(CAST(AGE AS DOUBLE), 1/3) AS k2,
+             quantile_cont(CAST(AGE AS DOUBLE), 2/3) AS k3, quantile_cont(CAST(AGE AS DOUBLE), 1.0) AS k4 FROM s),
+d AS (SELECT s.respondent, CAST(s.AGE AS DOUBLE) AS x,
+        (pow(greatest(s.AGE - k.k1, 0.0), 3) - pow(greatest(s.AGE - k.k4, 0.0), 3)) / (k.k4 - k.k1) AS d1,
+        (pow(greatest(s.AGE - k.k2, 0.0), 3) - pow(greatest(s.AGE - k.k4, 0.0), 3)) / (k.k4 - k.k2) AS d2,
+        (pow(greatest(s.AGE - k.k3, 0.0), 3) - pow(greatest(s.AGE - k.k4, 0.0), 3)) / (k.k4 - k.k3) AS d3
+      FROM s, k)"""
+ORACLES["natural_spline_basis"] = _SR + f"""
+SELECT respondent, {r('x', 'AGE_ns1')}, {rx('d1 - d3', 'AGE_ns2')} AS AGE_ns2, {rx('d2 - d3', 'AGE_ns3')} AS AGE_ns3 FROM d"""
