@@ -722,3 +722,31 @@ d AS (SELECT s.respondent, CAST(s.AGE AS DOUBLE) AS x,
       FROM s, k)"""
 ORACLES["natural_spline_basis"] = _SR + f"""
 SELECT respondent, {r('x', 'AGE_ns1')}, {rx('d1 - d3', 'AGE_ns2')} AS AGE_ns2, {rx('d2 - d3', 'AGE_ns3')} AS AGE_ns3 FROM d"""
+
+
+# ---------------------------------------------------------------- clustering on given labels
+ORACLES["cluster_summary_by_segment"] = rfm_ctes() + f""",
+g AS (SELECT Customer_Segment, avg(Monetary_Value) AS a1, avg(AVG_Ticket) AS a2, avg(Frequency) AS a3,
+             avg(Recency) AS a4, avg(AVG_ipt) AS a5, count(Monetary_Value) AS n,
+             avg(Number_item_other) AS a6, avg(Number_item_PL) AS a7 FROM lab GROUP BY 1)
+SELECT Customer_Segment, {r('a1', 'Avg_Monetary_Value')}, {r('a2', 'AVG_Ticket')}, {r('a3', 'Avg_Visits')},
+       {r('a4', 'Avg_Recency')}, {r('a5', 'AVG_IPT')}, n AS Total_Customers,
+       {r('a6', 'Avg_Number_Item_Other')}, {r('a7', 'Avg_Number_Item_PL')},
+       {rx('CASE WHEN a7 + a6 <> 0 THEN a7 / (a7 + a6) END', 'PL_on_Tot')} AS PL_on_Tot FROM g"""
+
+ORACLES["silhouette_segments"] = rfm_ctes() + f""",
+pts AS (SELECT Customer_Segment AS l, Recency_Score AS x, Frequency_Score AS y, Monetary_Score AS z,
+               count(*) AS w FROM lab GROUP BY 1, 2, 3, 4),
+sz AS (SELECT l, sum(w) AS n FROM pts GROUP BY l),
+pr AS (SELECT a.l AS la, a.x, a.y, a.z, a.w AS wa, b.l AS lb,
+              sum(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) * b.w) AS sd
+       FROM pts a CROSS JOIN pts b GROUP BY 1, 2, 3, 4, 5, 6),
+av AS (SELECT pr.*, sz.n, CASE WHEN la = lb THEN (CASE WHEN sz.n - 1 <> 0 THEN sd / (sz.n - 1) END)
+                          ELSE sd / sz.n END AS ad FROM pr JOIN sz ON sz.l = pr.lb),
+ab AS (SELECT la, x, y, z, wa, max(CASE WHEN la = lb THEN ad END) AS ai,
+              min(CASE WHEN la <> lb THEN ad END) AS bi, max(CASE WHEN la = lb THEN n END) AS own
+       FROM av GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT wa, CASE WHEN own <= 1 THEN 0.0 ELSE (bi - ai) / greatest(ai, bi) END AS s FROM ab),
+t AS (SELECT sum(s * wa) / sum(wa) AS sil FROM s)
+SELECT {rx('sil', 'silhouette')} AS silhouette,
+       CASE WHEN sil > 0.5 THEN 'good' WHEN sil > 0.3 THEN 'moderate' ELSE 'poor' END AS quality FROM t"""
