@@ -904,3 +904,229 @@ def q_pca_loadings(spark, sf):
     ev_wide = evr.groupBy().pivot("component").agg(F.first("explained_variance"))
     ev_wide = ev_wide.select(*[F.col(c).alias(f"{c}_explained_variance") for c in ev_wide.columns])
     return rounded(load.crossJoin(ev_wide))
+
+
+# ---------------------------------------------------------------- marketing mix
+from ..operators import mix as mm  # noqa: E402
+
+CHANNEL_ORDER = sorted(fx.CHANNELS)          # 1-URGENT ... 5-LOW
+
+
+def mix_params(spark):
+    """Per-channel carry-over and saturation parameters of the mix queries:
+    θ from half-lives 1..5 weeks, α and γ stepping through their ranges."""
+    rows = [(c, mm.half_life_theta(i + 1, inverse=True), 0.5 + 0.5 * i, 0.3 + 0.15 * i)
+            for i, c in enumerate(CHANNEL_ORDER)]
+    return spark.createDataFrame(rows, "channel string, theta double, alpha double, gamma double")
+
+
+def weekly_grid(spark, sf):
+    return mm.fill_grid(fx.weekly_long(spark, sf), ["channel"], "week", "spend")
+
+
+def adstocked(spark, sf):
+    w = weekly_grid(spark, sf).join(F.broadcast(mix_params(spark)), "channel")
+    return mm.adstock_geometric(w, ["channel"], "week", "spend", "theta")
+
+
+@register("adstock_geometric")
+def q_adstock_geometric(spark, sf):
+    return rounded(adstocked(spark, sf))
+
+
+@register("saturation_hill")
+def q_saturation_hill(spark, sf):
+    a = adstocked(spark, sf).join(F.broadcast(mix_params(spark)), "channel")
+    return rounded(mm.saturation_hill(a, ["channel"], "adstock", "alpha", "gamma")
+                   .select("channel", "week", "saturated"))
+
+
+def competitor_grp(spark, sf):
+    li = fx.table(spark, sf, "lineitem")
+    return li.select(F.date_trunc("week", "l_shipdate").cast("date").alias("week"),
+                     (F.col("l_suppkey") % 3).alias("competitor"), F.col("l_quantity").alias("grp"))
+
+
+@register("median_weekly")
+def q_median_weekly(spark, sf):
+    return rounded(mm.median_weekly(competitor_grp(spark, sf), ["week", "competitor"], "grp"))
+
+
+@register("competitor_adstock")
+def q_competitor_adstock(spark, sf):
+    m = mm.median_weekly(competitor_grp(spark, sf), ["week", "competitor"], "grp")
+    return rounded(mm.adstock_geometric(m, ["competitor"], "week", "median", 0.5))
+
+
+@register("trend_season_holiday")
+def q_trend_season_holiday(spark, sf):
+    w = fx.weekly(spark, sf).select("week", "sales")
+    out = mm.holiday_join(mm.trend_season(w), mm.holiday_calendar(w))
+    return rounded(out)
+
+
+@register("time_split")
+def q_time_split(spark, sf):
+    return mm.time_split(fx.weekly(spark, sf).select("week"), "week", 0.7)
+
+
+# Parameter ranges per channel, in the order of the first five
+# paid channels of the reference configuration (theta, alpha, gamma) plus the
+# train share.
+THETA_RANGES = [(0.8, 0.99), (0.7, 0.95), (0.8, 0.99), (0.1, 0.3), (0.1, 0.3)]
+ALPHA_RANGE, GAMMA_RANGE, TRAIN_RANGE = (0.5, 3.0), (0.3, 0.99), (0.5, 0.8)
+
+
+def mix_ranges():
+    r = {}
+    for i, c in enumerate(CHANNEL_ORDER):
+        r[f"{c}_theta"] = THETA_RANGES[i]
+        r[f"{c}_alpha"] = ALPHA_RANGE
+        r[f"{c}_gamma"] = GAMMA_RANGE
+    r["train_size"] = TRAIN_RANGE
+    return r
+
+
+@register("candidate_params")
+def q_candidate_params(spark, sf):
+    # the candidate count follows the weekly history length of the data
+    n = fx.weekly(spark, sf).count() // 2
+    return rounded(mm.candidate_params(spark, mix_ranges(), n, seed=7, trials=5)
+                   .select(*[F.col(c).alias(c.replace("-", "_").replace(" ", "_"))
+                             for c in ["candidate", "trial", "iteration", *mix_ranges()]]))
+
+
+def fitted_candidates(spark, sf):
+    def build():
+        n = fx.weekly(spark, sf).count() // 2
+        cand = mm.candidate_params(spark, mix_ranges(), n, seed=7, trials=5)
+        tgt = fx.weekly(spark, sf).select("week", "sales")
+        return mm.fit_candidates(cand, weekly_grid(spark, sf), CHANNEL_ORDER, tgt, lam=0.1,
+                                 train_share_col="train_size").persist()
+    return memo((spark.sparkContext.applicationId, sf, "mix_fit"), build)
+
+
+@register("fit_candidates")
+def q_fit_candidates(spark, sf):
+    return rounded(fitted_candidates(spark, sf))
+
+
+@register("pareto_fronts")
+def q_pareto_fronts(spark, sf):
+    return rounded(mm.pareto_fronts(fitted_candidates(spark, sf)))
+
+
+ROI_COLS = [f"roi_{mm.safe_name(c)}" for c in CHANNEL_ORDER]
+
+
+@register("cluster_models")
+def q_cluster_models(spark, sf):
+    p = mm.pareto_fronts(fitted_candidates(spark, sf))
+    return rounded(mm.cluster_models(p, ROI_COLS, k=3)
+                   .select("candidate", "nrmse", "decomp_rssd", "cluster", "best_in_cluster"))
+
+
+def model_table(spark, sf):
+    """Arithmetic (error, RSSD) per candidate derived from the customer keys:
+    the input of the exact Pareto / convergence checks."""
+    c = fx.table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("candidate"),
+                    ((F.col("c_custkey") * 37 % 101) / 101.0).alias("nrmse"),
+                    ((F.col("c_custkey") * 53 % 97) / 97.0).alias("decomp_rssd"),
+                    (F.col("c_custkey") % 5).cast("int").alias("trial"),
+                    (F.col("c_custkey") / 5).cast("long").alias("iteration"))
+
+
+@register("pareto_fronts_given")
+def q_pareto_fronts_given(spark, sf):
+    return rounded(mm.pareto_fronts(model_table(spark, sf)))
+
+
+@register("convergence")
+def q_convergence(spark, sf):
+    return rounded(mm.convergence(model_table(spark, sf)))
+
+
+@register("select_model")
+def q_select_model(spark, sf):
+    return rounded(mm.select_model(model_table(spark, sf), 42))
+
+
+def mix_coefs(spark):
+    rows = [(c, 0.001 * (i + 1)) for i, c in enumerate(CHANNEL_ORDER)]
+    return spark.createDataFrame(rows, "channel string, coef double")
+
+
+def mix_effects(spark, sf):
+    a = adstocked(spark, sf).withColumnRenamed("adstock", "x")
+    e = mm.decompose(a, mix_coefs(spark))
+    sp = weekly_grid(spark, sf).groupBy("channel").agg(F.sum("spend").alias("spend"))
+    return e, sp, a
+
+
+@register("decompose")
+def q_decompose(spark, sf):
+    e, _, _ = mix_effects(spark, sf)
+    return rounded(e)
+
+
+@register("roi")
+def q_roi(spark, sf):
+    e, sp, _ = mix_effects(spark, sf)
+    return rounded(mm.roi(e, sp))
+
+
+@register("decomp_rssd")
+def q_decomp_rssd(spark, sf):
+    e, sp, _ = mix_effects(spark, sf)
+    return rounded(mm.decomp_rssd(e.join(sp, "channel")))
+
+
+@register("conditional_roi")
+def q_conditional_roi(spark, sf):
+    e, sp, a = mix_effects(spark, sf)
+    pairs = [("1-URGENT", "2-HIGH"), ("3-MEDIUM", "5-LOW")]
+    pe = None
+    for x, y in pairs:
+        j = (a.where(F.col("channel") == x).select("week", F.col("x").alias("xa"))
+             .join(a.where(F.col("channel") == y).select("week", F.col("x").alias("xb")), "week")
+             .agg((F.sum(F.col("xa") * F.col("xb")) * 1e-9).alias("effect"))
+             .select(F.lit(x).alias("a"), F.lit(y).alias("b"), "effect"))
+        pe = j if pe is None else pe.unionByName(j)
+    return rounded(mm.conditional_roi(e, pe, sp))
+
+
+@register("nrmse")
+def q_nrmse(spark, sf):
+    a = adstocked(spark, sf).join(F.broadcast(mix_coefs(spark)), "channel")
+    pred = a.groupBy("week").agg(F.sum(F.col("coef") * F.col("adstock")).alias("pred"))
+    w = fx.weekly(spark, sf).select("week", "sales").join(pred, "week")
+    return rounded(mm.nrmse(w, "sales", "pred"))
+
+
+def response_curves(spark, sf):
+    """Per-channel response curves derived from the weekly data."""
+    w = weekly_grid(spark, sf)
+    avg_sales = fx.weekly(spark, sf).agg(F.avg("sales").alias("__s"))
+    cur = w.groupBy("channel").agg(F.avg("spend").alias("current"))
+    idx = spark.createDataFrame([(c, i) for i, c in enumerate(CHANNEL_ORDER)], "channel string, i int")
+    return (cur.join(F.broadcast(idx), "channel").crossJoin(avg_sales)
+            .select("channel", "current",
+                    (F.col("__s") * (F.col("i") + 1) / 15.0).alias("beta"),
+                    (0.5 + 0.5 * F.col("i")).alias("alpha"),
+                    (F.col("current") * (0.6 + 0.2 * F.col("i"))).alias("inflexion")))
+
+
+@register("marginal_roas")
+def q_marginal_roas(spark, sf):
+    return rounded(mm.marginal_roas(response_curves(spark, sf)))
+
+
+@register("allocate_budget")
+def q_allocate_budget(spark, sf):
+    return rounded(mm.allocate_budget(response_curves(spark, sf), 0.7, 1.5, 11))
+
+
+@register("budget_scenarios")
+def q_budget_scenarios(spark, sf):
+    return rounded(mm.budget_scenarios(response_curves(spark, sf), 0.7, 1.5, 11))

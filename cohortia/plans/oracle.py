@@ -750,3 +750,186 @@ s AS (SELECT wa, CASE WHEN own <= 1 THEN 0.0 ELSE (bi - ai) / greatest(ai, bi) E
 t AS (SELECT sum(s * wa) / sum(wa) AS sil FROM s)
 SELECT {rx('sil', 'silhouette')} AS silhouette,
        CASE WHEN sil > 0.5 THEN 'good' WHEN sil > 0.3 THEN 'moderate' ELSE 'poor' END AS quality FROM t"""
+
+
+# ---------------------------------------------------------------- marketing mix
+import math as _math  # noqa: E402
+
+from ..operators.mix import HOLIDAY_RULES, half_life_theta  # noqa: E402
+
+_CH = sorted(CHANNELS)
+_PAR = ", ".join(f"('{c}', {half_life_theta(i + 1, inverse=True)!r}, {0.5 + 0.5 * i!r}, {0.3 + 0.15 * i!r})"
+                 for i, c in enumerate(_CH))
+GRID = f"""wlg AS ({FIXTURE_SQL['weekly_long']}),
+chs AS (SELECT DISTINCT channel FROM wlg), wks AS (SELECT DISTINCT week FROM wlg),
+g AS (SELECT chs.channel, wks.week, coalesce(wlg.spend, 0.0) AS spend
+      FROM chs CROSS JOIN wks LEFT JOIN wlg ON wlg.channel = chs.channel AND wlg.week = wks.week),
+par AS (SELECT * FROM (VALUES {_PAR}) t(channel, theta, alpha, gamma)),
+rr AS (SELECT g.*, par.theta, row_number() OVER (PARTITION BY g.channel ORDER BY g.week) AS rn
+       FROM g JOIN par USING (channel)),
+ad AS (SELECT a.channel, a.week, a.spend, sum(b.spend * pow(a.theta, a.rn - b.rn)) AS adstock
+       FROM rr a JOIN rr b ON a.channel = b.channel AND b.rn <= a.rn GROUP BY 1, 2, 3)"""
+
+ORACLES["adstock_geometric"] = f"WITH {GRID}\nSELECT channel, week, {r('spend', 'spend')}, {r('adstock', 'adstock')} FROM ad"
+ORACLES["saturation_hill"] = f"""WITH {GRID},
+s AS (SELECT ad.channel, ad.week, ad.adstock AS x, par.alpha, par.gamma,
+             (1 - par.gamma) * min(ad.adstock) OVER (PARTITION BY ad.channel)
+             + par.gamma * max(ad.adstock) OVER (PARTITION BY ad.channel) AS infl
+      FROM ad JOIN par USING (channel))
+SELECT channel, week,
+       {rx('coalesce(CASE WHEN pow(x, alpha) + pow(infl, alpha) <> 0 THEN pow(x, alpha) / (pow(x, alpha) + pow(infl, alpha)) END, 0.0)', 'saturated')} AS saturated
+FROM s"""
+
+COMP = """cg AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week, l_suppkey % 3 AS competitor,
+              l_quantity AS grp FROM lineitem),
+md AS (SELECT week, competitor, quantile_cont(grp, 0.5) AS median FROM cg GROUP BY 1, 2)"""
+ORACLES["median_weekly"] = f"WITH {COMP}\nSELECT week, competitor, {r('median', 'median')} FROM md"
+ORACLES["competitor_adstock"] = f"""WITH {COMP},
+rr AS (SELECT *, row_number() OVER (PARTITION BY competitor ORDER BY week) AS rn FROM md),
+ad AS (SELECT a.competitor, a.week, a.median, sum(b.median * pow(0.5, a.rn - b.rn)) AS adstock
+       FROM rr a JOIN rr b ON a.competitor = b.competitor AND b.rn <= a.rn GROUP BY 1, 2, 3)
+SELECT competitor, week, {r('median', 'median')}, {r('adstock', 'adstock')} FROM ad"""
+
+_PERIOD = 365.25 / 7
+_season = []
+for _k in (1, 2):
+    _c = 2 * _math.pi * _k
+    _season.append(f"{rx(f'sin(({_c!r} * t) / {_PERIOD!r})', f'season_sin{_k}')} AS season_sin{_k}")
+    _season.append(f"{rx(f'cos(({_c!r} * t) / {_PERIOD!r})', f'season_cos{_k}')} AS season_cos{_k}")
+_HOL = sorted({h for _, _, h in HOLIDAY_RULES})
+_HV = ", ".join(f"({m}, {d}, '{h}')" for m, d, h in HOLIDAY_RULES)
+ORACLES["trend_season_holiday"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()},
+w AS (SELECT week, sales FROM weekly),
+w0 AS (SELECT min(week) AS w0 FROM w),
+ys AS (SELECT DISTINCT year(week) AS y FROM w),
+hr AS (SELECT * FROM (VALUES {_HV}) t(m, d, holiday)),
+hd AS (SELECT CAST(date_trunc('week', make_date(CAST(ys.y AS BIGINT), hr.m, hr.d)) AS DATE) AS week, hr.holiday
+       FROM ys CROSS JOIN hr),
+hp AS (SELECT week, {', '.join(f"max(CASE WHEN holiday = '{h}' THEN 1 END) AS {h}" for h in _HOL)} FROM hd GROUP BY week),
+t AS (SELECT w.week, w.sales, (w.week - w0.w0) / 7.0 AS t FROM w, w0)
+SELECT t.week, {r('t.sales', 'sales')}, {rx('t + 1', 'trend')} AS trend, {', '.join(_season)},
+       {', '.join(f'coalesce(hp.{h}, 0) AS {h}' for h in _HOL)}
+FROM t LEFT JOIN hp USING (week)"""
+
+ORACLES["time_split"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()},
+w AS (SELECT week, row_number() OVER (ORDER BY week) AS r, count(*) OVER () AS n FROM weekly),
+s AS (SELECT week, r, floor(n * 0.7) AS ntr, floor((n - floor(n * 0.7)) / 2) AS nv FROM w)
+SELECT week, CASE WHEN r <= ntr THEN 'train' WHEN r <= ntr + nv THEN 'validation' ELSE 'test' END AS split FROM s"""
+
+
+def _ranges():
+    from .catalog import mix_ranges
+    return mix_ranges()
+
+
+def _cand_sql() -> str:
+    rng = _ranges()
+    cols = []
+    for j, (name, (lo, hi)) in enumerate(rng.items()):
+        u = unit_hash_sql(f"(candidate * 1000 + {j})", 7)
+        safe = name.replace("-", "_").replace(" ", "_")
+        cols.append(f"{rx(f'{lo!r} + {hi - lo!r} * ({u})', safe)} AS \"{safe}\"")
+    return f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()},
+n AS (SELECT count(*) // 2 AS n FROM weekly),
+c AS (SELECT range AS candidate FROM n, range(n.n * 5))
+SELECT candidate, CAST(candidate % 5 AS INTEGER) AS trial, CAST(candidate // 5 AS BIGINT) AS iteration,
+       {', '.join(cols)} FROM c"""
+
+
+MODELS = """m AS (SELECT c_custkey AS candidate, (c_custkey * 37 % 101) / 101.0 AS nrmse,
+              (c_custkey * 53 % 97) / 97.0 AS decomp_rssd, CAST(c_custkey % 5 AS INTEGER) AS trial,
+              CAST(c_custkey // 5 AS BIGINT) AS iteration FROM customer)"""
+ORACLES["pareto_fronts_given"] = f"""WITH {MODELS},
+f1 AS (SELECT * FROM (SELECT *, min(decomp_rssd) OVER (ORDER BY nrmse, decomp_rssd, candidate
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM m)
+       WHERE pm IS NULL OR decomp_rssd < pm),
+m2 AS (SELECT * FROM m WHERE candidate NOT IN (SELECT candidate FROM f1)),
+f2 AS (SELECT * FROM (SELECT *, min(decomp_rssd) OVER (ORDER BY nrmse, decomp_rssd, candidate
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM m2)
+       WHERE pm IS NULL OR decomp_rssd < pm)
+SELECT candidate, {r('nrmse', 'nrmse')}, {r('decomp_rssd', 'decomp_rssd')}, trial, iteration, 1 AS front FROM f1
+UNION ALL
+SELECT candidate, {r('nrmse', 'nrmse')}, {r('decomp_rssd', 'decomp_rssd')}, trial, iteration, 2 FROM f2"""
+ORACLES["convergence"] = f"""WITH {MODELS},
+b AS (SELECT *, ntile(10) OVER (PARTITION BY trial ORDER BY iteration) AS block FROM m)
+SELECT trial, block, {rx('min(nrmse)', 'best_error')} AS best_error,
+       {rx('stddev_samp(nrmse)', 'sd_error')} AS sd_error, count(*) AS models FROM b GROUP BY 1, 2"""
+ORACLES["select_model"] = f"""WITH {MODELS}
+SELECT candidate, {r('nrmse', 'nrmse')}, {r('decomp_rssd', 'decomp_rssd')}, trial, iteration FROM m WHERE candidate = 42"""
+
+_COEF = ", ".join(f"('{c}', {0.001 * (i + 1)!r})" for i, c in enumerate(_CH))
+EFF = f"""{GRID},
+co AS (SELECT * FROM (VALUES {_COEF}) t(channel, coef)),
+ef AS (SELECT ad.channel, sum(co.coef * ad.adstock) AS effect FROM ad JOIN co USING (channel) GROUP BY 1),
+et AS (SELECT ef.*, effect / sum(effect) OVER () AS share FROM ef),
+sp AS (SELECT channel, sum(spend) AS spend FROM g GROUP BY 1)"""
+ORACLES["decompose"] = f"WITH {EFF}\nSELECT channel, {r('effect', 'effect')}, {r('share', 'share')} FROM et"
+ORACLES["roi"] = f"""WITH {EFF}
+SELECT channel, {r('effect', 'effect')}, {r('share', 'share')}, {r('spend', 'spend')},
+       {rx('CASE WHEN spend <> 0 THEN effect / spend END', 'roi')} AS roi FROM et JOIN sp USING (channel)"""
+ORACLES["decomp_rssd"] = f"""WITH {EFF},
+j AS (SELECT et.effect, sp.spend FROM et JOIN sp USING (channel)),
+t AS (SELECT sum(effect) AS e, sum(spend) AS s FROM j)
+SELECT {rx('sqrt(sum((effect / e - spend / s) * (effect / e - spend / s)))', 'decomp_rssd')} AS decomp_rssd FROM j, t"""
+ORACLES["conditional_roi"] = f"""WITH {EFF},
+pe AS (SELECT '1-URGENT' AS a, '2-HIGH' AS b,
+              sum(x.adstock * y.adstock) * 1e-9 AS effect
+       FROM ad x JOIN ad y ON x.week = y.week AND x.channel = '1-URGENT' AND y.channel = '2-HIGH'
+       UNION ALL
+       SELECT '3-MEDIUM', '5-LOW', sum(x.adstock * y.adstock) * 1e-9
+       FROM ad x JOIN ad y ON x.week = y.week AND x.channel = '3-MEDIUM' AND y.channel = '5-LOW'),
+hv AS (SELECT channel, sum(h) AS pair_effect FROM (SELECT a AS channel, effect / 2 AS h FROM pe
+                                                   UNION ALL SELECT b, effect / 2 FROM pe) GROUP BY 1),
+j AS (SELECT et.channel, et.effect, et.share, coalesce(hv.pair_effect, 0.0) AS pair_effect, sp.spend
+      FROM et LEFT JOIN hv USING (channel) JOIN sp USING (channel))
+SELECT channel, {r('effect', 'effect')}, {r('share', 'share')}, {r('pair_effect', 'pair_effect')},
+       {r('spend', 'spend')}, {rx('CASE WHEN spend <> 0 THEN (effect + pair_effect) / spend END', 'conditional_roi')} AS conditional_roi
+FROM j"""
+ORACLES["nrmse"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()}, {EFF},
+pr AS (SELECT ad.week, sum(co.coef * ad.adstock) AS pred FROM ad JOIN co USING (channel) GROUP BY 1),
+w AS (SELECT weekly.week, weekly.sales, pr.pred FROM weekly JOIN pr USING (week))
+SELECT {rx('sqrt(avg((sales - pred) * (sales - pred))) / (max(sales) - min(sales))', 'nrmse')} AS nrmse FROM w"""
+
+_IDX = ", ".join(f"('{c}', {i})" for i, c in enumerate(_CH))
+CURVES = f"""tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()}, {GRID},
+ix AS (SELECT * FROM (VALUES {_IDX}) t(channel, i)),
+av AS (SELECT avg(sales) AS s FROM weekly),
+cur AS (SELECT channel, avg(spend) AS current FROM g GROUP BY 1),
+cv AS (SELECT cur.channel, cur.current, (av.s * (ix.i + 1)) / 15.0 AS beta, 0.5 + 0.5 * ix.i AS alpha,
+              cur.current * (0.6 + 0.2 * ix.i) AS inflexion FROM cur JOIN ix USING (channel), av)"""
+
+
+def _resp(s: str) -> str:
+    return (f"beta * coalesce(CASE WHEN pow({s}, alpha) + pow(inflexion, alpha) <> 0 THEN "
+            f"pow({s}, alpha) / (pow({s}, alpha) + pow(inflexion, alpha)) END, 0.0)")
+
+
+ORACLES["marginal_roas"] = f"""WITH {CURVES}
+SELECT channel, {r('current', 'current')}, {r('beta', 'beta')}, {r('alpha', 'alpha')}, {r('inflexion', 'inflexion')},
+       {rx('CASE WHEN pow(pow(current, alpha) + pow(inflexion, alpha), 2) <> 0 THEN beta * alpha * pow(inflexion, alpha) * pow(current, alpha - 1) / pow(pow(current, alpha) + pow(inflexion, alpha), 2) END', 'marginal_roas')} AS marginal_roas
+FROM cv"""
+
+_STEP = 1.5 - 0.7
+_levels = " ".join([])
+ORACLES["allocate_budget"] = f"""WITH {CURVES},
+lv AS (SELECT 0.7 + {_STEP!r} * range / 10 AS mult FROM range(11)),
+L AS (SELECT cv.channel, cv.current * lv.mult AS spend, {_resp('cv.current * lv.mult')} AS resp FROM cv, lv),
+B AS (SELECT sum(current) AS b FROM cv),
+combos AS (SELECT l1.spend AS s1, l2.spend AS s2, l3.spend AS s3, l4.spend AS s4, l5.spend AS s5,
+                  ((((0.0 + l1.spend) + l2.spend) + l3.spend) + l4.spend) + l5.spend AS spent,
+                  ((((0.0 + l1.resp) + l2.resp) + l3.resp) + l4.resp) + l5.resp AS total
+           FROM (SELECT * FROM L WHERE channel = '{_CH[0]}') l1, (SELECT * FROM L WHERE channel = '{_CH[1]}') l2,
+                (SELECT * FROM L WHERE channel = '{_CH[2]}') l3, (SELECT * FROM L WHERE channel = '{_CH[3]}') l4,
+                (SELECT * FROM L WHERE channel = '{_CH[4]}') l5, B
+           WHERE ((((0.0 + l1.spend) + l2.spend) + l3.spend) + l4.spend) + l5.spend <= B.b + 1e-9 * greatest(abs(B.b), 1.0)),
+best AS (SELECT * FROM combos ORDER BY total DESC, spent LIMIT 1),
+pick AS (SELECT '{_CH[0]}' AS channel, s1 AS spend_opt, total FROM best UNION ALL SELECT '{_CH[1]}', s2, total FROM best
+         UNION ALL SELECT '{_CH[2]}', s3, total FROM best UNION ALL SELECT '{_CH[3]}', s4, total FROM best
+         UNION ALL SELECT '{_CH[4]}', s5, total FROM best)
+SELECT p.channel, {r('cv.current', 'current')}, {r('p.spend_opt', 'spend_opt')},
+       {rx(_resp('cv.current'), 'response_current')} AS response_current,
+       {rx(_resp('p.spend_opt'), 'response_opt')} AS response_opt, {r('p.total', 'total_response')}
+FROM pick p JOIN cv USING (channel)"""
+
+
+ORACLES["candidate_params"] = _cand_sql()
