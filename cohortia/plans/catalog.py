@@ -1130,3 +1130,76 @@ def q_allocate_budget(spark, sf):
 @register("budget_scenarios")
 def q_budget_scenarios(spark, sf):
     return rounded(mm.budget_scenarios(response_curves(spark, sf), 0.7, 1.5, 11))
+
+
+# ---------------------------------------------------------------- survey scores
+from ..operators import survey as sv_  # noqa: E402
+
+SURVEY_BLOCKS = {"DLIT": [f"D12_{i}" for i in range(1, 7)],
+                 "HLIT": [f"D12_{i}" for i in range(7, 11)],
+                 "DSS": [f"D12_{i}" for i in range(11, 17)],
+                 "EHS": [f"D12_{i}" for i in range(17, 21)]}
+SURVEY_MODES = {"DLIT": "A", "HLIT": "A", "DSS": "B", "EHS": "B"}
+SURVEY_PATHS = [("DLIT", "DSS"), ("HLIT", "EHS")]
+
+
+def _pls(spark, sf):
+    return memo((spark.sparkContext.applicationId, sf, "pls"),
+                lambda: sv_.pls_fit(fx.survey_items(spark, sf), SURVEY_BLOCKS, SURVEY_MODES,
+                                    SURVEY_PATHS))
+
+
+@register("pls_fit")
+def q_pls_fit(spark, sf):
+    outer, _ = sv_.pls_tables(spark, _pls(spark, sf))
+    return rounded(outer)
+
+
+@register("pls_paths")
+def q_pls_paths(spark, sf):
+    _, inner = sv_.pls_tables(spark, _pls(spark, sf))
+    return rounded(inner)
+
+
+@register("construct_scores")
+def q_construct_scores(spark, sf):
+    return rounded(sv_.construct_scores(fx.survey_items(spark, sf), _pls(spark, sf), "respondent"))
+
+
+@register("score_index")
+def q_score_index(spark, sf):
+    s = sv_.construct_scores(fx.survey_items(spark, sf), _pls(spark, sf), "respondent")
+    out = sc.minmax_scale_0_100(s, list(SURVEY_BLOCKS))
+    return rounded(out.select("respondent", *[f"{b}_index" for b in SURVEY_BLOCKS]))
+
+
+@register("construct_r2")
+def q_construct_r2(spark, sf):
+    s = sv_.construct_scores(fx.survey_items(spark, sf), _pls(spark, sf), "respondent")
+    return rounded(sv_.construct_r2(s, SURVEY_PATHS))
+
+
+@register("cronbach_alpha")
+def q_cronbach_alpha(spark, sf):
+    return rounded(sv_.cronbach_alpha(fx.survey_items(spark, sf), SURVEY_BLOCKS))
+
+
+@register("bootstrap_pls")
+def q_bootstrap_pls(spark, sf):
+    boot = sv_.bootstrap_pls(fx.survey_items(spark, sf), "respondent", SURVEY_BLOCKS,
+                             SURVEY_MODES, SURVEY_PATHS, n_boot=5000)
+    return rounded(sv_.bootstrap_summary(boot))
+
+
+@register("bootstrap_summary_given")
+def q_bootstrap_summary_given(spark, sf):
+    ev_ = fx.table(spark, sf, "events").select(F.col("event_type").alias("parameter"),
+                                               F.col("value").alias("estimate"))
+    return rounded(sv_.bootstrap_summary(ev_))
+
+
+@register("vif_items")
+def q_vif_items(spark, sf):
+    items = [f"D12_{i}" for i in range(1, 21)]
+    g = lm.gram(lm.design(fx.survey_items(spark, sf), "D12_1", items[1:]))
+    return rounded(spark.createDataFrame(lm.vif(g), "term string, gvif double, df int, gvif_adj double"))

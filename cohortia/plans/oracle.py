@@ -933,3 +933,25 @@ FROM pick p JOIN cv USING (channel)"""
 
 
 ORACLES["candidate_params"] = _cand_sql()
+
+
+# ---------------------------------------------------------------- survey scores
+def _alpha_sql() -> str:
+    from .catalog import SURVEY_BLOCKS
+    parts = []
+    for b, items in SURVEY_BLOCKS.items():
+        k = len(items)
+        sv = "(" + " + ".join(["0.0"] + [f"var_samp({i})" for i in items]) + ")"
+        tot = "var_samp(" + " + ".join(["0.0"] + items) + ")"
+        parts.append(f"SELECT '{b}' AS construct, {k} AS items, "
+                     f"{rx(f'{k / (k - 1)!r} * (1 - {sv} / {tot})', 'alpha')} AS alpha FROM s")
+    return f"WITH s AS ({FIXTURE_SQL['survey_items']})\n" + "\nUNION ALL\n".join(parts)
+
+
+ORACLES["cronbach_alpha"] = _alpha_sql()
+ORACLES["bootstrap_summary_given"] = f"""
+SELECT event_type AS parameter, {rx('avg(value)', 'boot_mean')} AS boot_mean,
+       {rx('stddev_samp(value)', 'boot_se')} AS boot_se,
+       {rx('quantile_cont(value, 0.025)', 'ci_lower')} AS ci_lower,
+       {rx('quantile_cont(value, 0.975)', 'ci_upper')} AS ci_upper, count(value) AS replicates
+FROM events GROUP BY 1"""
