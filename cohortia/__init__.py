@@ -1,0 +1 @@
+"""cohortia: customer, marketing, survey and score analysis on Spark DataFrames."""

@@ -1,0 +1,6 @@
+"""Streaming operators.
+
+The reference has no stream source, watermark, time window, state or
+late-data rule (period buckets are batch arithmetic), so nothing is built
+here; every operator in this library works on batch DataFrames.
+"""
