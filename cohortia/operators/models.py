@@ -91,7 +91,7 @@ def logloss_by_round(model, d: Design) -> list[float]:
     """Mean log loss after each boosting round (MLlib reports twice the
     usual binary log loss for GBT; halved here)."""
     data = assemble(d).withColumn("label", F.col(d.y).cast("double"))
-    return [x / 2 for x in model.evaluateEachIteration(data, "logistic")]
+    return [x / 2 for x in model.evaluateEachIteration(data)]
 
 
 def feature_importance(spark: SparkSession, model, d: Design) -> DataFrame:
