@@ -210,3 +210,34 @@ def union_by_name(dfs: Sequence[DataFrame]) -> DataFrame:
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def exclude_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Leave named inputs out (missing names are ignored)."""
+    return df.drop(*cols)
+
+
+def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """P20: rename the columns of a result table."""
+    return df.withColumnsRenamed(dict(mapping))
+
+
+def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach a one-row aggregate to every row (broadcast cross join;
+    the right side has one row by construction)."""
+    return df.crossJoin(F.broadcast(one_row))
+
+
+def order_by(df: DataFrame, cols: Sequence) -> DataFrame:
+    """Multi-key sort with mixed directions (pass ``F.desc(...)``)."""
+    return df.orderBy(*cols)
+
+
+def head(df: DataFrame, n: int, order: Sequence) -> DataFrame:
+    """First ``n`` rows after an explicit order (top-k per task, then merge)."""
+    return df.orderBy(*order).limit(n)
+
+
+def distinct(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Drop duplicate rows (all columns, or the given key columns)."""
+    return df.dropDuplicates(list(cols)) if cols else df.distinct()

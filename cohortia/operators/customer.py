@@ -70,16 +70,12 @@ def purchase_gaps(tx: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-def _with_reference_date(tx: DataFrame) -> DataFrame:
-    bounds = dataset_bounds(tx).select("max_date")
-    return tx.crossJoin(F.broadcast(bounds))
-
-
 def rfm_customers(tx: DataFrame) -> DataFrame:
     """A2: recency, frequency, money and gap / ticket statistics per customer.
 
-    Recency is measured to the latest date of the whole table (a one-row
-    broadcast, so the plan stays lazy and the scan is shared).
+    Recency is measured to the latest date of the whole table, taken as the
+    maximum last purchase over customers (a one-row broadcast computed from
+    the same aggregate, so the input is scanned once).
     """
     return _customer_agg(tx, extended=False)
 
@@ -91,7 +87,6 @@ def churn_customers(tx: DataFrame) -> DataFrame:
 
 
 def _customer_agg(tx: DataFrame, extended: bool) -> DataFrame:
-    t = _with_reference_date(tx)
     aggs = [
         F.sum("gross_sales").alias("Monetary_Value"),
         F.array_sort(F.collect_set("date")).alias("__dates"),
@@ -101,7 +96,6 @@ def _customer_agg(tx: DataFrame, extended: bool) -> DataFrame:
         F.stddev_samp("gross_sales").alias("STD_Ticket"),
         F.coalesce(F.sum("number_items_other"), F.lit(0)).cast("bigint").alias("Number_item_other"),
         F.coalesce(F.sum("number_item_PL"), F.lit(0)).cast("bigint").alias("Number_item_PL"),
-        F.first("max_date").alias("__ref"),
     ]
     if extended:
         aggs += [
@@ -110,7 +104,13 @@ def _customer_agg(tx: DataFrame, extended: bool) -> DataFrame:
             F.mode("store_type", True).alias("Store_Type_Variety"),
             F.avg(1 - F.try_divide(F.col("net_sales"), F.col("gross_sales"))).alias("AVG_Discount"),
         ]
-    g = t.groupBy(ID).agg(*aggs)
+    # one row per customer, read twice (the reference date and the rows):
+    # persisted so the input is scanned once even though column pruning
+    # would give the two branches different scans
+    g = tx.groupBy(ID).agg(*aggs).persist()
+    # the table's latest date is the latest last purchase
+    ref = g.agg(F.max("Last_Purchase").alias("__ref"))
+    g = g.crossJoin(F.broadcast(ref))
     dates = F.col("__dates")
     freq = F.size(dates).cast("bigint")
     gaps = _gaps(dates)
