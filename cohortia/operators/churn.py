@@ -81,9 +81,10 @@ def last_three_underperform(periods: DataFrame, last: int = 3) -> DataFrame:
             .drop("__rn"))
 
 
-def churn_flags(tx: DataFrame, days: int = 31) -> DataFrame:
-    """H3: A10 → H1 → W2 → W3 → W4 → H2 → W5 on a transactions table."""
-    p = period_ci(period_metrics(tx, days), days)
+def churn_flags(tx: DataFrame, days: int = 31, start: DataFrame | None = None) -> DataFrame:
+    """H3: A10 → H1 → W2 → W3 → W4 → H2 → W5 on a transactions table
+    (``start``: optional one-row first-date table, see ``with_period_id``)."""
+    p = period_ci(period_metrics(tx, days, start), days)
     return last_three_underperform(underperforming(combine_ci(rolling_ci(running_bounds(p)))))
 
 

@@ -146,19 +146,30 @@ def pl_ratio(pl_mean: str, other_mean: str) -> Column:
 
 
 # --------------------------------------------------------------------------
-def with_period_id(tx: DataFrame, days: int = 31) -> DataFrame:
-    """``floor(days since the table's first date / days)``."""
-    first = dataset_bounds(tx).select("min_date")
+def first_date(customers: DataFrame) -> DataFrame:
+    """The table's first date from a customer table (one row, ``min_date``)."""
+    return customers.agg(F.min("First_Purchase").alias("min_date"))
+
+
+def with_period_id(tx: DataFrame, days: int = 31, start: DataFrame | None = None) -> DataFrame:
+    """``floor(days since the table's first date / days)``.
+
+    ``start`` is a one-row table holding that first date; pipelines that
+    already have the customer table pass ``first_date(customers)`` so the
+    transactions are not read a second time just for their minimum date.
+    """
+    first = (start.select(F.col(start.columns[0]).alias("min_date")) if start is not None
+             else dataset_bounds(tx).select("min_date"))
     return (tx.crossJoin(F.broadcast(first))
             .withColumn("Period_ID",
                         F.floor(F.datediff("date", "min_date") / days).cast("int"))
             .drop("min_date"))
 
 
-def period_metrics(tx: DataFrame, days: int = 31) -> DataFrame:
+def period_metrics(tx: DataFrame, days: int = 31, start: DataFrame | None = None) -> DataFrame:
     """A10: per customer x period: money, rows, gap mean (span / (rows-1)),
     gap SD over distinct dates, ticket mean and SD."""
-    t = with_period_id(tx, days)
+    t = with_period_id(tx, days, start)
     g = t.groupBy(ID, "Period_ID").agg(
         F.sum("gross_sales").alias("Monetary_Value"),
         F.count(F.lit(1)).alias("Purchases"),

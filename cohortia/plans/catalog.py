@@ -258,14 +258,16 @@ def q_churn_flags_dense(spark, sf):
 @register("customer_churn")
 def q_customer_churn(spark, sf):
     tx = fx.transactions(spark, sf)
-    c = ch.customer_churn(cu.churn_customers(tx), ch.churn_flags(tx, 31))
+    cust = cu.churn_customers(tx)
+    c = ch.customer_churn(cust, ch.churn_flags(tx, 31, cu.first_date(cust)))
     return c.select("id_customer", "Recency", "Churn")
 
 
 @register("customer_churn_dense")
 def q_customer_churn_dense(spark, sf):
     tx = fx.dense_transactions(spark, sf)
-    c = ch.customer_churn(cu.churn_customers(tx), ch.churn_flags(tx, fx.DENSE_PERIOD_DAYS))
+    cust = cu.churn_customers(tx)
+    c = ch.customer_churn(cust, ch.churn_flags(tx, fx.DENSE_PERIOD_DAYS, cu.first_date(cust)))
     return c.select("id_customer", "Recency", "Churn")
 
 
@@ -402,7 +404,8 @@ from ..operators import baskets as bk  # noqa: E402
 
 def survival_input(spark, sf):
     tx = fx.transactions(spark, sf)
-    c = ch.customer_churn(cu.churn_customers(tx), ch.churn_flags(tx, 31))
+    cust = cu.churn_customers(tx)
+    c = ch.customer_churn(cust, ch.churn_flags(tx, 31, cu.first_date(cust)))
     return c.select("id_customer", "Purchase_Months", "Churn", "Store_Type_Variety")
 
 
@@ -737,7 +740,8 @@ def churn_model_table(spark, sf):
 
 def _churn_model_table(spark, sf):
     tx = fx.transactions(spark, sf)
-    cust = ch.customer_churn(cu.churn_customers(tx), ch.churn_flags(tx, 31))
+    c0 = cu.churn_customers(tx)
+    cust = ch.customer_churn(c0, ch.churn_flags(tx, 31, cu.first_date(c0)))
     seg = _kept(spark, sf).regular.select("id_customer",
                                           F.col("Customer_Segment").alias("Final_Segment"))
     c = ch.attach_segment(cust, seg)
