@@ -116,11 +116,17 @@ def release(df: DataFrame) -> None:
         d.unpersist()
 
 
-def quantiles_by_col(df: DataFrame, spec: dict[str, Sequence[float]]
+def quantiles_by_col(df: DataFrame, spec: dict[str, Sequence[float]], approx: bool = False
                      ) -> dict[str, list[float | None]]:
     """Exact quantiles of several columns in one job: the columns are
-    unpivoted to (column, value) and the column name is the group key."""
+    unpivoted to (column, value) and the column name is the group key.
+    ``approx=True`` returns the sketch values only (rank error ≤ 1/accuracy)."""
     cols = list(spec)
+    if approx:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"),
+                                           F.array(*[F.lit(float(p)) for p in spec[c]]),
+                                           SKETCH_ACCURACY).alias(c) for c in cols]).first()
+        return {c: [float(v) if v is not None else None for v in (row[c] or [])] for c in cols}
     allp = sorted({float(p) for ps in spec.values() for p in ps})
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("__var"), F.col(c).cast("double").alias("__v")) for c in cols
@@ -167,9 +173,10 @@ def _interp(v0, v1, fr):
     return float(v0 + (v1 - v0) * fr)
 
 
-def quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
+def quantiles(df: DataFrame, col: str, probs: Sequence[float], approx: bool = False
+              ) -> list[float | None]:
     """Exact type-7 quantiles of ``col`` (NULLs ignored) as driver scalars."""
-    return quantiles_by_col(df, {col: list(probs)})[col]
+    return quantiles_by_col(df, {col: list(probs)}, approx)[col]
 
 
 def quantile(df: DataFrame, col: str, p: float) -> float | None:
