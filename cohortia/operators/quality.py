@@ -169,8 +169,15 @@ def qq_points(df: DataFrame, col: str) -> DataFrame:
     counted = x.groupBy("sample").agg(F.count(F.lit(1)).alias("__c"))
     pre = ordered_prefix_sums(counted, "sample", ["__c"], inclusive=False)
     n = x.agg(F.count(F.lit(1)).alias("__n"))
-    rows = (pre.crossJoin(F.broadcast(n))
-            .withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))))
+    # a value repeated many times is emitted in chunks of at most CHUNK ranks,
+    # spread over tasks, so a hot value does not expand inside one task
+    chunk = 1_000_000
+    starts = (pre.crossJoin(F.broadcast(n))
+              .withColumn("__s", F.explode(F.sequence(F.lit(0), (F.col("__c") - 1).cast("int"),
+                                                      F.lit(chunk))))
+              .repartition("sample", "__s"))
+    rows = (starts.withColumn("__k", F.explode(F.sequence(
+        F.col("__s") + 1, F.least(F.col("__s") + chunk, F.col("__c")).cast("int"))))
             .withColumn("i", (F.col("__c_cum") + F.col("__k")).cast("long")))
     return rows.select("i", "sample",
                        normal_ppf_col((F.col("i") - 0.5) / F.col("__n")).alias("theoretical"))

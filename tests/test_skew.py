@@ -44,3 +44,13 @@ def test_approx_switch_is_close(spark):
     exact = st.quantiles(df, "x", [0.1, 0.5, 0.9])
     approx = st.quantiles(df, "x", [0.1, 0.5, 0.9], approx=True)
     assert all(abs(a - e) <= 2 for a, e in zip(approx, exact))
+
+
+def test_qq_points_with_hot_value(spark):
+    from cohortia.operators import quality as qa
+    vals = [7.0] * 3000 + [float(v) for v in range(6000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    out = qa.qq_points(df, "x").orderBy("i").toPandas()
+    assert out["i"].tolist() == list(range(1, len(vals) + 1))
+    assert (np.diff(out["sample"].to_numpy()) >= 0).all()
+    assert (np.diff(out["theoretical"].to_numpy()) > 0).all()
