@@ -150,8 +150,8 @@ def decomp_rssd(effects: DataFrame, channel: str = "channel", effect: str = "eff
     return d.agg(F.sqrt(F.sum(F.col("__d") ** 2)).alias("decomp_rssd"))
 
 
-def decompose(long: DataFrame, coefs: DataFrame, channel: str = "channel", x: str = "x",
-              total_col: str | None = None) -> DataFrame:
+def decompose(long: DataFrame, coefs: DataFrame, channel: str = "channel", x: str = "x"
+              ) -> DataFrame:
     """X11: effect of each channel = Σ_t coef · x_t, and its share of the
     total of all effects (base plus incremental)."""
     e = (long.join(F.broadcast(coefs), channel)

@@ -21,7 +21,6 @@ from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegre
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.stats import ordered_prefix_sums
 from .evaluate import unit_hash
