@@ -37,6 +37,8 @@ class PlsModel:
     means: dict[str, float]
     sds: dict[str, float]
     iterations: int
+    corr: np.ndarray | None = None
+    items: list[str] | None = None
 
 
 def item_moments(df: DataFrame, items: Sequence[str]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -141,7 +143,52 @@ def pls_fit(df: DataFrame, blocks: Mapping[str, Sequence[str]], modes: Mapping[s
     r, mean, sd = corr_from_moments(n, s, c)
     w, load, coefs, r2, it = pls_from_corr(r, items, blocks, modes, paths)
     return PlsModel({b: list(v) for b, v in blocks.items()}, dict(modes), list(paths), w, load, coefs,
-                    r2, dict(zip(items, mean)), dict(zip(items, sd)), it)
+                    r2, dict(zip(items, mean)), dict(zip(items, sd)), it, r, list(items))
+
+
+def pls_consistent(m: PlsModel) -> dict:
+    """Consistent PLS correction for reflective (Mode A) constructs.
+
+    Reliability rho_A = (w'w)² · w'(S − diag S)w / w'(ww' − diag ww')w per
+    reflective block (composites keep 1); construct correlations are divided
+    by sqrt(rho_A,i · rho_A,j); paths are re-estimated on the corrected
+    correlations; consistent loadings are w · sqrt(rho_A) / (w'w).
+    Works on the stored item correlation matrix only (no data pass).
+    """
+    r = m.corr
+    pos = {c: i for i, c in enumerate(m.items)}
+    names = list(m.blocks)
+    idx = {b: [pos[c] for c in m.blocks[b]] for b in names}
+    rho = {}
+    for b in names:
+        w = m.weights[b]
+        if m.modes.get(b, MODE_A) != MODE_A or len(w) < 2:
+            rho[b] = 1.0
+            continue
+        s = r[np.ix_(idx[b], idx[b])]
+        ww = np.outer(w, w)
+        num = w @ (s - np.diag(np.diag(s))) @ w
+        den = w @ (ww - np.diag(np.diag(ww))) @ w
+        rho[b] = float((w @ w) ** 2 * num / den)
+    cc = {}
+    for a in names:
+        for b in names:
+            raw = float(m.weights[a] @ r[np.ix_(idx[a], idx[b])] @ m.weights[b])
+            cc[(a, b)] = raw if a == b else raw / np.sqrt(rho[a] * rho[b])
+    coefs, r2 = {}, {}
+    for b in names:
+        p = [a for a, t in m.paths if t == b]
+        if not p:
+            continue
+        rpp = np.array([[cc[(x, y)] if x != y else 1.0 for y in p] for x in p])
+        rpb = np.array([cc[(x, b)] for x in p])
+        beta = np.linalg.solve(rpp, rpb)
+        for x, v in zip(p, beta):
+            coefs[(x, b)] = float(v)
+        r2[b] = float(beta @ rpb)
+    loadings = {b: (m.weights[b] * np.sqrt(rho[b]) / (m.weights[b] @ m.weights[b])
+                    if m.modes.get(b, MODE_A) == MODE_A else m.loadings[b]) for b in names}
+    return {"rho_a": rho, "path_coefs": coefs, "r2": r2, "loadings": loadings}
 
 
 def pls_tables(spark: SparkSession, m: PlsModel) -> tuple[DataFrame, DataFrame]:

@@ -1207,3 +1207,13 @@ def q_vif_items(spark, sf):
     items = [f"D12_{i}" for i in range(1, 21)]
     g = lm.gram(lm.design(fx.survey_items(spark, sf), "D12_1", items[1:]))
     return rounded(spark.createDataFrame(lm.vif(g), "term string, gvif double, df int, gvif_adj double"))
+
+
+@register("pls_consistent")
+def q_pls_consistent(spark, sf):
+    c = sv_.pls_consistent(_pls(spark, sf))
+    rows = [(b, "rho_a", None, float(v)) for b, v in c["rho_a"].items()]
+    rows += [(b, "path_coef", a, float(v)) for (a, b), v in c["path_coefs"].items()]
+    rows += [(b, "r2", None, float(v)) for b, v in c["r2"].items()]
+    return rounded(spark.createDataFrame(rows, "construct string, measure string, source string, "
+                                         "estimate double"))

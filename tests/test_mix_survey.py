@@ -119,3 +119,13 @@ def test_cronbach_matches_numpy(spark, survey_df):
     k = 4
     want = k / (k - 1) * (1 - x.var(0, ddof=1).sum() / x.sum(1).var(ddof=1))
     assert abs(got["F1"] - want) < 1e-9
+
+
+def test_consistent_pls_removes_attenuation(spark, survey_df):
+    df, _ = survey_df
+    m = sv.pls_fit(df, BLOCKS, {"F1": "A", "F2": "A"}, [("F1", "F2")])
+    c = sv.pls_consistent(m)
+    plain = m.path_coefs[("F1", "F2")]
+    fixed = c["path_coefs"][("F1", "F2")]
+    assert fixed > plain and abs(fixed - 0.7) < abs(plain - 0.7) and abs(fixed - 0.7) < 0.06
+    assert all(0.8 < v < 1.0 for v in c["rho_a"].values())
