@@ -178,12 +178,37 @@ def windows(table: DataFrame, id_col: str, text_col: str, item: bool,
     return slim.mapInArrow(run, f"id {kind}, width int, hashes array<bigint>")
 
 
-def _matches(doc: str, item: str, least: float) -> tuple[float, bool]:
-    """Share of the item's windows in the document that stand in consistent
-    alignments, and whether any alignment was inconsistent."""
-    d, i = Templates([doc]), Templates([item])
-    width = min(WINDOW, len(i.hashes))
-    d_win, i_win = d.windows(width)[0], i.windows(width)[0]
+class Text:
+    """Template words, windows and words of one text."""
+
+    def __init__(self, all_texts: Templates, number: int, windows: dict[int, tuple]):
+        a, b = all_texts.bounds[number], all_texts.bounds[number + 1]
+        self.literal, self.word = all_texts.literal[a:b], all_texts.word[a:b]
+        self.words = all_texts.texts[number]
+        self.size = int(b - a)
+        self._windows, self._all, self._number = windows, all_texts, number
+
+    def windows(self, width: int) -> np.ndarray:
+        if width not in self._windows:
+            self._windows[width] = self._all.windows(width)
+        hashes, bounds = self._windows[width]
+        return hashes[bounds[self._number]:bounds[self._number + 1]]
+
+    def value(self, place: int) -> str:
+        return self.words[self.word[place]].strip(PUNCTUATION)
+
+
+def _texts(texts: list[str]) -> list[Text]:
+    """The texts of one part; their windows are hashed together."""
+    found, shared = Templates(texts), {}
+    return [Text(found, i, shared) for i in range(len(texts))]
+
+
+def _matches(d: Text, i: Text, least: float) -> float:
+    """Share of the item's windows that the document holds in one place with
+    consistent slots."""
+    width = min(WINDOW, i.size)
+    d_win, i_win = d.windows(width), i.windows(width)
     usable = int((i_win != 0).sum())
     places: dict[int, list[int]] = {}
     for p, h in enumerate(i_win.tolist()):
@@ -195,25 +220,20 @@ def _matches(doc: str, item: str, least: float) -> tuple[float, bool]:
         for p in places[int(d_win[q])]:
             by_shift.setdefault(int(q) - p, set()).add(p)
     # an occurrence: neighbouring shifts (an inserted or lost word moves it)
-    best, clash = 0.0, False
-    shifts = sorted(by_shift)
-    for group in _near(shifts, len(i.hashes)):
+    best = 0.0
+    for group in _near(sorted(by_shift), i.size):
         values: dict[str, Counter] = {}
         covered: set[int] = set()
         for s in group:
             covered |= by_shift[s]
             for p in {x for p in by_shift[s] for x in range(p, p + width)}:
                 if not i.literal[p]:
-                    mine = i.texts[0][i.word[p]].strip(PUNCTUATION)
-                    theirs = d.texts[0][d.word[p + s]].strip(PUNCTUATION)
-                    values.setdefault(mine, Counter())[theirs] += 1
+                    values.setdefault(i.value(p), Counter())[d.value(p + s)] += 1
         steady = sum(max(c.values()) for c in values.values())
         seen = sum(sum(c.values()) for c in values.values())
-        if seen and steady < least * seen:
-            clash = True
-            continue
-        best = max(best, len(covered) / usable)
-    return best, clash
+        if steady >= least * seen:
+            best = max(best, len(covered) / usable)
+    return best
 
 
 def _near(shifts: list[int], reach: int) -> list[list[int]]:
@@ -257,8 +277,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shares_of = [_matches(t, i, min_share)[0] if t and i else 0.0 for t, i in zip(
-                b.column("text").to_pylist(), b.column("item_text").to_pylist(), strict=True)]
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            of_items = [t or "" for t in b.column("item_text").to_pylist()]
+            shares_of = []
+            for part in _parts(texts):
+                shares_of += [_matches(d, i, min_share) for d, i in zip(
+                    _texts([texts[k] for k in part]), _texts([of_items[k] for k in part]),
+                    strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("item_id"), b.column("n_windows"),
                  pa.array(shares_of, pa.float64())],
