@@ -58,17 +58,17 @@ class Words:
 
     def __init__(self):
         self.code: dict[str, int] = {}
-        self.rows: list[tuple[int, bool, bool, bool, bool]] = []
-        self.columns: list[np.ndarray] = []
+        self.new: list[tuple[int, bool, bool, bool, bool]] = []
+        self.columns = [np.empty(0, t) for t in (np.uint64, bool, bool, bool, bool)]
 
     def add(self, word: str) -> int:
         bare = word.strip(PUNCTUATION)
         low = bare.lower()
         number = bool(bare) and (bare[0].isdigit() or (bare[0] in "+-$€£" and bare[1:2].isdigit())
                                  or low in NUMBER_WORDS)
-        self.rows.append((xxhash.xxh64_intdigest(low.encode()), number, low in UNITS,
+        self.new.append((xxhash.xxh64_intdigest(low.encode()), number, low in UNITS,
                           bare[:1].isupper(), word[-1] in ".!?:" or not bare))
-        self.code[word] = len(self.rows) - 1
+        self.code[word] = len(self.code)
         return self.code[word]
 
     def encode(self, words: list[str]) -> np.ndarray:
@@ -77,10 +77,10 @@ class Words:
 
     def properties(self, codes: np.ndarray) -> list[np.ndarray]:
         """Hash, number, unit, upper case, ends a sentence: one array each."""
-        if not self.columns or len(self.columns[0]) < len(self.rows):
-            columns = zip(*self.rows, strict=True)
-            self.columns = [np.array(c, t) for c, t in zip(
-                columns, (np.uint64, bool, bool, bool, bool), strict=True)]
+        if self.new:
+            self.columns = [np.concatenate([old, np.array(add, old.dtype)]) for old, add in zip(
+                self.columns, zip(*self.new, strict=True), strict=True)]
+            self.new = []
         return [c[codes] for c in self.columns]
 
 
