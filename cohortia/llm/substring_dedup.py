@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
@@ -74,22 +74,22 @@ def runs(text: str, least: int = MIN_SENTENCES, least_words: int = MIN_WORDS
 def run_table(docs: DataFrame, least: int = MIN_SENTENCES, least_words: int = MIN_WORDS,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, run, first, last`` for every run of every text."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).alias("doc_id"), text_hash(text).alias("text_hash"),
+                       text.alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, marks, found = [], [], []
-            for i, text in enumerate(b.column("text")):
-                if text.is_valid:
-                    value = text.as_py()
-                    got = runs(value, least, least_words)
-                    found += got
-                    row += [i] * len(got)
-                    marks += [text_hash(value)] * len(got)
+            row, found = [], []
+            for i, value in enumerate(b.column("text").to_pylist()):
+                got = runs(value or "", least, least_words)
+                found += got
+                row += [i] * len(got)
+            rows = pa.array(row, pa.int64())
             hashes, first, last = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(marks, pa.int64()),
+                [b.column("doc_id").take(rows), b.column("text_hash").take(rows),
                  pa.array(hashes, pa.int64()), pa.array(first, pa.int32()),
                  pa.array(last, pa.int32())],
                 names=["doc_id", "text_hash", "run", "first", "last"])
@@ -97,8 +97,9 @@ def run_table(docs: DataFrame, least: int = MIN_SENTENCES, least_words: int = MI
     return slim.mapInArrow(run, f"doc_id {kind}, text_hash bigint, run bigint, first int, last int")
 
 
-def text_hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+def text_hash(text: Column) -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(text)
 
 
 def repeated(spans: DataFrame) -> DataFrame:
@@ -107,13 +108,21 @@ def repeated(spans: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "first")
     # written first: one copy on the join's other side, of known size
     firsts = written(spans.groupBy("run").agg(
-        F.min(place).alias("p"), F.max(place).alias("q")).filter(~F.col("p").eqNullSafe(F.col("q")))
-        .select(F.col("run").alias("f_run"), F.col("p").alias("f_place")), "repeated-runs")
+        F.min(place).alias("f_place"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .select(F.col("run").alias("f_run"), "f_place"), "repeated-runs")
     return (spans.join(firsts, F.col("run") == F.col("f_run"))
             .filter(~place.eqNullSafe(F.col("f_place")))
             .select("doc_id", "text_hash", "first", "last"))
 
 
+def covered_by(packed: np.ndarray, n: int) -> list[bool]:
+    """Which of n sentences lie in a span (first * 2^32 + last)."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, packed >> 32, 1)
+    np.add.at(steps, (packed & 0xFFFFFFFF) + 1, -1)
+    return (np.cumsum(steps[:n]) > 0).tolist()
+
+
 def remove_spans(docs: DataFrame, covered: DataFrame, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Cut the covered sentences out of the texts.
@@ -121,30 +130,32 @@ def remove_spans(docs: DataFrame, covered: DataFrame, id_col: str = "doc_id",
     ``covered``: ``doc_id, text_hash, first, last``. Adds ``n_sentences`` and
     ``n_removed``; all columns of ``docs`` stay.
     """
-    one = covered.select("doc_id", "text_hash", F.explode(F.sequence("first", "last")).alias("s"))
-    of_text = one.distinct().groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_list("s")).alias("cut"))
-    cuts = written(of_text.groupBy(F.col("doc_id").alias("_cut_id")).agg(
-        F.collect_list(F.struct("text_hash", "cut")).alias("_cuts")), "cuts")
+    packed = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
+    cuts = written(covered.groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias(
+        "_cut_hash")).agg(F.collect_list(packed).alias("_cuts")), "cuts")
     names = docs.columns
-    joined = docs.join(cuts, docs[id_col].eqNullSafe(F.col("_cut_id")), "left").drop("_cut_id")
+    joined = docs.join(cuts, docs[id_col].eqNullSafe(F.col("_cut_id"))
+                       & (text_hash(docs[text_col].cast("string")) == F.col("_cut_hash")),
+                       "left").drop("_cut_id", "_cut_hash")
     added = [("n_sentences", pa.int32()), ("n_removed", pa.int32())]
     joined = joined.drop(*[n for n, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, total, removed = [], [], []
-            for text, cuts_of in zip(b.column(text_col), b.column("_cuts"), strict=True):
-                value = text.as_py()
+            cuts_of = b.column("_cuts")
+            values = cuts_of.values.to_numpy(zero_copy_only=False)
+            bounds = cuts_of.offsets.to_numpy()
+            for i, value in enumerate(b.column(text_col).to_pylist()):
                 spans = sentences(value) if value else []
-                drop: set[int] = set()
-                if cuts_of.is_valid and value:
-                    mark = text_hash(value)
-                    drop = {s for c in cuts_of.as_py() if c["text_hash"] == mark for s in c["cut"]}
-                if drop:
-                    value = "".join(value[x:y] for i, (x, y) in enumerate(spans)
-                                    if i not in drop).rstrip()
-                texts.append(value), total.append(len(spans)), removed.append(len(drop))
+                mine = values[bounds[i]:bounds[i + 1]]
+                n = 0
+                if len(mine):
+                    drop = covered_by(mine, len(spans))
+                    value = "".join(value[x:y] for (x, y), gone in zip(
+                        spans, drop, strict=True) if not gone).rstrip()
+                    n = sum(drop)
+                texts.append(value), total.append(len(spans)), removed.append(n)
             columns = {n: b.column(n) for n in b.schema.names if n != "_cuts"}
             columns[text_col] = pa.array(texts, b.schema.field(text_col).type)
             for (n, t), v in zip(added, (total, removed), strict=True):
