@@ -170,7 +170,8 @@ def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                     .groupBy(F.col("doc_id").alias("s_id")).agg(
                         F.count(F.lit(1)).alias("s_rows")), "representatives")
     names = docs.columns
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("s_id")))
+    # the ids grow with the corpus: merged at every size, never broadcast
+    kept = docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("s_id")))
     once = kept.filter("s_rows = 1").select(*names)
     again = kept.filter("s_rows > 1").select(*names)
     ids = [c for c in names if c == "doc_id"]

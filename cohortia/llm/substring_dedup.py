@@ -110,7 +110,8 @@ def repeated(spans: DataFrame) -> DataFrame:
     firsts = written(spans.groupBy("run").agg(
         F.min(place).alias("f_place"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         .select(F.col("run").alias("f_run"), "f_place"), "repeated-runs")
-    return (spans.join(firsts, F.col("run") == F.col("f_run"))
+    # the table grows with the corpus: merged at every size, never broadcast
+    return (spans.join(firsts.hint("merge"), F.col("run") == F.col("f_run"))
             .filter(~place.eqNullSafe(F.col("f_place")))
             .select("doc_id", "text_hash", "first", "last"))
 
@@ -134,7 +135,7 @@ def remove_spans(docs: DataFrame, covered: DataFrame, id_col: str = "doc_id",
     cuts = written(covered.groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias(
         "_cut_hash")).agg(F.collect_list(packed).alias("_cuts")), "cuts")
     names = docs.columns
-    joined = docs.join(cuts, docs[id_col].eqNullSafe(F.col("_cut_id"))
+    joined = docs.join(cuts.hint("merge"), docs[id_col].eqNullSafe(F.col("_cut_id"))
                        & (text_hash(docs[text_col].cast("string")) == F.col("_cut_hash")),
                        "left").drop("_cut_id", "_cut_hash")
     added = [("n_sentences", pa.int32()), ("n_removed", pa.int32())]
