@@ -8,9 +8,10 @@ it by position (context and target ranges), so the result grows with the
 number of turns and not with its square; ``render`` writes the full text of
 chosen examples.
 
-Template: ``### <role>: <text></turn>\\n``. Backslash, ``#`` and ``<`` inside
-texts (also ``:`` inside roles) are escaped by a backslash, so neither marker
-can occur inside a text and the text can be read back exactly.
+Template: ``### <role>: <text></turn>\\n``. Inside texts a backslash becomes
+``\\b``, ``#`` becomes ``\\h`` and ``<`` becomes ``\\l`` (inside roles also ``:``
+becomes ``\\c``), so neither marker can occur inside a text, and the text can be
+read back exactly.
 
 Edge cases: a null text or role counts as empty; a null turn sorts first; ties
 in ``turn`` are ordered by role, then text; repeated rows stay; a null
@@ -30,12 +31,20 @@ BLOCK_TURNS = 256
 OPEN, MID, CLOSE = "### ", ": ", "</turn>\n"
 
 
-def escape(text: Column, extra: str = "") -> Column:
-    return F.regexp_replace(text, "([\\\\#<" + extra + "])", "\\\\$1")
+ESCAPES = [("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c")]
+
+
+def escape(text: Column, role: bool = False) -> Column:
+    """Backslash first, so that every backslash written later opens an escape."""
+    for plain, code in ESCAPES if role else ESCAPES[:-1]:
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, "(?s)\\\\(.)", "$1")
+    for plain, code in reversed(ESCAPES):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
 
 
 def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
@@ -48,7 +57,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), empty).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), empty).alias("text"))
-    head = F.concat(F.lit(OPEN), escape(F.col("role"), ":"), F.lit(MID))
+    head = F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit(MID))
     rows = rows.select(
         "conv_id", "turn", "role", "text", (F.col("role") == "assistant").alias("trainable"),
         F.length(head).cast("long").alias("head_chars"),

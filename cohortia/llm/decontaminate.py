@@ -4,7 +4,8 @@ Texts are canonicalised: numbers, units after a number and names (capitalised
 words that do not open a sentence) become typed placeholders, neighbouring
 equal placeholders one; other words are lower-cased and lose outer
 punctuation. Windows of five template words are hashed and the windows of all
-documents hash-joined with those of the benchmark items. An item whose windows
+documents hash-joined with those of the benchmark items (each as it is and in
+lower case, since a lower-cased copy has no names). An item whose windows
 occur in a document (0.8 of them at least) is then checked for slot
 consistency: reading item and document side by side, each number, name or unit
 of the item must stand for one and the same value of the document. So a
@@ -229,9 +230,7 @@ def _matches(d: Text, i: Text, least: float) -> float:
             for p in {x for p in by_shift[s] for x in range(p, p + width)}:
                 if not i.literal[p]:
                     values.setdefault(i.value(p), Counter())[d.value(p + s)] += 1
-        steady = sum(max(c.values()) for c in values.values())
-        seen = sum(sum(c.values()) for c in values.values())
-        if steady >= least * seen:
+        if all(max(c.values()) >= least * sum(c.values()) for c in values.values()):
             best = max(best, len(covered) / usable)
     return best
 
@@ -251,7 +250,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
                  item_text_col: str = "text") -> DataFrame:
     """One row per contaminated document and item: ``doc_id, item_id,
     n_windows`` (usable ones of the item), ``containment``."""
-    items = written(windows(benchmark, item_col, item_text_col, item=True)
+    text = F.col(item_text_col).cast("string")
+    # an item and its lower-case form, in which names are literal words
+    forms = benchmark.select(F.col(item_col).alias("item"), F.posexplode(
+        F.array_distinct(F.array(text, F.lower(text)))).alias("form", "text")).select(
+            F.struct("item", "form").alias("item_id"), "text")
+    items = written(windows(forms, "item_id", "text", item=True)
                     .select(F.col("id").alias("item_id"), "width",
                             F.posexplode("hashes").alias("at", "hash")).filter("hash <> 0"), "items")
     # at most WINDOW different widths
@@ -269,8 +273,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
         .select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), "n_windows"),
         "candidates")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    of_items = benchmark.select(F.col(item_col).alias("item_id"),
-                                F.col(item_text_col).cast("string").alias("item_text"))
+    of_items = forms.withColumnRenamed("text", "item_text")
     rows = (texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_doc")))
             .join(of_items, F.col("c_item").eqNullSafe(F.col("item_id")))
             .select("doc_id", "item_id", "n_windows", "text", "item_text"))
@@ -293,12 +296,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
     checked = rows.mapInArrow(verify, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, "
                                       "n_windows bigint, containment double")
     return (checked.filter(F.col("containment") >= min_share)
-            .groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"),
-                                              F.max("containment").alias("containment")))
+            .groupBy("doc_id", F.col("item_id.item").alias("item_id")).agg(
+                F.max("n_windows").alias("n_windows"), F.max("containment").alias("containment")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any benchmark item, all columns unchanged."""
-    bad = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(),
+    bad = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad_id")).distinct(),
                   "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")), "left_anti")

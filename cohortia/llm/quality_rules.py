@@ -54,37 +54,40 @@ def _repeated_words(tokens: Column, width: int) -> Column:
     return let(window_hashes(tokens, width), repeats)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            host_col: str = "source") -> DataFrame:
-    """Counts per document: ``id, host, n_words, word_chars, n_symbols, n_lines,
+def metrics(text: Column) -> Column:
+    """Struct of a text's counts: ``n_words, word_chars, n_symbols, n_lines,
     n_dup_lines, n_repeat_words``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    inner = let(words(F.col("text")), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        _repeated_words(w, REPEAT_WINDOW).cast("long").alias("n_repeat_words")))
-    line_counts = let(lines, lambda x: F.struct(
-        F.size(x).cast("long").alias("n"),
-        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    return (docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"),
-                        F.col(text_col).cast("string").alias("text"))
-            .select("id", "host",
-                    F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-                    F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long")
-                    .alias("n_symbols"),
-                    inner.alias("w"), line_counts.alias("l"))
-            .select("id", "host", "w.n_words", "word_chars", "n_symbols",
-                    F.col("l.n").alias("n_lines"), F.col("l.dup").alias("n_dup_lines"),
-                    "w.n_repeat_words"))
-
-
-def failures() -> dict[str, Column]:
+
+    def of_lines(tokens: Column, x: Column) -> Column:
+        return F.struct(
+            F.size(tokens).cast("long").alias("n_words"),
+            F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+            F.size(x).cast("long").alias("n_lines"),
+            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            _repeated_words(tokens, REPEAT_WINDOW).cast("long").alias("n_repeat_words"))
+    return let(words(text), lambda w: let(lines, lambda x: of_lines(w, x)))
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            host_col: str = "source") -> DataFrame:
+    """``id, host`` and the counts of ``metrics`` per document."""
+    return docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"),
+                       metrics(F.col(text_col).cast("string")).alias("m")).select(
+                           "id", "host", "m.*")
+
+
+def failures(prefix: str = "") -> dict[str, Column]:
     """Failure flag per rule over the columns of ``measure``."""
+    def count(name: str) -> Column:
+        return F.col(prefix + name)
     return {
-        "base": (F.col("n_words") < MIN_WORDS)
-        | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"),
-        "dup_lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+        "base": (count("n_words") < MIN_WORDS)
+        | (100 * count("n_repeat_words") > MAX_REPEAT_PERCENT * count("n_words")),
+        "symbols": 100 * count("n_symbols") > MAX_SYMBOL_PERCENT * count("word_chars"),
+        "dup_lines": 100 * count("n_dup_lines") > MAX_DUP_LINE_PERCENT * count("n_lines"),
     }
 
 
@@ -142,14 +145,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents the rules keep, all columns unchanged.
 
-    The base rules are evaluated on the row itself, the host verdict is joined
-    by ``source``: the texts are neither joined by id nor shuffled by it.
+    The documents are written once with their counts, so the texts are
+    measured once; host verdicts are joined by ``source``, and no text is
+    shuffled while the rejected hosts fit the broadcast threshold.
     """
-    measured = written(measure(docs).withColumn("base_failed", failures()["base"]), "quality")
-    bad = written(host_verdicts(measured).filter(~F.col("host_ok")).select(
-        F.col("host").alias("bad_host")), "bad-hosts")
     names = docs.columns
-    ok = let(words(F.col("text")), lambda w: (F.size(w) >= MIN_WORDS) & (
-        100 * _repeated_words(w, REPEAT_WINDOW) <= MAX_REPEAT_PERCENT * F.size(w)))
-    return (docs.filter(ok)
-            .join(bad, F.col("source") == F.col("bad_host"), "left_anti").select(*names))
+    measured = written(docs.withColumn("__counts", metrics(F.col("text").cast("string"))), "measured")
+    counts = measured.select(F.col("source").alias("host"), "__counts.*")
+    bad = written(host_verdicts(counts).filter(~F.col("host_ok")).select(
+        F.col("host").alias("__bad_host")), "bad-hosts")
+    base = failures("__counts.")["base"]
+    return (measured.filter(~base)
+            .join(bad, F.col("source") == F.col("__bad_host"), "left_anti").select(*names))

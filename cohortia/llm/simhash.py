@@ -74,17 +74,22 @@ def fingerprint(data: bytes, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (signed 64-bit) for every row."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """``doc_id, text_hash, fp`` (signed 64-bit) for every row; the text hash
+    tells rows of one doc_id with different texts apart."""
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+                       text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py().encode(), width) if t.is_valid else 0
                    for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+                [b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.int64())],
+                names=["doc_id", "text_hash", "fp"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -143,17 +148,19 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, pair_limit: int = PAIR_LIMIT,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row: the smallest doc_id that
-    can be reached over links between fingerprints."""
+    """``doc_id, text_hash, fp, component_id, root`` for every row:
+    component_id is the smallest doc_id that can be reached over links between
+    fingerprints, root the smallest fingerprint."""
     marked = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
     groups = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp-groups")
     roots = written(components(links(groups.select("fp"), pair_limit)), "roots")
     named = groups.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = written(named.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id"),
-                      "classes")
-    return marked.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
+    classes = written(named.join(least, "root").select(
+        F.col("fp").alias("c_fp"), "component_id", "root"), "classes")
+    return marked.join(classes, F.col("fp") == F.col("c_fp")).select(
+        "doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -162,17 +169,19 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """One document per component: its smallest doc_id. Rows without a doc_id
-    stay only where their component has no id at all; of rows that repeat an
-    id one stays."""
-    classes = near_duplicates(docs, width)
-    stays = written(classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                    .groupBy(F.col("doc_id").alias("s_id")).agg(
-                        F.count(F.lit(1)).alias("s_rows")), "representatives")
+    """One document per component: the one with its smallest doc_id. Rows
+    without a doc_id stay only where their component has no id at all; of rows
+    that share the id the smallest text hash stays, of equal rows one."""
+    first = near_duplicates(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = first.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    stays = written(rows.groupBy("root").agg(
+        F.min(F.struct("text_hash", "n", "doc_id")).alias("r")).select(
+            F.col("r.doc_id").alias("__keep_id"), F.col("r.text_hash").alias("__keep_hash"),
+            F.col("r.n").alias("__keep_rows")), "representatives")
     names = docs.columns
     # the ids grow with the corpus: merged at every size, never broadcast
-    kept = docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("s_id")))
-    once = kept.filter("s_rows = 1").select(*names)
-    again = kept.filter("s_rows > 1").select(*names)
-    ids = [c for c in names if c == "doc_id"]
-    return once.unionByName(again.dropDuplicates(ids))
+    kept = docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (
+        F.xxhash64(F.col("text").cast("string")) == F.col("__keep_hash")))
+    once = kept.filter("__keep_rows = 1").select(*names)
+    again = kept.filter("__keep_rows > 1").dropDuplicates(["doc_id", "__keep_hash"]).select(*names)
+    return once.unionByName(again)

@@ -132,19 +132,19 @@ def remove_spans(docs: DataFrame, covered: DataFrame, id_col: str = "doc_id",
     ``n_removed``; all columns of ``docs`` stay.
     """
     packed = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
-    cuts = written(covered.groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias(
-        "_cut_hash")).agg(F.collect_list(packed).alias("_cuts")), "cuts")
+    cuts = written(covered.groupBy(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias(
+        "__cut_hash")).agg(F.collect_list(packed).alias("__cuts")), "cuts")
     names = docs.columns
-    joined = docs.join(cuts.hint("merge"), docs[id_col].eqNullSafe(F.col("_cut_id"))
-                       & (text_hash(docs[text_col].cast("string")) == F.col("_cut_hash")),
-                       "left").drop("_cut_id", "_cut_hash")
+    joined = docs.join(cuts.hint("merge"), docs[id_col].eqNullSafe(F.col("__cut_id"))
+                       & (text_hash(docs[text_col].cast("string")) == F.col("__cut_hash")),
+                       "left").drop("__cut_id", "__cut_hash")
     added = [("n_sentences", pa.int32()), ("n_removed", pa.int32())]
     joined = joined.drop(*[n for n, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, total, removed = [], [], []
-            cuts_of = b.column("_cuts")
+            cuts_of = b.column("__cuts")
             values = cuts_of.values.to_numpy(zero_copy_only=False)
             bounds = cuts_of.offsets.to_numpy()
             for i, value in enumerate(b.column(text_col).to_pylist()):
@@ -157,14 +157,14 @@ def remove_spans(docs: DataFrame, covered: DataFrame, id_col: str = "doc_id",
                         spans, drop, strict=True) if not gone).rstrip()
                     n = sum(drop)
                 texts.append(value), total.append(len(spans)), removed.append(n)
-            columns = {n: b.column(n) for n in b.schema.names if n != "_cuts"}
+            columns = {n: b.column(n) for n in b.schema.names if n != "__cuts"}
             columns[text_col] = pa.array(texts, b.schema.field(text_col).type)
             for (n, t), v in zip(added, (total, removed), strict=True):
                 columns[n] = pa.array(v, t)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema
-                       if f.name != "_cuts") + ", n_sentences int, n_removed int"
+                       if f.name != "__cuts") + ", n_sentences int, n_removed int"
     return joined.mapInArrow(run, schema).select(
         *[n for n in names if n not in ("n_sentences", "n_removed")], "n_sentences", "n_removed")
 
