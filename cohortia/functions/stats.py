@@ -19,9 +19,6 @@ from pyspark.sql.window import Window
 # Relative rank error of the sketch; the exact pass ranks ~8/ACCURACY of a
 # group's rows per probability (1e4: about 1 M rows for a 1e9-row group).
 SKETCH_ACCURACY = 10_000
-# Columns with at most this many values are ranked exactly from one sorted
-# array per column (8 MB at most); larger ones use the sketch brackets.
-SMALL_EXACT = 1_000_000
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
@@ -131,10 +128,6 @@ def quantiles_by_col(df: DataFrame, spec: dict[str, Sequence[float]], approx: bo
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("__var"), F.col(c).cast("double").alias("__v")) for c in cols
     ])).alias("__s")).select("__s.*").where(F.col("__v").isNotNull())
-    counts = {r["__var"]: r["n"] for r in
-              long.groupBy("__var").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if counts and max(counts.values()) <= SMALL_EXACT:
-        return _small_exact(long, counts, spec, allp)
     res = grouped_quantiles(long, ["__var"], "__v", allp, few_groups=True)
     rows = res.collect()
     release(res)
@@ -143,36 +136,6 @@ def quantiles_by_col(df: DataFrame, spec: dict[str, Sequence[float]], approx: bo
                 for p in spec[c]] for c in cols}
 
 
-def _small_exact(long: DataFrame, counts: dict, spec: dict, allp: list[float]) -> dict:
-    """Order statistics from one sorted array per column; used only after the
-    count check proved every column holds at most ``SMALL_EXACT`` values."""
-    picks = {}
-    for c, n in counts.items():
-        for p in allp:
-            pos = p * (n - 1)
-            k = math.floor(pos)
-            picks[(c, p)] = (k, min(k + 1, n - 1), pos - k)
-    ranks = sorted({r for (k0, k1, _) in picks.values() for r in (k0, k1)})
-    rows = (long.groupBy("__var").agg(F.array_sort(F.collect_list("__v")).alias("__a"))
-            .select("__var", *[F.try_element_at("__a", F.lit(r + 1)).alias(f"r{r}") for r in ranks])
-            .collect())
-    got = {}
-    for row in rows:
-        c = row["__var"]
-        for p in allp:
-            k0, k1, fr = picks[(c, p)]
-            got[(c, p)] = _interp(row[f"r{k0}"], row[f"r{k1}"], fr)
-    return {c: [got.get((c, float(p))) for p in spec[c]] for c in spec}
-
-
-def _interp(v0, v1, fr):
-    if v0 is None or v1 is None:
-        return None
-    if v0 == v1 or fr == 0:
-        return float(v0)
-    return float(v0 + (v1 - v0) * fr)
-
-
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], approx: bool = False
               ) -> list[float | None]:
     """Exact type-7 quantiles of ``col`` (NULLs ignored) as driver scalars."""

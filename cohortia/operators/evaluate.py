@@ -123,15 +123,36 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- splits
+MIX_SIZE = 1 << 31
+MIX_FACTORS = (0x2C1B3C6D, 0x297A2D39)
+
+
+def _mix(x: Column) -> Column:
+    """Multiply and fold high bits into low ones, twice, on 31-bit numbers."""
+    for factor, shift in zip(MIX_FACTORS, (15, 16), strict=True):
+        x = F.pmod(x * F.lit(factor), F.lit(MIX_SIZE))
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+    return x
+
+
 def unit_hash(c: str | Column, salt: int = 0) -> Column:
     """A repeatable uniform number in [0, 1) from an integer id.
 
-    Pure arithmetic (Knuth's multiplicative hash), the same in any engine
-    and on any partitioning; no sampling RNG involved.
+    Plain integer arithmetic (multiply, xor-shift), so any engine gives the
+    same number on any partitioning. The salt enters between two mixing
+    rounds: different salts give unrelated orders of the same ids.
     """
     x = (F.col(c) if isinstance(c, str) else c).cast("bigint")
-    x = F.pmod(x + F.lit(salt), F.lit(1000000007))
-    return F.pmod(x * F.lit(2654435761), F.lit(4294967296)) / 4294967296.0
+    low = _mix(F.pmod(x, F.lit(MIX_SIZE)))
+    high = F.pmod(F.shiftright(x, 31), F.lit(MIX_SIZE))
+    shift = salt * 0x1F123BB5 % MIX_SIZE
+    return _mix(F.pmod(low + high + F.lit(shift).cast("bigint"), F.lit(MIX_SIZE))) / float(MIX_SIZE)
+
+
+def unit_hash53(c: str | Column, salt: int = 0) -> Column:
+    """``unit_hash`` with all 53 bits of a double, for orders without ties."""
+    fine = F.floor(unit_hash(c, salt + 7919) * float(1 << 22)) / float(1 << 53)
+    return unit_hash(c, salt) + fine
 
 
 def stratified_split(df: DataFrame, frac: float = 0.8, id_col: str = "row_id",

@@ -183,12 +183,13 @@ def conditional_roi(effects: DataFrame, pair_effects: DataFrame, spend: DataFram
 def candidate_params(spark: SparkSession, ranges: Mapping[str, tuple[float, float]], n: int,
                      seed: int = 0, trials: int = 1) -> DataFrame:
     """``n`` x ``trials`` parameter sets drawn uniformly inside the
-    ranges from an arithmetic hash of (candidate id, parameter, seed)."""
+    ranges from a mixing hash of the candidate id, salted by parameter and
+    seed, so parameters vary independently."""
     ids = spark.range(n * trials).withColumnRenamed("id", "candidate")
     cols = [F.col("candidate"), (F.col("candidate") % trials).cast("int").alias("trial"),
             (F.col("candidate") / trials).cast("long").alias("iteration")]
     for j, (name, (lo, hi)) in enumerate(ranges.items()):
-        u = unit_hash(F.col("candidate") * 1000 + j, seed)
+        u = unit_hash("candidate", seed * 1000 + j)
         cols.append((F.lit(lo) + (hi - lo) * u).alias(name))
     return ids.select(*cols)
 

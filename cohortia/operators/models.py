@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import ordered_prefix_sums
-from .evaluate import unit_hash
+from .evaluate import unit_hash53
 from .linear import Design
 
 
@@ -105,31 +105,29 @@ def permutation_importance(spark: SparkSession, model, d: Design, id_col: str,
     """M9: accuracy lost when one column's values are permuted.
 
     The permutation pairs the i-th row in one hash order with the i-th row
-    in another; ranks come from bucketed prefix counts, no global window.
+    in another, unrelated one; ranks come from bucketed prefix counts, no
+    global window. Every row is joined with its donor once; the terms are then
+    scored over that table.
     """
-    base = d.df.persist()
-    h1 = ordered_prefix_sums(base.select(id_col).withColumn("__h", unit_hash(id_col, 1))
-                             .withColumn("__one", F.lit(1)), "__h", ["__one"])
-    h2 = ordered_prefix_sums(base.select(id_col).withColumn("__h", unit_hash(id_col, 2))
-                             .withColumn("__one", F.lit(1)), "__h", ["__one"])
-    pairs = (h1.select(id_col, F.col("__one_cum").alias("__rk"))
-             .join(h2.select(F.col(id_col).alias("__donor"), F.col("__one_cum").alias("__rk")), "__rk")
-             .select(id_col, "__donor"))
-
-    def acc(df):
+    features = list(dict.fromkeys(d.cols))
+    ranks = [ordered_prefix_sums(
+        d.df.select(id_col, unit_hash53(id_col, salt).alias("__h"), F.lit(1).alias("__one")),
+        "__h", ["__one"]).select(id_col, F.col("__one_cum").alias("__rk")) for salt in (1, 2)]
+    donor = (d.df.select(id_col, *[F.col(c).alias(f"__p_{c}") for c in features])
+             .join(ranks[1], id_col).drop(id_col))
+    paired = d.df.join(ranks[0], id_col).join(donor, "__rk").drop("__rk").persist()
+
+    def accuracy(df: DataFrame) -> float:
         out = model.transform(assemble(Design(df, d.y, d.cols, d.names, d.terms)))
         return out.agg(F.avg((F.col("prediction") == F.col(d.y).cast("double")).cast("double"))).first()[0]
 
-    ref = acc(base)
+    ref = accuracy(paired.select(*d.df.columns))
     rows = []
     for t in dict.fromkeys(d.terms):
-        cols = [c for c, tt in zip(d.cols, d.terms) if tt == t]
-        donor = base.select(F.col(id_col).alias("__donor"), *[F.col(c).alias(f"__p_{c}") for c in cols])
-        shuffled = (base.join(pairs, id_col).join(donor, "__donor")
-                    .select(*[F.col(f"__p_{c}").alias(c) if c in cols else F.col(c)
-                              for c in base.columns]))
-        rows.append((t, float(ref - acc(shuffled))))
-    base.unpersist()
+        own = {c for c, tt in zip(d.cols, d.terms) if tt == t}
+        rows.append((t, float(ref - accuracy(paired.select(
+            *[F.col(f"__p_{c}").alias(c) if c in own else F.col(c) for c in d.df.columns])))))
+    paired.unpersist()
     return spark.createDataFrame(rows, "Variable string, accuracy_drop double")
 
 

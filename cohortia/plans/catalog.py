@@ -238,7 +238,7 @@ def q_profile(spark, sf):
 def q_top_prospects(spark, sf):
     c = cu.rfm_customers(cu.drop_sales_anomaly(fx.transactions(spark, sf)))
     return rounded(sg.top_prospects(c.select("id_customer", "Monetary_Value", "Frequency"),
-                                    "Monetary_Value", n=100))
+                                    "Monetary_Value", n=1000))
 
 
 # ---------------------------------------------------------------- churn

@@ -333,7 +333,7 @@ clean AS (SELECT * FROM tx WHERE net_sales < gross_sales)
 
 ORACLES["top_prospects"] = _CLEAN_CUST + f"""
 SELECT id_customer, {r('Monetary_Value', 'Monetary_Value')}, Frequency FROM cust
-ORDER BY cust.Monetary_Value DESC, id_customer LIMIT 100"""
+ORDER BY cust.Monetary_Value DESC, id_customer LIMIT 1000"""
 
 
 # ---------------------------------------------------------------- churn
@@ -454,9 +454,18 @@ g AS (SELECT avg(e * e) AS mse, avg(abs(e)) AS mae, sum(e * e) AS sse, var_pop(y
 SELECT {r('mse', 'mse')}, {rx('sqrt(mse)', 'rmse')} AS rmse, {r('mae', 'mae')}, {rx('1 - sse / sst', 'r2')} AS r2 FROM g"""
 
 
+def _mix_sql(x: str) -> str:
+    for factor, shift in ((0x2C1B3C6D, 15), (0x297A2D39, 16)):
+        x = f"(({x}) * {factor} % 2147483648)"
+        x = f"xor({x}, {x} >> {shift})"
+    return x
+
+
 def unit_hash_sql(col: str, salt: int = 0) -> str:
-    x = f"(({col} + {salt}) % 1000000007 + 1000000007) % 1000000007"
-    return f"((({x}) * 2654435761) % 4294967296) / 4294967296.0"
+    """For ids from 0 on."""
+    low = _mix_sql(f"{col}::BIGINT % 2147483648")
+    shift = salt * 0x1F123BB5 % 2147483648
+    return _mix_sql(f"({low} + ({col}::BIGINT >> 31) + {shift}) % 2147483648") + " / 2147483648.0"
 
 
 ORACLES["stratified_split"] = SC + f"""
@@ -826,7 +835,7 @@ def _cand_sql() -> str:
     rng = _ranges()
     cols = []
     for j, (name, (lo, hi)) in enumerate(rng.items()):
-        u = unit_hash_sql(f"(candidate * 1000 + {j})", 7)
+        u = unit_hash_sql("candidate", 7000 + j)
         safe = name.replace("-", "_").replace(" ", "_")
         cols.append(f"{rx(f'{lo!r} + {hi - lo!r} * ({u})', safe)} AS \"{safe}\"")
     return f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()},

@@ -8,7 +8,6 @@ smoke entry point.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -38,39 +37,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.driver.memory", os.environ.get("COHORTIA_DRIVER_MEM", "16g")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this setting names a shared file system folder and is used
-    as is.  Only when it is unset (local tests) a scratch folder is made.
-    """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="cohortia-ckpt-")
-    sc.setCheckpointDir(configured)
-    return configured
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared checkpoint folder.
-
-    Used where one intermediate table is read by several later jobs (the
-    customer table that feeds several quantile passes). Survives executor loss,
-    unlike a local checkpoint.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Persist a table that several actions read; lost blocks recompute."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
