@@ -130,7 +130,8 @@ back AS (
   ON a.doc_id = b.doc_id AND b.i > a.i AND b.cum - a.prior >= 20 GROUP BY ALL),
 runs AS (
   SELECT doc_id, f, l, array_to_string(norms[f:l], chr(10)) AS run
-  FROM (SELECT * FROM ahead UNION SELECT * FROM back) JOIN lists USING (doc_id)),
+  FROM (SELECT * FROM ahead UNION SELECT * FROM back
+        UNION SELECT doc_id, i, i FROM s WHERE cum - prior >= 30) JOIN lists USING (doc_id)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, f) AS k FROM runs),
 cut AS (SELECT DISTINCT doc_id, unnest(range(f, l + 1)) AS i FROM ranked WHERE k > 1),

@@ -3,7 +3,9 @@
 Every run of several consecutive sentences is hashed, the hashes are joined
 over the whole corpus, and sentences covered by any non-first occurrence of a
 repeated run are removed. A run starts (or ends) at every sentence and takes
-the fewest sentences, two at least, that reach ``MIN_WORDS`` words; so it
+the fewest sentences, two at least, that reach ``MIN_WORDS`` words; a sentence
+of ``LONG_WORDS`` words or more counts as several and is a run of its own (else
+a long sentence between two edited ones would escape). So a run
 depends only on its own text, and a passage gives the same runs wherever it
 stands. Runs are taken in both directions so that the sentences at either end
 of a passage are covered as well.
@@ -13,7 +15,7 @@ and white space are ignored when runs are compared. The first occurrence is
 the one with the smallest (doc_id, text hash, position).
 
 Edge cases: null texts stay null, empty ones empty, and neither has runs; a
-document with one sentence, or too few words, has no runs; a document that is
+document with too few words, or one short sentence, has no runs; a document that is
 a full copy loses all sentences and keeps an empty text; rows repeating both
 doc_id and text share one verdict and all stay; a null doc_id sorts first; an
 empty table gives an empty result; other columns pass through. The run table
@@ -36,6 +38,7 @@ from .scratch import written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
+LONG_WORDS = 30
 _BREAK = re.compile(r"(?:[.!?]\s+|\n\s*)")
 
 
@@ -56,7 +59,7 @@ def runs(text: str, least: int = MIN_SENTENCES, least_words: int = MIN_WORDS
         hashes.append(xxhash.xxh64_intdigest(" ".join(words).encode()))
         counts.append(len(words))
     n = len(hashes)
-    if n < least:
+    if not n:
         return []
     total = np.concatenate([[0], np.cumsum(counts)])
     at = np.arange(n)
@@ -66,6 +69,7 @@ def runs(text: str, least: int = MIN_SENTENCES, least_words: int = MIN_WORDS
                       at - least + 1)
     spans = {(i, int(j)) for i, j in enumerate(ahead) if j < n}
     spans |= {(int(i), j) for j, i in enumerate(back) if i >= 0}
+    spans |= {(i, i) for i, c in enumerate(counts) if c >= LONG_WORDS}
     data = np.array(hashes, np.uint64)
     return [(xxhash.xxh3_64_intdigest(data[i:j + 1].tobytes()) - (1 << 63), i, j)
             for i, j in sorted(spans)]

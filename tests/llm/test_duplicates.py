@@ -121,6 +121,7 @@ def plain_dedup(rows):
                     if size >= 2 and words >= sd.MIN_WORDS:
                         mine.append((min(f, e), max(f, e)))
                         break
+        mine += [(k, k) for k, x in enumerate(norm) if len(x.split()) >= sd.LONG_WORDS]
         for a, b in sorted(set(mine)):
             key = tuple(norm[a:b + 1])
             if key in seen:
@@ -139,7 +140,8 @@ def test_substring_dedup_matches_brute_force(spark):
         rows[i] = rows[i] + " " + passage + "\n" + sentence(rng)
     rows[16] = "lead words without end " + passage.upper() + " tail words"
     rows |= {17: rows[2], 18: None, 19: "", 20: "One. Two. Three.", 21: "One. Two. Three.",
-             22: passage + "\n\n" + passage, 23: "no end " * 5000}
+             22: passage + "\n\n" + passage, 23: "no end " * 5000,
+             24: "A b. " + "long " * 40 + "one. C d.", 25: "E f. " + "long " * 40 + "one. G h."}
     df = spark.createDataFrame([(i, t, 3, "c") for i, t in rows.items()],
                                "doc_id bigint, text string, n_removed int, run string")
     got = sd.dedup(df)
