@@ -3,10 +3,10 @@
 Long weekly tables ``(series..., channel, week, value)`` are the currency.
 A (series, channel) history is bounded by the calendar (52 rows a year), so
 recursive carry-over runs as one sorted array per history with ``aggregate``
-— parallel over histories, no Python. Candidate models are rows; each is
-fitted in ``applyInPandas`` on the broadcast weekly table (a few hundred rows).
-Budget allocation is an exact search on a spend grid, channel by channel,
-as joins and ``max_by`` with dominated states pruned.
+— parallel over histories, no Python. Candidate models are rows; each batch of
+rows is fitted in ``mapInPandas`` on the weekly table (one row per week).
+Budget allocation is an exact search on a common spend grid, channel by
+channel, as joins and grouped maxima.
 """
 
 from __future__ import annotations
@@ -103,11 +103,12 @@ def holiday_calendar(weekly: DataFrame, week: str = "week") -> DataFrame:
 def holiday_join(weekly: DataFrame, holidays: DataFrame, week: str = "week") -> DataFrame:
     """Holidays falling in each week, as 0/1 columns (range join done as
     an equi-join on the week start; the calendar is broadcast)."""
-    names = sorted({r[2] for r in HOLIDAY_RULES})
+    # every name of the calendar becomes a column
+    names = sorted(r[0] for r in holidays.select("holiday").dropna().distinct().collect())
     h = (holidays.select(F.date_trunc("week", "ds").cast("date").alias(week), "holiday")
-         .groupBy(week).pivot("holiday", names).agg(F.lit(1)))
+         .groupBy(week).pivot("holiday", names or [""]).agg(F.lit(1)))
     out = weekly.join(F.broadcast(h), week, "left")
-    return out.fillna(0, subset=names)
+    return out.fillna(0, subset=names) if names else out.drop("")
 
 
 def trend_season(weekly: DataFrame, week: str = "week", order: int = 2,
@@ -160,6 +161,27 @@ def decompose(long: DataFrame, coefs: DataFrame, channel: str = "channel", x: st
     return e.crossJoin(F.broadcast(tot)).withColumn("share", F.col("effect") / F.col("__t")).drop("__t")
 
 
+def base_incremental(effects: DataFrame, weekly: DataFrame, target: str = "sales",
+                     effect: str = "effect") -> DataFrame:
+    """X11: one row: what the channels explain together (incremental), the
+    rest of the target (base), and the share of both."""
+    inc = effects.agg(F.sum(effect).alias("incremental"))
+    tot = weekly.agg(F.sum(F.col(target).cast("double")).alias("__t"))
+    return inc.crossJoin(F.broadcast(tot)).select(
+        (F.col("__t") - F.col("incremental")).alias("base"), "incremental",
+        F.try_divide(F.col("__t") - F.col("incremental"), F.col("__t")).alias("base_share"),
+        F.try_divide(F.col("incremental"), F.col("__t")).alias("incremental_share"))
+
+
+def pair_effects(long: DataFrame, pairs: DataFrame, channel: str = "channel", week: str = "week",
+                 x: str = "x") -> DataFrame:
+    """Σ_t coef · x_a(t) · x_b(t) per channel pair. ``pairs``: ``a, b, coef``."""
+    left = long.select(F.col(channel).alias("a"), F.col(week).alias("__w"), F.col(x).alias("__xa"))
+    right = long.select(F.col(channel).alias("b"), F.col(week).alias("__w"), F.col(x).alias("__xb"))
+    return (left.join(F.broadcast(pairs), "a").join(right, ["b", "__w"])
+            .groupBy("a", "b").agg(F.sum(F.col("coef") * F.col("__xa") * F.col("__xb")).alias("effect")))
+
+
 def roi(effects: DataFrame, spend: DataFrame, channel: str = "channel") -> DataFrame:
     """Effect / spend per channel."""
     return (effects.join(spend, channel)
@@ -194,99 +216,104 @@ def candidate_params(spark: SparkSession, ranges: Mapping[str, tuple[float, floa
     return ids.select(*cols)
 
 
-def _adstock_np(x: np.ndarray, theta: float) -> np.ndarray:
-    out = np.empty_like(x)
-    acc = 0.0
+def _adstock_np(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Carry-over of one history for several θ: one row per θ."""
+    out = np.empty((len(theta), len(x)))
+    acc = np.zeros(len(theta))
     for i, v in enumerate(x):
         acc = v + theta * acc
-        out[i] = acc
+        out[:, i] = acc
     return out
 
 
-def _hill_np(x: np.ndarray, alpha: float, gamma: float) -> np.ndarray:
-    infl = (1 - gamma) * x.min() + gamma * x.max()
-    xa = np.power(x, alpha)
-    den = xa + infl ** alpha
+def _hill_np(x: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+    """Saturation of each row of ``x`` with its own α and γ."""
+    infl = (1 - gamma) * x.min(axis=1) + gamma * x.max(axis=1)
+    xa = np.power(x, alpha[:, None])
+    den = xa + (infl ** alpha)[:, None]
     return np.where(den > 0, xa / np.where(den > 0, den, 1), 0.0)
 
 
 def ridge_signed(x: np.ndarray, y: np.ndarray, lam: float, nonneg: Sequence[bool],
                  iters: int = 500) -> tuple[float, np.ndarray]:
     """Ridge on standardised columns, unpenalised intercept, chosen
-    coefficients kept ≥ 0 (projected coordinate descent)."""
+    coefficients kept ≥ 0 (projected coordinate descent on the Gram matrix)."""
     mu, sd = x.mean(0), x.std(0)
     sd = np.where(sd > 0, sd, 1.0)
     z = (x - mu) / sd
-    yc = y - y.mean()
     n, p = z.shape
+    gram, c = z.T @ z, z.T @ (y - y.mean())
     b = np.zeros(p)
-    zz = (z * z).sum(0)
-    r = yc.copy()
     for _ in range(iters):
         delta = 0.0
         for j in range(p):
-            old = b[j]
-            new = (z[:, j] @ r + zz[j] * old) / (zz[j] + lam * n)
+            new = (c[j] - gram[j] @ b + gram[j, j] * b[j]) / (gram[j, j] + lam * n)
             if nonneg[j]:
                 new = max(new, 0.0)
-            if new != old:
-                r -= z[:, j] * (new - old)
-                b[j] = new
-                delta = max(delta, abs(new - old))
+            delta = max(delta, abs(new - b[j]))
+            b[j] = new
         if delta < 1e-10:
             break
     beta = b / sd
     return float(y.mean() - mu @ beta), beta
 
 
+def _error(y: np.ndarray, yhat: np.ndarray) -> float:
+    """NRMSE (X9); NaN for an empty or constant target."""
+    return float(np.sqrt(np.mean((y - yhat) ** 2)) / np.ptp(y)) if len(y) and np.ptp(y) > 0 else math.nan
+
+
 def fit_candidates(candidates: DataFrame, weekly_long: DataFrame, channels: Sequence[str],
-                   target: DataFrame, lam: float = 0.1, train_share_col: str | None = None
-                   ) -> DataFrame:
-    """Per candidate: adstock and saturation per channel, signed ridge,
-    then NRMSE (X9), decomp.RSSD (X10), R² and per-channel ROI.
-
-    Each candidate is one group of ``applyInPandas``; the weekly table
-    (weeks x channels, bounded by the calendar) is broadcast into every
-    group by a join, so candidates run in parallel across the cluster.
+                   target: DataFrame, lam: float = 0.1, train_share_col: str | None = None,
+                   controls: Sequence[str] = ()) -> DataFrame:
+    """Per candidate: adstock and saturation per channel, signed ridge on
+    the training weeks, then NRMSE over all weeks and per split (X8, X9),
+    decomp.RSSD (X10), R² and per-channel ROI.
+
+    ``target`` holds ``week, sales`` and the ``controls`` (trend, season,
+    holidays; free sign). The weekly table (one row per week, bounded by the
+    calendar) goes to the tasks once; candidates stay where they are and are
+    fitted batch by batch, without a shuffle.
     """
-    ch = list(channels)
+    ch, ctl = list(channels), list(controls)
     wide = (weekly_long.groupBy("week").pivot("channel", ch).agg(F.first("spend"))
-            .fillna(0.0).join(target, "week").orderBy("week"))
-    rows = wide.withColumn("__k", F.lit(1))
-    params = candidates.withColumn("__k", F.lit(1))
-    joined = params.join(F.broadcast(rows), "__k").drop("__k")
-    out_schema = ("candidate long, trial int, iteration long, nrmse double, decomp_rssd double, "
-                  "r2 double, " + ", ".join(f"roi_{safe_name(c)} double" for c in ch))
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("week")
-        y = g["sales"].to_numpy(float)
-        xs, spend = [], []
-        for c in ch:
-            s = g[c].to_numpy(float)
-            a = _adstock_np(s, float(g[f"{c}_theta"].iloc[0]))
-            xs.append(_hill_np(a, float(g[f"{c}_alpha"].iloc[0]), float(g[f"{c}_gamma"].iloc[0])))
-            spend.append(s.sum())
-        x = np.column_stack(xs)
-        t = g.get(train_share_col) if train_share_col else None
-        ntr = int(len(y) * float(t.iloc[0])) if t is not None else len(y)
-        b0, b = ridge_signed(x[:ntr], y[:ntr], lam, [True] * len(ch))
+            .fillna(0.0).join(target, "week").orderBy("week")
+            .select(*[F.col(f"`{c}`").cast("double") for c in [*ch, "sales", *ctl]]).toPandas())
+    y = wide["sales"].to_numpy()
+    spends = [wide[c].to_numpy() for c in ch]
+    fixed = wide[ctl].to_numpy()
+    total = np.array([s.sum() for s in spends])
+    spend_share = total / total.sum() if total.sum() > 0 else np.zeros(len(ch))
+    signs = [True] * len(ch) + [False] * len(ctl)
+    names = ["nrmse", "nrmse_train", "nrmse_val", "nrmse_test", "decomp_rssd", "r2",
+             *[f"roi_{safe_name(c)}" for c in ch]]
+    out_schema = "candidate long, trial int, iteration long, " + ", ".join(f"{n} double" for n in names)
+
+    def fit_one(media: np.ndarray, share: float) -> list[float]:
+        n = len(y)
+        train = math.floor(n * share)
+        val = train + (n - train) // 2
+        x = np.column_stack([media, fixed])
+        b0, b = ridge_signed(x[:train], y[:train], lam, signs)
         yhat = b0 + x @ b
-        rng_y = y.max() - y.min()
-        nr = float(np.sqrt(np.mean((y - yhat) ** 2)) / rng_y) if rng_y > 0 else float("nan")
-        eff = (x * b).sum(0)
-        sp = np.array(spend)
-        es = eff / eff.sum() if eff.sum() > 0 else np.zeros_like(eff)
-        ss = sp / sp.sum() if sp.sum() > 0 else np.zeros_like(sp)
-        r2 = 1 - ((y - yhat) ** 2).sum() / ((y - y.mean()) ** 2).sum()
-        rec = {"candidate": int(g["candidate"].iloc[0]), "trial": int(g["trial"].iloc[0]),
-               "iteration": int(g["iteration"].iloc[0]), "nrmse": nr,
-               "decomp_rssd": float(np.sqrt(((es - ss) ** 2).sum())), "r2": float(r2)}
-        for c, e, s in zip(ch, eff, sp):
-            rec[f"roi_{safe_name(c)}"] = float(e / s) if s > 0 else float("nan")
-        return pd.DataFrame([rec])
-
-    return joined.groupBy("candidate").applyInPandas(fit, out_schema)
+        effect = (media * b[:len(ch)]).sum(0)
+        share_of = effect / effect.sum() if effect.sum() > 0 else np.zeros(len(ch))
+        sst = ((y - y.mean()) ** 2).sum()
+        return [_error(y, yhat), _error(y[:train], yhat[:train]), _error(y[train:val], yhat[train:val]),
+                _error(y[val:], yhat[val:]), float(np.sqrt(((share_of - spend_share) ** 2).sum())),
+                float(1 - ((y - yhat) ** 2).sum() / sst) if sst > 0 else math.nan,
+                *[float(e / s) if s > 0 else math.nan for e, s in zip(effect, total)]]
+
+    def fit(batches):
+        for g in batches:
+            media = np.stack([_hill_np(_adstock_np(s, g[f"{c}_theta"].to_numpy()),
+                                       g[f"{c}_alpha"].to_numpy(), g[f"{c}_gamma"].to_numpy())
+                              for c, s in zip(ch, spends)], axis=2)
+            shares = g[train_share_col] if train_share_col else [1.0] * len(g)
+            res = pd.DataFrame([fit_one(m, s) for m, s in zip(media, shares)], columns=names)
+            yield pd.concat([g[["candidate", "trial", "iteration"]].reset_index(drop=True), res], axis=1)
+
+    return candidates.mapInPandas(fit, out_schema)
 
 
 def pareto_fronts(models: DataFrame, fronts: int = 2, x: str = "nrmse", y: str = "decomp_rssd",
@@ -336,16 +363,12 @@ def convergence(models: DataFrame, blocks: int = 10, error: str = "nrmse",
 
 def cluster_models(models: DataFrame, roi_cols: Sequence[str], k: int = 3, seed: int = 1,
                    error: str = "nrmse", key: str = "candidate") -> DataFrame:
-    """K-means on the ROI vectors of (Pareto) models; best model per cluster."""
+    """K-means on the ROI vectors of (Pareto) models; best model per
+    cluster. Fewer distinct vectors than ``k`` give fewer clusters."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
     v = VectorAssembler(inputCols=list(roi_cols), outputCol="__f", handleInvalid="skip").transform(models)
-    n = v.count()
-    kk = max(1, min(k, n))
-    if kk == 1:
-        cl = v.withColumn("cluster", F.lit(0))
-    else:
-        cl = KMeans(k=kk, seed=seed, featuresCol="__f", predictionCol="cluster").fit(v).transform(v)
+    cl = KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="cluster").fit(v).transform(v)
     w = Window.partitionBy("cluster").orderBy(error, key)
     return cl.withColumn("__r", F.row_number().over(w)).withColumn("best_in_cluster", F.col("__r") == 1) \
         .drop("__f", "__r")
@@ -367,62 +390,70 @@ def marginal_roas(curves: DataFrame, at: str = "current") -> DataFrame:
     return curves.withColumn("marginal_roas", F.try_divide(num, den))
 
 
-def allocate_budget(curves: DataFrame, low: float = 0.7, up: float = 1.5, steps: int = 11,
-                    budget: float | None = None, channel: str = "channel") -> DataFrame:
+def allocate_budget(curves: DataFrame, low: float = 0.7, up: float = 1.5, units: int = 100,
+                    budget: float | None = None, channel: str = "channel",
+                    by: Sequence[str] = ()) -> DataFrame:
     """Spend per channel maximising total response, each channel within
     [low, up] x its current spend, total at most the budget (default: the
-    current total). Exact on a grid of ``steps`` spend levels per channel.
-
-    Channel by channel: join the states (spent, response, choices) with the
-    channel's levels, drop states over budget, and keep only undominated
-    states (no other state spends less and responds more). The state table
-    is bounded by the grid, not by any data size.
+    current total), for every brand (``by``) on its own.
+
+    Exact on a common grid: a brand's budget is cut into ``units`` equal
+    steps, and a channel spends its lower limit plus whole steps. The search
+    goes channel by channel and keeps the best total per number of steps spent,
+    so a brand never has more than ``units`` + 1 states, whatever its channels.
+    Equal totals are decided by fewer steps, then by the larger step counts of
+    the first channels. A budget below the lower limits gives no rows.
     """
-    spark = curves.sparkSession
-    chans = [r[0] for r in curves.select(channel).orderBy(channel).collect()]
-    if budget is None:
-        budget = float(curves.agg(F.sum("current")).first()[0])
-    lv = spark.range(steps).select((F.lit(low) + (up - low) * F.col("id") / max(steps - 1, 1)).alias("mult"))
-    levels = (curves.crossJoin(F.broadcast(lv))
-              .withColumn("spend", F.col("current") * F.col("mult"))
-              .withColumn("resp", response(F.col("spend"), F.col("beta"), F.col("alpha"), F.col("inflexion"))))
-    state = spark.createDataFrame([(0.0, 0.0, [])], "spent double, total double, choice array<double>")
-    eps = 1e-9 * max(abs(budget), 1.0)
-    for c in chans:
-        lc = levels.where(F.col(channel) == c).select("spend", "resp")
-        nxt = (state.crossJoin(F.broadcast(lc))
-               .select((F.col("spent") + F.col("spend")).alias("spent"),
-                       (F.col("total") + F.col("resp")).alias("total"),
-                       F.concat("choice", F.array("spend")).alias("choice"))
-               .where(F.col("spent") <= budget + eps))
-        w = Window.orderBy(F.col("spent"), F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
-        state = (nxt.withColumn("__best", F.max("total").over(w))
-                 .where(F.col("__best").isNull() | (F.col("total") > F.col("__best")))
-                 .drop("__best")).persist()
-    best = state.orderBy(F.desc("total"), "spent").limit(1)
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(chans)], f"__i int, {channel} string")
-    res = (best.select("total", F.posexplode("choice").alias("__i", "spend_opt"))
-           .join(F.broadcast(names), "__i")
-           .join(curves, channel)
-           .withColumn("response_opt", response(F.col("spend_opt"), F.col("beta"), F.col("alpha"),
-                                                F.col("inflexion")))
-           .withColumn("response_current", response(F.col("current"), F.col("beta"), F.col("alpha"),
-                                                    F.col("inflexion")))
-           .select(channel, "current", "spend_opt", "response_current", "response_opt",
-                   F.col("total").alias("total_response")))
-    return res
-
-
-def budget_scenarios(curves: DataFrame, low: float = 0.7, up: float = 1.5, steps: int = 11) -> DataFrame:
+    keys = list(by) or ["__all"]
+    base = curves if by else curves.withColumn("__all", F.lit(0))
+    brand = base.groupBy(*keys).agg(
+        (F.sum("current") if budget is None else F.lit(float(budget))).alias("__budget"),
+        F.sum(F.col("current") * low).alias("__least"))
+    brand = brand.select(*keys, (F.col("__budget") / units).alias("__unit"), F.floor(
+        (F.col("__budget") - F.col("__least")) / (F.col("__budget") / units) + 1e-9).cast("int").alias("__steps"))
+    order = Window.partitionBy(*keys).orderBy(channel)
+    chans = base.join(brand, keys).withColumn("__i", F.row_number().over(order))
+    most = F.least(F.floor(F.col("current") * (up - low) / F.col("__unit") + 1e-9).cast("int"), F.col("__steps"))
+    levels = (chans.filter("__steps >= 0")
+              .withColumn("__j", F.explode(F.sequence(F.lit(0), most)))
+              .withColumn("__spend", F.col("current") * low + F.col("__j") * F.col("__unit"))
+              .select(*keys, "__i", "__j", response(
+                  F.col("__spend"), F.col("beta"), F.col("alpha"), F.col("inflexion")).alias("__resp")))
+    state = brand.filter("__steps >= 0").select(
+        *keys, "__steps", F.lit(0).alias("__spent"), F.lit(0.0).alias("__total"),
+        F.array().cast("array<int>").alias("__choice"))
+    last = chans.agg(F.max("__i")).first()[0] or 0
+    for i in range(1, last + 1):
+        # a brand with fewer channels keeps its states
+        nxt = state.join(levels.filter(F.col("__i") == i).drop("__i"), keys, "left").select(
+            *keys, "__steps", (F.col("__spent") + F.coalesce("__j", F.lit(0))).alias("__spent"),
+            F.struct((F.col("__total") + F.coalesce("__resp", F.lit(0.0))).alias("t"),
+                     F.concat("__choice", F.array(F.coalesce("__j", F.lit(0)))).alias("c")).alias("__s"))
+        state = (nxt.filter(F.col("__spent") <= F.col("__steps"))
+                 .groupBy(*keys, "__steps", "__spent").agg(F.max("__s").alias("__s"))
+                 .select(*keys, "__steps", "__spent", F.col("__s.t").alias("__total"),
+                         F.col("__s.c").alias("__choice")))
+    best = state.groupBy(*keys).agg(F.max(F.struct(
+        F.col("__total").alias("t"), (-F.col("__spent")).alias("s"), F.col("__choice").alias("c"))).alias("__b"))
+    res = chans.join(best, keys).withColumn(
+        "spend_opt", F.col("current") * low + F.element_at("__b.c", F.col("__i")) * F.col("__unit"))
+    return res.select(
+        *by, channel, "current", "spend_opt",
+        response(F.col("current"), F.col("beta"), F.col("alpha"), F.col("inflexion")).alias("response_current"),
+        response(F.col("spend_opt"), F.col("beta"), F.col("alpha"), F.col("inflexion")).alias("response_opt"),
+        F.col("__b.t").alias("total_response"))
+
+
+def budget_scenarios(curves: DataFrame, low: float = 0.7, up: float = 1.5, units: int = 100) -> DataFrame:
     """Initial spend, bounded optimum, and optimum with the bounds
     widened three times, side by side."""
     init = (curves.withColumn("spend_opt", F.col("current"))
             .withColumn("response_opt", response(F.col("current"), F.col("beta"), F.col("alpha"),
                                                  F.col("inflexion")))
             .select("channel", "spend_opt", "response_opt").withColumn("scenario", F.lit("initial")))
-    b1 = (allocate_budget(curves, low, up, steps).select("channel", "spend_opt", "response_opt")
+    b1 = (allocate_budget(curves, low, up, units).select("channel", "spend_opt", "response_opt")
           .withColumn("scenario", F.lit("bounded")))
-    b3 = (allocate_budget(curves, max(0.0, 1 - 3 * (1 - low)), 1 + 3 * (up - 1), steps)
+    b3 = (allocate_budget(curves, max(0.0, 1 - 3 * (1 - low)), 1 + 3 * (up - 1), units)
           .select("channel", "spend_opt", "response_opt").withColumn("scenario", F.lit("bounded_x3")))
     out = init.unionByName(b1).unionByName(b3)
     tot = out.groupBy("scenario").agg(F.sum("spend_opt").alias("__t"))

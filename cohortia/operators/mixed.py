@@ -2,11 +2,11 @@
 
 With t = σ_u² / σ², the inverse covariance of a group of size n_g is
 (I − t/(1 + t n_g) 11') / σ², so every quantity the likelihood needs is a
-sum over groups of that group's n_g, X'1, X'X, X'y, y'1 and y'y. One
-``groupBy(group)`` computes those sums; the one-dimensional search over t
-runs on them. When the group table is small it is collected (G x p² numbers);
-otherwise each likelihood evaluation is one aggregate over the cached group
-table, so nothing grows with the row count on the driver.
+sum over groups of that group's n_g, X'1, X'X, X'y, y'1 and y'y. The weight
+t/(1 + t n_g) depends on the group's size alone, so groups of one size add up:
+one ``groupBy(group)``, then one ``groupBy(size)``. N rows have at most
+sqrt(2N) different group sizes; only those rows reach the driver, where the
+one-dimensional search over t runs without further passes over the data.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from ..functions.stats import chi2_sf_1df
 from .linear import Design, OlsFit, gram, ols_from_gram
 
-LOCAL_LIMIT = 5_000_000  # G * (p+1)^2 numbers collected at most
-
 
 @dataclass
 class MixedFit:
@@ -48,63 +46,47 @@ def _group_sums(d: Design, group: str) -> DataFrame:
     return d.df.groupBy(group).agg(*aggs)
 
 
-def _local_arrays(rows, p):
-    G = len(rows)
-    ng = np.array([r["ng"] for r in rows], dtype=float)
-    sx = np.zeros((G, p + 1))
-    xx = np.zeros((G, p + 1, p + 1))
-    xy = np.zeros((G, p + 1))
-    sy = np.array([r["sy"] for r in rows], dtype=float)
-    syy = np.array([r["syy"] for r in rows], dtype=float)
-    sx[:, 0] = ng
-    xx[:, 0, 0] = ng
-    xy[:, 0] = sy
-    for g, r in enumerate(rows):
-        for i in range(p):
-            sx[g, i + 1] = r[f"s{i}"]
-            xx[g, 0, i + 1] = xx[g, i + 1, 0] = r[f"s{i}"]
-            xy[g, i + 1] = r[f"sxy{i}"]
-            for j in range(i, p):
-                xx[g, i + 1, j + 1] = xx[g, j + 1, i + 1] = r[f"c{i}_{j}"]
-    return ng, sx, xx, xy, sy, syy
+def _size_sums(groups: DataFrame, p: int) -> dict[str, np.ndarray]:
+    """Per distinct group size: the number of groups and the sums over them of
+    X'X, X'y, y'y and of the products of their column totals."""
+    tot = ["ng"] + [f"s{i}" for i in range(p)]
+    xy = ["sy"] + [f"sxy{i}" for i in range(p)]
+    aggs = [F.count(F.lit(1)).alias("groups"), F.sum("syy").alias("yy"),
+            F.sum(F.col("sy") * F.col("sy")).alias("tyy")]
+    for i in range(p + 1):
+        aggs += [F.sum(xy[i]).alias(f"xy{i}"),
+                 F.sum(F.col(tot[i]) * F.col("sy")).alias(f"txy{i}")]
+        for j in range(i, p + 1):
+            xx = tot[j] if i == 0 else f"c{i - 1}_{j - 1}"
+            aggs += [F.sum(xx).alias(f"xx{i}_{j}"),
+                     F.sum(F.col(tot[i]) * F.col(tot[j])).alias(f"txx{i}_{j}")]
+    rows = groups.groupBy(F.col("ng").alias("size")).agg(*aggs).orderBy("size").collect()
+
+    def vector(name):
+        return np.array([r[name] for r in rows], dtype=float)
+
+    def matrix(name):
+        out = np.zeros((len(rows), p + 1, p + 1))
+        for i in range(p + 1):
+            for j in range(i, p + 1):
+                out[:, i, j] = out[:, j, i] = vector(f"{name}{i}_{j}")
+        return out
+
+    return {"size": vector("size"), "groups": vector("groups"), "yy": vector("yy"),
+            "tyy": vector("tyy"), "xx": matrix("xx"), "txx": matrix("txx"),
+            **{k: np.stack([vector(f"{k}{i}") for i in range(p + 1)], axis=1) for k in ("xy", "txy")}}
 
 
 def mixed_fit(d: Design, group: str, tol: float = 1e-10) -> MixedFit:
     """Fixed effects, σ², σ_u² and log-likelihood (ML, not REML)."""
-    p = len(d.cols)
-    gs = _group_sums(d, group).persist()
-    G = gs.count()
-    if G * (p + 1) ** 2 <= LOCAL_LIMIT:
-        ng, sx, xx, xy, sy, syy = _local_arrays(gs.collect(), p)
-        XX, XY, YY = xx.sum(0), xy.sum(0), syy.sum()
-
-        def parts(t):
-            c = t / (1 + t * ng)
-            a = XX - np.einsum("g,gi,gj->ij", c, sx, sx)
-            b = XY - np.einsum("g,gi,g->i", c, sx, sy)
-            yy = YY - float((c * sy * sy).sum())
-            return a, b, yy, float(np.log1p(t * ng).sum())
-    else:
-        def parts(t):
-            c = F.lit(t) / (1 + F.lit(t) * F.col("ng"))
-            s = ["ng"] + [f"s{i}" for i in range(p)]
-            ys = ["sy"] + [f"sxy{i}" for i in range(p)]
-            aggs = [F.sum(F.col("syy") - c * F.col("sy") ** 2).alias("yy"),
-                    F.sum(F.log1p(F.lit(t) * F.col("ng"))).alias("ld")]
-            for i in range(p + 1):
-                aggs.append(F.sum(F.col(ys[i]) - c * F.col(s[i]) * F.col("sy")).alias(f"b{i}"))
-                for j in range(i, p + 1):
-                    xij = ("ng" if i == 0 and j == 0 else s[j] if i == 0 else f"c{i - 1}_{j - 1}")
-                    aggs.append(F.sum(F.col(xij) - c * F.col(s[i]) * F.col(s[j])).alias(f"a{i}_{j}"))
-            r = gs.agg(*aggs).first()
-            a = np.zeros((p + 1, p + 1))
-            for i in range(p + 1):
-                for j in range(i, p + 1):
-                    a[i, j] = a[j, i] = r[f"a{i}_{j}"]
-            b = np.array([r[f"b{i}"] for i in range(p + 1)])
-            return a, b, float(r["yy"]), float(r["ld"])
-
-    n = float(gs.agg(F.sum("ng")).first()[0])
+    z = _size_sums(_group_sums(d, group), len(d.cols))
+    xx, xy, yy = z["xx"].sum(0), z["xy"].sum(0), float(z["yy"].sum())
+    G, n = int(z["groups"].sum()), float((z["groups"] * z["size"]).sum())
+
+    def parts(t):
+        c = t / (1 + t * z["size"])
+        return (xx - np.einsum("g,gij->ij", c, z["txx"]), xy - c @ z["txy"],
+                yy - float(c @ z["tyy"]), float(z["groups"] @ np.log1p(t * z["size"])))
 
     def loglik(t):
         a, b, yy, ld = parts(t)
@@ -133,7 +115,6 @@ def mixed_fit(d: Design, group: str, tol: float = 1e-10) -> MixedFit:
     if zero[0] >= best[0]:
         t_best, best = 0.0, zero
     ll, beta, a, s2 = best
-    gs.unpersist()
     return MixedFit(["Intercept", *d.names], beta, np.linalg.pinv(a) * s2, float(s2),
                     float(t_best * s2), float(ll), n, G)
 

@@ -959,6 +959,7 @@ def q_median_weekly(spark, sf):
 @register("competitor_adstock")
 def q_competitor_adstock(spark, sf):
     m = mm.median_weekly(competitor_grp(spark, sf), ["week", "competitor"], "grp")
+    m = mm.fill_grid(m, ["competitor"], "week", "median")   # a week without rows still decays
     return rounded(mm.adstock_geometric(m, ["competitor"], "week", "median", 0.5))
 
 
@@ -978,7 +979,10 @@ def q_time_split(spark, sf):
 # paid channels of the reference configuration (theta, alpha, gamma) plus the
 # train share.
 THETA_RANGES = [(0.8, 0.99), (0.7, 0.95), (0.8, 0.99), (0.1, 0.3), (0.1, 0.3)]
-ALPHA_RANGE, GAMMA_RANGE, TRAIN_RANGE = (0.5, 3.0), (0.3, 0.99), (0.5, 0.8)
+GAMMA_RANGES = [(0.3, 0.99), (0.3, 0.99), (0.3, 0.99), (0.3, 1.0), (0.3, 1.0)]
+ALPHA_RANGE, TRAIN_RANGE = (0.5, 3.0), (0.5, 0.8)
+# The search: iterations of every trial.
+SEARCH_ITERATIONS, SEARCH_TRIALS = 2000, 5
 
 
 def mix_ranges():
@@ -986,27 +990,35 @@ def mix_ranges():
     for i, c in enumerate(CHANNEL_ORDER):
         r[f"{c}_theta"] = THETA_RANGES[i]
         r[f"{c}_alpha"] = ALPHA_RANGE
-        r[f"{c}_gamma"] = GAMMA_RANGE
+        r[f"{c}_gamma"] = GAMMA_RANGES[i]
     r["train_size"] = TRAIN_RANGE
     return r
 
 
+def search_candidates(spark):
+    return mm.candidate_params(spark, mix_ranges(), SEARCH_ITERATIONS, seed=7, trials=SEARCH_TRIALS)
+
+
 @register("candidate_params")
 def q_candidate_params(spark, sf):
-    # the candidate count follows the weekly history length of the data
-    n = fx.weekly(spark, sf).count() // 2
-    return rounded(mm.candidate_params(spark, mix_ranges(), n, seed=7, trials=5)
-                   .select(*[F.col(c).alias(c.replace("-", "_").replace(" ", "_"))
-                             for c in ["candidate", "trial", "iteration", *mix_ranges()]]))
+    """The candidates with the inflexion point each gives on every channel's
+    weekly spend."""
+    spend = weekly_grid(spark, sf).groupBy().pivot("channel", CHANNEL_ORDER).agg(
+        F.min("spend").alias("mn"), F.max("spend").alias("mx"))
+    out = search_candidates(spark).crossJoin(F.broadcast(spend))
+    return rounded(out.select(
+        "candidate", "trial", "iteration", *[F.col(c).alias(mm.safe_name(c)) for c in mix_ranges()],
+        *[((1 - F.col(f"{c}_gamma")) * F.col(f"{c}_mn") + F.col(f"{c}_gamma") * F.col(f"{c}_mx"))
+          .alias(f"{mm.safe_name(c)}_inflexion") for c in CHANNEL_ORDER]))
 
 
 def fitted_candidates(spark, sf):
     def build():
-        n = fx.weekly(spark, sf).count() // 2
-        cand = mm.candidate_params(spark, mix_ranges(), n, seed=7, trials=5)
-        tgt = fx.weekly(spark, sf).select("week", "sales")
-        return mm.fit_candidates(cand, weekly_grid(spark, sf), CHANNEL_ORDER, tgt, lam=0.1,
-                                 train_share_col="train_size").persist()
+        w = fx.weekly(spark, sf).select("week", "sales")
+        tgt = mm.holiday_join(mm.trend_season(w), mm.holiday_calendar(w))
+        return mm.fit_candidates(search_candidates(spark), weekly_grid(spark, sf), CHANNEL_ORDER, tgt,
+                                 lam=0.1, train_share_col="train_size",
+                                 controls=[c for c in tgt.columns if c not in ("week", "sales")]).persist()
     return memo((spark.sparkContext.applicationId, sf, "mix_fit"), build)
 
 
@@ -1086,17 +1098,23 @@ def q_decomp_rssd(spark, sf):
     return rounded(mm.decomp_rssd(e.join(sp, "channel")))
 
 
+# Five interacting pairs: one channel with two partners, another with three.
+CHANNEL_PAIRS = [(CHANNEL_ORDER[0], CHANNEL_ORDER[4]), (CHANNEL_ORDER[0], CHANNEL_ORDER[3]),
+                 (CHANNEL_ORDER[3], CHANNEL_ORDER[1]), (CHANNEL_ORDER[3], CHANNEL_ORDER[2]),
+                 (CHANNEL_ORDER[1], CHANNEL_ORDER[4])]
+
+
+@register("base_incremental")
+def q_base_incremental(spark, sf):
+    e, _, _ = mix_effects(spark, sf)
+    return rounded(mm.base_incremental(e, fx.weekly(spark, sf)))
+
+
 @register("conditional_roi")
 def q_conditional_roi(spark, sf):
     e, sp, a = mix_effects(spark, sf)
-    pairs = [("1-URGENT", "2-HIGH"), ("3-MEDIUM", "5-LOW")]
-    pe = None
-    for x, y in pairs:
-        j = (a.where(F.col("channel") == x).select("week", F.col("x").alias("xa"))
-             .join(a.where(F.col("channel") == y).select("week", F.col("x").alias("xb")), "week")
-             .agg((F.sum(F.col("xa") * F.col("xb")) * 1e-9).alias("effect"))
-             .select(F.lit(x).alias("a"), F.lit(y).alias("b"), "effect"))
-        pe = j if pe is None else pe.unionByName(j)
+    pairs = spark.createDataFrame([(x, y, 1e-9) for x, y in CHANNEL_PAIRS], "a string, b string, coef double")
+    pe = mm.pair_effects(a, pairs)
     return rounded(mm.conditional_roi(e, pe, sp))
 
 
@@ -1128,12 +1146,12 @@ def q_marginal_roas(spark, sf):
 
 @register("allocate_budget")
 def q_allocate_budget(spark, sf):
-    return rounded(mm.allocate_budget(response_curves(spark, sf), 0.7, 1.5, 11))
+    return rounded(mm.allocate_budget(response_curves(spark, sf), 0.7, 1.5))
 
 
 @register("budget_scenarios")
 def q_budget_scenarios(spark, sf):
-    return rounded(mm.budget_scenarios(response_curves(spark, sf), 0.7, 1.5, 11))
+    return rounded(mm.budget_scenarios(response_curves(spark, sf), 0.7, 1.5))
 
 
 # ---------------------------------------------------------------- survey scores

@@ -794,7 +794,10 @@ COMP = """cg AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week, l_
 md AS (SELECT week, competitor, quantile_cont(grp, 0.5) AS median FROM cg GROUP BY 1, 2)"""
 ORACLES["median_weekly"] = f"WITH {COMP}\nSELECT week, competitor, {r('median', 'median')} FROM md"
 ORACLES["competitor_adstock"] = f"""WITH {COMP},
-rr AS (SELECT *, row_number() OVER (PARTITION BY competitor ORDER BY week) AS rn FROM md),
+gd AS (SELECT c.competitor, w.week, coalesce(md.median, 0.0) AS median
+       FROM (SELECT DISTINCT competitor FROM md) c CROSS JOIN (SELECT DISTINCT week FROM md) w
+       LEFT JOIN md ON md.competitor = c.competitor AND md.week = w.week),
+rr AS (SELECT *, row_number() OVER (PARTITION BY competitor ORDER BY week) AS rn FROM gd),
 ad AS (SELECT a.competitor, a.week, a.median, sum(b.median * pow(0.5, a.rn - b.rn)) AS adstock
        FROM rr a JOIN rr b ON a.competitor = b.competitor AND b.rn <= a.rn GROUP BY 1, 2, 3)
 SELECT competitor, week, {r('median', 'median')}, {r('adstock', 'adstock')} FROM ad"""
@@ -833,14 +836,18 @@ def _ranges():
 
 def _cand_sql() -> str:
     rng = _ranges()
-    cols = []
+    cols, raw = [], {}
     for j, (name, (lo, hi)) in enumerate(rng.items()):
         u = unit_hash_sql("candidate", 7000 + j)
+        raw[name] = f"{lo!r} + {hi - lo!r} * ({u})"
         safe = name.replace("-", "_").replace(" ", "_")
         cols.append(f"{rx(f'{lo!r} + {hi - lo!r} * ({u})', safe)} AS \"{safe}\"")
-    return f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()},
-n AS (SELECT count(*) // 2 AS n FROM weekly),
-c AS (SELECT range AS candidate FROM n, range(n.n * 5))
+    for ch in _CH:
+        g, safe = raw[f"{ch}_gamma"], ch.replace("-", "_").replace(" ", "_") + "_inflexion"
+        mn, mx = (f"(SELECT {f}(spend) FROM g WHERE channel = '{ch}')" for f in ("min", "max"))
+        cols.append(f"{rx(f'(1 - ({g})) * {mn} + ({g}) * {mx}', safe)} AS \"{safe}\"")
+    return f"""WITH {GRID},
+c AS (SELECT range AS candidate FROM range(10000))
 SELECT candidate, CAST(candidate % 5 AS INTEGER) AS trial, CAST(candidate // 5 AS BIGINT) AS iteration,
        {', '.join(cols)} FROM c"""
 
@@ -880,13 +887,16 @@ ORACLES["decomp_rssd"] = f"""WITH {EFF},
 j AS (SELECT et.effect, sp.spend FROM et JOIN sp USING (channel)),
 t AS (SELECT sum(effect) AS e, sum(spend) AS s FROM j)
 SELECT {rx('sqrt(sum((effect / e - spend / s) * (effect / e - spend / s)))', 'decomp_rssd')} AS decomp_rssd FROM j, t"""
+_PAIRS = ", ".join(f"('{_CH[i]}', '{_CH[j]}')" for i, j in ((0, 4), (0, 3), (3, 1), (3, 2), (1, 4)))
+ORACLES["base_incremental"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()}, {EFF},
+b AS (SELECT (SELECT sum(sales)::DOUBLE FROM weekly) AS t, (SELECT sum(effect) FROM ef) AS incremental)
+SELECT {rx('t - incremental', 'base')} AS base, {r('incremental', 'incremental')},
+       {rx('(t - incremental) / t', 'base_share')} AS base_share,
+       {rx('incremental / t', 'incremental_share')} AS incremental_share FROM b"""
 ORACLES["conditional_roi"] = f"""WITH {EFF},
-pe AS (SELECT '1-URGENT' AS a, '2-HIGH' AS b,
-              sum(x.adstock * y.adstock) * 1e-9 AS effect
-       FROM ad x JOIN ad y ON x.week = y.week AND x.channel = '1-URGENT' AND y.channel = '2-HIGH'
-       UNION ALL
-       SELECT '3-MEDIUM', '5-LOW', sum(x.adstock * y.adstock) * 1e-9
-       FROM ad x JOIN ad y ON x.week = y.week AND x.channel = '3-MEDIUM' AND y.channel = '5-LOW'),
+pr AS (SELECT * FROM (VALUES {_PAIRS}) t(a, b)),
+pe AS (SELECT pr.a, pr.b, sum(1e-9 * x.adstock * y.adstock) AS effect
+       FROM pr JOIN ad x ON x.channel = pr.a JOIN ad y ON y.channel = pr.b AND x.week = y.week GROUP BY 1, 2),
 hv AS (SELECT channel, sum(h) AS pair_effect FROM (SELECT a AS channel, effect / 2 AS h FROM pe
                                                    UNION ALL SELECT b, effect / 2 FROM pe) GROUP BY 1),
 j AS (SELECT et.channel, et.effect, et.share, coalesce(hv.pair_effect, 0.0) AS pair_effect, sp.spend
@@ -918,19 +928,20 @@ SELECT channel, {r('current', 'current')}, {r('beta', 'beta')}, {r('alpha', 'alp
        {rx('CASE WHEN pow(pow(current, alpha) + pow(inflexion, alpha), 2) <> 0 THEN beta * alpha * pow(inflexion, alpha) * pow(current, alpha - 1) / pow(pow(current, alpha) + pow(inflexion, alpha), 2) END', 'marginal_roas')} AS marginal_roas
 FROM cv"""
 
-_STEP = 1.5 - 0.7
-_levels = " ".join([])
+_sum5 = "l1.{0} + l2.{0} + l3.{0} + l4.{0} + l5.{0}"
+_tot5 = "(((l1.resp + l2.resp) + l3.resp) + l4.resp) + l5.resp"
 ORACLES["allocate_budget"] = f"""WITH {CURVES},
-lv AS (SELECT 0.7 + {_STEP!r} * range / 10 AS mult FROM range(11)),
-L AS (SELECT cv.channel, cv.current * lv.mult AS spend, {_resp('cv.current * lv.mult')} AS resp FROM cv, lv),
-B AS (SELECT sum(current) AS b FROM cv),
+B AS (SELECT sum(current) / 100 AS unit, floor((sum(current) - sum(current * 0.7)) / (sum(current) / 100) + 1e-9) AS steps
+      FROM cv),
+lv AS (SELECT channel, beta, alpha, inflexion, range AS j, current * 0.7 + range * B.unit AS spend
+       FROM cv, B, range(101) WHERE range <= floor(current * {1.5 - 0.7!r} / B.unit + 1e-9)),
+L AS (SELECT channel, j, spend, {_resp('spend')} AS resp FROM lv),
 combos AS (SELECT l1.spend AS s1, l2.spend AS s2, l3.spend AS s3, l4.spend AS s4, l5.spend AS s5,
-                  ((((0.0 + l1.spend) + l2.spend) + l3.spend) + l4.spend) + l5.spend AS spent,
-                  ((((0.0 + l1.resp) + l2.resp) + l3.resp) + l4.resp) + l5.resp AS total
+                  {_sum5.format('j')} AS spent, {_tot5} AS total
            FROM (SELECT * FROM L WHERE channel = '{_CH[0]}') l1, (SELECT * FROM L WHERE channel = '{_CH[1]}') l2,
                 (SELECT * FROM L WHERE channel = '{_CH[2]}') l3, (SELECT * FROM L WHERE channel = '{_CH[3]}') l4,
                 (SELECT * FROM L WHERE channel = '{_CH[4]}') l5, B
-           WHERE ((((0.0 + l1.spend) + l2.spend) + l3.spend) + l4.spend) + l5.spend <= B.b + 1e-9 * greatest(abs(B.b), 1.0)),
+           WHERE {_sum5.format('j')} <= B.steps),
 best AS (SELECT * FROM combos ORDER BY total DESC, spent LIMIT 1),
 pick AS (SELECT '{_CH[0]}' AS channel, s1 AS spend_opt, total FROM best UNION ALL SELECT '{_CH[1]}', s2, total FROM best
          UNION ALL SELECT '{_CH[2]}', s3, total FROM best UNION ALL SELECT '{_CH[3]}', s4, total FROM best

@@ -35,14 +35,15 @@ def test_allocation_matches_brute_force_and_bounds(spark):
     rows = [(f"c{i}", float(rng.uniform(50, 150)), float(rng.uniform(10, 40)),
              float(rng.uniform(0.6, 2.5)), float(rng.uniform(40, 120))) for i in range(3)]
     curves = spark.createDataFrame(rows, "channel string, current double, beta double, alpha double, inflexion double")
-    res = mm.allocate_budget(curves, 0.7, 1.5, 6).toPandas().set_index("channel")
+    res = mm.allocate_budget(curves, 0.7, 1.5, 20).toPandas().set_index("channel")
     budget = sum(r[1] for r in rows)
 
     def resp(s, b, a, i):
         return b * s ** a / (s ** a + i ** a)
 
-    levels = [[(r[1] * (0.7 + 0.8 * k / 5), resp(r[1] * (0.7 + 0.8 * k / 5), r[2], r[3], r[4]))
-               for k in range(6)] for r in rows]
+    unit = budget / 20
+    spends = [[0.7 * r[1] + k * unit for k in range(int(0.8 * r[1] / unit) + 1)] for r in rows]
+    levels = [[(s, resp(s, *r[2:])) for s in of] for of, r in zip(spends, rows)]
     best = max((c for c in itertools.product(*levels) if sum(s for s, _ in c) <= budget + 1e-6),
                key=lambda c: sum(v for _, v in c))
     assert abs(res["total_response"].iloc[0] - sum(v for _, v in best)) < 1e-9
@@ -52,6 +53,70 @@ def test_allocation_matches_brute_force_and_bounds(spark):
     assert res["spend_opt"].sum() <= budget + 1e-6
 
 
+def test_allocation_states_stay_on_the_grid_for_many_channels_and_brands(spark):
+    rng = np.random.default_rng(5)
+    rows = [(b, f"c{i:02d}", float(rng.uniform(50, 150)), float(rng.uniform(10, 40)),
+             float(rng.uniform(0.6, 2.5)), float(rng.uniform(40, 120)))
+            for b, n in (("x", 12), ("y", 2)) for i in range(n)]
+    curves = spark.createDataFrame(
+        rows, "brand string, channel string, current double, beta double, alpha double, inflexion double")
+    res = mm.allocate_budget(curves, 0.7, 1.5, 50, by=["brand"]).toPandas()
+    assert res.groupby("brand").size().to_dict() == {"x": 12, "y": 2}
+    for _, g in res.groupby("brand"):
+        assert g.spend_opt.sum() <= g.current.sum() * (1 + 1e-9)
+        assert abs(g.response_opt.sum() - g.total_response.iloc[0]) < 1e-9
+        assert (g.spend_opt >= 0.7 * g.current - 1e-9).all() and (g.spend_opt <= 1.5 * g.current + 1e-9).all()
+
+
+def test_fit_candidates_matches_a_direct_refit(spark):
+    rng = np.random.default_rng(8)
+    weeks = 80
+    spend = rng.uniform(0, 100, (weeks, 2))
+    ctl = np.arange(weeks, dtype=float)
+    sales = 50 + 0.5 * ctl + spend[:, 0] + rng.normal(0, 5, weeks)
+    long = spark.createDataFrame([(t, c, float(spend[t, k])) for t in range(weeks) for k, c in enumerate("ab")],
+                                 "week int, channel string, spend double")
+    target = spark.createDataFrame([(t, float(sales[t]), float(ctl[t])) for t in range(weeks)],
+                                   "week int, sales double, trend double")
+    ranges = {f"{c}_{p}": r for c in "ab" for p, r in
+              (("theta", (0.1, 0.9)), ("alpha", (0.5, 3.0)), ("gamma", (0.3, 1.0)))}
+    cand = mm.candidate_params(spark, {**ranges, "share": (0.5, 0.8)}, 20, seed=3, trials=2)
+    got = mm.fit_candidates(cand, long, ["a", "b"], target, 0.1, "share", ["trend"]).toPandas()
+    assert len(got) == 40
+    for p in cand.toPandas().sample(3, random_state=1).to_dict("records"):
+        cols = []
+        for k, c in enumerate("ab"):
+            acc, a = 0.0, []
+            for v in spend[:, k]:
+                acc = v + p[f"{c}_theta"] * acc
+                a.append(acc)
+            a = np.array(a)
+            i = (1 - p[f"{c}_gamma"]) * a.min() + p[f"{c}_gamma"] * a.max()
+            cols.append(a ** p[f"{c}_alpha"] / (a ** p[f"{c}_alpha"] + i ** p[f"{c}_alpha"]))
+        x = np.column_stack([*cols, ctl])
+        n = int(weeks * p["share"])
+        b0, b = mm.ridge_signed(x[:n], sales[:n], 0.1, [True, True, False])
+        z = (x[:n] - x[:n].mean(0)) / x[:n].std(0)
+        free = np.linalg.solve(z.T @ z + 0.1 * n * np.eye(3), z.T @ (sales[:n] - sales[:n].mean()))
+        if (free[:2] >= 0).all():
+            assert np.allclose(b * x[:n].std(0), free, atol=1e-6)
+        yhat = b0 + x @ b
+        v = n + (weeks - n) // 2
+        row = got[got.candidate == p["candidate"]].iloc[0]
+        for name, part in (("nrmse", slice(None)), ("nrmse_train", slice(0, n)),
+                           ("nrmse_val", slice(n, v)), ("nrmse_test", slice(v, None))):
+            e = sales[part] - yhat[part]
+            assert abs(row[name] - np.sqrt((e ** 2).mean()) / np.ptp(sales[part])) < 1e-8
+
+
+def test_every_holiday_of_the_calendar_is_kept(spark):
+    w = spark.createDataFrame([("2024-01-01",), ("2024-05-20",)], "week string").selectExpr("date(week) week")
+    cal = spark.createDataFrame([("2024-05-22", "LOCAL DAY")], "ds string, holiday string").selectExpr(
+        "date(ds) ds", "holiday")
+    out = {str(r["week"]): r["LOCAL DAY"] for r in mm.holiday_join(w, cal).collect()}
+    assert out == {"2024-01-01": 0, "2024-05-20": 1}
+
+
 def test_pareto_front_has_no_dominated_model(spark):
     rng = np.random.default_rng(2)
     pts = rng.uniform(0, 1, (400, 2))

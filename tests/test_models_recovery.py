@@ -44,14 +44,17 @@ def test_mixed_recovers_variances(spark, sim):
     assert 0 < r2["r2_marginal"] < r2["r2_conditional"] < 1
 
 
-def test_mixed_distributed_path_agrees(spark, sim, monkeypatch):
+def test_mixed_loglik_matches_dense_covariance(spark, sim):
     df, _ = sim
     d = lm.design(df, "y", ["x"], keep=["grp"])
-    local = mx.mixed_fit(d, "grp")
-    monkeypatch.setattr(mx, "LOCAL_LIMIT", 0)
-    dist = mx.mixed_fit(d, "grp")
-    assert np.allclose(local.beta, dist.beta, atol=1e-8)
-    assert abs(local.tau2 - dist.tau2) < 1e-6
+    m = mx.mixed_fit(d, "grp")
+    t = d.df.select("grp", *[F.col(c).cast("double") for c in d.cols], d.y).toPandas()
+    ll = 0.0
+    for _, g in t.groupby("grp"):
+        v = m.sigma2 * np.eye(len(g)) + m.tau2
+        e = g[d.y].to_numpy() - m.beta[0] - g[d.cols].to_numpy() @ m.beta[1:]
+        ll -= (len(g) * np.log(2 * np.pi) + np.linalg.slogdet(v)[1] + e @ np.linalg.solve(v, e)) / 2
+    assert abs(ll - m.loglik) < 1e-6 * abs(ll)
 
 
 def test_backward_select_drops_noise(spark):
