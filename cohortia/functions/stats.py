@@ -22,19 +22,20 @@ SKETCH_ACCURACY = 10_000
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
-                      probs: Sequence[float], out: str = "q", few_groups: bool = False
-                      ) -> DataFrame:
+                      probs: Sequence[float], out: str = "q") -> DataFrame:
     """Exact type-7 quantiles of ``col`` per group: ``keys..., out: array<double>``.
 
-    Lazy and skew-safe. Per group a sketch (bounded memory) brackets each
+    Skew-safe. Per group a sketch (bounded memory) brackets each
     target rank; rows are counted below each bracket; only rows inside a
     bracket are collapsed to (value, count) and ranked, under one window over
     (group, prob). A bracket that misses its rank is widened to the group's
     min / max, so the result is exact whatever the sketch returns.
-    ``few_groups`` says the caller knows the group count is tiny (one per
-    column), so the per-group bracket tables are broadcast.
+
+    The two bracket tables (one row per group) are cached and filled first, so
+    the planner knows their size: below the broadcast threshold they are
+    broadcast and no row of ``df`` is shuffled; beyond it the join splits hot
+    groups (AQE).
     """
-    bc = F.broadcast if few_groups else (lambda d: d)
     keys = list(keys)
     probs = [float(p) for p in probs]
     k = len(probs)
@@ -57,15 +58,16 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
                    F.array(*lo).alias("__lo"), F.array(*hi).alias("__hi"),
                    F.array(*[F.floor(ps) for ps in pos]).alias("__r0"),
                    F.array(*[ps - F.floor(ps) for ps in pos]).alias("__fr")).persist()
+    sk.count()
     # rows below / inside each bracket
-    xj = x.join(bc(sk.select(*keys, "__lo", "__hi")), keys)
+    xj = x.join(sk.select(*keys, "__lo", "__hi"), keys)
     cnt = xj.groupBy(*keys).agg(
         F.array(*[F.count_if(F.col("__x") < F.element_at("__lo", i + 1)) for i in range(k)])
         .alias("__below"),
         F.array(*[F.count_if(F.col("__x").between(F.element_at("__lo", i + 1),
                                                   F.element_at("__hi", i + 1)))
                   for i in range(k)]).alias("__inside"))
-    br = sk.join(bc(cnt), keys)
+    br = sk.join(cnt, keys)
     r0 = [F.element_at("__r0", i + 1) for i in range(k)]
     r1 = [F.least(r + 1, n - 1) for r in r0]
     below = [F.element_at("__below", i + 1) for i in range(k)]
@@ -80,8 +82,9 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
         F.array(*[F.when(miss_lo[i], F.lit(0)).otherwise(below[i]) for i in range(k)])
         .alias("__below"),
         F.array(*r0).alias("__r0"), F.array(*r1).alias("__r1")).persist()
+    br.count()
     # the bracketed slices, collapsed by value, tagged with the prob index
-    counted = (x.join(bc(br.select(*keys, "__lo", "__hi")), keys)
+    counted = (x.join(br.select(*keys, "__lo", "__hi"), keys)
                .withColumn("__i", F.explode(F.filter(
                    F.sequence(F.lit(0), F.lit(k - 1)),
                    lambda i: F.col("__x").between(F.element_at("__lo", i + 1),
@@ -89,7 +92,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str,
                .groupBy(*keys, "__i", "__x").agg(F.count(F.lit(1)).alias("__c")))
     w = (Window.partitionBy(*keys, "__i").orderBy("__x")
          .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (counted.join(bc(br.select(*keys, "__below", "__r0", "__r1", "__fr")), keys)
+    ranked = (counted.join(br.select(*keys, "__below", "__r0", "__r1", "__fr"), keys)
               .withColumn("__cum", F.sum("__c").over(w)
                           + F.element_at("__below", F.col("__i") + 1)))
     r0i = F.element_at("__r0", F.col("__i") + 1)
@@ -128,7 +131,7 @@ def quantiles_by_col(df: DataFrame, spec: dict[str, Sequence[float]], approx: bo
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("__var"), F.col(c).cast("double").alias("__v")) for c in cols
     ])).alias("__s")).select("__s.*").where(F.col("__v").isNotNull())
-    res = grouped_quantiles(long, ["__var"], "__v", allp, few_groups=True)
+    res = grouped_quantiles(long, ["__var"], "__v", allp)
     rows = res.collect()
     release(res)
     got = {r["__var"]: dict(zip(allp, r["q"])) for r in rows}

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import ordered_prefix_sums
+from ..functions.stats import grouped_quantiles, ordered_prefix_sums
 
 EPS = 1e-15
 
@@ -155,21 +155,27 @@ def unit_hash53(c: str | Column, salt: int = 0) -> Column:
     return unit_hash(c, salt) + fine
 
 
-def stratified_split(df: DataFrame, frac: float = 0.8, id_col: str = "row_id",
+def stratified_split(df: DataFrame, frac: float = 0.8, by: str = "label", id_col: str = "row_id",
                      salt: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Train / test split.
+    """Train / test split with ``frac`` of every class of ``by`` in train.
 
-    Each row goes to train when its id hash is below ``frac``, so every class
-    keeps about ``frac`` of its rows, the split is repeatable on any cluster,
-    and no class is gathered into one task to be counted and ranked.
+    Rows are in the order of their id hash; a class is cut at the ``frac``
+    quantile of its own hashes (exact, no class is ranked in one task), so
+    every class keeps its share to within a row, however small it is. Rows
+    without a class are cut at ``frac`` itself. Repeatable on any cluster.
     """
     u = unit_hash(id_col, salt)
-    return df.where(u < frac), df.where(u >= frac)
+    cuts = grouped_quantiles(df.select(F.col(by).alias("__class"), u.alias("__u")), ["__class"], "__u", [frac])
+    marked = df.join(cuts.select("__class", F.get("q", F.lit(0)).alias("__cut")),
+                     F.col(by) == F.col("__class"), "left").withColumn(
+        "__train", F.coalesce(u <= F.col("__cut"), u < frac))
+    return tuple(marked.filter(c).select(*df.columns) for c in (F.col("__train"), ~F.col("__train")))
 
 
 def random_split(df: DataFrame, frac: float = 0.8, id_col: str = "row_id", salt: int = 17):
     """Plain repeatable split on a salted id hash."""
-    return stratified_split(df, frac, id_col, salt)
+    u = unit_hash(id_col, salt)
+    return df.where(u < frac), df.where(u >= frac)
 
 
 def holdout_by_antijoin(all_rows: DataFrame, train: DataFrame, key: str = "row_id") -> DataFrame:

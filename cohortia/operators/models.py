@@ -69,8 +69,11 @@ def predict_prob(model, d: Design, keep: Sequence[str] = ()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- trees
-def rf_classify(d: Design, trees: int = 40, seed: int = 42, max_depth: int = 10):
-    """M6: random forest, sqrt(p) features per split."""
+DEPTH = 30      # the deepest trees MLlib grows
+
+
+def rf_classify(d: Design, trees: int = 40, seed: int = 42, max_depth: int = DEPTH):
+    """M6: random forest, sqrt(p) features per split, fully grown trees."""
     data = assemble(d).withColumn("label", F.col(d.y).cast("double"))
     rf = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=seed,
                                 maxDepth=max_depth, labelCol="label")
@@ -140,9 +143,9 @@ def rf_regress(d: Design, trees: int = 500, mtry: str = "4", seed: int = 42):
 
 def tune_mtry(d: Design, grid: Sequence[int] = (2, 4, 6, 8, 10), folds: int = 5, trees: int = 100,
               seed: int = 42, parallelism: int = 4) -> list[tuple[int, float]]:
-    """Cross-validated RMSE per features-per-split candidate."""
-    p = len(d.cols)
-    cands = [m for m in grid if m <= p] or [p]
+    """Cross-validated RMSE per features-per-split candidate (a value
+    above the number of columns takes all of them)."""
+    cands = list(grid)
     data = assemble(d).withColumn("label", F.col(d.y))
     rf = RandomForestRegressor(numTrees=trees, seed=seed, labelCol="label")
     pg = ParamGridBuilder().addGrid(rf.featureSubsetStrategy, [str(m) for m in cands]).build()

@@ -89,7 +89,8 @@ def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
     """Quartiles, whiskers (1.5 IQR) and outlier count per group."""
     q = grouped_quantiles(df, [by], col, [0.25, 0.5, 0.75])
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"))
+                 F.col("q")[2].alias("q3")).persist()
+    q.count()       # its size is known then, so that few groups are broadcast
     j = df.select(by, col).join(q, by)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
@@ -228,15 +229,17 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per column count, missing, distinct, mean, sd, min, quartiles, max.
 
     Numeric columns get moments and exact quartiles; text columns get count,
-    distinct and mode. One aggregate pass for the moments, one quantile pass
-    per numeric column.
+    distinct and mode. The quartiles of all numeric columns come from one
+    quantile pass over (column, value) rows.
     """
     cols = list(cols or df.columns)
     fields = {f.name: f.dataType for f in df.schema.fields}
+    number = [c for c in cols if isinstance(fields[c], NumericType)]
     parts = []
     for c in cols:
-        numeric = isinstance(fields[c], NumericType)
-        stats = df.agg(
+        numeric = c in number
+        parts.append(df.agg(
+            F.lit(c).alias("column"),
             F.count(c).alias("count"),
             F.count_if(F.col(c).isNull()).alias("missing"),
             F.count_distinct(c).alias("distinct"),
@@ -244,17 +247,16 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             (F.stddev_samp(c) if numeric else F.lit(None).cast("double")).alias("sd"),
             (F.min(c) if numeric else F.lit(None)).cast("double").alias("min"),
             (F.max(c) if numeric else F.lit(None)).cast("double").alias("max"),
-            (F.lit(None) if numeric else F.mode(c, True)).cast("string").alias("mode"))
-        if numeric:
-            q = grouped_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], c, [0.25, 0.5, 0.75])
-            stats = stats.crossJoin(q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                                             F.col("q")[2].alias("q3")))
-        else:
-            stats = stats.select("*", *[F.lit(None).cast("double").alias(n)
-                                        for n in ("q1", "median", "q3")])
-        parts.append(stats.select(F.lit(c).alias("column"), "count", "missing", "distinct",
-                                  "mean", "sd", "min", "q1", "median", "q3", "max", "mode"))
+            (F.lit(None) if numeric else F.mode(c, True)).cast("string").alias("mode")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    if number:
+        long = df.select(F.explode(F.array(*[F.struct(
+            F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in number])).alias("s")).select("s.*")
+        q = grouped_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75])
+    else:
+        q = df.sparkSession.createDataFrame([], "column string, q array<double>")
+    return out.join(q, "column", "left").select(
+        "column", "count", "missing", "distinct", "mean", "sd", "min", F.get("q", F.lit(0)).alias("q1"),
+        F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"), "max", "mode")

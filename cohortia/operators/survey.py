@@ -152,7 +152,9 @@ def pls_consistent(m: PlsModel) -> dict:
     Reliability rho_A = (w'w)² · w'(S − diag S)w / w'(ww' − diag ww')w per
     reflective block (composites keep 1); construct correlations are divided
     by sqrt(rho_A,i · rho_A,j); paths are re-estimated on the corrected
-    correlations; consistent loadings are w · sqrt(rho_A) / (w'w).
+    correlations; consistent loadings are w · sqrt(rho_A) / (w'w). A block
+    without a positive reliability has no correction: its paths, their targets'
+    R² and its loadings are None, and ``reason`` says which block it is.
     Works on the stored item correlation matrix only (no data pass).
     """
     r = m.corr
@@ -170,25 +172,33 @@ def pls_consistent(m: PlsModel) -> dict:
         num = w @ (s - np.diag(np.diag(s))) @ w
         den = w @ (ww - np.diag(np.diag(ww))) @ w
         rho[b] = float((w @ w) ** 2 * num / den)
+    failed = {b for b in names if not rho[b] > 0}
     cc = {}
     for a in names:
         for b in names:
             raw = float(m.weights[a] @ r[np.ix_(idx[a], idx[b])] @ m.weights[b])
-            cc[(a, b)] = raw if a == b else raw / np.sqrt(rho[a] * rho[b])
-    coefs, r2 = {}, {}
+            cc[(a, b)] = raw if a == b or {a, b} & failed else raw / np.sqrt(rho[a] * rho[b])
+    coefs, r2, reason = {}, {}, {b: f"rho_A of {b} is not positive" for b in failed}
     for b in names:
         p = [a for a, t in m.paths if t == b]
         if not p:
             continue
+        bad = sorted(failed & {b, *p})
+        if bad:
+            reason[b] = f"rho_A of {', '.join(bad)} is not positive"
+            coefs |= {(x, b): None for x in p}
+            r2[b] = None
+            continue
         rpp = np.array([[cc[(x, y)] if x != y else 1.0 for y in p] for x in p])
         rpb = np.array([cc[(x, b)] for x in p])
         beta = np.linalg.solve(rpp, rpb)
         for x, v in zip(p, beta):
             coefs[(x, b)] = float(v)
         r2[b] = float(beta @ rpb)
-    loadings = {b: (m.weights[b] * np.sqrt(rho[b]) / (m.weights[b] @ m.weights[b])
-                    if m.modes.get(b, MODE_A) == MODE_A else m.loadings[b]) for b in names}
-    return {"rho_a": rho, "path_coefs": coefs, "r2": r2, "loadings": loadings}
+    loadings = {b: (m.loadings[b] if m.modes.get(b, MODE_A) != MODE_A else None if b in failed
+                    else m.weights[b] * np.sqrt(rho[b]) / (m.weights[b] @ m.weights[b])) for b in names}
+    return {"rho_a": rho, "path_coefs": coefs, "r2": r2, "loadings": loadings,
+            "reason": reason}
 
 
 def pls_tables(spark: SparkSession, m: PlsModel) -> tuple[DataFrame, DataFrame]:
@@ -306,8 +316,11 @@ def bootstrap_pls(df: DataFrame, key: str, blocks: Mapping[str, Sequence[str]],
     blocks_ = {b: list(v) for b, v in blocks.items()}
     modes_ = dict(modes)
     paths_ = list(paths)
+    targets = list(dict.fromkeys(t for _, t in paths_))
+    parameters = ([f"{a} -> {b}" for a, b in paths_]
+                  + [f"{b} <- {it}" for b in blocks_ for it in blocks_[b]] + [f"R2 {b}" for b in targets])
 
-    def fit_one(r) -> list[tuple[str, float]]:
+    def fit_one(r) -> list[tuple[str, float | None]]:
         n = float(r["w"])
         s = np.array([r[f"s{i}"] for i in range(k)])
         c = np.zeros((k, k))
@@ -318,7 +331,8 @@ def bootstrap_pls(df: DataFrame, key: str, blocks: Mapping[str, Sequence[str]],
             rr, _, _ = corr_from_moments(n, s, c)
             w, load, coefs, r2, _ = pls_from_corr(rr, items, blocks_, modes_, paths_)
         except np.linalg.LinAlgError:
-            return []
+            # a replicate without a solution shows as missing estimates
+            return [(name, None) for name in parameters]
         rows = [(f"{a} -> {b}", v) for (a, b), v in coefs.items()]
         rows += [(f"{b} <- {it}", float(w[b][i])) for b in blocks_ for i, it in enumerate(blocks_[b])]
         rows += [(f"R2 {b}", v) for b, v in r2.items()]
@@ -328,11 +342,11 @@ def bootstrap_pls(df: DataFrame, key: str, blocks: Mapping[str, Sequence[str]],
         # replicates are independent rows: a partition fits all of its own
         for pdf in it:
             reps, params, ests = [], [], []
-            for _, r in pdf.iterrows():
+            for r in pdf.to_dict("records"):
                 for p, v in fit_one(r):
                     reps.append(int(r["rep"]))
                     params.append(p)
-                    ests.append(float(v))
+                    ests.append(v if v is None else float(v))
             yield pd.DataFrame({"rep": reps, "parameter": params, "estimate": ests})
 
     # small (replicates x parameters) and read by several summary passes
@@ -340,11 +354,13 @@ def bootstrap_pls(df: DataFrame, key: str, blocks: Mapping[str, Sequence[str]],
 
 
 def bootstrap_summary(boot: DataFrame, param: str = "parameter", value: str = "estimate") -> DataFrame:
-    """Per parameter mean, SD and the 2.5 / 97.5 percentiles (exact)."""
+    """Per parameter mean, SD and the 2.5 / 97.5 percentiles (exact) over
+    the replicates with an estimate, and the number without one (``failed``)."""
     mom = boot.groupBy(param).agg(F.avg(value).alias("boot_mean"),
                                   F.stddev_samp(value).alias("boot_se"),
-                                  F.count(value).alias("replicates"))
+                                  F.count(value).alias("replicates"),
+                                  F.count_if(F.col(value).isNull()).alias("failed"))
     q = grouped_quantiles(boot, [param], value, [0.025, 0.975])
-    return (mom.join(q, param)
+    return (mom.join(q, param, "left")
             .select(param, "boot_mean", "boot_se", F.col("q")[0].alias("ci_lower"),
-                    F.col("q")[1].alias("ci_upper"), "replicates"))
+                    F.col("q")[1].alias("ci_upper"), "replicates", "failed"))

@@ -1230,8 +1230,9 @@ def q_vif_items(spark, sf):
 @register("pls_consistent")
 def q_pls_consistent(spark, sf):
     c = sv_.pls_consistent(_pls(spark, sf))
-    rows = [(b, "rho_a", None, float(v)) for b, v in c["rho_a"].items()]
-    rows += [(b, "path_coef", a, float(v)) for (a, b), v in c["path_coefs"].items()]
-    rows += [(b, "r2", None, float(v)) for b, v in c["r2"].items()]
+    why = c["reason"].get
+    rows = [(b, "rho_a", None, float(v), why(b) if v <= 0 else None) for b, v in c["rho_a"].items()]
+    rows += [(b, "path_coef", a, v, why(b)) for (a, b), v in c["path_coefs"].items()]
+    rows += [(b, "r2", None, v, why(b)) for b, v in c["r2"].items()]
     return rounded(spark.createDataFrame(rows, "construct string, measure string, source string, "
-                                         "estimate double"))
+                                         "estimate double, reason string"))

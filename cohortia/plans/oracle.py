@@ -7,13 +7,33 @@ places as the Spark side.
 
 from __future__ import annotations
 
-from ..operators.quality import ANOMALY_RULES
-from ..operators.segments import SEGMENT_RULES
 from .compare import BIAS, digits_for
 from ..sources.fixtures import CHANNELS, FIXTURE_SQL, EDUCATION, DISTANCE, TEACHER_QUALITY, LEVELS_LMH
 
 ORACLES: dict[str, str] = {}
 
+# Fixed values, written here a second time so that a wrong rule in the
+# operators shows as a difference.
+SEGMENT_OF = [
+    ("Champions", "'HHH', 'HMH', 'HHM'"), ("Loyal", "'MHH', 'MHM'"),
+    ("Cannot Lose", "'LMH', 'LHH', 'LHM'"), ("Potential Loyalist", "'HMM', 'HML', 'HLM', 'HHL'"),
+    ("As New", "'HLL', 'HLH', 'MHL'"), ("To Reactivate", "'MLH', 'MLM'"),
+    ("Searching for Attention", "'MMM', 'MML'"), ("About to Sleep", "'LLM', 'LMM', 'LLH'"),
+    ("Bad", "'MLL', 'LML', 'LLL'"),
+]
+ANOMALIES = [
+    ("Negative values in net_sales", "net_sales < 0"),
+    ("Negative values in gross_sales", "gross_sales < 0"),
+    ("Negative values in PL_gross_sales", "PL_gross_sales < 0"),
+    ("If number_item_PL is NA, PL_gross_sales different from 0",
+     "PL_gross_sales <> 0 AND number_item_PL IS NULL"),
+    ("PL_gross_sales > net_sales", "net_sales < PL_gross_sales"),
+    ("PL_gross_sales > gross_sales", "gross_sales < PL_gross_sales"),
+    ("net_sales > gross_sales", "gross_sales < net_sales"),
+    ("Both number_item_PL and number_items_other are equal to 0",
+     "number_items_other = 0 AND number_item_PL = 0"),
+]
+
 
 def rx(expr: str, alias: str = "") -> str:
     """``expr`` rounded to significant digits (same arithmetic as Spark)."""
@@ -80,8 +100,8 @@ def customers_cte(src: str, name: str = "cust", extended: bool = False) -> str:
 def rfm_ctes() -> str:
     """tx → clean → cust → kept (recency filter) → sup / reg → lab (labels, segment, scores)."""
     seg_case = "CASE " + " ".join(
-        f"WHEN triple IN ({', '.join(repr(t) for t in ts)}) THEN '{s}'"
-        for s, ts in SEGMENT_RULES.items()) + " ELSE 'Unclassified' END"
+        f"WHEN triple IN ({triples}) THEN '{segment}'"
+        for segment, triples in SEGMENT_OF) + " ELSE 'Unclassified' END"
     return f"""WITH tx AS ({FIXTURE_SQL['tx']}),
 clean AS (SELECT * FROM tx WHERE net_sales < gross_sales),{customers_cte('clean')},
 rq AS (SELECT quantile_cont(CAST(Recency AS DOUBLE), 0.25) AS q25,
@@ -194,7 +214,7 @@ ORACLES["anomaly_report"] = f"WITH tx AS ({FIXTURE_SQL['tx']}), n AS (SELECT cou
     "\nUNION ALL\n".join(
         f"SELECT '{label}' AS Anomaly, count_if({pred}) AS Count, "
         f"{rx(f'count_if({pred}) / max(n.n) * 100', 'Percentage')} AS Percentage FROM tx, n"
-        for label, pred in ANOMALY_RULES)
+        for label, pred in ANOMALIES)
 
 _CLEAN_CUST = f"""WITH tx AS ({FIXTURE_SQL['tx']}),
 clean AS (SELECT * FROM tx WHERE net_sales < gross_sales),{customers_cte('clean')}"""
@@ -468,9 +488,11 @@ def unit_hash_sql(col: str, salt: int = 0) -> str:
     return _mix_sql(f"({low} + ({col}::BIGINT >> 31) + {shift}) % 2147483648") + " / 2147483648.0"
 
 
-ORACLES["stratified_split"] = SC + f"""
-SELECT label, CASE WHEN {unit_hash_sql('row_id')} < 0.8 THEN 'train' ELSE 'test' END AS split,
-       count(*) AS rows FROM s GROUP BY 1, 2"""
+ORACLES["stratified_split"] = SC + f""",
+h AS (SELECT label, {unit_hash_sql('row_id')} AS u FROM s),
+c AS (SELECT label, quantile_cont(u, 0.8) AS cut FROM h GROUP BY 1)
+SELECT label, CASE WHEN u <= cut THEN 'train' ELSE 'test' END AS split, count(*) AS rows
+FROM h JOIN c USING (label) GROUP BY 1, 2"""
 ORACLES["holdout_by_antijoin"] = SC + f"""
 SELECT row_id, label, {rx('score', 'score')} AS score FROM s WHERE NOT ({unit_hash_sql('row_id', 17)} < 0.8)"""
 
@@ -973,5 +995,6 @@ ORACLES["bootstrap_summary_given"] = f"""
 SELECT event_type AS parameter, {rx('avg(value)', 'boot_mean')} AS boot_mean,
        {rx('stddev_samp(value)', 'boot_se')} AS boot_se,
        {rx('quantile_cont(value, 0.025)', 'ci_lower')} AS ci_lower,
-       {rx('quantile_cont(value, 0.975)', 'ci_upper')} AS ci_upper, count(value) AS replicates
+       {rx('quantile_cont(value, 0.975)', 'ci_upper')} AS ci_upper, count(value) AS replicates,
+       count(*) FILTER (WHERE value IS NULL) AS failed
 FROM events GROUP BY 1"""

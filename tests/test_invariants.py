@@ -26,9 +26,18 @@ def test_split_is_disjoint_and_complete(spark):
     tr, te = ev.stratified_split(s, 0.8)
     assert tr.count() + te.count() == s.count()
     assert tr.join(te, "row_id").count() == 0
-    frac = tr.groupBy("label").count().join(s.groupBy("label").count().withColumnRenamed("count", "n"),
-                                            "label").select((F.col("count") / F.col("n")).alias("f"))
-    assert all(0.7 < r["f"] < 0.9 for r in frac.collect())
+    n = {r["label"]: r["count"] for r in s.groupBy("label").count().collect()}
+    got = {r["label"]: r["count"] for r in tr.groupBy("label").count().collect()}
+    assert all(abs(got[c] - 0.8 * n[c]) <= 1 for c in n)
+
+
+def test_split_keeps_the_share_of_small_classes_and_rows_without_class(spark):
+    s = spark.createDataFrame([(i, "big" if i % 100 else "rare") for i in range(2000)]
+                              + [(5000 + i, None) for i in range(200)], "row_id long, label string")
+    tr, te = ev.stratified_split(s, 0.8)
+    got = {r["label"]: r["count"] for r in tr.groupBy("label").count().collect()}
+    assert abs(got["rare"] - 16) <= 1 and abs(got["big"] - 1584) <= 1 and 140 < got[None] < 180
+    assert tr.count() + te.count() == 2200
 
 
 def test_sweep_rows_and_best(spark):

@@ -194,3 +194,21 @@ def test_consistent_pls_removes_attenuation(spark, survey_df):
     fixed = c["path_coefs"][("F1", "F2")]
     assert fixed > plain and abs(fixed - 0.7) < abs(plain - 0.7) and abs(fixed - 0.7) < 0.06
     assert all(0.8 < v < 1.0 for v in c["rho_a"].values())
+
+
+def test_consistent_pls_reports_a_block_without_reliability():
+    # two items of block a that correlate negatively: no reliability
+    items = ["a1", "a2", "b1", "b2"]
+    corr = np.array([[1, -0.2, 0.3, 0.3], [-0.2, 1, 0.3, 0.3], [0.3, 0.3, 1, 0.6], [0.3, 0.3, 0.6, 1]])
+    blocks, modes, paths = {"a": items[:2], "b": items[2:]}, {"a": "A", "b": "A"}, [("a", "b")]
+    w, load, coefs, r2, it = sv.pls_from_corr(corr, items, blocks, modes, paths)
+    m = sv.PlsModel(blocks, modes, paths, w, load, coefs, r2, {}, {}, it, corr, items)
+    out = sv.pls_consistent(m)
+    assert out["rho_a"]["a"] <= 0 < out["rho_a"]["b"]
+    assert out["path_coefs"] == {("a", "b"): None} and out["r2"] == {"b": None}
+    assert "rho_A of a" in out["reason"]["b"] and out["loadings"]["a"] is None
+    # with a common factor behind each block the correction is finite and larger
+    good = np.array([[1, 0.5, 0.3, 0.3], [0.5, 1, 0.3, 0.3], [0.3, 0.3, 1, 0.6], [0.3, 0.3, 0.6, 1]])
+    w, load, coefs, r2, it = sv.pls_from_corr(good, items, blocks, modes, paths)
+    out = sv.pls_consistent(sv.PlsModel(blocks, modes, paths, w, load, coefs, r2, {}, {}, it, good, items))
+    assert coefs[("a", "b")] < out["path_coefs"][("a", "b")] < 1 and not out["reason"]
