@@ -136,8 +136,9 @@ def remove_spans(docs: DataFrame, covered: DataFrame, id_col: str = "doc_id",
     ``n_removed``; all columns of ``docs`` stay.
     """
     packed = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
+    # a set: rows repeating doc_id and text add the same spans
     cuts = written(covered.groupBy(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias(
-        "__cut_hash")).agg(F.collect_list(packed).alias("__cuts")), "cuts")
+        "__cut_hash")).agg(F.collect_set(packed).alias("__cuts")), "cuts")
     names = docs.columns
     joined = docs.join(cuts.hint("merge"), docs[id_col].eqNullSafe(F.col("__cut_id"))
                        & (text_hash(docs[text_col].cast("string")) == F.col("__cut_hash")),
