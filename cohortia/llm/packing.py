@@ -11,6 +11,7 @@
    sums over tasks, no global sort) and looks each rank up in the plan.
 
 Edge cases: null and empty texts are one piece holding only the end id;
+very long texts and runs of white space are encoded whole;
 repeated rows are packed as often as they occur; an empty table gives an empty
 result; other columns are ignored. Hot lengths: ranks are task-local, so no
 group of equal lengths ever meets in one task.
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import written
+from .token_count import tokenizer
 
 END_ID = 2
 CAPACITY = 1024
@@ -56,8 +58,14 @@ def _encoder(path: str):
 
 
 def encode(text: str, path: str) -> bytes:
-    """Ids of a whole text as little-endian unsigned 32-bit numbers."""
-    return array("I", _encoder(path).encode(text, allowed_special="all")).tobytes()
+    """Ids of a whole text as little-endian unsigned 32-bit numbers. A run of
+    about a million white-space characters is beyond the fast encoder's
+    pattern matcher, which refuses it; such a text goes to the library."""
+    try:
+        ids = _encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        ids = tokenizer(path).encode(text, add_special_tokens=False).ids
+    return array("I", ids).tobytes()
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,

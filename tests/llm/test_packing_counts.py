@@ -95,6 +95,12 @@ def test_encoder_gives_the_library_ids(spark):
         assert packing.encode(t, BPE) == array("I", library.encode(t, add_special_tokens=False).ids).tobytes()
 
 
+def test_long_runs_of_white_space():
+    library = Tokenizer.from_file(BPE)
+    for t in ("a" + " " * 1_200_000 + "b", "\n" * 1_200_000):
+        assert packing.encode(t, BPE) == array("I", library.encode(t, add_special_tokens=False).ids).tobytes()
+
+
 def test_counts_match_the_library(spark):
     library = Tokenizer.from_file(WORD)
     texts = [*TEXTS, "ΟΔΟΣ ΣΑΣ İx", "don't <|startoftext|>x we'll", "　wide　", "word " * 5000]
