@@ -1,7 +1,7 @@
 """Linear models from one distributed Gram pass.
 
 The design matrix never leaves the cluster: one aggregate computes
-n, X'1, X'X, X'y and y'y (p(p+1)/2 + 2p + 2 sums, all JVM-side), the driver
+n, X'1, X'X, X'y and y'y about a common shift (all JVM-side), the driver
 solves the p x p system, and anything per row (fitted values, residuals,
 bands) is a column expression with the coefficients as literals. Term
 selection reuses the same Gram: dropping a term is a sub-matrix, no rescan.
@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.stats import chi2_sf, quantiles, student_t_sf
 
 
+# rows averaged for the numeric shift of ``gram``; any number gives the same sums
+SHIFT_ROWS = 1000
+
+
 # ---------------------------------------------------------------- design
 @dataclass
 class Design:
@@ -82,37 +86,47 @@ def design(df: DataFrame, y: str, numeric: Sequence[str] = (), factors: Sequence
 # ---------------------------------------------------------------- Gram
 @dataclass
 class Gram:
+    """Sums of products about the means; names and terms open with the
+    intercept, the arrays hold the other columns only."""
     n: float
-    xtx: np.ndarray               # (p+1) x (p+1), first row/col is the intercept
-    xty: np.ndarray
-    yty: float
+    mean: np.ndarray              # (p,)
+    ymean: float
+    sxx: np.ndarray               # p x p
+    sxy: np.ndarray
+    syy: float
     names: list[str]
     terms: list[str]
 
 
 def gram(d: Design) -> Gram:
-    """One aggregate pass: all cross products of [1, X] and y."""
-    cols = d.cols
-    p = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col(d.y) * F.col(d.y)).alias("yy"),
-            F.sum(d.y).alias("y1")]
-    for i in range(p):
-        aggs.append(F.sum(cols[i]).alias(f"s{i}"))
-        aggs.append(F.sum(F.col(cols[i]) * F.col(d.y)).alias(f"sy{i}"))
-        for j in range(i, p):
-            aggs.append(F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"c{i}_{j}"))
+    """One aggregate pass over all rows: all cross products of X and y.
+
+    Values are shifted by the averages of the first ``SHIFT_ROWS`` rows before
+    they are multiplied, then the sums are moved to the exact means. The result
+    does not depend on the shift; it only keeps a mean that is large against
+    the SD from cancelling digits.
+    """
+    cols = [*d.cols, d.y]
+    p = len(d.cols)
+    near = d.df.limit(SHIFT_ROWS).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([near[f"m{i}"] or 0.0 for i in range(p + 1)], dtype=float)
+    moved = [F.col(c) - F.lit(float(k)) for c, k in zip(cols, shift)]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i in range(p + 1):
+        aggs.append(F.sum(moved[i]).alias(f"s{i}"))
+        for j in range(i, p + 1):
+            aggs.append(F.sum(moved[i] * moved[j]).alias(f"c{i}_{j}"))
     r = d.df.agg(*aggs).first().asDict()
     n = float(r["n"])
+    total = np.array([r[f"s{i}"] or 0.0 for i in range(p + 1)], dtype=float)
     m = np.zeros((p + 1, p + 1))
-    v = np.zeros(p + 1)
-    m[0, 0] = n
-    v[0] = r["y1"] or 0.0
-    for i in range(p):
-        m[0, i + 1] = m[i + 1, 0] = r[f"s{i}"]
-        v[i + 1] = r[f"sy{i}"]
-        for j in range(i, p):
-            m[i + 1, j + 1] = m[j + 1, i + 1] = r[f"c{i}_{j}"]
-    return Gram(n, m, v, float(r["yy"] or 0.0), ["Intercept", *d.names], ["Intercept", *d.terms])
+    for i in range(p + 1):
+        for j in range(i, p + 1):
+            m[i, j] = m[j, i] = r[f"c{i}_{j}"] or 0.0
+    m -= np.outer(total, total) / max(n, 1)
+    mean = shift + total / max(n, 1)
+    return Gram(n, mean[:p], float(mean[p]), m[:p, :p], m[:p, p], float(m[p, p]),
+                ["Intercept", *d.names], ["Intercept", *d.terms])
 
 
 # ---------------------------------------------------------------- OLS
@@ -141,17 +155,21 @@ class OlsFit:
 
 
 def ols_from_gram(g: Gram, keep: Sequence[int] | None = None, model: str = "ols") -> OlsFit:
-    idx = list(range(len(g.names))) if keep is None else list(keep)
-    a = g.xtx[np.ix_(idx, idx)]
-    b = g.xty[idx]
-    inv = np.linalg.pinv(a)
-    beta = inv @ b
-    rss = float(g.yty - 2 * beta @ b + beta @ a @ beta)
-    rss = max(rss, 0.0)
-    ybar = g.xty[0] / g.n
-    tss = float(g.yty - g.n * ybar * ybar)
-    fit = OlsFit([g.names[i] for i in idx], [g.terms[i] for i in idx], beta, inv, g.n, rss, tss, model)
-    fit.cov = inv * fit.sigma2
+    """Least squares with an intercept on the columns ``keep`` (positions in
+    ``g.names``; the intercept, 0, always stays)."""
+    idx = [i - 1 for i in (range(len(g.names)) if keep is None else keep) if i > 0]
+    sxx, sxy, mean = g.sxx[np.ix_(idx, idx)], g.sxy[idx], g.mean[idx]
+    inv = np.linalg.pinv(sxx)
+    slope = inv @ sxy
+    rss = max(float(g.syy - 2 * slope @ sxy + slope @ sxx @ slope), 0.0)
+    beta = np.concatenate([[g.ymean - mean @ slope], slope])
+    # inverse of the matrix with the intercept
+    at = inv @ mean
+    full = np.block([[np.array([[1 / g.n + mean @ at]]), -at[None, :]], [-at[:, None], inv]])
+    names = ["Intercept", *[g.names[i + 1] for i in idx]]
+    terms = ["Intercept", *[g.terms[i + 1] for i in idx]]
+    fit = OlsFit(names, terms, beta, full, g.n, rss, g.syy, model)
+    fit.cov = full * fit.sigma2
     return fit
 
 
@@ -252,12 +270,9 @@ def breusch_pagan(fit: OlsFit, d: Design, regressors: Sequence[str] | None = Non
 def vif(g: Gram) -> list[tuple[str, float, int, float]]:
     """M4: (generalised) variance inflation per term from the Gram matrix:
     GVIF = det(R_tt) det(R_oo) / det(R); reported with GVIF^(1/(2 df))."""
-    n = g.n
     p = len(g.names) - 1
-    mean = g.xtx[0, 1:] / n
-    cov = g.xtx[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.clip(np.diag(cov), 1e-300, None))
-    r = cov / np.outer(sd, sd)
+    sd = np.sqrt(np.clip(np.diag(g.sxx), 1e-300, None))
+    r = g.sxx / np.outer(sd, sd)
     terms = g.terms[1:]
     out = []
     det_all = np.linalg.det(r)
@@ -332,10 +347,12 @@ def natural_spline_cols(x: Column, knots: Sequence[float], prefix: str) -> list[
 
 
 def spline_effect(spark: SparkSession, fit: OlsFit, d: Design, var: str, knots: Sequence[float],
-                  prefix: str, lo: int, hi: int, level: float = 0.95) -> DataFrame:
+                  prefix: str, lo: int, hi: int, level: float = 0.95,
+                  named: Sequence[float] = (25, 50)) -> DataFrame:
     """Prediction and band on a one-unit grid of ``var``; factors at
-    their reference level, other numeric inputs at 0. x'(X'X)^-1 x uses the
-    broadcast p x p covariance as literals."""
+    their reference level, other numeric inputs at 0. ``is_named`` marks the
+    values that a report names. x'(X'X)^-1 x uses the p x p covariance as
+    literals."""
     grid = spark.range(lo, hi + 1).select(F.col("id").cast("double").alias(var))
     basis = dict(natural_spline_cols(F.col(var), knots, prefix))
     vec = []
@@ -353,4 +370,5 @@ def spline_effect(spark: SparkSession, fit: OlsFit, d: Design, var: str, knots:
     tq = t_quantile(level, max(fit.n - fit.p, 1))
     se = F.sqrt(F.greatest(var_e, F.lit(0.0)))
     return g.select(var, pred.alias("prediction"), se.alias("se"),
-                    (pred - tq * se).alias("lower"), (pred + tq * se).alias("upper"))
+                    (pred - tq * se).alias("lower"), (pred + tq * se).alias("upper"),
+                    F.col(var).isin(*[float(v) for v in named]).alias("is_named"))

@@ -253,19 +253,35 @@ def silhouette(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     return ab.agg((F.sum(s * F.col("wa")) / F.sum("wa")).alias("silhouette"))
 
 
-def pca(spark: SparkSession, df: DataFrame, cols: Sequence[str], k: int = 2):
-    """Principal components of the standardised columns; each
-    component's sign makes its largest loading positive."""
+def _pca_fit(df: DataFrame, cols: Sequence[str], k: int):
+    """Scaler and PCA models and the signed loadings (columns x k)."""
     v = VectorAssembler(inputCols=list(cols), outputCol="__f").transform(df.select(*cols).dropna())
     sc = StandardScaler(inputCol="__f", outputCol="__z", withMean=True, withStd=True).fit(v)
-    z = sc.transform(v)
-    m = PCA(k=k, inputCol="__z", outputCol="__pc").fit(z)
+    m = PCA(k=k, inputCol="__z", outputCol="__pc").fit(sc.transform(v))
     load = np.array(m.pc.toArray(), copy=True)
     for j in range(k):
         if load[np.argmax(np.abs(load[:, j])), j] < 0:
             load[:, j] *= -1
+    return sc, m, load
+
+
+def pca(spark: SparkSession, df: DataFrame, cols: Sequence[str], k: int = 2):
+    """Principal components of the standardised columns; each
+    component's sign makes its largest loading positive."""
+    _, m, load = _pca_fit(df, cols, k)
     rows = [(c, *[float(load[i, j]) for j in range(k)]) for i, c in enumerate(cols)]
     loadings = spark.createDataFrame(rows, "variable string, " + ", ".join(f"PC{j + 1} double" for j in range(k)))
     ev = spark.createDataFrame([(f"PC{j + 1}", float(x)) for j, x in enumerate(m.explainedVariance)],
                                "component string, explained_variance double")
     return loadings, ev
+
+
+def pca_scores(df: DataFrame, cols: Sequence[str], k: int = 2) -> DataFrame:
+    """Every row with its scores ``PC1`` ... on the components (null where
+    a column is null); the components are fitted on the complete rows."""
+    sc, _, load = _pca_fit(df, cols, k)
+    mean, sd = sc.mean.toArray(), sc.std.toArray()
+    z = [(F.col(c) - float(mean[i])) / float(sd[i]) if sd[i] > 0 else F.col(c) * 0.0
+         for i, c in enumerate(cols)]
+    return df.select("*", *[sum((z[i] * float(load[i, j]) for i in range(1, len(cols))),
+                                z[0] * float(load[0, j])).alias(f"PC{j + 1}") for j in range(k)])

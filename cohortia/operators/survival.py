@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import chi2_sf
+from ..session import keep
 
 Z95 = 1.959963984540054
 
@@ -52,7 +53,8 @@ def log_rank_table(df: DataFrame, time: str, event: str, by: str) -> DataFrame:
     """Per group: observed and expected events and the per-time variance
     terms needed by the test; every (group, time) pair is filled in so the
     at-risk counts are correct at every event time."""
-    g, _ = _counts(df, time, event, by)
+    # groups x times rows, read several times below
+    g = keep(_counts(df, time, event, by)[0])
     groups = g.select(by).distinct()
     times = g.select("time").distinct()
     grid = (groups.crossJoin(times)

@@ -445,6 +445,68 @@ def q_ready_baskets(spark, sf):
     return rounded(bk.ready_baskets(bk.basket_rules(fx.baskets(spark, sf), **BASKET_LIMITS)))
 
 
+def _mixed_item_rules(spark, sf):
+    return bk.basket_rules(fx.basket_items(spark, sf))     # the reference's limits
+
+
+@register("basket_rules")
+def q_basket_rules(spark, sf):
+    return rounded(bk.rule_table(_mixed_item_rules(spark, sf)))
+
+
+@register("basket_bundles")
+def q_basket_bundles(spark, sf):
+    return bk.connected_bundles(_mixed_item_rules(spark, sf))
+
+
+# ---------------------------------------------------------------- readers and sinks
+from uuid import uuid4  # noqa: E402
+
+from ..session import shared_folder  # noqa: E402
+from ..sources import readers, sinks  # noqa: E402
+
+
+def _new_path(spark, label):
+    return f"{shared_folder(spark)}/cohortia-{label}-{uuid4().hex}"
+
+
+@register("read_back_transactions")
+def q_read_back_transactions(spark, sf):
+    path = _new_path(spark, "transactions")
+    cents = F.col("PL_gross_sales").cast("decimal(18,2)").cast("string")
+    other = F.when(F.col("id_customer") % 11 == 0, F.lit("n/a")).otherwise(
+        F.col("number_items_other").cast("string"))
+    tx = fx.transactions(spark, sf).withColumns({
+        "date": F.col("date").cast("string"), "PL_gross_sales": F.replace(cents, F.lit("."), F.lit(",")),
+        "number_items_other": other})
+    sinks.write_table(tx, path, fmt="csv")
+    return rounded(readers.read_transactions(spark, path))
+
+
+@register("read_back_weekly")
+def q_read_back_weekly(spark, sf):
+    path = _new_path(spark, "weekly")
+    sinks.write_table(fx.weekly(spark, sf).withColumn("week", F.date_format("week", "dd.MM.yy")),
+                      path, fmt="csv")
+    return rounded(readers.read_weekly(spark, path, date_col="week"))
+
+
+@register("read_back_report")
+def q_read_back_report(spark, sf):
+    path = _new_path(spark, "report")
+    students = fx.students(spark, sf)
+    nations = fx.table(spark, sf, "nation").join(
+        fx.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sinks.write_report({"regions": nations, "students": students}, path)
+    fit, _, _ = lm.ols_fit(students, "Exam_Score", ["Hours_Studied", "Attendance"])
+    sinks.export_model(lm.tidy(spark, fit), f"{path}/model")
+    parts = [spark.read.parquet(f"{path}/{n}").groupBy(F.lit(n).alias("name")).agg(
+        F.count(F.lit(1)).alias("rows")) for n in ("regions", "students")]
+    model = spark.read.json(f"{path}/model").groupBy(F.lit("model").alias("name")).agg(
+        F.count(F.lit(1)).alias("rows"))
+    return parts[0].unionByName(parts[1]).unionByName(model)
+
+
 # ---------------------------------------------------------------- descriptive, encoders
 from ..functions import scalar as sc  # noqa: E402
 
@@ -480,6 +542,15 @@ def q_kde_by_churn(spark, sf):
     return rounded(qa.kde(s, "Monetary_Value", "Churn", qa.even_grid(s, "Monetary_Value", 50)))
 
 
+@register("kde_by_churn_smooth")
+def q_kde_by_churn_smooth(spark, sf):
+    s = survival_input(spark, sf).join(
+        cu.churn_customers(fx.transactions(spark, sf)).select("id_customer", "Monetary_Value"),
+        "id_customer")
+    grid = qa.even_grid(s, "Monetary_Value", 50)
+    return rounded(qa.kde(s, "Monetary_Value", "Churn", grid, adjust=1.5))
+
+
 @register("qq_points")
 def q_qq_points(spark, sf):
     c = cu.rfm_customers(cu.drop_sales_anomaly(fx.transactions(spark, sf)))
@@ -910,6 +981,11 @@ def q_pca_loadings(spark, sf):
     return rounded(load.crossJoin(ev_wide))
 
 
+@register("pca_scores")
+def q_pca_scores(spark, sf):
+    return rounded(md.pca_scores(_kept(spark, sf).regular.select("id_customer", *SCORES), SCORES, 2))
+
+
 # ---------------------------------------------------------------- marketing mix
 from ..operators import mix as mm  # noqa: E402
 

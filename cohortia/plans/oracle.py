@@ -7,6 +7,8 @@ places as the Spark side.
 
 from __future__ import annotations
 
+import re
+
 from .compare import BIAS, digits_for
 from ..sources.fixtures import CHANNELS, FIXTURE_SQL, EDUCATION, DISTANCE, TEACHER_QUALITY, LEVELS_LMH
 
@@ -598,6 +600,43 @@ bd AS (SELECT least(antecedent, consequent) AS item_a, greatest(antecedent, cons
        FROM top WHERE rn = 1)
 SELECT item_a, item_b, {rx('max(lift)', 'lift')} AS lift, {rx('max(confidence)', 'confidence')} AS confidence FROM bd GROUP BY 1, 2"""
 
+# all rules: item sets grown level by level as bit masks (frequent ones only)
+_LEVELS = 9
+_level = ["""l1 AS MATERIALIZED (SELECT basket_id, bit AS mask, bit AS top FROM it),
+f1 AS MATERIALIZED (SELECT mask, count(*) AS c FROM l1 GROUP BY 1 HAVING count(*) > 0.01 * (SELECT n FROM n))"""]
+for _k in range(2, _LEVELS + 1):
+    _level.append(f"""l{_k} AS MATERIALIZED (SELECT l.basket_id, l.mask + it.bit AS mask, it.bit AS top
+  FROM l{_k - 1} l JOIN f{_k - 1} USING (mask) JOIN it ON it.basket_id = l.basket_id AND it.bit > l.top),
+f{_k} AS MATERIALIZED (SELECT mask, count(*) AS c FROM l{_k} GROUP BY 1 HAVING count(*) > 0.01 * (SELECT n FROM n))""")
+_RULES = f"""WITH b AS ({FIXTURE_SQL['basket_items']}),
+n AS (SELECT count(DISTINCT basket_id) AS n FROM b),
+bits AS (SELECT item, CAST(1 AS BIGINT) << CAST(row_number() OVER (ORDER BY item) - 1 AS INTEGER) AS bit
+         FROM (SELECT DISTINCT item FROM b)),
+it AS MATERIALIZED (SELECT basket_id, bit FROM b JOIN bits USING (item)),
+""" + ",\n".join(_level) + """,
+f AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, _LEVELS + 1)) + """),
+rules AS MATERIALIZED (SELECT f.mask - bits.bit AS ante, bits.item AS consequent, f.c / n.n AS support, f.c / a.c AS confidence,
+       (f.c / a.c) / (s.c / n.n) AS lift
+  FROM f JOIN bits ON (f.mask & bits.bit) <> 0 JOIN f a ON a.mask = f.mask - bits.bit JOIN f s ON s.mask = bits.bit, n
+  WHERE f.c / a.c > 0.65 AND (f.c / a.c) / (s.c / n.n) > 1.2),
+named AS MATERIALIZED (SELECT string_agg(bits.item, ', ' ORDER BY bits.item) AS antecedent, consequent, support, confidence,
+       lift, count(*) AS size FROM rules JOIN bits ON (ante & bits.bit) <> 0 GROUP BY ante, consequent, support, confidence, lift)"""
+ORACLES["basket_rules"] = _RULES.replace("lift, count(*) AS size", "lift, count(*) AS n_antecedent") + f"""
+SELECT antecedent, consequent, n_antecedent, {r('support', 'support')}, {r('confidence', 'confidence')}, {r('lift', 'lift')} FROM named"""
+ORACLES["basket_bundles"] = _RULES.replace("WITH b AS", "WITH RECURSIVE b AS", 1) + """,
+e AS (SELECT antecedent AS x, consequent AS y FROM named WHERE size = 1 UNION SELECT consequent, antecedent FROM named WHERE size = 1),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y)
+SELECT bundle, item, count(*) OVER (PARTITION BY bundle) AS n_items FROM (SELECT x AS item, min(least(x, y)) AS bundle FROM reach GROUP BY x)"""
+
+
+# ---------------------------------------------------------------- readers and sinks
+ORACLES["read_back_transactions"] = f"""WITH tx AS ({FIXTURE_SQL['tx']})
+SELECT id_customer, date, {r('gross_sales', 'gross_sales')}, {r('net_sales', 'net_sales')},
+       {r('PL_gross_sales', 'PL_gross_sales')}, CAST(number_item_PL AS BIGINT) AS number_item_PL,
+       CASE WHEN id_customer % 11 <> 0 THEN CAST(number_items_other AS BIGINT) END AS number_items_other, store_type FROM tx"""
+ORACLES["read_back_report"] = """SELECT 'regions' AS name, count(*) AS rows FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'students', count(*) FROM part UNION ALL SELECT 'model', 3"""
+
 
 # ---------------------------------------------------------------- descriptive, encoders
 from ..functions.stats import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, ACKLAM_PLOW  # noqa: E402
@@ -658,6 +697,9 @@ SELECT kd.Churn, {rx('kd.point', 'point')} AS point,
        {rx('kd.s / (st.n * st.h * 2.5066282746310002)', 'density')} AS density
 FROM kd JOIN st USING (Churn)"""
 
+ORACLES["kde_by_churn_smooth"] = ORACLES["kde_by_churn"].replace(
+    "pow(CAST(count(*) AS DOUBLE), -0.2) AS h", "pow(CAST(count(*) AS DOUBLE), -0.2) * 1.5 AS h")
+
 ORACLES["qq_points"] = _CLEAN_CUST + f""",
 q AS (SELECT row_number() OVER (ORDER BY AVG_Ticket) AS i, AVG_Ticket AS sample, count(*) OVER () AS n
       FROM cust WHERE AVG_Ticket IS NOT NULL)
@@ -705,6 +747,10 @@ tgt AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week, sum(gross_sales)
 weekly AS (SELECT w.*, coalesce(t.sales, 0.0) AS sales FROM wide w LEFT JOIN tgt t USING (week))"""
 
 
+# two-digit years are read as 20xx
+ORACLES["read_back_weekly"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()}
+SELECT CAST(CASE WHEN year(week) < 2000 THEN week + INTERVAL 100 YEAR ELSE week END AS DATE) AS week, {r('sales', 'sales')}, """ + ", ".join(
+    r(f"spend_{n}", f"spend_{n}") for n in CHANNELS.values()) + " FROM weekly"
 ORACLES["inflation_adjust"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()},
 mu AS (SELECT avg(o_totalprice) AS mu FROM orders),
 cpi AS (SELECT year(o_orderdate) AS year, avg(o_totalprice) / max(mu.mu) * 100 AS cpi FROM orders, mu GROUP BY 1),
@@ -755,6 +801,179 @@ ORACLES["natural_spline_basis"] = _SR + f"""
 SELECT respondent, {r('x', 'AGE_ns1')}, {rx('d1 - d3', 'AGE_ns2')} AS AGE_ns2, {rx('d2 - d3', 'AGE_ns3')} AS AGE_ns3 FROM d"""
 
 
+# Least squares in SQL: sums of products about the means as a table (i, j, v),
+# one sweep per column. Afterwards the X block is minus the inverse, the last
+# column holds the slopes and the last cell the residual sum of squares.
+def sweep_ctes(name: str, src: str, p: int) -> str:
+    out, last = [f"{name}0 AS MATERIALIZED ({src})"], f"{name}0"
+    for k in range(1, p + 1):
+        out.append(f"""{name}{k} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN coalesce(d.v, 0) = 0 THEN a.v
+       WHEN a.i = {k} AND a.j = {k} THEN -1 / d.v WHEN a.i = {k} OR a.j = {k} THEN a.v / d.v
+       ELSE a.v - ri.v * rj.v / d.v END AS v
+FROM {last} a LEFT JOIN {last} d ON d.i = {k} AND d.j = {k}
+LEFT JOIN {last} ri ON ri.i = a.i AND ri.j = {k} LEFT JOIN {last} rj ON rj.i = {k} AND rj.j = a.j)""")
+        last = f"{name}{k}"
+    return ",\n".join(out)
+
+
+def fit_ctes(rows: str, xs: list[str], y: str, name: str = "g") -> str:
+    """CTEs over the table ``rows`` (with a ``row`` key): long values, means,
+    sums of products, the swept table ``<name>s`` and one row of totals."""
+    p = len(xs)
+    values = ", ".join(f"CAST({e} AS DOUBLE)" for e in [*xs, y])
+    return f"""{name}l AS MATERIALIZED (SELECT row, unnest(range(1, {p + 2})) AS j, unnest([{values}]) AS x FROM {rows}),
+{name}m AS MATERIALIZED (SELECT j, avg(x) AS m FROM {name}l GROUP BY j),
+{name}c AS MATERIALIZED (SELECT row, j, x - m AS x FROM {name}l JOIN {name}m USING (j)),
+{sweep_ctes(name, f"SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS v FROM {name}c a JOIN {name}c b USING (row) GROUP BY 1, 2", p)},
+{name}b AS MATERIALIZED (SELECT s.i AS j, s.v AS b, m.m FROM {name}{p} s JOIN {name}m m ON m.j = s.i WHERE s.j = {p + 1} AND s.i <= {p}),
+{name}t AS MATERIALIZED (SELECT (SELECT count(*) FROM {rows}) AS n, {p + 1} AS p, s.v AS rss, z.v AS tss,
+      (SELECT m FROM {name}m WHERE j = {p + 1}) AS ymean, s.v / ((SELECT count(*) FROM {rows}) - {p + 1}) AS sigma2
+      FROM {name}{p} s, {name}0 z WHERE s.i = {p + 1} AND s.j = {p + 1} AND z.i = {p + 1} AND z.j = {p + 1}),
+{name}inv AS MATERIALIZED (SELECT i, j, -v AS v FROM {name}{p} WHERE i <= {p} AND j <= {p}),
+{name}f AS MATERIALIZED (SELECT c.row, t.ymean + sum(CASE WHEN c.j <= {p} THEN c.x * b.b ELSE 0 END) AS fitted
+      FROM {name}c c LEFT JOIN {name}b b USING (j), {name}t t GROUP BY c.row, t.ymean)"""
+
+
+# Simpson weights, for tail areas of the t and chi-square densities
+SIMPSON = """pts AS MATERIALIZED (SELECT CAST(range AS DOUBLE) / 8000 AS step, CASE WHEN range IN (0, 8000) THEN 1
+       WHEN range % 2 = 1 THEN 4 ELSE 2 END / 24000.0 AS wt FROM range(8001))"""
+
+
+def t_tail(t: str, nu: str) -> str:
+    """Two-sided tail area; the grid spans at least 20 decay lengths."""
+    w = f"(40 * ({nu} + {t} * {t}) / (({nu} + 1) * (1 + {t})))"
+    return (f"(SELECT 2 * {w} * sum(wt * exp(lgamma(({nu} + 1) / 2.0) - lgamma({nu} / 2.0) - 0.5 * ln({nu} * pi()) "
+            f"- ({nu} + 1) / 2.0 * ln(1 + ({t} + {w} * step) * ({t} + {w} * step) / {nu}))) FROM pts)")
+
+
+def chi2_tail(x: str, k: str) -> str:
+    return (f"(SELECT 120 * sum(wt * exp(({k} / 2.0 - 1) * ln({x} + 120 * step) - ({x} + 120 * step) / 2 "
+            f"- {k} / 2.0 * ln(2.0) - lgamma({k} / 2.0))) FROM pts)")
+
+
+def t_critical(nu: str) -> str:
+    """97.5 % point of the t distribution from the normal one (expansion)."""
+    z = 1.959963984540054
+    g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    return "(" + " + ".join([repr(z), *[f"{c!r} / pow({nu}, {i + 1})" for i, c in enumerate(g)]]) + ")"
+
+
+def tidy_sql(names: list[str]) -> str:
+    """Coefficient table of the fit ``g``, columns named in order."""
+    label = "list_extract([" + ", ".join(f"'{n}'" for n in ["Intercept", *names]) + "], c.j + 1)"
+    return f""", {SIMPSON},
+c AS (SELECT 0 AS j, t.ymean - (SELECT sum(b * m) FROM gb) AS est,
+             sqrt(t.sigma2 * (1.0 / t.n + (SELECT sum(a.m * i.v * b.m) FROM ginv i JOIN gb a ON a.j = i.i JOIN gb b ON b.j = i.j))) AS se
+      FROM gt t
+      UNION ALL SELECT b.j, b.b, sqrt(t.sigma2 * i.v) FROM gb b JOIN ginv i ON i.i = b.j AND i.j = b.j, gt t),
+tq AS MATERIALIZED (SELECT c.*, abs(est / se) AS t, CAST(gt.n - gt.p AS DOUBLE) AS nu FROM c, gt),
+q AS MATERIALIZED (SELECT tq.*, {t_tail('tq.t', 'tq.nu')} AS p FROM tq)
+SELECT {label} AS term, {r('est', 'estimate')}, {r('se', 'std_error')}, {r('est / se', 'statistic')},
+       {r('p', 'p_value')}, {rx(f"est - se * {t_critical('nu')}", 'conf_low')} AS conf_low,
+       {rx(f"est + se * {t_critical('nu')}", 'conf_high')} AS conf_high, 'ols' AS model FROM q c"""
+
+
+def vif_sql(terms: list[str]) -> str:
+    """Generalised variance inflation of terms with one or two columns:
+    det(S_tt) det(inverse_tt)."""
+    out = []
+    for t in dict.fromkeys(terms):
+        at = [i + 1 for i, x in enumerate(terms) if x == t]
+        def det(table):
+            def v(a, b):
+                return f"(SELECT v FROM {table} WHERE i = {a} AND j = {b})"
+            if len(at) == 1:
+                return v(at[0], at[0])
+            return f"({v(at[0], at[0])} * {v(at[1], at[1])} - {v(at[0], at[1])} * {v(at[1], at[0])})"
+        out.append(f"SELECT '{t}' AS term, {det('g0')} * {det('ginv')} AS gvif, {len(at)} AS df")
+    return (f",\nq AS ({' UNION ALL '.join(out)})\nSELECT term, {r('gvif', 'gvif')}, df, "
+            f"{rx('pow(gvif, 1.0 / (2 * df))', 'gvif_adj')} AS gvif_adj FROM q")
+
+
+_IMPUTED = ["Teacher_Quality", "Parental_Education_Level", "Distance_from_Home"]
+_SX = {"Attendance": "Attendance", "Hours_Studied": "Hours_Studied", "Sleep_Hours": "Sleep_Hours",
+       "Previous_Scores": "Previous_Scores"}
+for _f, _lv in [("Motivation_Level", ["Low", "Medium"]), ("Internet_Access", ["Yes"]), ("Gender", ["Male"]),
+                ("Teacher_Quality", ["Low", "Medium"])]:
+    _SX |= {f"C({_f})[T.{v}]": f"CASE WHEN {_f} = '{v}' THEN 1 ELSE 0 END" for v in _lv}
+for _v in ["Low", "Medium"]:
+    _SX[f"C(Teacher_Quality)[T.{_v}]:C(Internet_Access)[T.Yes]"] = (
+        f"CASE WHEN Teacher_Quality = '{_v}' AND Internet_Access = 'Yes' THEN 1 ELSE 0 END")
+_SX["Hours_Studied:C(Gender)[T.Male]"] = "CASE WHEN Gender = 'Male' THEN Hours_Studied ELSE 0 END"
+_ST = [re.sub(r"C\((\w+)\)\[T\.\w+\]", r"\1", n) for n in _SX]
+_STUDENT_FIT = f"WITH s AS ({students_clean_sql()}),\n" + ",\n".join(
+    f"m_{c} AS (SELECT {c} AS v FROM s WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+    for c in _IMPUTED) + """,
+filled AS MATERIALIZED (SELECT student_id AS row, s.* REPLACE (""" + ", ".join(
+    f"coalesce({c}, (SELECT v FROM m_{c})) AS {c}" for c in _IMPUTED) + """) FROM s
+  WHERE Motivation_Level IS NOT NULL AND Internet_Access IS NOT NULL AND Gender IS NOT NULL),
+""" + fit_ctes("filled", list(_SX.values()), "ln(1 + Exam_Score)")
+ORACLES["ols_tidy"] = _STUDENT_FIT + tidy_sql(list(_SX))
+ORACLES["ols_performance"] = _STUDENT_FIT + f""",
+q AS (SELECT *, 1 - rss / tss AS r2, -n / 2.0 * (ln(2 * pi() * rss / n) + 1) AS ll FROM gt)
+SELECT 'ols' AS model, n, p AS params, {rx('sqrt(rss / n)', 'rmse')} AS rmse, {rx('sqrt(sigma2)', 'sigma')} AS sigma,
+       {r('r2', 'r2')}, {rx('1 - (1 - r2) * (n - 1) / (n - p)', 'adj_r2')} AS adj_r2, {r('ll', 'loglik')} ,
+       {rx('-2 * ll + 2 * (p + 1)', 'aic')} AS aic, {rx('-2 * ll + ln(n) * (p + 1)', 'bic')} AS bic FROM q"""
+ORACLES["vif"] = _STUDENT_FIT + vif_sql(_ST)
+ORACLES["breusch_pagan"] = _STUDENT_FIT + f""", {SIMPSON},
+sq AS MATERIALIZED (SELECT filled.*, pow(ln(1 + Exam_Score) - fitted, 2) AS e2 FROM filled JOIN gf USING (row)),
+{fit_ctes('sq', list(_SX.values()), 'e2', 'h')},
+q AS MATERIALIZED (SELECT n * (1 - rss / tss) AS x FROM ht),
+pq AS MATERIALIZED (SELECT x, {chi2_tail('q.x', str(len(_SX)))} AS p FROM q)
+SELECT 'all_regressors' AS form, {r('x', 'statistic')}, {len(_SX)} AS dof, {r('p', 'p_value')} FROM pq"""
+ORACLES["binned_trend"] = _STUDENT_FIT + f""",
+e AS (SELECT fitted, sqrt(abs(ln(1 + Exam_Score) - fitted)) AS y FROM filled JOIN gf USING (row)),
+mm AS (SELECT min(fitted) AS mn, max(fitted) AS mx FROM e)
+SELECT CAST(least(floor((fitted - mn) / ((mx - mn) / 20)), 19) AS INTEGER) AS bin, {rx('avg(fitted)', 'x_mean')} AS x_mean,
+       {rx('avg(y)', 'y_mean')} AS y_mean, count(*) AS n FROM e, mm GROUP BY 1"""
+
+_items = [f"D12_{i}" for i in range(2, 21)]
+ORACLES["vif_items"] = f"""WITH s AS (SELECT respondent AS row, * FROM ({FIXTURE_SQL['survey_items']})
+  WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ['D12_1', *_items])}),
+{fit_ctes('s', _items, 'D12_1')}""" + vif_sql(_items)
+
+_PX = {"AGE_ns1": "x", "AGE_ns2": "d1 - d3", "AGE_ns3": "d2 - d3"}
+for _f, _lv in [("SEX", ["1"]), ("REGION", ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]),
+                ("PROFESSION", ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])]:
+    _PX |= {f"C({_f})[T.{v}]": f"CASE WHEN {_f} = '{v}' THEN 1 ELSE 0 END" for v in _lv}
+_SPLINE_FIT = _SR + """,
+sp AS MATERIALIZED (SELECT s.respondent AS row, s.DLIT, s.SEX, s.REGION, s.PROFESSION, d.x, d.d1, d.d2, d.d3
+                    FROM s JOIN d USING (respondent)),
+""" + fit_ctes("sp", list(_PX.values()), "DLIT")
+ORACLES["spline_tidy"] = _SPLINE_FIT + tidy_sql(list(_PX))
+_dk = "(pow(greatest(AGE - k.k{0}, 0.0), 3) - pow(greatest(AGE - k.k4, 0.0), 3)) / (k.k4 - k.k{0})"
+ORACLES["spline_effect"] = _SPLINE_FIT + f""",
+grid AS (SELECT CAST(range AS DOUBLE) AS AGE FROM range(18, 88)),
+basis AS (SELECT AGE, {_dk.format(1)} AS d1, {_dk.format(2)} AS d2, {_dk.format(3)} AS d3 FROM grid, k),
+z AS MATERIALIZED (SELECT AGE, b.j, b.b, CASE b.j WHEN 1 THEN AGE WHEN 2 THEN d1 - d3 WHEN 3 THEN d2 - d3 ELSE 0 END - b.m AS x
+                   FROM basis, gb b),
+pr AS (SELECT AGE, sum(x * b) AS up FROM z GROUP BY 1),
+ve AS (SELECT a.AGE, sum(a.x * i.v * c.x) AS v FROM z a JOIN ginv i ON i.i = a.j JOIN z c ON c.j = i.j AND c.AGE = a.AGE GROUP BY 1),
+q AS (SELECT AGE, ymean + up AS pred, sqrt(sigma2 * (1.0 / n + v)) AS e, {t_critical('(n - p)')} AS tq
+      FROM pr JOIN ve USING (AGE), gt)
+SELECT AGE, {r('pred', 'prediction')}, {r('e', 'se')}, {rx('pred - tq * e', 'lower')} AS lower,
+       {rx('pred + tq * e', 'upper')} AS upper, AGE IN (25, 50) AS is_named FROM q"""
+
+# the log-rank variance of up to eight groups, all but the last swept
+_LOGRANK = ORACLES["log_rank_oe"].rsplit("\nSELECT grp", 1)[0] + f""", {SIMPSON},
+oe AS MATERIALIZED (SELECT grp, row_number() OVER (ORDER BY CAST(grp AS VARCHAR)) AS i, sum(d) AS o, sum(n * DD / NN) AS e
+       FROM rk JOIN tt USING (time) WHERE NN > 0 GROUP BY grp),
+pt AS MATERIALIZED (SELECT oe.i, time, n / NN AS sh, CASE WHEN NN > 1 THEN DD * (NN - DD) / (NN - 1) ELSE 0 END AS f
+       FROM rk JOIN tt USING (time) JOIN oe USING (grp) WHERE NN > 0),
+vv AS (SELECT a.i, b.i AS j, sum(a.f * a.sh * (CASE WHEN a.i = b.i THEN 1 ELSE 0 END - b.sh)) AS v
+       FROM pt a JOIN pt b USING (time) WHERE a.i < (SELECT max(i) FROM oe) AND b.i < (SELECT max(i) FROM oe) GROUP BY 1, 2
+       UNION ALL SELECT i, 99, o - e FROM oe WHERE i < (SELECT max(i) FROM oe)
+       UNION ALL SELECT 99, i, o - e FROM oe WHERE i < (SELECT max(i) FROM oe) UNION ALL SELECT 99, 99, 0),
+{sweep_ctes('lw', 'SELECT * FROM vv', 7)},
+q AS MATERIALIZED (SELECT -v AS x, (SELECT max(i) - 1 FROM oe) AS k FROM lw7 WHERE i = 99 AND j = 99),
+pq AS MATERIALIZED (SELECT x, CAST(k AS INTEGER) AS k, {chi2_tail('q.x', 'q.k')} AS p FROM q)"""
+ORACLES["log_rank"] = _LOGRANK + f"""
+SELECT grp AS Store_Type_Variety, CAST(o AS BIGINT) AS observed, {rx('e', 'expected')} AS expected,
+       {rx('(o - e) * (o - e) / e', 'oe_term')} AS oe_term, {rx('x', 'chisq')} AS chisq, {rx('p', 'p_value')} AS p_value,
+       k AS dof FROM oe, pq"""
+
+
 # ---------------------------------------------------------------- clustering on given labels
 ORACLES["cluster_summary_by_segment"] = rfm_ctes() + f""",
 g AS (SELECT Customer_Segment, avg(Monetary_Value) AS a1, avg(AVG_Ticket) AS a2, avg(Frequency) AS a3,

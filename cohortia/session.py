@@ -8,6 +8,7 @@ smoke entry point.
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only in
+    local mode with the setting unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="cohortia-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist a table that several actions read; lost blocks recompute."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

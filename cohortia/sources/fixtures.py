@@ -168,6 +168,18 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of two kinds per basket: brands and their makers (brand number
+    modulo 5)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", F.concat(F.lit("Maker#"), (_brand_no() % 5).cast("string")).alias("maker"))
+    return (li.join(p, li.l_partkey == p.p_partkey)
+            .select(F.col("l_orderkey").alias("basket_id"),
+                    F.explode(F.array("p_brand", "maker")).alias("item"))
+            .distinct())
+
+
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with an arithmetic 0/1 label and a score in [0, 1]."""
     o = table(spark, sf_dir, "orders")
@@ -217,6 +229,9 @@ FROM (SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THE
     "baskets": """
 SELECT DISTINCT l.l_orderkey AS basket_id, p.p_brand AS item
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
+    "basket_items": """
+SELECT l.l_orderkey AS basket_id, p.p_brand AS item FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+UNION SELECT l.l_orderkey, 'Maker#' || CAST(TRY_CAST(substr(p.p_brand, 7, 10) AS INTEGER) % 5 AS VARCHAR) FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
     "weekly_long": """
 SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week, o_orderpriority AS channel,
        SUM(o_totalprice) AS spend

@@ -36,13 +36,18 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
 
 def read_weekly(spark: SparkSession, path: str, schema: StructType | str | None = None,
                 date_col: str = "WEEKSTARTINGSELLOUT", fmt: str = "csv") -> DataFrame:
-    """Weekly marketing table; the week text ``dd.MM.yy`` becomes a date."""
+    """Weekly marketing table; the week text ``dd.MM.yy`` becomes a date.
+    Without a schema every other column of a CSV is read as a number (null
+    where it is none)."""
     reader = spark.read.option("header", True)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.parquet(path) if fmt == "parquet" else reader.csv(path)
     if date_col in df.columns and dict(df.dtypes)[date_col] == "string":
         df = df.withColumn(date_col, F.to_date(date_col, "dd.MM.yy"))
+    if schema is None and fmt == "csv":
+        df = df.select(*[F.col(c) if c == date_col else F.col(c).try_cast("double").alias(c)
+                         for c in df.columns])
     return df
 
 

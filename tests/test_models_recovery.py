@@ -69,3 +69,29 @@ def test_backward_select_drops_noise(spark):
     assert [t for t, _ in dropped] == ["x3"]
     v = dict((t, gv) for t, gv, _, _ in lm.vif(g))
     assert all(0.99 < v[t] < 1.05 for t in ("x1", "x2", "x3"))
+
+
+def test_gram_keeps_digits_when_means_are_large(spark):
+    rng = np.random.default_rng(5)
+    x = 1e8 + rng.normal(size=2000)
+    y = 1e8 + 2 * (x - 1e8) + rng.normal(0, 0.1, 2000)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    fit, _, _ = lm.ols_fit(df, "y", ["x"])
+    dx, dy = x - x.mean(), y - y.mean()
+    slope = dx @ dy / (dx @ dx)
+    assert abs(fit.beta[1] - slope) < 1e-8 and abs(fit.rss / ((dy - slope * dx) ** 2).sum() - 1) < 1e-6
+    empty = lm.gram(lm.design(df.limit(0), "y", ["x"]))
+    assert empty.n == 0 and not empty.sxx.any()
+
+
+def test_pca_scores_are_the_projections(spark):
+    from cohortia.operators import models as md
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(300, 3)) @ np.array([[1, 0.8, 0], [0, 0.6, 0.3], [0, 0, 1.0]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(a)], "i int, a double, b double, c double")
+    got = np.array([[r["PC1"], r["PC2"]] for r in md.pca_scores(df, ["a", "b", "c"], 2).orderBy("i").collect()])
+    z = (a - a.mean(0)) / a.std(0, ddof=1)
+    value, vector = np.linalg.eigh(np.corrcoef(z.T))
+    for j, k in enumerate((2, 1)):
+        v = vector[:, k] * np.sign(vector[np.argmax(np.abs(vector[:, k])), k])
+        assert np.allclose(got[:, j], z @ v, atol=1e-8)
