@@ -140,8 +140,11 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         del stack[index:]
 
     at, end = 0, len(page)
+    # no tag ends and no comment opens beyond here: the rest is text, and is
+    # not searched again from every "<"
+    last = max(page.rfind(">"), page.rfind("<!--"))
     while at < end:
-        found = _TAG.search(page, at)
+        found = _TAG.search(page, at) if at <= last else None
         if not found:
             take(page[at:], at)
             break

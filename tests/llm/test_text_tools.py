@@ -144,3 +144,10 @@ def test_long_conversation_positions(spark):
     for k, r in enumerate(table):
         assert (r["pos"], r["turn"], r["start"]) == (k, k, at)
         at = r["end"]
+
+
+def test_many_unclosed_tags_are_text_in_linear_time():
+    page = "<p>one</p>" + "<a " * 200_000
+    found = he.blocks(page)
+    assert [t for t, _, _ in found] == ["one", ("<a " * 200_000).strip()]
+    assert [t for t, _, _ in he.blocks("<p>one</p><!-- two")] == ["one"]
