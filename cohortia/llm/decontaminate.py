@@ -4,9 +4,10 @@ Texts are canonicalised: numbers, units after a number and names (capitalised
 words that do not open a sentence) become typed placeholders, neighbouring
 equal placeholders one; other words are lower-cased and lose outer
 punctuation. Windows of five template words are hashed and the windows of all
-documents hash-joined with those of the benchmark items (each as it is and in
-lower case, since a lower-cased copy has no names). An item whose windows
-occur in a document (0.8 of them at least) is then checked for slot
+documents hash-joined with those of the benchmark items, both as they are and
+in lower case (without names), since a copy in lower or upper case has no names
+or nothing else. An item whose windows occur in a document of the same form
+(0.8 of them at least) is then checked for slot
 consistency: reading item and document side by side, each number, name or unit
 of the item must stand for one and the same value of the document. So a
 question with other numbers or names is caught, a text that merely shares the
@@ -65,9 +66,10 @@ class Words:
     def add(self, word: str) -> int:
         bare = word.strip(PUNCTUATION)
         low = bare.lower()
+        folded = bare.casefold()
         number = bool(bare) and (bare[0].isdigit() or (bare[0] in "+-$€£" and bare[1:2].isdigit())
                                  or low in NUMBER_WORDS)
-        self.new.append((xxhash.xxh64_intdigest(low.encode()), number, low in UNITS,
+        self.new.append((xxhash.xxh64_intdigest(folded.encode()), number, low in UNITS,
                           bare[:1].isupper(), word[-1] in ".!?:" or not bare))
         self.code[word] = len(self.code)
         return self.code[word]
@@ -88,36 +90,46 @@ class Words:
 _WORDS = Words()
 
 
-class Templates:
-    """Template words of several texts, one after the other: ``hashes``,
-    ``literal``, ``word`` (index of the word in its text), ``bounds`` (text t
-    has the template words bounds[t] to bounds[t + 1]) and ``texts`` (words)."""
+class Encoded:
+    """Words of several texts, one text after the other, and their properties."""
 
     def __init__(self, texts: list[str]):
         global _WORDS
         if len(_WORDS.code) > KEPT_WORDS:
             _WORDS = Words()
         self.texts = [t.split() for t in texts]
-        sizes = np.array([len(w) for w in self.texts], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        if not starts[-1]:
-            self.hashes, self.literal = np.empty(0, np.uint64), np.empty(0, bool)
-            self.word, self.bounds = np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-            return
-        codes = np.concatenate([_WORDS.encode(w) for w in self.texts])
-        hashes, number, unit, upper, ends = _WORDS.properties(codes)
+        self.sizes = np.array([len(w) for w in self.texts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        codes = np.concatenate([np.empty(0, np.int64), *(_WORDS.encode(w) for w in self.texts)])
+        self.hashes, number, unit, upper, ends = _WORDS.properties(codes)
         first = np.zeros(len(codes), bool)
-        first[starts[:-1][sizes > 0]] = True
-        unit &= np.concatenate([[False], number[:-1]]) & ~first
-        opens = np.concatenate([[True], ends[:-1]]) | first
-        name = upper & ~opens & ~number & ~unit
-        hashes[number], hashes[unit], hashes[name] = NUM, UNIT, NAME
-        slot = number | unit | name
-        keep = np.ones(len(codes), bool)
+        first[self.starts[:-1][self.sizes > 0]] = True
+        self.first, self.number = first, number
+        self.unit = unit & np.concatenate([[False], number])[:len(codes)] & ~first
+        opens = np.concatenate([[True], ends])[:len(codes)] | first
+        self.name = upper & ~opens & ~number & ~self.unit
+
+
+class Templates:
+    """Template words of several texts, one after the other: ``hashes``,
+    ``literal``, ``named`` (a name, if only in the text as it is), ``word``
+    (index of the word in its text), ``bounds`` (text t has the template words
+    bounds[t] to bounds[t + 1]) and ``texts`` (words). In the lower-case form
+    names are literal words."""
+
+    def __init__(self, words: Encoded, lower: bool):
+        self.texts, self.lower = words.texts, lower
+        hashes, first = words.hashes.copy(), words.first
+        hashes[words.number], hashes[words.unit] = NUM, UNIT
+        slot = words.number | words.unit
+        if not lower:
+            hashes[words.name] = NAME
+            slot |= words.name
+        keep = np.ones(len(hashes), bool)
         keep[1:] = ~(slot[1:] & slot[:-1] & (hashes[1:] == hashes[:-1])) | first[1:]
-        self.hashes, self.literal = hashes[keep], ~slot[keep]
-        self.word = (np.arange(len(codes)) - np.repeat(starts[:-1], sizes))[keep]
-        self.bounds = np.concatenate([[0], np.cumsum(keep)])[starts]
+        self.hashes, self.literal, self.named = hashes[keep], ~slot[keep], words.name[keep]
+        self.word = (np.arange(len(hashes)) - np.repeat(words.starts[:-1], words.sizes))[keep]
+        self.bounds = np.concatenate([[0], np.cumsum(keep)])[words.starts]
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every window that lies in one text (0: too few literal
@@ -138,6 +150,14 @@ class Templates:
         at = np.arange(bounds[-1]) + np.repeat(self.bounds[:-1] - bounds[:-1], counts)
         return out[at].view(np.int64), bounds
 
+    def with_names(self, width: int) -> np.ndarray:
+        """Whether each window of ``windows`` holds a name."""
+        counts = np.maximum(np.diff(self.bounds) - width + 1, 0)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        at = np.arange(starts[-1]) + np.repeat(self.bounds[:-1] - starts[:-1], counts)
+        names = np.concatenate([[0], np.cumsum(self.named)])
+        return names[at + width] > names[at]
+
 
 def _parts(texts: list[str], limit: int = 1 << 21) -> Iterator[list[int]]:
     """Rows of a batch in parts of about ``limit`` characters."""
@@ -154,8 +174,11 @@ def _parts(texts: list[str], limit: int = 1 << 21) -> Iterator[list[int]]:
 
 def windows(table: DataFrame, id_col: str, text_col: str, item: bool,
             widths: tuple[int, ...] = (WINDOW,)) -> DataFrame:
-    """``id, width, hashes`` per text and width; of an item only its own width,
-    the full one or its length. 0 marks unusable windows."""
+    """``id, form, width, hashes`` (usable windows) per text, form (0: as it is,
+    1: lower case) and width; of an item only the form's own width, the full one
+    or its length. What the two forms share is given once: form 0 of an item
+    without names is left out, form 1 of a document has only the windows with a
+    name (the others are among those of form 0)."""
     slim = table.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
@@ -163,20 +186,31 @@ def windows(table: DataFrame, id_col: str, text_col: str, item: bool,
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             for rows in _parts(texts):
-                found = Templates([texts[i] for i in rows])
-                sizes = np.diff(found.bounds)
+                words = Encoded([texts[i] for i in rows])
                 ids = b.column("id").take(pa.array(rows, pa.int64()))
-                own = np.minimum(sizes, WINDOW)
-                for w in sorted({int(x) for x in own if x >= MIN_LITERALS}) if item else widths:
-                    hashes, bounds = found.windows(w)
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
-                                                     pa.array(hashes, pa.int64()))
-                    out = pa.RecordBatch.from_arrays(
-                        [ids, pa.array([w] * len(rows), pa.int32()), lists],
-                        names=["id", "width", "hashes"])
-                    yield out.filter(pa.array(own == w)) if item else out
-
-    return slim.mapInArrow(run, f"id {kind}, width int, hashes array<bigint>")
+                named = np.diff(np.concatenate([[0], np.cumsum(words.name)])[words.starts]) > 0
+                for form in (0, 1):
+                    found = Templates(words, lower=form == 1)
+                    own = np.minimum(np.diff(found.bounds), WINDOW)
+                    for w in sorted({int(x) for x in own if x >= MIN_LITERALS}) if item else widths:
+                        hashes, bounds = found.windows(w)
+                        keep = hashes != 0
+                        if form == 1 and not item and len(keep):
+                            keep &= found.with_names(w)
+                        bounds = np.concatenate([[0], np.cumsum(keep)])[
+                            np.minimum(bounds, len(keep))]
+                        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
+                                                         pa.array(hashes[keep], pa.int64()))
+                        out = pa.RecordBatch.from_arrays(
+                            [ids, pa.array([form] * len(rows), pa.int32()),
+                             pa.array([w] * len(rows), pa.int32()), lists],
+                            names=["id", "form", "width", "hashes"])
+                        wanted = np.diff(bounds) > 0
+                        if item:
+                            wanted &= (own == w) & (named | (form == 1))
+                        yield out.filter(pa.array(wanted))
+
+    return slim.mapInArrow(run, f"id {kind}, form int, width int, hashes array<bigint>")
 
 
 class Text:
@@ -196,13 +230,13 @@ class Text:
         return hashes[bounds[self._number]:bounds[self._number + 1]]
 
     def value(self, place: int) -> str:
-        return self.words[self.word[place]].strip(PUNCTUATION)
+        return self.words[self.word[place]].strip(PUNCTUATION).casefold()
 
 
-def _texts(texts: list[str]) -> list[Text]:
+def _texts(words: Encoded, lower: bool) -> list[Text]:
     """The texts of one part; their windows are hashed together."""
-    found, shared = Templates(texts), {}
-    return [Text(found, i, shared) for i in range(len(texts))]
+    found, shared = Templates(words, lower), {}
+    return [Text(found, i, shared) for i in range(len(words.texts))]
 
 
 def _matches(d: Text, i: Text, least: float) -> float:
@@ -250,14 +284,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
                  item_text_col: str = "text") -> DataFrame:
     """One row per contaminated document and item: ``doc_id, item_id,
     n_windows`` (usable ones of the item), ``containment``."""
-    text = F.col(item_text_col).cast("string")
-    # an item and its lower-case form, in which names are literal words
-    forms = benchmark.select(F.col(item_col).alias("item"), F.posexplode(
-        F.array_distinct(F.array(text, F.lower(text)))).alias("form", "text")).select(
-            F.struct("item", "form").alias("item_id"), "text")
-    items = written(windows(forms, "item_id", "text", item=True)
-                    .select(F.col("id").alias("item_id"), "width",
-                            F.posexplode("hashes").alias("at", "hash")).filter("hash <> 0"), "items")
+    items = written(windows(benchmark, item_col, item_text_col, item=True)
+                    .select(F.struct(F.col("id").alias("item"), "form").alias("item_id"), "width",
+                            F.explode("hashes").alias("hash")), "items")
     # at most WINDOW different widths
     widths = tuple(sorted(r[0] for r in items.select("width").distinct().collect()))
     sizes = items.groupBy("item_id", "width").agg(F.countDistinct("hash").alias("n_windows"))
@@ -273,20 +302,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
         .select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), "n_windows"),
         "candidates")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    of_items = forms.withColumnRenamed("text", "item_text")
+    of_items = benchmark.select(F.col(item_col).alias("b_item"),
+                                F.col(item_text_col).cast("string").alias("item_text"))
     rows = (texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_doc")))
-            .join(of_items, F.col("c_item").eqNullSafe(F.col("item_id")))
-            .select("doc_id", "item_id", "n_windows", "text", "item_text"))
+            .join(of_items, F.col("c_item.item").eqNullSafe(F.col("b_item")))
+            .select("doc_id", F.col("c_item").alias("item_id"), "n_windows", "text", "item_text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             of_items = [t or "" for t in b.column("item_text").to_pylist()]
+            forms = b.column("item_id").field("form").to_pylist()
             shares_of = []
             for part in _parts(texts):
-                shares_of += [_matches(d, i, min_share) for d, i in zip(
-                    _texts([texts[k] for k in part]), _texts([of_items[k] for k in part]),
-                    strict=True)]
+                d_words = Encoded([texts[k] for k in part])
+                i_words = Encoded([of_items[k] for k in part])
+                pairs = {form: list(zip(_texts(d_words, form == 1), _texts(i_words, form == 1),
+                                        strict=True)) for form in {forms[k] for k in part}}
+                shares_of += [_matches(*pairs[forms[k]][n], min_share) for n, k in enumerate(part)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("item_id"), b.column("n_windows"),
                  pa.array(shares_of, pa.float64())],

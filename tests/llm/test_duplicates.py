@@ -203,3 +203,30 @@ def test_planted_benchmark_passages(spark):
         key = " ".join(b["text"].lower().split())
         want |= {(i, b["item_id"]) for i, t in texts.items() if key in t}
     assert want and want == found
+
+
+def test_copies_in_other_case_are_caught(spark):
+    filler = " ".join(f"f{k}" for k in range(40))
+    german = "wenn Anna über die große Straße nach Hause geht und dabei sieben Äpfel kauft, wie viele hat sie dann am Ende?"
+    low = ITEM.lower()
+    items = {100: ITEM, 101: german, 102: low.replace("train", "ship").replace("noon", "dusk")}
+    rows = {k: filler + " " + change(t) + " " + filler for k, (t, change) in enumerate(
+        (t, change) for t in items.values() for change in (str, str.upper, str.lower, str.title))}
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    hits = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect()}
+    assert {(k, 100 + k // 4) for k in rows} <= hits
+    assert dc.clean(df, bench).count() == 0
+
+
+def test_planted_benchmark_passages_of_the_larger_table(spark):
+    d = "/root/testdata/sf0.1"
+    docs_, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    found = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs_, items).collect()}
+    keys = {b["item_id"]: " ".join(b["text"].lower().split()) for b in items.collect()}
+    want = set()
+    for r in docs_.collect():
+        text = " ".join(r["text"].lower().split())
+        want |= {(r["doc_id"], i) for i, key in keys.items() if key in text}
+    assert {(1699, 130), (6420, 37), (8376, 101)} <= want
+    assert want <= found
