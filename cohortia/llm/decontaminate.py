@@ -8,8 +8,9 @@ documents hash-joined with those of the benchmark items, both as they are and
 in lower case (without names), since a copy in lower or upper case has no names
 or nothing else. An item whose windows occur in a document of the same form
 (0.8 of them at least) is then checked for slot
-consistency: reading item and document side by side, each number, name or unit
-of the item must stand for one and the same value of the document. So a
+consistency: reading item and document side by side (each window of the item
+at one place of the document, whichever shift it is tried at), each number, name
+or unit of the item must stand for one and the same value of the document. So a
 question with other numbers or names is caught, a text that merely shares the
 frame is not.
 
@@ -27,6 +28,7 @@ are joined by a skew-split shuffle beyond it.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -257,18 +259,96 @@ def _matches(d: Text, i: Text, least: float) -> float:
     # an occurrence: neighbouring shifts (an inserted or lost word moves it)
     best = 0.0
     for group in _near(sorted(by_shift), i.size):
-        values: dict[str, Counter] = {}
-        covered: set[int] = set()
-        for s in group:
-            covered |= by_shift[s]
-            for p in {x for p in by_shift[s] for x in range(p, p + width)}:
-                if not i.literal[p]:
-                    values.setdefault(i.value(p), Counter())[d.value(p + s)] += 1
-        if all(max(c.values()) >= least * sum(c.values()) for c in values.values()):
-            best = max(best, len(covered) / usable)
+        if len(set().union(*(by_shift[s] for s in group))) < least * usable:
+            continue
+        # the item at one place; about this place with words lost or put in; anywhere
+        for s in sorted(group, key=lambda x: (-len(by_shift[x]), x)):
+            alone = {p: s for p in by_shift[s]}
+            known = _slots(d, i, width, alone)
+            about = [x for x in group if abs(x - s) <= i.size]
+            for at in (alone, None):
+                if best < 1 and (at or len(set().union(*(by_shift[x] for x in about))) > best * usable):
+                    at = at or _aligned(d, i, width, about, by_shift, known)
+                    if _consistent(_slots(d, i, width, at), least):
+                        best = max(best, len(at) / usable)
+        if best < 1:
+            at = _aligned(d, i, width, group, by_shift, {})
+            if _consistent(_slots(d, i, width, at), least):
+                best = max(best, len(at) / usable)
     return best
 
 
+def _slots(d: Text, i: Text, width: int, at: dict[int, int]) -> dict[str, Counter]:
+    """Document values of each slot value of the item, for windows ``at`` their
+    shifts; a slot of the item is read once."""
+    place = {}
+    for p in sorted(at):
+        for x in range(p, p + width):
+            if not i.literal[x]:
+                place.setdefault(x, x + at[p])
+    values: dict[str, Counter] = {}
+    for x, q in place.items():
+        values.setdefault(i.value(x), Counter())[d.value(q)] += 1
+    return values
+
+
+def _consistent(values: dict[str, Counter], least: float) -> bool:
+    return all(max(c.values()) >= least * sum(c.values()) for c in values.values())
+
+
+def _aligned(d: Text, i: Text, width: int, shifts: list[int], by_shift: dict[int, set[int]],
+             known: dict[str, Counter]) -> dict[int, int]:
+    """Shift of each item window in the alignment, in the order of the document,
+    that covers most windows; of those about equal the one that contradicts the
+    ``known`` slots least. Windows that have a place out of order only are added
+    where they contradict no slot."""
+    value = {v: c.most_common(1)[0][0] for v, c in known.items()}
+    reach = max(2, i.size // 4)
+    open_at: dict[int, list[int]] = {}
+    for s in shifts:
+        for p in by_shift[s]:
+            open_at.setdefault(p, []).append(s)
+
+    def against(p: int, s: int) -> int:
+        return sum(value.get(i.value(x), w := d.value(x + s)) != w
+                   for x in range(p, p + width) if not i.literal[x])
+
+    nodes: list[tuple[float, int, int, int]] = []
+    ends: dict[int, tuple[list[int], list[int]]] = {s: ([], []) for s in shifts}
+    for p in sorted(open_at):
+        new = []
+        for s in open_at[p]:
+            score, back = 0.0, -1
+            for t in shifts[bisect_left(shifts, s - reach):bisect_right(shifts, s + reach)]:
+                places, best = ends[t]
+                k = bisect_left(places, p + min(0, s - t)) - 1
+                if k >= 0 and (x := nodes[best[k]][0] - (0.05 if t != s else 0)) > score:
+                    score, back = x, best[k]
+            # at most two slots a window: covering it always counts
+            new.append((score + 1 - 0.4 * against(p, s), p, s, back))
+        for node in new:
+            places, best = ends[node[2]]
+            places.append(node[1])
+            best.append(best[-1] if best and nodes[best[-1]][0] > node[0] else len(nodes))
+            nodes.append(node)
+    at: dict[int, int] = {}
+    k = max(range(len(nodes)), key=lambda x: nodes[x][0])
+    while k >= 0:
+        _, p, s, k = nodes[k]
+        at[p] = s
+    value = {v: c.most_common(1)[0][0] for v, c in _slots(d, i, width, at).items()}
+    now = at[min(at)]
+    for p in sorted(open_at):
+        if p not in at:
+            loose = [s for s in open_at[p] if abs(s - now) <= reach and not against(p, s)]
+            if loose:
+                at[p] = min(loose, key=lambda s: (abs(s - now), s))
+                for v, c in _slots(d, i, width, {p: at[p]}).items():
+                    value.setdefault(v, next(iter(c)))
+        now = at.get(p, now)
+    return at
+
+
 def _near(shifts: list[int], reach: int) -> list[list[int]]:
     groups: list[list[int]] = []
     for s in shifts:

@@ -230,3 +230,44 @@ def test_planted_benchmark_passages_of_the_larger_table(spark):
         want |= {(r["doc_id"], i) for i, key in keys.items() if key in text}
     assert {(1699, 130), (6420, 37), (8376, 101)} <= want
     assert want <= found
+
+
+def share(doc, item):
+    (d,), (i,) = (dc._texts(dc.Encoded([t]), False) for t in (doc, item))
+    return dc._matches(d, i, dc.MIN_SHARE)
+
+
+def test_items_that_repeat_a_frame(spark):
+    filler = " ".join(f"f{k}" for k in range(40))
+    counts = [12, 15, 18, 12, 40, 7, 15, 33]
+    item = "On monday the shop " + ", ".join(f"sold {n} red apples" for n in counts) + " and then it closed."
+    shifted = filler + " " + ", ".join(f"sold {n} red apples" for n in range(50, 90))
+    rows = {
+        1: item, 2: filler + " " + item + " " + filler, 3: shifted + ". " + item + " " + shifted,
+        4: swap(item, [(f"{n} ", f"{n + 100} ") for n in set(counts)]),
+        5: swap(item, [("18 red apples", "18 small red apples")]),
+        6: swap(item, [("40 red", "40")]),
+        # one number stands for many: not the same question
+        7: "On monday the shop " + ", ".join(f"sold {k} red apples" for k in (1, 2, 3, 4, 5, 6, 7, 8))
+           + " and then it closed.",
+        8: "On monday the shop " + ", ".join(
+            f"sold {k} red apples" + " now" * (k == 3) for k in (1, 2, 3, 4, 5, 6, 7, 8)) + " and then it closed.",
+        9: filler}
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(100, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: r["containment"] for r in dc.contaminated(df, bench).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6}
+    assert got[1] == got[2] == got[3] == got[4] == 1
+    assert share(item, item) == 1
+    assert share(item.replace("sold 15", "bought 15", 1), item) >= dc.MIN_SHARE
+    many = filler + (", ".join(f"sold {n} red apples" for n in range(3000)) + ". ") + item
+    assert share(many, item) == 1
+
+
+def test_one_inserted_word_does_not_hide_other_slots():
+    item = ("a clerk from Boston counts 120 old coins while a tired guard from Boston watches the long "
+            "grey corridor and a small dog from Boston sleeps under the heavy oak table near the door")
+    assert share(item.replace("grey", "very grey"), item) >= dc.MIN_SHARE
+    other = item.replace("Boston", "Denver", 1).replace("dog from Boston", "dog from Austin")
+    assert share(other, item) == 0
+    assert share(other.replace("grey", "very grey"), item) < dc.MIN_SHARE
