@@ -14,8 +14,12 @@ or unit of the item must stand for one and the same value of the document. So a
 question with other numbers or names is caught, a text that merely shares the
 frame is not.
 
-Windows need three literal words at least; items of fewer than five template
-words are taken as one window, shorter than three they are ignored.
+Windows need three literal words at least; items of three or four template
+words are taken as one window. An item without such a window (shorter, or dense
+in numbers) is compared literally: its whole sequence of words, numbers included,
+must occur in the document. Its first words, five at most, are its window in the
+join, so a document has at most ten kinds of windows however many lengths the
+items have.
 
 Edge cases: null and empty texts match nothing; a null doc_id or item_id is an
 id like any other; repeated rows of a document are verified row by row, an
@@ -62,8 +66,8 @@ class Words:
 
     def __init__(self):
         self.code: dict[str, int] = {}
-        self.new: list[tuple[int, bool, bool, bool, bool]] = []
-        self.columns = [np.empty(0, t) for t in (np.uint64, bool, bool, bool, bool)]
+        self.new: list[tuple[int, int, bool, bool, bool, bool]] = []
+        self.columns = [np.empty(0, t) for t in (np.uint64, np.uint64, bool, bool, bool, bool)]
 
     def add(self, word: str) -> int:
         bare = word.strip(PUNCTUATION)
@@ -71,8 +75,9 @@ class Words:
         folded = bare.casefold()
         number = bool(bare) and (bare[0].isdigit() or (bare[0] in "+-$€£" and bare[1:2].isdigit())
                                  or low in NUMBER_WORDS)
-        self.new.append((xxhash.xxh64_intdigest(folded.encode()), number, low in UNITS,
-                          bare[:1].isupper(), word[-1] in ".!?:" or not bare))
+        self.new.append((xxhash.xxh64_intdigest(folded.encode()),
+                         xxhash.xxh64_intdigest((folded or word).encode()), number, low in UNITS,
+                         bare[:1].isupper(), word[-1] in ".!?:" or not bare))
         self.code[word] = len(self.code)
         return self.code[word]
 
@@ -81,7 +86,8 @@ class Words:
         return np.array([c if (c := get(w)) is not None else add(w) for w in words], np.int64)
 
     def properties(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Hash, number, unit, upper case, ends a sentence: one array each."""
+        """Hash, hash that tells signs apart, number, unit, upper case, ends a
+        sentence: one array each."""
         if self.new:
             self.columns = [np.concatenate([old, np.array(add, old.dtype)]) for old, add in zip(
                 self.columns, zip(*self.new, strict=True), strict=True)]
@@ -103,7 +109,7 @@ class Encoded:
         self.sizes = np.array([len(w) for w in self.texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         codes = np.concatenate([np.empty(0, np.int64), *(_WORDS.encode(w) for w in self.texts)])
-        self.hashes, number, unit, upper, ends = _WORDS.properties(codes)
+        self.hashes, self.exact, number, unit, upper, ends = _WORDS.properties(codes)
         first = np.zeros(len(codes), bool)
         first[self.starts[:-1][self.sizes > 0]] = True
         self.first, self.number = first, number
@@ -111,6 +117,23 @@ class Encoded:
         opens = np.concatenate([[True], ends])[:len(codes)] | first
         self.name = upper & ~opens & ~number & ~self.unit
 
+    def literally(self, text: int) -> np.ndarray:
+        return self.exact[self.starts[text]:self.starts[text + 1]]
+
+    def windows(self, width: int, first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Literal windows of ``width`` words, and the bounds of each text's;
+        only the first of each text if ``first``."""
+        counts = np.maximum(self.sizes - width + 1, 0)
+        if first:
+            counts = np.minimum(counts, 1)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        at = np.arange(bounds[-1]) + np.repeat(self.starts[:-1] - bounds[:-1], counts)
+        out = np.full(len(at), width, np.uint64)
+        for k in range(width):
+            out += self.exact[at + k] * _FACTORS[k]
+        out ^= out >> np.uint64(29)
+        return out.view(np.int64), bounds
+
 
 class Templates:
     """Template words of several texts, one after the other: ``hashes``,
@@ -177,10 +200,11 @@ def _parts(texts: list[str], limit: int = 1 << 21) -> Iterator[list[int]]:
 def windows(table: DataFrame, id_col: str, text_col: str, item: bool,
             widths: tuple[int, ...] = (WINDOW,)) -> DataFrame:
     """``id, form, width, hashes`` (usable windows) per text, form (0: as it is,
-    1: lower case) and width; of an item only the form's own width, the full one
-    or its length. What the two forms share is given once: form 0 of an item
-    without names is left out, form 1 of a document has only the windows with a
-    name (the others are among those of form 0)."""
+    1: lower case, 2: literal, widths below 0) and width; of an item only the
+    form's own width, the full one or its length. What the forms share is given
+    once: form 0 of an item without names is left out, form 1 of a document has
+    only the windows with a name (the others are among those of form 0). An item
+    has form 2, and of it the first window, if it has no window of form 1."""
     slim = table.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
@@ -191,26 +215,39 @@ def windows(table: DataFrame, id_col: str, text_col: str, item: bool,
                 words = Encoded([texts[i] for i in rows])
                 ids = b.column("id").take(pa.array(rows, pa.int64()))
                 named = np.diff(np.concatenate([[0], np.cumsum(words.name)])[words.starts]) > 0
+                searched = np.zeros(len(rows), bool)
+
+                def batch(form, width, hashes, bounds, wanted, ids=ids, rows=rows):
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
+                                                     pa.array(hashes, pa.int64()))
+                    return pa.RecordBatch.from_arrays(
+                        [ids, pa.array([form] * len(rows), pa.int32()),
+                         pa.array([width] * len(rows), pa.int32()), lists],
+                        names=["id", "form", "width", "hashes"]).filter(pa.array(wanted))
+
                 for form in (0, 1):
                     found = Templates(words, lower=form == 1)
                     own = np.minimum(np.diff(found.bounds), WINDOW)
-                    for w in sorted({int(x) for x in own if x >= MIN_LITERALS}) if item else widths:
+                    for w in sorted({int(x) for x in own if x >= MIN_LITERALS}) if item else [
+                            x for x in widths if x > 0]:
                         hashes, bounds = found.windows(w)
                         keep = hashes != 0
                         if form == 1 and not item and len(keep):
                             keep &= found.with_names(w)
                         bounds = np.concatenate([[0], np.cumsum(keep)])[
                             np.minimum(bounds, len(keep))]
-                        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
-                                                         pa.array(hashes[keep], pa.int64()))
-                        out = pa.RecordBatch.from_arrays(
-                            [ids, pa.array([form] * len(rows), pa.int32()),
-                             pa.array([w] * len(rows), pa.int32()), lists],
-                            names=["id", "form", "width", "hashes"])
                         wanted = np.diff(bounds) > 0
                         if item:
                             wanted &= (own == w) & (named | (form == 1))
-                        yield out.filter(pa.array(wanted))
+                            if form == 1:
+                                searched |= wanted
+                        yield batch(form, w, hashes[keep], bounds, wanted)
+                own = np.minimum(words.sizes, WINDOW)
+                for w in sorted({int(x) for x in own[~searched] if x}) if item else [
+                        -x for x in widths if x < 0]:
+                    hashes, bounds = words.windows(w, first=item)
+                    yield batch(2, -w, hashes, bounds, (own == w) & ~searched if item
+                                else np.diff(bounds) > 0)
 
     return slim.mapInArrow(run, f"id {kind}, form int, width int, hashes array<bigint>")
 
@@ -241,6 +278,16 @@ def _texts(words: Encoded, lower: bool) -> list[Text]:
     return [Text(found, i, shared) for i in range(len(words.texts))]
 
 
+def _holds(document: np.ndarray, item: np.ndarray) -> float:
+    """1 if the words of the item occur one after the other, else 0."""
+    at = np.arange(max(len(document) - len(item) + 1, 0))
+    for k, h in enumerate(item):
+        at = at[document[at + k] == h]
+        if not len(at):
+            return 0.0
+    return float(len(item) > 0)
+
+
 def _matches(d: Text, i: Text, least: float) -> float:
     """Share of the item's windows that the document holds in one place with
     consistent slots."""
@@ -367,7 +414,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
     items = written(windows(benchmark, item_col, item_text_col, item=True)
                     .select(F.struct(F.col("id").alias("item"), "form").alias("item_id"), "width",
                             F.explode("hashes").alias("hash")), "items")
-    # at most WINDOW different widths
+    # at most WINDOW different widths, and as many of literal windows
     widths = tuple(sorted(r[0] for r in items.select("width").distinct().collect()))
     sizes = items.groupBy("item_id", "width").agg(F.countDistinct("hash").alias("n_windows"))
     found = windows(docs, id_col, text_col, item=False, widths=widths).select(
@@ -398,8 +445,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
                 d_words = Encoded([texts[k] for k in part])
                 i_words = Encoded([of_items[k] for k in part])
                 pairs = {form: list(zip(_texts(d_words, form == 1), _texts(i_words, form == 1),
-                                        strict=True)) for form in {forms[k] for k in part}}
-                shares_of += [_matches(*pairs[forms[k]][n], min_share) for n, k in enumerate(part)]
+                                        strict=True)) for form in {forms[k] for k in part} - {2}}
+                shares_of += [
+                    _holds(d_words.literally(n), i_words.literally(n)) if forms[k] == 2
+                    else _matches(*pairs[forms[k]][n], min_share) for n, k in enumerate(part)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("item_id"), b.column("n_windows"),
                  pa.array(shares_of, pa.float64())],

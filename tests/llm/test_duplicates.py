@@ -271,3 +271,19 @@ def test_one_inserted_word_does_not_hide_other_slots():
     other = item.replace("Boston", "Denver", 1).replace("dog from Boston", "dog from Austin")
     assert share(other, item) == 0
     assert share(other.replace("grey", "very grey"), item) < dc.MIN_SHARE
+
+
+def test_items_without_a_template_window_are_compared_literally(spark):
+    filler = " ".join(f"f{k}" for k in range(40))
+    items = {100: "Compute 12 / 7", 101: "2 + 2 = 4", 102: "Solve!", 103: "12 13 14 15 16 17 18",
+             104: "too short", 105: "3 4 x 5 6 y 7 8"}
+    rows = {k: filler + " " + t + ". " + filler for k, t in items.items()}
+    near = {1: "compute 12 - 7", 2: "2 + 2 = 5", 3: "solved", 4: "12 13 14 15 16 17 19", 5: "too very short",
+            6: "3 4 x 5 6 y 7 9", 7: filler, 8: "", 9: None, 10: "12 13 14 15 16"}
+    upper = {k + 100: t.upper() for k, t in items.items()}
+    df = spark.createDataFrame([*rows.items(), *near.items(), *upper.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([*items.items(), (106, ""), (107, None), (108, ITEM)],
+                                  "item_id bigint, text string")
+    hits = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect()}
+    assert hits == {(k, k) for k in items} | {(k + 100, k) for k in items}
+    assert {r["doc_id"] for r in dc.clean(df, bench).collect()} == set(near)
