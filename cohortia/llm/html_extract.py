@@ -8,8 +8,11 @@ given by ``TRAIN_PAGES``), scores the blocks of a page as one sequence, and
 Viterbi decoding picks the main text.
 
 White space inside a block becomes one space, character references are
-decoded, blocks are joined by two line breaks. Scripts, styles, templates,
-comments, head and form controls hold no text blocks.
+decoded, blocks are joined by two line breaks. Scripts, styles, titles,
+templates, comments, drawings and form controls hold no text blocks. Only
+script, style, textarea and title run to the page end if unclosed; another
+element without text ends with what it lies in or at the next block. Formulas
+are text, without their annotations.
 
 Edge cases: null, empty and tagless pages (bare text is one block that the
 model judges) give the empty text where nothing is main text; unclosed and
@@ -41,8 +44,11 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in
-        ("script", "style", "template", "noscript", "textarea", "title", "svg", "iframe", "select",
-         "math", "object", "head")}
+        ("script", "style", "textarea", "title")}
+# elements without text; those of _NESTED may hold their like
+_HIDDEN = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*+>", re.I) for t in
+           ("template", "noscript", "svg", "iframe", "select", "object", "annotation", "annotation-xml")}
+_NESTED = frozenset(("template", "svg", "object"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog div
 dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu
@@ -99,12 +105,28 @@ def _text_bits(text: str, linked: int) -> int:
             | (_BIT["symbol"] if any(c in text for c in "©|»›·") else 0) | _BIT["bias"])
 
 
+def _pairs(page: str, tag: str, last: int) -> dict[int, int]:
+    """Start of every closed element of a tag of ``_HIDDEN``, and its end."""
+    pairs: dict[int, int] = {}
+    opened: list[int] = []
+    for m in _HIDDEN[tag].finditer(page, 0, last + 1):
+        if m[1]:
+            if opened:
+                pairs[opened.pop()] = m.end()
+        elif tag != "svg" or not m[0].endswith("/>"):
+            if tag not in _NESTED:
+                opened.clear()
+            opened.append(m.start())
+    return pairs
+
+
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, feature bits, place in the page) of every leaf block in order."""
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
-    linked = in_link = 0
+    linked = in_link = hidden = 0
+    pairs: dict[str, dict[int, int]] = {}
     shared = -1
     start = 0
 
@@ -123,6 +145,8 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
 
     def take(text: str, at: int) -> None:
         nonlocal linked, shared, start
+        if hidden:
+            return
         if not parts:
             start = at
         parts.append(text)
@@ -134,9 +158,10 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
                 linked += size
 
     def close(index: int) -> None:
-        nonlocal in_link
+        nonlocal in_link, hidden
         for name, _ in stack[index:]:
             in_link -= name == "a"
+            hidden -= name in _HIDDEN
         del stack[index:]
 
     at, end = 0, len(page)
@@ -168,7 +193,18 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             stop = _RAW[tag].search(page, at)
             at = stop.end() if stop else end
             continue
-        if tag in _VOID or found[3].endswith("/"):
+        if tag in _HIDDEN and not (tag == "svg" and found[3].endswith("/")):
+            if tag not in pairs:
+                pairs[tag] = _pairs(page, tag, last)
+            if found.start() in pairs[tag]:
+                at = pairs[tag][found.start()]
+            else:
+                stack.append((tag, stack[-1][1] if stack else 0))
+                hidden += 1
+            continue
+        if hidden and tag in _BLOCK:
+            close(next(i for i, (name, _) in enumerate(stack) if name in _HIDDEN))
+        if tag in _VOID or tag == "head" or found[3].endswith("/"):
             continue
         if tag in _BLOCK and stack:
             for other in _CLOSES.get(tag, ("p",) if tag not in ("p",) else ()):

@@ -151,3 +151,36 @@ def test_many_unclosed_tags_are_text_in_linear_time():
     found = he.blocks(page)
     assert [t for t, _, _ in found] == ["one", ("<a " * 200_000).strip()]
     assert [t for t, _, _ in he.blocks("<p>one</p><!-- two")] == ["one"]
+
+
+def test_markup_without_an_end_does_not_cut_the_page():
+    words = "The river rose for three days before the old bridge gave way to the water. "
+    article = "<article><h1>The flood</h1><p>" + words * 3 + "</p><p>" + words * 2 + "</p></article>"
+    text = "The flood\n\n" + "\n\n".join(" ".join((words * k).split()) for k in (3, 2))
+    head = "<!doctype html><html><head><meta charset=utf-8><title>T</title><style>p {}</style>"
+    crf = he.model()
+    plain = head + "</head><body><main>" + article + "</main></body></html>"
+    assert he.main_text(plain, crf) == text
+    for page in (plain.replace("</head>", ""), plain.replace("</head><body>", ""),
+                 plain.replace("</head>", "").replace("</article>", "<script>s = '</head>'</script></article>")):
+        assert he.main_text(page, crf) == text, page
+    pieces = ["<svg class=i viewBox='0 0 1 1'/>", "<math/>", "<noscript>Turn it on", "<select><option>one<option>two",
+              "<object data=x>No plug-in", "<iframe src=x />", "<template><b>x</b>", "<svg><path d='M0'>",
+              "<svg><svg/><svg></svg><text>Label</text></svg>", "<object><object>a</object>b</object>",
+              "<noscript><p>Turn it on</p></noscript>", "<div><select><option>one</div>"]
+    for piece in pieces:
+        for later in ("", "<noscript>n</noscript><select></select><object></object><svg></svg><iframe></iframe>"
+                          "<template></template>"):
+            for page in (plain.replace("<main>", "<main>" + piece), plain.replace("<p>", piece + "<p>", 1)):
+                assert he.main_text(page.replace("</main>", later + "</main>"), crf) == text, (piece, later)
+
+
+def test_formulas_are_text():
+    page = ("<p>Here <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation encoding='application/x-tex'>x + 1</annotation>"
+            "</math> grows<svg><title>i</title></svg>.</p>")
+    assert [t for t, _, _ in he.blocks(page)] == ["Here x+1 grows."]
+
+
+def test_many_unclosed_hidden_elements_are_read_in_linear_time():
+    for piece in ("<svg>", "<noscript>", "<object ", "<select><p>a"):
+        he.blocks(piece * 100_000)
