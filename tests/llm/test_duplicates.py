@@ -287,3 +287,17 @@ def test_items_without_a_template_window_are_compared_literally(spark):
     hits = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect()}
     assert hits == {(k, k) for k in items} | {(k + 100, k) for k in items}
     assert {r["doc_id"] for r in dc.clean(df, bench).collect()} == set(near)
+
+
+def test_passages_inside_sentences_can_escape():
+    """The limit that the README names: no run of two glued copies is the same."""
+    def words(n, mark):
+        return " ".join(f"{mark}{k}" for k in range(n))
+
+    def shared(passage):
+        one, two = ({h for h, _, _ in sd.runs(f"{words(9, a)} {passage} {words(9, b)}.")} for a, b in ("ab", "cd"))
+        return len(one & two)
+    inner = [f"{words(13, 'p')}. {words(n, 'q')}. {words(13, 'r')}" for n in (29, 30)]
+    assert [shared(x) for x in inner] == [0, 1]
+    assert shared(words(60, "p")) == 0
+    assert shared(f"{words(13, 'p')}. {words(10, 'q')}. {words(10, 's')}. {words(13, 'r')}") > 0
