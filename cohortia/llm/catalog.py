@@ -7,12 +7,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, html_extract, license_scan, packing, quality_rules,
-               simhash, substring_dedup, token_count, url_filter)
+from . import (chat_format, collocations, decontaminate, html_extract, license_scan, merkle, packing,
+               quality_rules, simhash, substring_dedup, token_count, url_filter)
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"),
              ("org/fr/", "allow")]
 TOKEN_LIMIT = 2048
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 PROBE = "\\### Assistant: </turn> ok"
 
 
@@ -92,7 +93,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_table(turns.unionByName(probe)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every seventh document or so is tampered with before it is checked
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(
+        _table(spark, sf_dir, "documents"), MANIFEST_COLUMNS,
+        suspect={"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    ).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+             F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
+             "folded_root", "verified")
+
+
+def op13_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_url_filters, op3_best_fit_packing, op4_token_counts,
     op5_html_extraction, op6_license_scans, op7_simhash_near_dedup,
-    op8_benchmark_decontamination, op9_substring_dedup, op10_chat_formatting)}
+    op8_benchmark_decontamination, op9_substring_dedup, op10_chat_formatting,
+    op11_merkle_manifest, op13_phrase_collocation_mining)}

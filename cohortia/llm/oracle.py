@@ -160,5 +160,107 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+_OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, coalesce('=' || lang, '') AS tree, doc_id, n_chars,
+         concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END,
+                CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+                CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END) AS head,
+         CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+         -- CRC-32, byte by byte and bit by bit
+         list_reduce(list_transform(range(0, length(doc_id::VARCHAR)),
+                                    lambda p: ascii(substr(doc_id::VARCHAR, p + 1, 1))::BIGINT),
+                     lambda c, b: list_reduce(range(0, 8),
+                       lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295) AS crc
+  FROM documents),
+l AS (
+  SELECT *, sha256(concat(head, CASE WHEN n_chars IS NULL THEN '-'
+                          ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END, tail)) AS leaf,
+         CASE WHEN n_chars IS NOT NULL AND xor(crc, 4294967295) % 7 = 0
+              THEN sha256(concat(head, strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), tail)) END AS other
+  FROM d),
+leaves AS (
+  SELECT row, tree, doc_id, leaf, coalesce(other, leaf) AS seen,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i,
+         count(*) OVER (PARTITION BY tree) AS n
+  FROM l),
+nodes(tree, k, i, n, digest) AS (
+  SELECT tree, 0, i, n, leaf FROM leaves
+  UNION ALL
+  SELECT tree, any_value(k) + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i))
+  FROM nodes WHERE n > 1 GROUP BY tree, i // 2),
+subs AS (
+  SELECT tree, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops(k, i, n, digest) AS (
+  SELECT 0, i, n, subroot FROM subs
+  UNION ALL
+  SELECT any_value(k) + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i))
+  FROM tops WHERE n > 1 GROUP BY i // 2),
+path(row, tree, k, i, proof, fold) AS (
+  SELECT row, tree, 0, i, '', seen FROM leaves
+  UNION ALL
+  SELECT p.row, p.tree, p.k + 1, p.i // 2, p.proof || coalesce(s.digest, ''),
+         sha256(CASE WHEN p.i % 2 = 0 THEN p.fold || coalesce(s.digest, '') ELSE s.digest || p.fold END)
+  FROM path p JOIN nodes o ON o.tree = p.tree AND o.k = p.k AND o.i = p.i AND o.n > 1
+  LEFT JOIN nodes s ON s.tree = p.tree AND s.k = p.k AND s.i = xor(p.i, 1)),
+ends AS (
+  SELECT p.row, s.subroot, s.i, p.proof, p.fold FROM path p
+  JOIN nodes o ON o.tree = p.tree AND o.k = p.k AND o.n = 1 JOIN subs s ON s.tree = p.tree),
+climb(row, subroot, k, i, proof, fold) AS (
+  SELECT row, subroot, 0, i, proof, fold FROM ends
+  UNION ALL
+  SELECT p.row, p.subroot, p.k + 1, p.i // 2, p.proof || coalesce(s.digest, ''),
+         sha256(CASE WHEN p.i % 2 = 0 THEN p.fold || coalesce(s.digest, '') ELSE s.digest || p.fold END)
+  FROM climb p JOIN tops o ON o.k = p.k AND o.i = p.i AND o.n > 1
+  LEFT JOIN tops s ON s.k = p.k AND s.i = xor(p.i, 1))
+SELECT e.doc_id, e.leaf, c.subroot, t.digest AS root, sha256(c.proof) AS proof_sha256,
+       c.fold AS folded_root, c.fold = t.digest AS verified
+FROM climb c JOIN tops t ON t.k = c.k AND t.n = 1 JOIN leaves e USING (row)
+"""
+
+_OP13 = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+  FROM documents),
+pieces AS (
+  SELECT lang, [x for x in string_split_regex(p, '[\x20\x09]+') if x <> ''] AS ws
+  FROM (SELECT lang, unnest(ps) AS p FROM t)),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+        FROM pieces, (SELECT unnest(range(1, 6)) AS m))),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+w AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+cuts AS (
+  SELECT lang, m, phrase, a, ws, k, array_to_string(ws[1:k], ' ') AS p, array_to_string(ws[k + 1:m], ' ') AS q
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM w)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n,
+         (1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a))::BIGINT AS score,
+         row_number() OVER (PARTITION BY c.lang, c.phrase
+                            ORDER BY 1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a), k) AS cut
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.p
+              JOIN f r ON r.lang = c.lang AND r.phrase = c.q
+              JOIN total t ON t.lang = c.lang),
+around AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(ws[i:i + s - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, m - s + 2)) AS i
+          FROM w, (SELECT unnest(range(2, 5)) AS s) WHERE s < m))
+  GROUP BY ALL),
+alone AS (
+  SELECT s.* FROM scored s LEFT JOIN around o ON o.lang = s.lang AND o.phrase = s.phrase
+  WHERE cut = 1 AND coalesce(100 * longer < 100 * a, TRUE)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM alone)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES = {"op1_quality_rules": _OP1, "op2_url_filters": _OP2, "op9_substring_dedup": _OP9,
-           "op10_chat_formatting": _OP10}
+           "op10_chat_formatting": _OP10, "op11_merkle_manifest": _OP11,
+           "op13_phrase_collocation_mining": _OP13}

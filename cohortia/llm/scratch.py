@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only in local mode
@@ -36,4 +38,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cohortia-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.remove(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of ``written`` that no later step reads again."""
+    _remove(table.sparkSession, table.scratch_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove every table this process has written and not yet discarded. Call
+    it after the results that read them are stored elsewhere."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)
