@@ -6,15 +6,16 @@ block gets a 64-bit polynomial fingerprint from numpy prefix sums; a block
 counts its own n-grams first, so a fingerprint is shuffled once per block, with
 its count and an occurrence pointer (position and length in the block).
 
-Fingerprints are searched in three passes: words, pairs of frequent words, then
-three to five words whose pairs are all frequent. A phrase is never more
-frequent than its parts, and a fingerprint that several phrases share counts at
-least as much as each of them, so no pass loses a phrase. The frequent
-fingerprints go back to their blocks, each with its pointer. There every
-occurrence is compared with the words at the pointer, so phrases that only
-share a fingerprint are told apart, and the text of the frequent ones alone is
-written out. The final counts are sums over equal texts: they do not depend on
-the fingerprints at all.
+Fingerprints are searched in two passes: pairs of words, then three to five
+words whose pairs are all frequent. A phrase is never more frequent than its
+parts, and a fingerprint that several phrases share counts at least as much as
+each of them, so no pass loses a phrase. (A pass over single words first would
+spare little: nearly all words of a large corpus are frequent ones.) The
+frequent fingerprints go back to their blocks, each with its pointer. There
+every occurrence is compared with the words at the pointer, so phrases that
+only share a fingerprint are told apart, and the text of the frequent ones
+alone is written out. The final counts are sums over equal texts: they do not
+depend on the fingerprints at all. Single words are counted by text at once.
 
 Nothing here is broadcast by force or gathered on the driver. A group of one
 fingerprint has one row per block at most; ranks per language are cut down in
@@ -33,6 +34,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +57,11 @@ SPLITTERS = b",;:!?\n\x0b\x0c\r"   # all end a piece, as "." does
 _ONE_STOP = bytes.maketrans(SPLITTERS, b"." * len(SPLITTERS))
 _U64 = np.uint64
 _BLOCK = ("block bigint, lang string, n_words bigint, vocab binary, codes binary, "
-          "fps array<bigint>, pointers array<bigint>, counts array<bigint>, "
-          "phrases array<string>, phrase_counts array<bigint>")
+          "phrases array<string>, counts array<bigint>")
 _FIELDS = pa.schema([
     ("block", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()),
-    ("vocab", pa.binary()), ("codes", pa.binary()), ("fps", pa.list_(pa.int64())),
-    ("pointers", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
-    ("phrases", pa.list_(pa.string())), ("phrase_counts", pa.list_(pa.int64()))])
+    ("vocab", pa.binary()), ("codes", pa.binary()),
+    ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def piece_tokens(text: str) -> Iterator[list[bytes]]:
@@ -89,14 +89,23 @@ class Block:
 
     def __init__(self, vocab: list[bytes], codes: np.ndarray, lang: str, bits: int = 64):
         self.vocab, self.codes, self.lang, self.bits = vocab, codes, lang, bits
-        seed = xxhash.xxh3_64_intdigest(lang.encode())
-        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in vocab] or [0], _U64)
-        hashes[0] = 0
-        ahead, back = _powers(len(codes) + 1)
-        self.ahead = ahead
-        self.prefix = np.concatenate([[_U64(0)], np.cumsum(hashes[codes] * back[:-1], dtype=_U64)])
-        gaps = np.where(codes == 0, np.arange(len(codes)), len(codes))
-        self.room = np.minimum.accumulate(gaps[::-1])[::-1] - np.arange(len(codes))
+
+    @cached_property
+    def polynomial(self) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of the word hashes times falling powers, and the rising
+        powers that bring a difference of two to its place."""
+        seed = xxhash.xxh3_64_intdigest(self.lang.encode())
+        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.vocab], _U64)
+        rising, falling = _powers(len(self.codes) + 1)
+        sums = np.cumsum(hashes[self.codes] * falling[:-1], dtype=_U64)
+        return np.concatenate([np.zeros(1, _U64), sums]), rising
+
+    @cached_property
+    def room(self) -> np.ndarray:
+        """Words from each position to the next gap."""
+        n = len(self.codes)
+        gaps = np.where(self.codes == 0, np.arange(n), n)
+        return np.minimum.accumulate(gaps[::-1])[::-1] - np.arange(n)
 
     def starts(self, n: int) -> np.ndarray:
         """Positions where n words follow without a gap."""
@@ -104,7 +113,8 @@ class Block:
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
         """Polynomial of the n words from each position, marked with n."""
-        value = (self.prefix[at + n] - self.prefix[at]) * self.ahead[at + n - 1]
+        sums, powers = self.polynomial
+        value = (sums[at + n] - sums[at]) * powers[at + n - 1]
         value = (value ^ (value >> _U64(29))) * _U64(BASE) + _U64(n)
         return value & _U64((1 << self.bits) - 1)
 
@@ -153,21 +163,15 @@ class Block:
         return [w.decode() for w in self.vocab]
 
     def pruned(self, keep: np.ndarray, least: int) -> Block:
-        """The block with only the words of frequent n-grams (``keep``: their
-        starts; pairs if ``least`` is 3, single words if 2), in runs of
-        ``least`` words or more."""
+        """The block with only the words of kept pairs (``keep``: their
+        starts), in runs of ``least`` words or more."""
         codes = self.codes.copy()
-        if least == 2:
-            stays = np.zeros(len(codes), bool)
-            stays[keep] = True
-            codes[~stays] = 0
-        else:
-            joined = np.zeros(len(codes) + 1, bool)
-            joined[keep] = True
-            follows = np.concatenate([[False], joined[:-2]])  # the pair before it is kept
-            codes[~(joined[:-1] | follows)] = 0
-            # a gap where two kept words meet but their pair is not kept
-            codes = np.insert(codes, np.flatnonzero(follows & ~joined[:-1]) + 1, 0)
+        joined = np.zeros(len(codes) + 1, bool)
+        joined[keep] = True
+        follows = np.concatenate([[False], joined[:-2]])  # the pair before it is kept
+        codes[~(joined[:-1] | follows)] = 0
+        # a gap where two kept words meet but their pair is not kept
+        codes = np.insert(codes, np.flatnonzero(follows & ~joined[:-1]) + 1, 0)
         gap = codes == 0
         bounds = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
         lengths = bounds[1::2] - bounds[::2]
@@ -180,26 +184,33 @@ class Block:
                      self.lang, self.bits)
 
 
-def _row(block: int, b: Block, n_words: int, sizes: range | None,
-         phrases: list[str], phrase_counts: list[int]) -> pa.RecordBatch:
-    empty = np.empty(0, np.int64)
-    fps, pointers, counts = b.counted(sizes) if sizes and len(b.codes) else (empty,) * 3
-    last = sizes is None
-
+def _row(block: int, lang: str, n_words: int, b: Block | None, phrases: list[str],
+         counts: list[int]) -> pa.RecordBatch:
     def one(values, kind) -> pa.Array:
         values = pa.array(values, kind)
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     return pa.RecordBatch.from_arrays([
-        pa.array([block], pa.int64()), pa.array([b.lang]), pa.array([n_words], pa.int64()),
-        pa.array([None if last else zlib.compress(b" ".join(b.vocab), 1)], pa.binary()),
-        pa.array([None if last else zlib.compress(b.codes.tobytes(), 1)], pa.binary()),
-        one(fps.view(np.int64), pa.int64()), one(pointers, pa.int64()), one(counts, pa.int64()),
-        one(phrases, pa.string()), one(phrase_counts, pa.int64())], schema=_FIELDS)
+        pa.array([block], pa.int64()), pa.array([lang]), pa.array([n_words], pa.int64()),
+        pa.array([b and zlib.compress(b" ".join(b.vocab), 1)], pa.binary()),
+        pa.array([b and zlib.compress(b.codes.tobytes(), 1)], pa.binary()),
+        one(phrases, pa.string()), one(counts, pa.int64())], schema=_FIELDS)
+
+
+def _read(row: dict, bits: int) -> Block:
+    return Block(zlib.decompress(row["vocab"].as_py()).split(b" "),
+                 np.frombuffer(zlib.decompress(row["codes"].as_py()), np.int32),
+                 row["lang"].as_py(), bits)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(n)[i] for n in batch.schema.names}
 
 
 def blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
-           block_words: int = BLOCK_WORDS, bits: int = 64) -> DataFrame:
-    """One row per block, with the fingerprints of its single words."""
+           block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per block; its ``phrases`` are its single words."""
     slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
 
@@ -213,9 +224,10 @@ def blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
             nonlocal made
             for lang in langs:
                 every = np.concatenate(codes.pop(lang))
-                b = Block(list(vocabs.pop(lang)), every, lang, bits)
+                b = Block(list(vocabs.pop(lang)), every, lang)
                 made, held[lang] = made + 1, 0
-                yield _row(part + made, b, int((every > 0).sum()), range(1, 2), [], [])
+                counts = np.bincount(every, minlength=1)[1:]
+                yield _row(part + made, lang, int(counts.sum()), b, b.words()[1:], counts.tolist())
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(),
                                   batch.column("text").to_pylist(), strict=True):
@@ -236,41 +248,48 @@ def blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     return slim.mapInArrow(run, _BLOCK)
 
 
-def frequent(step: DataFrame, min_count: int) -> DataFrame:
-    """Per block the fingerprints that are frequent over all blocks:
+def fingerprints(step: DataFrame, sizes: range, bits: int = 64) -> DataFrame:
+    """``block, fp, pointer, n``: every distinct n-gram of every block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            fps, pointers, counts = _read(row, bits).counted(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(fps), row["block"].as_py(), np.int64)),
+                 pa.array(fps.view(np.int64)), pa.array(pointers.astype(np.int64)),
+                 pa.array(counts.astype(np.int64))], names=["block", "fp", "pointer", "n"])
+
+    return step.select("block", "lang", "vocab", "codes").mapInArrow(
+        run, "block bigint, fp bigint, pointer bigint, n bigint")
+
+
+def frequent(seen: DataFrame, min_count: int) -> DataFrame:
+    """Per block its fingerprints that are frequent over all blocks:
     ``__block, __fps, __pointers``. A block has a bounded number of them."""
-    seen = step.select("block", F.inline(F.arrays_zip("fps", "pointers", "counts")))
-    total = F.sum("counts").over(Window.partitionBy("fps"))
+    total = F.sum("n").over(Window.partitionBy("fp"))
     kept = seen.withColumn("total", total).filter(F.col("total") >= min_count)
     return kept.groupBy(F.col("block").alias("__block")).agg(
-        F.collect_list(F.struct("fps", "pointers")).alias("found")).select(
-            "__block", F.col("found.fps").alias("__fps"), F.col("found.pointers").alias("__pointers"))
+        F.collect_list(F.struct("fp", "pointer")).alias("found")).select(
+            "__block", F.col("found.fp").alias("__fps"), F.col("found.pointer").alias("__pointers"))
 
 
-def next_pass(step: DataFrame, sets: DataFrame, found: range, sizes: range | None,
-              bits: int = 64) -> DataFrame:
-    """Phrases of ``found`` words that are frequent, as texts with the block's
-    counts, and fingerprints of the ``sizes`` that can still be frequent."""
+def next_pass(step: DataFrame, sets: DataFrame, found: range, bits: int = 64) -> DataFrame:
+    """Blocks with the frequent phrases of ``found`` words as ``phrases``, cut
+    down to what longer phrases can be made of (nothing after the longest)."""
     # both sides grow with the corpus: merged at every size, never broadcast
     joined = step.select("block", "lang", "n_words", "vocab", "codes").join(
         sets.hint("merge"), F.col("block") == F.col("__block")).drop("__block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                codes = np.frombuffer(zlib.decompress(row["codes"].as_py()), np.int32)
-                b = Block(zlib.decompress(row["vocab"].as_py()).split(b" "), codes,
-                          row["lang"].as_py(), bits)
-                fps = row["__fps"].values.to_numpy().view(_U64)
-                pointers = row["__pointers"].values.to_numpy()
-                keep, texts, counts = np.empty(0, np.int64), [], []
-                for n in found:
-                    keep, new, many = b.found(n, fps, pointers)
-                    texts, counts = texts + new, counts + many
-                if sizes is not None:
-                    b = b.pruned(keep, found.stop)
-                yield _row(row["block"].as_py(), b, row["n_words"].as_py(), sizes, texts, counts)
+        for row in _rows(batches):
+            b = _read(row, bits)
+            fps = row["__fps"].values.to_numpy().view(_U64)
+            pointers = row["__pointers"].values.to_numpy()
+            keep, texts, counts = np.empty(0, np.int64), [], []
+            for n in found:
+                keep, new, many = b.found(n, fps, pointers)
+                texts, counts = texts + new, counts + many
+            rest = b.pruned(keep, found.stop) if found.stop <= LONGEST else None
+            yield _row(row["block"].as_py(), b.lang, row["n_words"].as_py(), rest, texts, counts)
 
     return joined.mapInArrow(run, _BLOCK)
 
@@ -280,22 +299,22 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
                   bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, a`` of all phrases of one to five words with
     ``a >= min_count`` (both tables written), and ``lang, n``."""
-    step = written(blocks(docs, lang_col, text_col, block_words, bits), "blocks")
+    def common(step: DataFrame) -> DataFrame:
+        counted = step.select("lang", F.inline(F.arrays_zip("phrases", "counts")))
+        return written(counted.groupBy("lang", F.col("phrases").alias("phrase")).agg(
+            F.sum("counts").alias("a")).filter(F.col("a") >= min_count), "phrases")
+
+    step = written(blocks(docs, lang_col, text_col, block_words), "blocks")
     totals = written(step.groupBy("lang").agg(F.sum("n_words").alias("n")), "word-totals")
-    parts = None
-    for found, sizes in ((range(1, 2), range(2, 3)), (range(2, 3), range(3, LONGEST + 1)),
-                         (range(3, LONGEST + 1), None)):
-        sets = written(frequent(step, min_count), "frequent-fingerprints")
-        after = written(next_pass(step, sets, found, sizes, bits), "phrase-pass")
-        new = written(after.select("lang", F.inline(F.arrays_zip("phrases", "phrase_counts")))
-                      .groupBy("lang", F.col("phrases").alias("phrase"))
-                      .agg(F.sum("phrase_counts").alias("a"))
-                      .filter(F.col("a") >= min_count), "phrases")
-        parts = new if parts is None else parts.unionByName(new)
+    counts = common(step)
+    for found in (range(2, 3), range(3, LONGEST + 1)):
+        sets = written(frequent(fingerprints(step, found, bits), min_count), "frequent")
+        after = written(next_pass(step, sets, found, bits), "blocks")
+        counts = counts.unionByName(common(after))
         discard(sets), discard(step)
         step = after
     discard(step)
-    return parts, totals
+    return counts, totals
 
 
 def _sub(words: Column, at: Column, n: Column) -> Column:
