@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_format, collocations, decontaminate, html_extract, license_scan, merkle, packing,
-               quality_rules, simhash, substring_dedup, token_count, url_filter)
+               quality_model, quality_rules, simhash, substring_dedup, token_count, url_filter)
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"),
              ("org/fr/", "allow")]
 TOKEN_LIMIT = 2048
+QUALITY_CUT = 0.7
 MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -104,6 +105,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
              "folded_root", "verified")
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = quality_model.train(docs, _table(spark, sf_dir, "labels").filter(~held_out))
+    return quality_model.score(docs, model).withColumnRenamed("id", "doc_id").select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op13_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -112,4 +122,4 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_url_filters, op3_best_fit_packing, op4_token_counts,
     op5_html_extraction, op6_license_scans, op7_simhash_near_dedup,
     op8_benchmark_decontamination, op9_substring_dedup, op10_chat_formatting,
-    op11_merkle_manifest, op13_phrase_collocation_mining)}
+    op11_merkle_manifest, op12_quality_classifier, op13_phrase_collocation_mining)}

@@ -43,6 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rolling import Rolling
 from .scratch import discard, written
 
 BLOCK_WORDS = 1 << 20
@@ -51,8 +52,7 @@ LONGEST = 5
 MIN_COUNT = 100
 FIRST = 2000
 NO_LANG = "und"
-BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
-SPLITTERS = b",;:!?\n\x0b\x0c\r"   # all end a piece, as "." does
+SPLITTERS = b",;:!?\n\x0b\x0c\r"  # all end a piece, as "." does
 
 _ONE_STOP = bytes.maketrans(SPLITTERS, b"." * len(SPLITTERS))
 _U64 = np.uint64
@@ -76,14 +76,6 @@ def piece_tokens(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def row(base: int) -> np.ndarray:
-        steps = np.full(n, base, _U64)
-        steps[:1] = 1
-        return np.cumprod(steps, dtype=_U64)
-    return row(BASE), row(pow(BASE, -1, 1 << 64))
-
-
 class Block:
     """Words of a block: ``vocab`` (0 is the gap) and ``codes``."""
 
@@ -91,14 +83,10 @@ class Block:
         self.vocab, self.codes, self.lang, self.bits = vocab, codes, lang, bits
 
     @cached_property
-    def polynomial(self) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix sums of the word hashes times falling powers, and the rising
-        powers that bring a difference of two to its place."""
+    def rolling(self) -> Rolling:
         seed = xxhash.xxh3_64_intdigest(self.lang.encode())
         hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.vocab], _U64)
-        rising, falling = _powers(len(self.codes) + 1)
-        sums = np.cumsum(hashes[self.codes] * falling[:-1], dtype=_U64)
-        return np.concatenate([np.zeros(1, _U64), sums]), rising
+        return Rolling(hashes[self.codes])
 
     @cached_property
     def room(self) -> np.ndarray:
@@ -112,11 +100,8 @@ class Block:
         return np.flatnonzero(self.room >= n)
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Polynomial of the n words from each position, marked with n."""
-        sums, powers = self.polynomial
-        value = (sums[at + n] - sums[at]) * powers[at + n - 1]
-        value = (value ^ (value >> _U64(29))) * _U64(BASE) + _U64(n)
-        return value & _U64((1 << self.bits) - 1)
+        """Fingerprints of the n words from each position."""
+        return self.rolling.windows(at, n) & _U64((1 << self.bits) - 1)
 
     def counted(self, sizes: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct fingerprints of the n-grams, a pointer to the first
