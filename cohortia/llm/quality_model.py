@@ -45,6 +45,7 @@ EPOCHS = 6
 RATE = 0.5
 BIAS_RATE = 0.1             # of the rate; the bias serves texts with no feature
 SEED = 11
+PORTION = 1 << 20       # characters that are worked on at once
 KNOWN_WORDS = 1 << 18   # words whose features a task keeps; only saves work
 
 _U64 = np.uint64
@@ -182,10 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words(BUCKETS)
-            codes = [words.codes(t or "") for t in batch.column("text").to_pylist()]
-            words.update()
-            found = [words.bag(c) for c in codes]
+            found = []
+            for texts in portions(batch.column("text")):
+                words = Words(BUCKETS)
+                codes = [words.codes(t) for t in texts]
+                words.update()
+                found += [words.bag(c) for c in codes]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("turn"), batch.column("label"),
                  pa.array([b.tobytes() for b, _ in found], pa.binary()),
@@ -220,6 +223,33 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return Model(np.frombuffer(got["weights"], np.float32).astype(np.float64), got["bias"])
 
 
+def portions(texts: pa.Array) -> Iterator[list[str]]:
+    """A column's texts in lists of about ``PORTION`` characters, so that the
+    arrays of a step do not grow with the rows of a batch."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scored(model: Model, words: Words, texts: list[str]) -> np.ndarray:
+    codes = [words.codes(t) for t in texts]
+    words.update()
+    lengths = np.array([len(c) for c in codes], np.int64)
+    codes, n = np.concatenate(codes), len(texts)
+    text = np.repeat(np.arange(n), lengths)
+    near = np.flatnonzero(text[1:] == text[:-1])
+    pair = model.weights[words.pairs(codes[near], codes[near + 1])]
+    total = np.bincount(text, words.sum[codes], n) + np.bincount(text[near], pair, n)
+    size = np.bincount(text, words.size[codes], n) + np.maximum(lengths - 1, 0)
+    return model.probability(total, size)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """``id, score``: the probability of label 1, for every row."""
@@ -230,20 +260,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
         model = shared.value
         words = Words(len(model.weights), model.weights)
         for batch in batches:
-            texts = [words.codes(t or "") for t in batch.column("text").to_pylist()]
-            words.update()
-            lengths = np.array([len(t) for t in texts], np.int64)
-            codes = np.concatenate([np.empty(0, np.int64), *texts])
-            text = np.repeat(np.arange(len(texts)), lengths)
-            near = np.flatnonzero(text[1:] == text[:-1])
-            pair = model.weights[words.pairs(codes[near], codes[near + 1])]
-            n = len(texts)
-            total = np.bincount(text, words.sum[codes], n) + np.bincount(text[near], pair, n)
-            size = np.bincount(text, words.size[codes], n) + np.maximum(lengths - 1, 0)
+            scores = []
+            for texts in portions(batch.column("text")):
+                scores.append(_scored(model, words, texts))
+                if len(words.code) > KNOWN_WORDS:
+                    words = Words(len(model.weights), model.weights)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(model.probability(total, size), pa.float64())],
+                [batch.column("id"), pa.array(np.concatenate([np.empty(0), *scores]))],
                 names=["id", "score"])
-            if len(words.code) > KNOWN_WORDS:
-                words = Words(len(model.weights), model.weights)
 
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, score double")
