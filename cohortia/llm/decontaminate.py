@@ -22,7 +22,8 @@ join, so a document has at most ten kinds of windows however many lengths the
 items have.
 
 Edge cases: null and empty texts match nothing; a null doc_id or item_id is an
-id like any other; repeated rows of a document are verified row by row, an
+id like any other; rows that share a doc_id, or have none, are judged by their
+own texts (``contaminated`` names the id, ``clean`` drops the row); repeated rows of a document are verified row by row, an
 item that occurs twice in the benchmark gives two hits of the same item_id
 once; empty tables give an empty result; other columns are ignored. Window
 hashes travel as arrays and are exploded beside the join, so the documents are
@@ -411,29 +412,68 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
                  item_text_col: str = "text") -> DataFrame:
     """One row per contaminated document and item: ``doc_id, item_id,
     n_windows`` (usable ones of the item), ``containment``."""
+    found = hits(docs, benchmark, min_share, id_col, text_col, item_col, item_text_col)
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.max("containment").alias("containment"))
+
+
+def probes(items: DataFrame, min_share: float) -> DataFrame:
+    """``item_id, width, hashes`` and ``probes``: the windows of an item that
+    fewest items share, one more than it may lack. A document that holds enough
+    of the item holds one of them."""
+    owners = items.groupBy("width", "hash").agg(F.countDistinct("item_id").alias("owners"))
+    ranked = items.distinct().join(owners, ["width", "hash"]).groupBy("item_id", "width").agg(
+        F.array_sort(F.collect_list(F.struct("owners", "hash"))).alias("ranked"))
+    n = F.size("ranked")
+    may_lack = n - F.ceil(n * F.lit(min_share) - 1e-9)
+    return ranked.select("item_id", "width", F.col("ranked.hash").alias("hashes"),
+                         F.slice(F.col("ranked.hash"), F.lit(1), may_lack.cast("int") + 1).alias("probes"))
+
+
+def candidates(docs: DataFrame, items: DataFrame, min_share: float) -> DataFrame:
+    """``c_key, c_item, n_windows``: texts (``key``) and items of which they
+    hold enough windows, in any order and place.
+
+    The occurrences of a window in the corpus are joined once, however many
+    items share it; a text meets an item only over one of the item's probes."""
+    # at most WINDOW different widths, and as many of literal windows
+    widths = tuple(sorted(r[0] for r in items.select("width").distinct().collect()))
+    known = written(items.select(F.col("width").alias("k_width"),
+                                 F.col("hash").alias("k_hash")).distinct(), "known-windows")
+    every = written(probes(items, min_share), "probes")
+    found = windows(docs, "key", "text", item=False, widths=widths).select(
+        F.col("id").alias("c_key"), "width", F.explode("hashes").alias("hash"))
+    # a set per text: its windows that any item has
+    held = written(found.join(known, (F.col("hash") == F.col("k_hash"))
+                              & (F.col("width") == F.col("k_width")))
+                   .groupBy("c_key", "width").agg(F.collect_set("hash").alias("held")), "held-windows")
+    met = held.select("c_key", "width", F.explode("held").alias("hash")).join(
+        every.select("width", F.col("item_id").alias("c_item"), F.explode("probes").alias("hash")),
+        ["width", "hash"]).select("c_key", "width", "c_item").distinct()
+    both = met.join(held, ["c_key", "width"]).join(
+        every.select(F.col("item_id").alias("c_item"), "width", "hashes"), ["c_item", "width"])
+    n = F.size("hashes")
+    return both.filter(F.size(F.array_intersect("held", "hashes")) >= min_share * n).select(
+        "c_key", "c_item", n.cast("long").alias("n_windows"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE,
+         id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+         item_text_col: str = "text") -> DataFrame:
+    """``doc_id, text_hash, item_id, n_windows, containment``; the text hash
+    tells rows of one doc_id with different texts apart."""
     items = written(windows(benchmark, item_col, item_text_col, item=True)
                     .select(F.struct(F.col("id").alias("item"), "form").alias("item_id"), "width",
                             F.explode("hashes").alias("hash")), "items")
-    # at most WINDOW different widths, and as many of literal windows
-    widths = tuple(sorted(r[0] for r in items.select("width").distinct().collect()))
-    sizes = items.groupBy("item_id", "width").agg(F.countDistinct("hash").alias("n_windows"))
-    found = windows(docs, id_col, text_col, item=False, widths=widths).select(
-        F.col("id").alias("doc_id"), F.col("width").alias("d_width"),
-        F.explode("hashes").alias("d_hash"))
-    hits = found.join(items, (F.col("d_hash") == F.col("hash")) & (F.col("d_width") == F.col("width")))
-    shares = hits.groupBy("doc_id", "item_id").agg(
-        F.size(F.collect_set("hash")).alias("n_found"))
-    candidates = written(
-        shares.join(sizes, shares["item_id"].eqNullSafe(sizes["item_id"])).drop(sizes["item_id"])
-        .filter(F.col("n_found") >= min_share * F.col("n_windows"))
-        .select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), "n_windows"),
-        "candidates")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.struct(F.col(id_col).alias("doc_id"),
+                                 F.xxhash64(text).alias("text_hash")).alias("key"), text.alias("text"))
+    near = written(candidates(texts, items, min_share), "candidates")
     of_items = benchmark.select(F.col(item_col).alias("b_item"),
                                 F.col(item_text_col).cast("string").alias("item_text"))
-    rows = (texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_doc")))
+    rows = (texts.join(near, F.col("key").eqNullSafe(F.col("c_key")))
             .join(of_items, F.col("c_item.item").eqNullSafe(F.col("b_item")))
-            .select("doc_id", F.col("c_item").alias("item_id"), "n_windows", "text", "item_text"))
+            .select("key", F.col("c_item").alias("item_id"), "n_windows", "text", "item_text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -450,20 +490,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
                     _holds(d_words.literally(n), i_words.literally(n)) if forms[k] == 2
                     else _matches(*pairs[forms[k]][n], min_share) for n, k in enumerate(part)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("item_id"), b.column("n_windows"),
+                [b.column("key"), b.column("item_id"), b.column("n_windows"),
                  pa.array(shares_of, pa.float64())],
-                names=["doc_id", "item_id", "n_windows", "containment"])
+                names=["key", "item_id", "n_windows", "containment"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    checked = rows.mapInArrow(verify, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, "
+    checked = rows.mapInArrow(verify, f"key {kinds['key']}, item_id {kinds['item_id']}, "
                                       "n_windows bigint, containment double")
-    return (checked.filter(F.col("containment") >= min_share)
-            .groupBy("doc_id", F.col("item_id.item").alias("item_id")).agg(
-                F.max("n_windows").alias("n_windows"), F.max("containment").alias("containment")))
+    return checked.filter(F.col("containment") >= min_share).select(
+        "key.doc_id", "key.text_hash", "item_id.item", "n_windows", "containment").groupBy(
+        "doc_id", "text_hash", F.col("item").alias("item_id")).agg(
+        F.max("n_windows").alias("n_windows"), F.max("containment").alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without any benchmark item, all columns unchanged."""
-    bad = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad_id")).distinct(),
-                  "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")), "left_anti")
+    """Documents without any benchmark item, all columns unchanged. A row goes
+    for its own text: others of the same doc_id, or without one, stay."""
+    bad = written(hits(docs, benchmark).select(
+        F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct(),
+        "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (
+        F.xxhash64(F.col("text").cast("string")) == F.col("__bad_hash")), "left_anti")

@@ -3,6 +3,7 @@ import random
 from itertools import combinations
 
 import xxhash
+from pyspark.sql import functions as F
 
 from cohortia.llm import components as cc
 from cohortia.llm import decontaminate as dc
@@ -230,6 +231,90 @@ def test_planted_benchmark_passages_of_the_larger_table(spark):
         want |= {(r["doc_id"], i) for i, key in keys.items() if key in text}
     assert {(1699, 130), (6420, 37), (8376, 101)} <= want
     assert want <= found
+    # whatever else is found holds the item's template at one place
+    texts = {r["doc_id"]: r["text"] for r in docs_.collect()}
+    items_ = {b["item_id"]: b["text"] for b in items.collect()}
+    wrong = {(d, i) for d, i in found - want if plain_share(texts[d], items_[i]) < dc.MIN_SHARE}
+    assert not wrong
+
+
+def plain_template(text, lower):
+    """Template words ``(token, is literal, value)`` word by word, as the
+    operator's docstring says."""
+    out, before, opens, after_number = [], None, True, False
+    for word in text.split():
+        bare = word.strip(dc.PUNCTUATION)
+        low = bare.lower()
+        number = bare[:1].isdigit() or (bare[:1] in tuple("+-$€£") and bare[1:2].isdigit()) \
+            or low in dc.NUMBER_WORDS
+        unit = low in dc.UNITS and after_number
+        name = bare[:1].isupper() and not opens and not number and not unit and not lower
+        token = "<unit>" if unit else "<num>" if number else "<name>" if name else bare.casefold()
+        literal = not (number or unit or name)
+        if literal or token != before:
+            out.append((token, literal, bare.casefold()))
+        before = None if literal else token
+        opens, after_number = word[-1] in ".!?:" or not bare, number
+    return out
+
+
+def plain_share(doc, item):
+    """Best share of the item's windows at one shift with consistent slots."""
+    best = 0.0
+    for lower in (False, True):
+        d, i = plain_template(doc, lower), plain_template(item, lower)
+        width = min(5, len(i))
+        usable = [p for p in range(len(i) - width + 1) if sum(x[1] for x in i[p:p + width]) >= 3]
+        for shift in range(-len(i), len(d)) if usable else ():
+            covered = [p for p in usable if p + shift >= 0 and [x[0] for x in i[p:p + width]]
+                       == [x[0] for x in d[p + shift:p + shift + width]]]
+            values = {}
+            for x in {x for p in covered for x in range(p, p + width) if not i[x][1]}:
+                values.setdefault(i[x][2], []).append(d[x + shift][2])
+            if all(max(v.count(w) for w in v) >= 0.8 * len(v) for v in values.values()):
+                best = max(best, len(covered) / len(usable))
+    return best
+
+
+def test_contamination_equals_plain_version(spark):
+    random.seed(9)
+    word = lambda: random.choice("river stone walks carries under quiet lamp green count many left".split())
+    name = lambda: random.choice(["Anna", "Boris", "Clara", "Denver", "Esben"])
+    number = lambda: str(random.randint(2, 99))
+    frame = [word() for _ in range(9)]  # opens several items: their windows are not rare
+
+    def question(k):
+        body = (frame if k % 2 else []) + [random.choice((word, word, word, word, name, number))()
+                                           for _ in range(14 + k % 9)]
+        return " ".join(body).capitalize() + "?"
+    items = {k: question(k) for k in range(14)}
+    docs_, filler = {}, lambda n: " ".join(word() for _ in range(n))
+    for k, text in items.items():
+        values = sorted({w for _, literal, w in plain_template(text, False) if not literal})
+        other = {v: (number() if v.isdigit() else name()) for v in values}
+        put = [other.get(w.strip("?").casefold(), w) for w in text.split()]
+        mixed = [(number() if w.isdigit() else name()) if w.strip("?").casefold() in other else w
+                 for w in text.split()]
+        cut = text.split()[:int(len(text.split()) * random.choice((0.6, 0.8, 0.9, 0.95)))]
+        for j, t in enumerate((text, text.upper(), " ".join(put), " ".join(mixed), " ".join(cut))):
+            docs_[10 * k + j] = filler(5) + ". " + t + " " + filler(6)
+    docs_ |= {1000 + k: " ".join(frame) + " " + filler(30) for k in range(10)}
+    df = spark.createDataFrame(list(docs_.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["containment"] for r in dc.contaminated(df, bench).collect()}
+    want = {(d, i) for d, t in docs_.items() for i, u in items.items() if plain_share(t, u) >= dc.MIN_SHARE}
+    assert 20 < len(want) < len(docs_) and set(got) == want
+
+
+def test_clean_rows_that_share_an_id_stay(spark):
+    rows = [(1, ITEM), (1, "a clean row"), (None, ITEM), (None, "another clean row"), (2, ITEM), (2, ITEM),
+            (3, "twice"), (3, "twice"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.lit(1))
+    bench = spark.createDataFrame([(None, ITEM), (7, ITEM)], "item_id bigint, text string")
+    left = [(r["doc_id"], r["text"]) for r in dc.clean(df, bench).collect()]
+    assert sorted(left, key=str) == sorted((r for r in rows if r[1] != ITEM), key=str)
+    assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect()} == {
+        (d, i) for d in (1, 2, None) for i in (7, None)}
 
 
 def share(doc, item):
