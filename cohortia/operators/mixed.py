@@ -1,4 +1,4 @@
-"""Random-intercept linear mixed model by maximum likelihood.
+"""Random-intercept linear mixed model by maximum likelihood.
 
 With t = σ_u² / σ², the inverse covariance of a group of size n_g is
 (I − t/(1 + t n_g) 11') / σ², so every quantity the likelihood needs is a
@@ -6,19 +6,22 @@ sum over groups of that group's n_g, X'1, X'X, X'y, y'1 and y'y. The weight
 t/(1 + t n_g) depends on the group's size alone, so groups of one size add up:
 one ``groupBy(group)``, then one ``groupBy(size)``. N rows have at most
 sqrt(2N) different group sizes; only those rows reach the driver, where the
-one-dimensional search over t runs without further passes over the data.
+one-dimensional search over t runs without further passes over the data. A model
+with fewer terms needs sub-matrices of the same sums, so backward elimination
+reads the data once however many models it fits.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import chi2_sf_1df
+from ..functions.stats import chi2_sf, chi2_sf_1df
 from .linear import Design, OlsFit, gram, ols_from_gram
 
 
@@ -77,15 +80,43 @@ def _size_sums(groups: DataFrame, p: int) -> dict[str, np.ndarray]:
             **{k: np.stack([vector(f"{k}{i}") for i in range(p + 1)], axis=1) for k in ("xy", "txy")}}
 
 
+@dataclass
+class MixedSums:
+    """What the likelihood of a design and its sub-designs needs."""
+    by_size: dict[str, np.ndarray]
+    names: list[str]              # columns, the intercept first
+    terms: list[str]
+
+    @property
+    def n(self) -> float:
+        return float((self.by_size["groups"] * self.by_size["size"]).sum())
+
+
+def mixed_sums(d: Design, group: str) -> MixedSums:
+    """One pass over the rows; see ``_size_sums``."""
+    return MixedSums(_size_sums(_group_sums(d, group), len(d.cols)),
+                     ["Intercept", *d.names], ["Intercept", *d.terms])
+
+
 def mixed_fit(d: Design, group: str, tol: float = 1e-10) -> MixedFit:
     """Fixed effects, σ², σ_u² and log-likelihood (ML, not REML)."""
-    z = _size_sums(_group_sums(d, group), len(d.cols))
-    xx, xy, yy = z["xx"].sum(0), z["xy"].sum(0), float(z["yy"].sum())
-    G, n = int(z["groups"].sum()), float((z["groups"] * z["size"]).sum())
+    return mixed_from_sums(mixed_sums(d, group), tol=tol)
+
+
+def mixed_from_sums(sums: MixedSums, keep: Sequence[int] | None = None,
+                    tol: float = 1e-10) -> MixedFit:
+    """The model on the columns ``keep`` (positions in ``sums.names``; all if
+    not given)."""
+    z, n = sums.by_size, sums.n
+    at = list(range(len(sums.names))) if keep is None else sorted(keep)
+    square = np.ix_(range(len(z["size"])), at, at)
+    txx, txy = z["txx"][square], z["txy"][:, at]
+    xx, xy, yy = z["xx"][square].sum(0), z["xy"][:, at].sum(0), float(z["yy"].sum())
+    G = int(z["groups"].sum())
 
     def parts(t):
         c = t / (1 + t * z["size"])
-        return (xx - np.einsum("g,gij->ij", c, z["txx"]), xy - c @ z["txy"],
+        return (xx - np.einsum("g,gij->ij", c, txx), xy - c @ txy,
                 yy - float(c @ z["tyy"]), float(z["groups"] @ np.log1p(t * z["size"])))
 
     def loglik(t):
@@ -115,7 +146,7 @@ def mixed_fit(d: Design, group: str, tol: float = 1e-10) -> MixedFit:
     if zero[0] >= best[0]:
         t_best, best = 0.0, zero
     ll, beta, a, s2 = best
-    return MixedFit(["Intercept", *d.names], beta, np.linalg.pinv(a) * s2, float(s2),
+    return MixedFit([sums.names[i] for i in at], beta, np.linalg.pinv(a) * s2, float(s2),
                     float(t_best * s2), float(ll), n, G)
 
 
@@ -135,11 +166,66 @@ def mixed_tidy(spark: SparkSession, m: MixedFit) -> DataFrame:
 def likelihood_ratio(full_loglik: float, reduced_loglik: float, dof: int = 1) -> dict:
     """−2 Δ logLik against χ² (one df for one variance parameter)."""
     stat = max(-2 * (reduced_loglik - full_loglik), 0.0)
-    from ..functions.stats import chi2_sf
     p = chi2_sf_1df(stat) if dof == 1 else chi2_sf(stat, dof)
     return {"statistic": stat, "dof": dof, "p_value": p}
 
 
+def term_tests(sums: MixedSums, active: Sequence[str], test: str = "wald"
+               ) -> tuple[MixedFit, dict[str, tuple[float, int, float]]]:
+    """The model of the ``active`` terms and, for every term that may be
+    dropped from it, statistic, degrees of freedom and p-value.
+
+    ``test``: "wald" (all columns of the term zero, from this one fit) or
+    "chisq" (likelihood ratio against the model without the term, refitted).
+    The intercept stays, and so does a term while a product with it is active.
+    """
+    if test not in ("wald", "chisq"):
+        raise ValueError("test must be 'wald' or 'chisq'")
+
+    def columns(terms):
+        return [i for i, t in enumerate(sums.terms) if t in terms]
+
+    at = columns(active)
+    full = mixed_from_sums(sums, at)
+    out = {}
+    for term in active:
+        inside = any(":" in o and term in o.split(":") for o in active if o != term)
+        if term == "Intercept" or inside:
+            continue
+        own = [k for k, i in enumerate(at) if sums.terms[i] == term]
+        if test == "wald":
+            beta = full.beta[own]
+            value = float(beta @ np.linalg.pinv(full.cov[np.ix_(own, own)]) @ beta)
+        else:
+            less = mixed_from_sums(sums, columns([t for t in active if t != term]))
+            value = max(2 * (full.loglik - less.loglik), 0.0)
+        out[term] = (value, len(own), chi2_sf(value, len(own)))
+    return full, out
+
+
+def backward_select_mixed(sums: MixedSums, alpha: float = 0.05, test: str = "wald"
+                          ) -> tuple[MixedFit, list[tuple[str, float, int, float]],
+                                     dict[str, tuple[float, int, float]]]:
+    """Drop the term with the largest p-value and fit the mixed model
+    again, until every term that may be dropped has p < alpha.
+
+    Returns the final fit, the dropped terms in order (term, statistic, degrees
+    of freedom, p-value when dropped), and the tests of the terms that stay. Of
+    equal p-values the term that comes last in the design goes first.
+    """
+    active = list(dict.fromkeys(sums.terms))
+    dropped = []
+    while True:
+        fit, tests = term_tests(sums, active, test)
+        if not tests:
+            return fit, dropped, tests
+        worst = max(tests, key=lambda t: (tests[t][2], -tests[t][0], active.index(t)))
+        if tests[worst][2] < alpha:
+            return fit, dropped, tests
+        active.remove(worst)
+        dropped.append((worst, *tests[worst]))
+
+
 def fixed_part(m: MixedFit, d: Design):
     acc = F.lit(float(m.beta[0]))
     for i, c in enumerate(d.cols):

@@ -771,6 +771,26 @@ def q_mixed_fit(spark, sf):
     return rounded(mx.mixed_tidy(spark, m))
 
 
+def _mixed_selection(spark, sf, test):
+    d = student_design(spark, sf, keep=["Parental_Education_Level"])
+    _, dropped, kept = mx.backward_select_mixed(
+        mx.mixed_sums(d, "Parental_Education_Level"), test=test)
+    rows = [(i + 1, *t, "dropped") for i, t in enumerate(dropped)]
+    rows += [(None, t, *kept[t], "kept") for t in kept]
+    return rounded(spark.createDataFrame(
+        rows, "step int, term string, statistic double, dof int, p_value double, status string"))
+
+
+@register("backward_select_mixed")
+def q_backward_select_mixed(spark, sf):
+    return _mixed_selection(spark, sf, "wald")
+
+
+@register("backward_select_mixed_lrt")
+def q_backward_select_mixed_lrt(spark, sf):
+    return _mixed_selection(spark, sf, "chisq")
+
+
 @register("likelihood_ratio")
 def q_likelihood_ratio(spark, sf):
     m, d = _mixed(spark, sf)

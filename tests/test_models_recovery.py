@@ -95,3 +95,58 @@ def test_pca_scores_are_the_projections(spark):
     for j, k in enumerate((2, 1)):
         v = vector[:, k] * np.sign(vector[np.argmax(np.abs(vector[:, k])), k])
         assert np.allclose(got[:, j], z @ v, atol=1e-8)
+
+
+def _selection_table(spark, seed=4, n=1500):
+    rng = np.random.default_rng(seed)
+    g = rng.integers(0, 30, n)
+    cols = {f"x{k}": rng.normal(0, 1, n) for k in range(5)}
+    f = rng.choice(["a", "b", "c"], n)
+    y = (2 + 1.5 * cols["x0"] + 0.06 * cols["x1"] + 0.3 * cols["x0"] * cols["x2"] + rng.normal(0, 1, 30)[g]
+         + rng.normal(0, 1, n))
+    rows = [(int(a), *(float(v[i]) for v in cols.values()), str(f[i]), float(y[i])) for i, a in enumerate(g)]
+    return spark.createDataFrame(rows, "grp int, x0 double, x1 double, x2 double, x3 double, x4 double, "
+                                       "f string, y double")
+
+
+@pytest.mark.parametrize("test", ["wald", "chisq"])
+def test_mixed_elimination_equals_refits_from_scratch(spark, test):
+    df = _selection_table(spark).persist()
+    numeric, products = [f"x{k}" for k in range(5)], [("x0", "x2"), ("x3", "x4")]
+    d = lm.design(df, "y", numeric, ["f"], products, keep=["grp"])
+    fit, dropped, kept = mx.backward_select_mixed(mx.mixed_sums(d, "grp"), test=test)
+
+    def refit(terms):
+        dd = lm.design(df, "y", [t for t in terms if t in numeric], ["f"] if "f" in terms else [],
+                       [p for p in products if ":".join(p) in terms], keep=["grp"])
+        return mx.mixed_fit(dd, "grp"), dd
+
+    active, order = [*numeric, "f", "x0:x2", "x3:x4"], []
+    while True:
+        m, dd = refit(active)
+        p = {}
+        for t in active:
+            if any(":" in o and t in o.split(":") for o in active if o != t):
+                continue
+            own = [i + 1 for i, u in enumerate(dd.terms) if u == t]
+            if test == "wald":
+                b, v = m.beta[own], m.cov[np.ix_(own, own)]
+                stat = float(b @ np.linalg.solve(v, b))
+            else:
+                stat = 2 * (m.loglik - refit([u for u in active if u != t])[0].loglik)
+            p[t] = mx.chi2_sf(max(stat, 0.0), len(own))
+        worst = max(p, key=p.get)
+        if p[worst] < 0.05:
+            break
+        active.remove(worst)
+        order.append((worst, p[worst]))
+    assert [t for t, *_ in dropped] == [t for t, _ in order]
+    assert np.allclose([x[-1] for x in dropped], [v for _, v in order], rtol=1e-5)
+    assert set(active) == set(fit.names[1:]) | ({"f"} & set(active)) and "x0:x2" in active
+    assert np.allclose(fit.loglik, m.loglik) and set(kept) == set(p)
+    df.unpersist()
+
+
+def test_mixed_elimination_knows_its_tests():
+    with pytest.raises(ValueError):
+        mx.term_tests(mx.MixedSums({}, [], []), [], "f")
