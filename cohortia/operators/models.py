@@ -1,4 +1,5 @@
-"""MLlib-backed models.
+"""MLlib-backed models (M1-M3, M5-M8, M28, C6-C9); forests with out-of-bag votes and
+full depth are in ``forest``, second-order boosting in ``boosting``.
 
 Features are assembled once per model from the same design builder as the
 linear models (treatment-coded factors with readable names). Training runs
@@ -14,11 +15,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,28 +133,6 @@ def permutation_importance(spark: SparkSession, model, d: Design, id_col: str,
     return spark.createDataFrame(rows, "Variable string, accuracy_drop double")
 
 
-def rf_regress(d: Design, trees: int = 500, mtry: str = "4", seed: int = 42):
-    """Random forest regression."""
-    data = assemble(d).withColumn("label", F.col(d.y))
-    return RandomForestRegressor(numTrees=trees, featureSubsetStrategy=mtry, seed=seed,
-                                 labelCol="label").fit(data)
-
-
-def tune_mtry(d: Design, grid: Sequence[int] = (2, 4, 6, 8, 10), folds: int = 5, trees: int = 100,
-              seed: int = 42, parallelism: int = 4) -> list[tuple[int, float]]:
-    """Cross-validated RMSE per features-per-split candidate (a value
-    above the number of columns takes all of them)."""
-    cands = list(grid)
-    data = assemble(d).withColumn("label", F.col(d.y))
-    rf = RandomForestRegressor(numTrees=trees, seed=seed, labelCol="label")
-    pg = ParamGridBuilder().addGrid(rf.featureSubsetStrategy, [str(m) for m in cands]).build()
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=pg, numFolds=folds, seed=seed,
-                        evaluator=RegressionEvaluator(metricName="rmse", labelCol="label"),
-                        parallelism=parallelism, collectSubModels=False)
-    m = cv.fit(data)
-    return [(c, float(v)) for c, v in zip(cands, m.avgMetrics)]
-
-
 def partial_dependence(model, d: Design, col: str, points: int = 50) -> DataFrame:
     """Mean predicted probability with ``col`` set to each grid value.
 

@@ -10,6 +10,7 @@ precision.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -816,6 +817,7 @@ def q_mixed_residuals(spark, sf):
 
 
 # ---------------------------------------------------------------- MLlib models
+from ..operators import forest as fo  # noqa: E402
 from ..operators import models as md  # noqa: E402
 
 CHURN_NUM = ["Frequency", "Monetary_Value", "AVG_item_PL_per_transaction", "PL_ratio",
@@ -931,24 +933,64 @@ def student_rf_design(spark, sf, part=None):
     elif part == "test":
         t = t.where(ev.unit_hash("student_id", 5) >= 0.8)
     lv = {f: lm._levels(student_table(spark, sf), f) for f in STUDENT_FAC}
-    return lm.design(t, "Exam_Score", STUDENT_RF_NUM, STUDENT_FAC, levels=lv)
+    return lm.design(t, "Exam_Score", STUDENT_RF_NUM, STUDENT_FAC, levels=lv, keep=["student_id"])
 
 
 @register("rf_regress")
 def q_rf_regress(spark, sf):
     tr, te = student_rf_design(spark, sf, "train"), student_rf_design(spark, sf, "test")
-    model = md.rf_regress(tr, trees=500, mtry="4")
-    outs = []
-    for name, d in (("train", tr), ("test", te)):
-        p = model.transform(md.assemble(d))
-        outs.append(ev.regression_metrics(p, d.y, "prediction").withColumn("sample", F.lit(name)))
-    return rounded(outs[0].unionByName(outs[1]))
+    train = fo.rows_of(tr, "student_id")
+    asked = train.unionByName(fo.rows_of(te, "student_id"))
+    got = fo.votes(train, tr.cols, [fo.Forest(500, 4)], score=asked, per_tree=False)
+    by = train.select("id", F.lit("train").alias("sample")).unionByName(
+        fo.rows_of(te, "student_id").select("id", F.lit("test").alias("sample")))
+    p = got.join(asked.select("id", "y"), "id").join(by, "id").select(
+        "y", (F.col("total") / F.col("trees")).alias("prediction"),
+        F.when(F.col("oob"), "out of bag").otherwise(F.col("sample")).alias("sample")).persist()
+    return rounded(reduce(DataFrame.unionByName, [
+        ev.regression_metrics(p.filter(F.col("sample") == s), "y", "prediction").withColumn(
+            "sample", F.lit(s)) for s in ("train", "test", "out of bag")]))
 
 
 @register("tune_mtry")
 def q_tune_mtry(spark, sf):
-    res = md.tune_mtry(student_rf_design(spark, sf, "train"))
-    return rounded(spark.createDataFrame(res, "mtry int, cv_rmse double"))
+    d = student_rf_design(spark, sf, "train")
+    got = fo.tune(fo.rows_of(d, "student_id", fold=5), d.cols, (2, 4, 6, 8, 10), 5, fo.Forest(500))
+    return rounded(got.groupBy("mtry").agg(F.avg("rmse").alias("cv_rmse")))
+
+
+def _churn_forest(spark, sf, trees=40):
+    """The classification forest's design and rows (M6: 40 trees, square root
+    of the number of features a split)."""
+    d = churn_design(spark, sf, "train")
+    rows = memo(("churn_forest_rows", sf), lambda: fo.rows_of(d, "id_customer").persist())
+    return d, rows, fo.Forest(trees, int(len(d.cols) ** 0.5))
+
+
+@register("rf_oob_error")
+def q_rf_oob_error(spark, sf):
+    d, rows, forest = _churn_forest(spark, sf)
+    cast = fo.votes(rows, d.cols, [forest]).filter("oob").select(
+        "id", "tree", (F.col("prediction") > 0.5).cast("int").alias("vote"))
+    return rounded(fo.oob_error(cast, rows))
+
+
+@register("rf_oob_importance")
+def q_rf_oob_importance(spark, sf):
+    d, rows, forest = _churn_forest(spark, sf)
+    other, terms = fo.permuted(rows, d)
+    return rounded(fo.oob_importance(fo.votes(rows, d.cols, [forest], variants=other), rows, terms))
+
+
+@register("oob_error_given")
+def q_oob_error_given(spark, sf):
+    # the lines of an order are the votes of as many trees on it
+    cast = fx.table(spark, sf, "lineitem").groupBy(
+        F.col("l_orderkey").alias("id"), (F.col("l_linenumber") - 1).cast("int").alias("tree")).agg(
+        F.max((F.col("l_returnflag") == "R").cast("int")).alias("vote"))
+    labels = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_totalprice") > 150000).cast("int").alias("y"))
+    return rounded(fo.oob_error(cast, labels))
 
 
 SCORES = ["Recency_Score", "Frequency_Score", "Monetary_Score"]

@@ -1217,3 +1217,16 @@ SELECT event_type AS parameter, {rx('avg(value)', 'boot_mean')} AS boot_mean,
        {rx('quantile_cont(value, 0.975)', 'ci_upper')} AS ci_upper, count(value) AS replicates,
        count(*) FILTER (WHERE value IS NULL) AS failed
 FROM events GROUP BY 1"""
+
+# every number of trees on its own, over the votes cast so far
+ORACLES["oob_error_given"] = f"""
+WITH v AS (SELECT l_orderkey AS id, l_linenumber - 1 AS tree, max((l_returnflag = 'R')::INT) AS vote
+           FROM lineitem GROUP BY ALL),
+k AS (SELECT DISTINCT (tree + 1)::INT AS trees FROM v),
+c AS (SELECT k.trees, o_totalprice > 150000 AS y, (avg(vote) > 0.5) <> (o_totalprice > 150000) AS wrong
+      FROM k JOIN v ON v.tree < k.trees JOIN orders ON o_orderkey = v.id
+      GROUP BY k.trees, v.id, o_totalprice)
+SELECT trees, count(*) AS rows, {rx('avg(wrong::INT)', 'error')} AS error,
+       {rx('avg(wrong::INT) FILTER (WHERE NOT y)', 'error_0')} AS error_0,
+       {rx('avg(wrong::INT) FILTER (WHERE y)', 'error_1')} AS error_1
+FROM c GROUP BY trees"""
