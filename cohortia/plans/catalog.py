@@ -817,6 +817,7 @@ def q_mixed_residuals(spark, sf):
 
 
 # ---------------------------------------------------------------- MLlib models
+from ..operators import boosting as bo  # noqa: E402
 from ..operators import forest as fo  # noqa: E402
 from ..operators import models as md  # noqa: E402
 
@@ -908,6 +909,38 @@ def q_gbt_logloss_rounds(spark, sf):
                                          "round int, train_loss double, test_loss double"))
 
 
+def _boosted(spark, sf):
+    """150 rounds on the training part, with the scores of both parts."""
+    return memo(("boosted", sf), lambda: bo.fit(
+        churn_design(spark, sf, "train"), bo.Boosting(), "id_customer", churn_design(spark, sf, "test")))
+
+
+@register("boost_logloss_rounds")
+def q_boost_logloss_rounds(spark, sf):
+    return rounded(spark.createDataFrame(_boosted(spark, sf)[0].losses,
+                                         "round int, train_loss double, test_loss double"))
+
+
+@register("boost_classify")
+def q_boost_classify(spark, sf):
+    pr = _boosted(spark, sf)[1].filter("test").select("label", "score")
+    return rounded(ev.rates(ev.confusion(pr, t=0.439)).crossJoin(ev.log_loss(pr)).crossJoin(ev.roc_auc(pr)))
+
+
+@register("boost_importance")
+def q_boost_importance(spark, sf):
+    return rounded(bo.gain_importance(spark, _boosted(spark, sf)[0]))
+
+
+@register("boost_root_gains")
+def q_boost_root_gains(spark, sf):
+    st = fx.students(spark, sf).withColumn("passed", (F.col("Exam_Score") >= 55).cast("int"))
+    d = lm.design(st, "passed", STUDENT_RF_NUM, keep=["student_id"])
+    # bins enough for every distinct value
+    got = bo.root_gains(d, bo.Boosting(bins=4096), "student_id")
+    return rounded(got.select("Variable", "cut", F.col("gain").alias("gain_stat")))
+
+
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
     d = churn_design(spark, sf, "train")

@@ -1230,3 +1230,20 @@ SELECT trees, count(*) AS rows, {rx('avg(wrong::INT)', 'error')} AS error,
        {rx('avg(wrong::INT) FILTER (WHERE NOT y)', 'error_0')} AS error_0,
        {rx('avg(wrong::INT) FILTER (WHERE y)', 'error_1')} AS error_1
 FROM c GROUP BY trees"""
+
+# g = 1/2 - y and h = 1/4 in every row: the first tree starts at even odds
+_T = "(sign({g}) * greatest(abs({g}) - 0.1, 0)) ** 2 / ({h} + 1)"
+ORACLES["boost_root_gains"] = f"""
+WITH s AS ({students_sql()}),
+c AS (SELECT * FROM s WHERE Exam_Score IS NOT NULL AND Attendance IS NOT NULL AND Hours_Studied IS NOT NULL
+      AND Sleep_Hours IS NOT NULL AND Previous_Scores IS NOT NULL),
+v AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS Variable, {c}::DOUBLE AS x, 0.5 - (Exam_Score >= 55)::INT AS g, 0.25 AS h FROM c"
+    for c in ("Attendance", "Hours_Studied", "Sleep_Hours", "Previous_Scores")) + f"""),
+b AS (SELECT Variable, x, sum(g)::DOUBLE AS g, sum(h)::DOUBLE AS h FROM v GROUP BY ALL),
+l AS (SELECT Variable, x AS cut, sum(g) OVER w AS gl, sum(h) OVER w AS hl,
+             sum(g) OVER (PARTITION BY Variable) AS gt, sum(h) OVER (PARTITION BY Variable) AS ht
+      FROM b WINDOW w AS (PARTITION BY Variable ORDER BY x))
+SELECT Variable, {r('cut', 'cut')}, {rx('(' + _T.format(g='gl', h='hl') + ' + ' + _T.format(g='(gt - gl)', h='(ht - hl)')
+    + ' - ' + _T.format(g='gt', h='ht') + ')', 'gain_stat')} AS gain_stat
+FROM l WHERE hl >= 1 AND ht - hl >= 1"""
