@@ -1,10 +1,10 @@
 """Statistical helpers that stay distributed.
 
-``quantiles`` returns exact, linearly interpolated quantiles (the pandas /
-R type 7 / DuckDB ``quantile_cont`` definition) without pulling a whole column
-into one task: an approximate sketch brackets each target rank, and only the
-rows inside the bracket are ranked exactly, after collapsing equal values to
-(value, count) pairs so a hot value costs one row.
+``quantiles`` and ``grouped_quantiles`` return exact, linearly interpolated
+quantiles (the pandas / R type 7 / DuckDB ``quantile_cont`` definition) without
+pulling a whole column into one task: an approximate sketch brackets each target
+rank, and only the rows inside the bracket are ranked exactly, after collapsing
+equal values to (value, count) pairs so a hot value costs one row.
 """
 
 from __future__ import annotations
@@ -116,33 +116,126 @@ def release(df: DataFrame) -> None:
         d.unpersist()
 
 
-def quantiles_by_col(df: DataFrame, spec: dict[str, Sequence[float]], approx: bool = False
-                     ) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns in one job: the columns are
-    unpivoted to (column, value) and the column name is the group key.
-    ``approx=True`` returns the sketch values only (rank error ≤ 1/accuracy)."""
+def _merged(ranges: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Disjoint closed ranges, ascending."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _cell(x: Column, ranges: list[tuple[float, float]]) -> Column:
+    """2k + 1 inside the k-th range, 2k between the ranges k - 1 and k: a
+    binary search written out as nested conditions."""
+    def search(first: int, last: int) -> Column:
+        if first == last:       # at or above the lower ends of ``first`` ranges
+            after = F.lit(2 * first)
+            return F.when(x <= F.lit(ranges[first - 1][1]), 2 * first - 1).otherwise(after) if first else after
+        middle = (first + last) // 2
+        return F.when(x < F.lit(ranges[middle][0]), search(first, middle)).otherwise(search(middle + 1, last))
+    return search(0, len(ranges))
+
+
+def quantile_counts(df: DataFrame, spec: dict[str, Sequence[float]]
+                    ) -> dict[str, list[tuple[float, int, int] | None]]:
+    """Exact type-7 quantiles of several columns, each with the number of rows
+    at most the quantile and the number of all rows (NULLs ignored); None for a
+    column without values.
+
+    One pass sketches all columns; the sketch gives narrow ranges that hold the
+    wanted ranks. A second pass counts rows per cell (the ranges and what lies
+    between them) and, inside the ranges only, per value. A rank that fell
+    between two ranges is looked for there by another pass, so the result is
+    exact whatever the sketch returns. Only cell totals and the values at the
+    ranks reach the driver, a few rows per probability.
+    """
     cols = list(spec)
-    if approx:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"),
-                                           F.array(*[F.lit(float(p)) for p in spec[c]]),
-                                           SKETCH_ACCURACY).alias(c) for c in cols]).first()
-        return {c: [float(v) if v is not None else None for v in (row[c] or [])] for c in cols}
-    allp = sorted({float(p) for ps in spec.values() for p in ps})
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("__var"), F.col(c).cast("double").alias("__v")) for c in cols
-    ])).alias("__s")).select("__s.*").where(F.col("__v").isNotNull())
-    res = grouped_quantiles(long, ["__var"], "__v", allp)
-    rows = res.collect()
-    release(res)
-    got = {r["__var"]: dict(zip(allp, r["q"])) for r in rows}
-    return {c: [(float(got[c][float(p)]) if c in got and got[c][float(p)] is not None else None)
-                for p in spec[c]] for c in cols}
-
-
-def quantiles(df: DataFrame, col: str, probs: Sequence[float], approx: bool = False
-              ) -> list[float | None]:
+    m = 4.0 / SKETCH_ACCURACY
+    xs = {c: F.col(c).cast("double") for c in cols}
+    probs = {c: sorted({float(p) for p in spec[c]}) for c in cols}
+    sketch = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(xs[c]).alias(f"n{i}"), F.min(xs[c]).alias(f"a{i}"), F.max(xs[c]).alias(f"z{i}"),
+        F.percentile_approx(xs[c], F.array(*[F.lit(min(max(q, 0.0), 1.0)) for p in probs[c]
+                                             for q in (p - m, p + m)]), SKETCH_ACCURACY).alias(f"s{i}"))]).first()
+    size = {c: sketch[f"n{i}"] for i, c in enumerate(cols)}
+    ranges, wanted = {}, {}
+    for i, c in enumerate(cols):
+        if size[c]:
+            ends = zip(sketch[f"s{i}"][::2], sketch[f"s{i}"][1::2], probs[c])
+            ranges[c] = _merged([(sketch[f"a{i}"] if p <= m else lo, sketch[f"z{i}"] if p >= 1 - m else hi)
+                                 for lo, hi, p in ends])
+            wanted[c] = {r for p in probs[c] for r in _ranks(p, size[c])[:2]}
+    found: dict[str, dict[int, tuple[float, int]]] = {c: {} for c in cols}
+    while wanted:
+        now = list(wanted)
+        cells = df.select(F.explode(F.array(*[
+            F.struct(F.lit(k).alias("col"), _cell(xs[c], ranges[c]).alias("cell"), xs[c].alias("x"))
+            for k, c in enumerate(now)])).alias("s")).select("s.*").where(F.col("x").isNotNull())
+        counts = cells.groupBy("col", "cell", F.when(F.col("cell") % 2 == 1, F.col("x")).alias("x")).agg(
+            F.count(F.lit(1)).alias("n")).persist()
+        try:
+            totals = {(r["col"], r["cell"]): r["n"] for r in
+                      counts.groupBy("col", "cell").agg(F.sum("n").alias("n")).collect()}
+            base, aims, again = {}, {}, {}
+            for k, c in enumerate(now):
+                below = 0
+                for cell in range(2 * len(ranges[c]) + 1):
+                    here = totals.get((k, cell), 0)
+                    inside = {r for r in wanted[c] if below <= r < below + here}
+                    if inside and cell % 2:
+                        base[k, cell], aims[k, cell] = below, sorted(r - below for r in inside)
+                    elif inside:
+                        j = cell // 2
+                        lo = ranges[c][j - 1][1] if j else sketch[f"a{cols.index(c)}"]
+                        hi = ranges[c][j][0] if j < len(ranges[c]) else sketch[f"z{cols.index(c)}"]
+                        again.setdefault(c, []).append((lo, hi, inside))
+                    below += here
+            if aims:
+                cum = Window.partitionBy("col", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+                asked = F.create_map(*[v for (k, cell), at in aims.items() for v in (
+                    F.lit(f"{k}/{cell}"), F.array(*[F.lit(r).cast("long") for r in at]))])
+                key = F.concat_ws("/", "col", "cell")
+                hit = counts.withColumn("at", F.try_element_at(asked, key)).where(F.col("at").isNotNull())
+                hit = hit.withColumn("cum", F.sum("n").over(cum))
+                for r in hit.where(F.exists("at", lambda t: (t < F.col("cum")) & (t >= F.col("cum") - F.col("n")))
+                                   ).select("col", "cell", "x", "n", "cum").collect():
+                    for t in aims[r["col"], r["cell"]]:
+                        if r["cum"] - r["n"] <= t < r["cum"]:
+                            b = base[r["col"], r["cell"]]
+                            found[now[r["col"]]][b + t] = (r["x"], b + r["cum"])
+        finally:
+            counts.unpersist()
+        wanted = {c: set().union(*(i for _, _, i in v)) for c, v in again.items()}
+        ranges = {c: _merged([(lo, hi) for lo, hi, _ in v]) for c, v in again.items()}
+
+    def result(c: str, p: float):
+        if not size[c]:
+            return None
+        r0, r1, part = _ranks(float(p), size[c])
+        (v0, n0), (v1, n1) = found[c][r0], found[c][r1]
+        q = v0 if v0 == v1 or part == 0 else v0 + (v1 - v0) * part
+        return float(q), int(n1 if q >= v1 else n0), int(size[c])
+    return {c: [result(c, p) for p in spec[c]] for c in cols}
+
+
+def _ranks(p: float, n: int) -> tuple[int, int, float]:
+    """The two ranks (from 0) a type-7 quantile lies between, and how far."""
+    at = p * (n - 1)
+    r0 = math.floor(at)
+    return r0, min(r0 + 1, n - 1), at - r0
+
+
+def quantiles_by_col(df: DataFrame, spec: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns in two passes; see ``quantile_counts``."""
+    return {c: [v and v[0] for v in found] for c, found in quantile_counts(df, spec).items()}
+
+
+def quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
     """Exact type-7 quantiles of ``col`` (NULLs ignored) as driver scalars."""
-    return quantiles_by_col(df, {col: list(probs)}, approx)[col]
+    return quantiles_by_col(df, {col: list(probs)})[col]
 
 
 def quantile(df: DataFrame, col: str, p: float) -> float | None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import round_half_even
-from ..functions.stats import quantiles, quantiles_by_col
+from ..functions.stats import quantile_counts, quantiles, quantiles_by_col
 
 # Fixed values that must equal the reference: the 27 (recency, frequency,
 # money) label triples listed for each segment, in rule order. 25 of the 27
@@ -91,21 +91,20 @@ def percentile_grid(lo_pct: int = 70, hi_pct: int = 99) -> list[float]:
 def percentile_sweep(df: DataFrame, cols: Sequence[str] = ("Frequency", "Monetary_Value"),
                      names: Sequence[str] = ("Freq_Outliers", "Monetary_Outliers"),
                      probs: Sequence[float] | None = None) -> DataFrame:
-    """Rows strictly above each quantile, per column, in one pass."""
+    """Rows strictly above each quantile, per column. The counts come
+    with the quantiles, so the rows are not read again."""
     probs = list(probs or percentile_grid())
-    qs = quantiles_by_col(df, {c: probs for c in cols})
-    row = df.agg(*[F.count_if(F.col(c) > F.lit(qs[c][i])).alias(f"{c}__{i}")
-                   for c in cols for i in range(len(probs))])
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(p).alias("Percentile"),
-                 *[F.col(f"{c}__{i}").alias(nm) for c, nm in zip(cols, names)])
-        for i, p in enumerate(probs)])).alias("s")).select("s.*")
+    found = quantile_counts(df, {c: probs for c in cols})
+    rows = [(float(p), *[found[c][i][2] - found[c][i][1] if found[c][i] else 0 for c in cols])
+            for i, p in enumerate(probs)]
+    return df.sparkSession.createDataFrame(
+        rows, "Percentile double, " + ", ".join(f"`{nm}` bigint" for nm in names))
 
 
 def two_bound_sweep(df: DataFrame, q: float = 0.75,
                     mults: Sequence[float] = (1.0, 1.5, 2.0, 2.5, 3.0)) -> DataFrame:
     """Frequency and money bounds q + m * IQR and the counts above them."""
-    qs = quantiles_by_col(df, {"Frequency": [0.25, q, 0.75], "Monetary_Value": [0.25, q, 0.75]})
+    qs = quantiles_by_col(df, {c: [0.25, q, 0.75] for c in ("Frequency", "Monetary_Value")})
     f25, fq, f75 = qs["Frequency"]
     m25, mq, m75 = qs["Monetary_Value"]
     fiqr, miqr = f75 - f25, m75 - m25
@@ -130,7 +129,7 @@ def super_customers(df: DataFrame, q: float = 0.75, mult: float = 1.5
     Super: frequency or money above q + mult * IQR; ``anomaly`` says which,
     frequency first. Regular is the complement.
     """
-    qs = quantiles_by_col(df, {"Frequency": [0.25, q, 0.75], "Monetary_Value": [0.25, q, 0.75]})
+    qs = quantiles_by_col(df, {c: [0.25, q, 0.75] for c in ("Frequency", "Monetary_Value")})
     f25, fq, f75 = qs["Frequency"]
     m25, mq, m75 = qs["Monetary_Value"]
     fb = fq + mult * (f75 - f25)
