@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,6 +57,10 @@ nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 # tags that end an open element of the same group
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
            "td": ("td", "th"), "th": ("td", "th")}
+# elements that an unclosed tag inside cannot be ended from without: of a
+# paragraph, and of the items of lists and tables (fixed lists of the language)
+_PARAGRAPH_SCOPE = ("table", "td", "th", "caption", "button", "object", "template", "marquee", "applet")
+_ITEM_SCOPE = ("table", "ul", "ol", "dl")
 _TAG_FEATURES = """article main section nav header footer aside form button label fieldset ul ol li dl
 table td figure figcaption blockquote pre details dialog menu address p div h1 h2 h3 h4 h5 h6""".split()
 # words in class, id and role names
@@ -124,6 +129,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, feature bits, place in the page) of every leaf block in order."""
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by name
     parts: list[str] = []
     linked = in_link = hidden = 0
     pairs: dict[str, dict[int, int]] = {}
@@ -162,8 +168,16 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         for name, _ in stack[index:]:
             in_link -= name == "a"
             hidden -= name in _HIDDEN
+            places[name].pop()
         del stack[index:]
 
+    def push(name: str, bits: int) -> None:
+        places[name].append(len(stack))
+        stack.append((name, bits))
+
+    def innermost(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
+
     at, end = 0, len(page)
     # no tag ends and no comment opens beyond here: the rest is text, and is
     # not searched again from every "<"
@@ -185,9 +199,8 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if tag in _BLOCK:
             flush()
         if found[1]:
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if index is not None:
-                close(index)
+            if places[tag]:
+                close(places[tag][-1])
             continue
         if tag in _RAW:
             stop = _RAW[tag].search(page, at)
@@ -199,7 +212,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             if found.start() in pairs[tag]:
                 at = pairs[tag][found.start()]
             else:
-                stack.append((tag, stack[-1][1] if stack else 0))
+                push(tag, stack[-1][1] if stack else 0)
                 hidden += 1
             continue
         if hidden and tag in _BLOCK:
@@ -207,14 +220,11 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if tag in _VOID or tag == "head" or found[3].endswith("/"):
             continue
         if tag in _BLOCK and stack:
-            for other in _CLOSES.get(tag, ("p",) if tag not in ("p",) else ()):
-                index = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 9), -1)
-                              if stack[i][0] == other or stack[i][0] in ("table", "ul", "ol", "dl")
-                              and other != "p"), None)
-                if index is not None and stack[index][0] == other:
-                    close(index)
+            for other in _CLOSES.get(tag, ("p",)):
+                if innermost((other,)) > innermost(_PARAGRAPH_SCOPE if other == "p" else _ITEM_SCOPE):
+                    close(places[other][-1])
                     break
-        stack.append((tag, (stack[-1][1] if stack else 0) | _own_bits(tag, found[3])))
+        push(tag, (stack[-1][1] if stack else 0) | _own_bits(tag, found[3]))
         in_link += tag == "a"
     flush()
     return out

@@ -2,6 +2,7 @@
 import hashlib
 import html
 import re
+import time
 
 from cohortia.llm import chat_format as cf
 from cohortia.llm import html_extract as he
@@ -184,3 +185,22 @@ def test_formulas_are_text():
 def test_many_unclosed_hidden_elements_are_read_in_linear_time():
     for piece in ("<svg>", "<noscript>", "<object ", "<select><p>a"):
         he.blocks(piece * 100_000)
+
+
+def test_unclosed_paragraphs_end_however_deep_their_markup():
+    def bits(page):
+        return {t: {n for i, n in enumerate(he.NAMES) if b >> i & 1} for t, b, _ in he.blocks(page)}
+    for depth in (0, 3, 12, 500):
+        got = bits("<p class=ad>buy" + "<i>" * depth + " now<h2>Title</h2><p>Text</p>")
+        assert "class:ad" not in got["Title"] | got["Text"] and "in:p" not in got["Title"]
+    # a cell ends the paragraph of the cell before it; an inner list does not end the outer item
+    got = bits("<table><tr><td><p class=ad>a<div>b</div><td>c</table>")
+    assert "class:ad" not in got["b"] | got["c"]
+    got = bits("<ul class=ad><li>one<ul><li>two<li>three</ul><li>four</ul><p>five</p>")
+    assert all("class:ad" in got[k] for k in ("one", "two", "three", "four")) and "class:ad" not in got["five"]
+
+
+def test_deep_nesting_is_read_in_linear_time():
+    start = time.time()
+    assert [t for t, _, _ in he.blocks("<div>" * 200_000 + "end" + "<p>" * 100_000)] == ["end"]
+    assert time.time() - start < 20
