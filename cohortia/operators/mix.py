@@ -12,7 +12,7 @@ channel, as joins and grouped maxima.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -266,7 +266,14 @@ def _error(y: np.ndarray, yhat: np.ndarray) -> float:
 def fit_candidates(candidates: DataFrame, weekly_long: DataFrame, channels: Sequence[str],
                    target: DataFrame, lam: float = 0.1, train_share_col: str | None = None,
                    controls: Sequence[str] = ()) -> DataFrame:
-    """Per candidate: adstock and saturation per channel, signed ridge on
+    """The candidates fitted by ``candidate_fitter``."""
+    return candidate_fitter(weekly_long, channels, target, lam, train_share_col, controls)(candidates)
+
+
+def candidate_fitter(weekly_long: DataFrame, channels: Sequence[str], target: DataFrame, lam: float = 0.1,
+                     train_share_col: str | None = None, controls: Sequence[str] = ()
+                     ) -> Callable[[DataFrame], DataFrame]:
+    """A function that fits any table of candidates. Per candidate: adstock and saturation per channel, signed ridge on
     the training weeks, then NRMSE over all weeks and per split (X8, X9),
     decomp.RSSD (X10), R² and per-channel ROI.
 
@@ -313,7 +320,7 @@ def fit_candidates(candidates: DataFrame, weekly_long: DataFrame, channels: Sequ
             res = pd.DataFrame([fit_one(m, s) for m, s in zip(media, shares)], columns=names)
             yield pd.concat([g[["candidate", "trial", "iteration"]].reset_index(drop=True), res], axis=1)
 
-    return candidates.mapInPandas(fit, out_schema)
+    return lambda candidates: candidates.mapInPandas(fit, out_schema)
 
 
 def pareto_fronts(models: DataFrame, fronts: int = 2, x: str = "nrmse", y: str = "decomp_rssd",

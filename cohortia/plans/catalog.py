@@ -1083,6 +1083,7 @@ def q_pca_scores(spark, sf):
 
 # ---------------------------------------------------------------- marketing mix
 from ..operators import mix as mm  # noqa: E402
+from ..operators import mix_search as ms  # noqa: E402
 
 CHANNEL_ORDER = sorted(fx.CHANNELS)          # 1-URGENT ... 5-LOW
 
@@ -1183,14 +1184,27 @@ def q_candidate_params(spark, sf):
           .alias(f"{mm.safe_name(c)}_inflexion") for c in CHANNEL_ORDER]))
 
 
+def mix_fitter(spark, sf):
+    w = fx.weekly(spark, sf).select("week", "sales")
+    tgt = mm.holiday_join(mm.trend_season(w), mm.holiday_calendar(w))
+    return mm.candidate_fitter(weekly_grid(spark, sf), CHANNEL_ORDER, tgt, lam=0.1,
+                               train_share_col="train_size",
+                               controls=[c for c in tgt.columns if c not in ("week", "sales")])
+
+
 def fitted_candidates(spark, sf):
-    def build():
-        w = fx.weekly(spark, sf).select("week", "sales")
-        tgt = mm.holiday_join(mm.trend_season(w), mm.holiday_calendar(w))
-        return mm.fit_candidates(search_candidates(spark), weekly_grid(spark, sf), CHANNEL_ORDER, tgt,
-                                 lam=0.1, train_share_col="train_size",
-                                 controls=[c for c in tgt.columns if c not in ("week", "sales")]).persist()
-    return memo((spark.sparkContext.applicationId, sf, "mix_fit"), build)
+    return memo((spark.sparkContext.applicationId, sf, "mix_fit"),
+                lambda: mix_fitter(spark, sf)(search_candidates(spark)).persist())
+
+
+@register("adaptive_search")
+def q_adaptive_search(spark, sf):
+    """As many iterations as the independent draws, in generations; the loss
+    weighs fit and spend share alike."""
+    out = ms.adaptive_search(spark, mix_ranges(), mix_fitter(spark, sf), F.col("nrmse") + F.col("decomp_rssd"),
+                             size=100, generations=SEARCH_ITERATIONS // 100, trials=SEARCH_TRIALS, seed=7)
+    return rounded(out.select("candidate", "trial", "iteration", "generation", "nrmse", "decomp_rssd",
+                              F.col("loss").alias("loss_value")))
 
 
 @register("fit_candidates")
