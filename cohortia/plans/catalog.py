@@ -646,6 +646,7 @@ def q_union_segments(spark, sf):
 
 # ---------------------------------------------------------------- linear and mixed models
 from ..operators import linear as lm  # noqa: E402
+from ..operators import loess as lo  # noqa: E402
 from ..operators import mixed as mx  # noqa: E402
 
 STUDENT_NUM = ["Attendance", "Hours_Studied", "Sleep_Hours", "Previous_Scores"]
@@ -722,6 +723,22 @@ def q_binned_trend(spark, sf):
     return rounded(lm.binned_trend(lm.residual_table(fit, d), "fitted", "sqrt_abs_resid", 20))
 
 
+@register("loess")
+def q_loess(spark, sf):
+    st = fx.students(spark, sf).filter("Attendance is not null and Exam_Score is not null")
+    return rounded(lo.loess(st, "Attendance", "Exam_Score", frac=0.6, points=25).select(
+        "x", F.col("smooth").alias("smooth_fitted")))
+
+
+@register("loess_scale_location")
+def q_loess_scale_location(spark, sf):
+    d = student_design(spark, sf)
+    fit = lm.ols_from_gram(lm.gram(d))
+    return rounded(lo.loess(lm.residual_table(fit, d).select("fitted", "sqrt_abs_resid").persist(),
+                            "fitted", "sqrt_abs_resid", frac=0.6, points=50).select(
+        F.col("x").alias("fitted"), F.col("smooth").alias("smooth_resid")))
+
+
 @register("backward_select")
 def q_backward_select(spark, sf):
     g = lm.gram(student_design(spark, sf))
@@ -1084,6 +1101,7 @@ def q_pca_scores(spark, sf):
 # ---------------------------------------------------------------- marketing mix
 from ..operators import mix as mm  # noqa: E402
 from ..operators import mix_search as ms  # noqa: E402
+from ..operators import trend as tr  # noqa: E402
 
 CHANNEL_ORDER = sorted(fx.CHANNELS)          # 1-URGENT ... 5-LOW
 
@@ -1142,6 +1160,13 @@ def q_trend_season_holiday(spark, sf):
     return rounded(out)
 
 
+@register("trend_changes")
+def q_trend_changes(spark, sf):
+    return rounded(tr.trend_changes(fx.weekly(spark, sf).select("week", "sales"), "sales").select(
+        "week", F.col("trend").alias("trend_fitted"), F.col("season").alias("season_fitted"), "fitted",
+        F.col("slope_change").alias("slope_change")))
+
+
 @register("time_split")
 def q_time_split(spark, sf):
     return mm.time_split(fx.weekly(spark, sf).select("week"), "week", 0.7)

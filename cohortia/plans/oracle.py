@@ -1247,3 +1247,18 @@ l AS (SELECT Variable, x AS cut, sum(g) OVER w AS gl, sum(h) OVER w AS hl,
 SELECT Variable, {r('cut', 'cut')}, {rx('(' + _T.format(g='gl', h='hl') + ' + ' + _T.format(g='(gt - gl)', h='(ht - hl)')
     + ' - ' + _T.format(g='gt', h='ht') + ')', 'gain_stat')} AS gain_stat
 FROM l WHERE hl >= 1 AND ht - hl >= 1"""
+
+# every grid point against every row
+ORACLES["loess"] = f"""
+WITH s AS ({students_sql()}),
+d AS (SELECT Attendance::DOUBLE AS a, Exam_Score::DOUBLE AS y FROM s
+      WHERE Attendance IS NOT NULL AND Exam_Score IS NOT NULL),
+e AS (SELECT min(a) AS lo, max(a) AS hi, ceil(0.6 * count(*) - 1e-9) AS k FROM d),
+g AS (SELECT lo + (hi - lo) * i / 24 AS x, k FROM e, (SELECT unnest(range(25)) AS i)),
+p AS (SELECT x, k, a - x AS u, abs(a - x) AS far, y, row_number() OVER (PARTITION BY x ORDER BY abs(a - x)) AS r
+      FROM g, d),
+h AS (SELECT x, max(far) FILTER (WHERE r = k) AS h FROM p GROUP BY x),
+w AS (SELECT x, u / h AS v, y, (1 - (far / h) ** 3) ** 3 AS w FROM p JOIN h USING (x) WHERE far < h),
+m AS (SELECT x, sum(w) AS s0, sum(w * v) AS s1, sum(w * v * v) AS s2, sum(w * y) AS t0, sum(w * v * y) AS t1
+      FROM w GROUP BY x)
+SELECT {r('x', 'x')}, {rx('(s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1)', 'smooth_fitted')} AS smooth_fitted FROM m"""
