@@ -1099,6 +1099,7 @@ def q_pca_scores(spark, sf):
 
 
 # ---------------------------------------------------------------- marketing mix
+from ..operators import budget as bu  # noqa: E402
 from ..operators import mix as mm  # noqa: E402
 from ..operators import mix_search as ms  # noqa: E402
 from ..operators import trend as tr  # noqa: E402
@@ -1359,6 +1360,12 @@ def q_allocate_budget(spark, sf):
     return rounded(mm.allocate_budget(response_curves(spark, sf), 0.7, 1.5))
 
 
+@register("optimise_budget")
+def q_optimise_budget(spark, sf):
+    return rounded(bu.optimise_budget(response_curves(spark, sf), 0.7, 1.5).withColumnRenamed(
+        "slope", "slope_response"))
+
+
 @register("budget_scenarios")
 def q_budget_scenarios(spark, sf):
     return rounded(mm.budget_scenarios(response_curves(spark, sf), 0.7, 1.5))
