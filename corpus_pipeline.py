@@ -2,7 +2,13 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; columns of other names stay as well.
+
+Edge cases: a document with a null or empty text has no words, so the quality
+rules drop it; rows without a doc_id, or that share one, are judged by their own
+texts, and of equal rows one stays; very long texts are read whole in every
+stage; ties among near-duplicates go to the smallest doc_id, then the smallest
+text hash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
