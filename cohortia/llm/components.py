@@ -5,6 +5,10 @@ every smaller neighbour to the smallest (small star); the number of rounds
 grows with the logarithm of the longest chain. Only grouped minima and joins
 are used; every round is written in the shared folder, and only one row (a
 checksum that tells when nothing changes any more) reaches the driver.
+
+Edge cases: an edge with a null end is no edge; loops and repeated edges change
+nothing; a node without an edge to another node has no row; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
