@@ -267,12 +267,14 @@ def _uniform(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
 
 
 def bootstrap_moments(df: DataFrame, key: str, items: Sequence[str], n_boot: int,
-                      seed: int = 42, batch: int = 512) -> DataFrame:
+                      seed: int = 42, batch: int = 512, tasks: int | None = None) -> DataFrame:
     """Weighted moment sums per replicate: (rep, w, s_i..., c_i_j...).
 
-    Each partition adds up its rows' contributions for every replicate in
-    row batches, so the output per partition is n_boot rows whatever the
-    data size; one ``groupBy(rep)`` sums the partitions.
+    The input's partitions are read by ``tasks`` tasks (the cores of the
+    cluster, if not given), without a shuffle. Each adds up its rows'
+    contributions for every replicate in row batches, so the shuffle holds
+    n_boot rows a task, however large the data and many its partitions are;
+    one ``groupBy(rep)`` sums the tasks.
     """
     items = list(items)
     k = len(items)
@@ -302,7 +304,7 @@ def bootstrap_moments(df: DataFrame, key: str, items: Sequence[str], n_boot: int
             yield out
 
     d = df.select(key, *items).dropna()
-    sums = d.mapInPandas(part, schema)
+    sums = d.coalesce(tasks or df.sparkSession.sparkContext.defaultParallelism).mapInPandas(part, schema)
     return sums.groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
 
 

@@ -1453,3 +1453,36 @@ def q_pls_consistent(spark, sf):
     rows += [(b, "r2", None, v, why(b)) for b, v in c["r2"].items()]
     return rounded(spark.createDataFrame(rows, "construct string, measure string, source string, "
                                          "estimate double, reason string"))
+
+
+# ---------------------------------------------------------------- covariance structure model
+from ..operators import covariance as cs  # noqa: E402
+
+
+def _covariance(spark, sf):
+    return memo((spark.sparkContext.applicationId, sf, "covariance"),
+                lambda: cs.covariance_fit(fx.survey_answers(spark, sf, SURVEY_BLOCKS), SURVEY_BLOCKS, SURVEY_PATHS))
+
+
+@register("covariance_fit")
+def q_covariance_fit(spark, sf):
+    return rounded(cs.covariance_table(spark, _covariance(spark, sf)))
+
+
+@register("covariance_measures")
+def q_covariance_measures(spark, sf):
+    rows = list(cs.covariance_measures(_covariance(spark, sf)).items())
+    return rounded(spark.createDataFrame(rows, "measure string, estimate double"))
+
+
+@register("covariance_scores")
+def q_covariance_scores(spark, sf):
+    return rounded(cs.covariance_scores(fx.survey_answers(spark, sf, SURVEY_BLOCKS), _covariance(spark, sf),
+                                        "respondent"))
+
+
+@register("bootstrap_covariance")
+def q_bootstrap_covariance(spark, sf):
+    boot = cs.bootstrap_covariance(fx.survey_answers(spark, sf, SURVEY_BLOCKS), "respondent",
+                                   _covariance(spark, sf), n_boot=5000)
+    return rounded(sv_.bootstrap_summary(boot))

@@ -113,6 +113,29 @@ def survey_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                         for i in range(1, SURVEY_ITEMS + 1)])
 
 
+# Loadings of the answers by place in their block, and the latent variables as
+# weights of further embedding elements (fixed values of the fixture).
+ANSWER_LOADINGS = (1.0, 0.8, 1.2, 0.9, 1.1, 0.7)
+ANSWER_LATENTS = {"DLIT": ((21, 1.0),), "HLIT": ((21, 0.3), (22, 0.9)),
+                  "DSS": ((21, 0.6), (23, 0.7)), "EHS": ((21, 0.2), (22, 0.6), (24, 0.6))}
+
+
+def survey_answers(spark: SparkSession, sf_dir: str, blocks: dict[str, list[str]]) -> DataFrame:
+    """Items that share the latent variable of their block: its loading times
+    the latent variable plus the item of ``survey_items`` as its error."""
+    emb = table(spark, sf_dir, "embeddings")
+
+    def element(i):
+        return F.element_at("embedding", i).cast("double")
+
+    cols = []
+    for b, items in blocks.items():
+        latent = sum((w * element(i) for i, w in ANSWER_LATENTS[b]), F.lit(0.0))
+        cols += [(load * latent + element(int(c.rsplit("_", 1)[1]))).alias(c)
+                 for c, load in zip(items, ANSWER_LOADINGS)]
+    return emb.select(F.col("vec_id").alias("respondent"), *cols)
+
+
 def survey_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
