@@ -273,8 +273,10 @@ def bootstrap_moments(df: DataFrame, key: str, items: Sequence[str], n_boot: int
     The input's partitions are read by ``tasks`` tasks (the cores of the
     cluster, if not given), without a shuffle. Each adds up its rows'
     contributions for every replicate in row batches, so the shuffle holds
-    n_boot rows a task, however large the data and many its partitions are;
-    one ``groupBy(rep)`` sums the tasks.
+    n_boot rows a task, however large the data and many its partitions are.
+    Replicates are summed in as many partitions: a number given by hand keeps
+    the small table from being merged into a few tasks, so that all cores fit
+    replicates.
     """
     items = list(items)
     k = len(items)
@@ -304,8 +306,9 @@ def bootstrap_moments(df: DataFrame, key: str, items: Sequence[str], n_boot: int
             yield out
 
     d = df.select(key, *items).dropna()
-    sums = d.coalesce(tasks or df.sparkSession.sparkContext.defaultParallelism).mapInPandas(part, schema)
-    return sums.groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    sums = d.coalesce(tasks).mapInPandas(part, schema)
+    return sums.repartition(tasks, "rep").groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def bootstrap_pls(df: DataFrame, key: str, blocks: Mapping[str, Sequence[str]],
