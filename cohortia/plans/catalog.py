@@ -464,7 +464,7 @@ def q_basket_bundles(spark, sf):
 from uuid import uuid4  # noqa: E402
 
 from ..session import shared_folder  # noqa: E402
-from ..sources import readers, sinks  # noqa: E402
+from ..sources import readers, sinks, workbook  # noqa: E402
 
 
 def _new_path(spark, label):
@@ -508,6 +508,26 @@ def q_read_back_report(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(model)
 
 
+@register("read_back_workbook")
+def q_read_back_workbook(spark, sf):
+    """Two tables as sheets of one workbook; the sheet of students, whole."""
+    path = _new_path(spark, "workbook") + ".xlsx"
+    students = blank_to_null(fx.students(spark, sf))
+    sinks.write_report({"regions": fx.table(spark, sf, "region"), "students": students}, path, fmt="xlsx")
+    return rounded(workbook.read_workbook(spark, path, students.schema, "students"))
+
+
+@register("read_back_weekly_workbook")
+def q_read_back_weekly_workbook(spark, sf):
+    """The weekly table from the first sheet of a workbook, its columns found by
+    the header and its weeks as the text of the marketing table."""
+    path = _new_path(spark, "weekly") + ".xlsx"
+    weekly = fx.weekly(spark, sf)
+    sinks.write_report({"weekly": weekly.withColumn("week", F.date_format("week", "dd.MM.yy")),
+                        "dates": weekly}, path, fmt="xlsx")
+    return rounded(readers.read_weekly(spark, path, date_col="week", fmt="xlsx"))
+
+
 # ---------------------------------------------------------------- descriptive, encoders
 from ..functions import scalar as sc  # noqa: E402
 

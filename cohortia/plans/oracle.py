@@ -751,6 +751,9 @@ weekly AS (SELECT w.*, coalesce(t.sales, 0.0) AS sales FROM wide w LEFT JOIN tgt
 ORACLES["read_back_weekly"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()}
 SELECT CAST(CASE WHEN year(week) < 2000 THEN week + INTERVAL 100 YEAR ELSE week END AS DATE) AS week, {r('sales', 'sales')}, """ + ", ".join(
     r(f"spend_{n}", f"spend_{n}") for n in CHANNELS.values()) + " FROM weekly"
+ORACLES["read_back_weekly_workbook"] = ORACLES["read_back_weekly"]
+ORACLES["read_back_workbook"] = f"WITH s AS ({students_clean_sql()})\nSELECT " + ", ".join(
+    c if c in STUDENT_TEXT or c == "student_id" else r(c, c) for c in STUDENT_COLS) + " FROM s"
 ORACLES["inflation_adjust"] = f"""WITH tx AS ({FIXTURE_SQL['tx']}), {weekly_sql()},
 mu AS (SELECT avg(o_totalprice) AS mu FROM orders),
 cpi AS (SELECT year(o_orderdate) AS year, avg(o_totalprice) / max(mu.mu) * 100 AS cpi FROM orders, mu GROUP BY 1),

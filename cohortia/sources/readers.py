@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalar import blank_to_null, parse_decimal_comma, to_int_or_null
+from .workbook import read_workbook, workbook_columns
 
 TRANSACTIONS_RAW = ("id_customer BIGINT, date STRING, gross_sales DOUBLE, net_sales DOUBLE, "
                     "PL_gross_sales STRING, number_item_PL STRING, number_items_other STRING, "
@@ -35,17 +36,27 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
 
 
 def read_weekly(spark: SparkSession, path: str, schema: StructType | str | None = None,
-                date_col: str = "WEEKSTARTINGSELLOUT", fmt: str = "csv") -> DataFrame:
+                date_col: str = "WEEKSTARTINGSELLOUT", fmt: str = "csv",
+                sheet: str | None = None) -> DataFrame:
     """Weekly marketing table; the week text ``dd.MM.yy`` becomes a date.
-    Without a schema every other column of a CSV is read as a number (null
-    where it is none)."""
+    Without a schema every other column of a CSV file or workbook (``xlsx``:
+    ``sheet``, or the first one) is read as a number (null where it is none)."""
+    if fmt == "xlsx":
+        if schema is None:
+            schema = StructType([StructField(c, StringType()) for c in workbook_columns(spark, path, sheet)])
+            return _weekly(read_workbook(spark, path, schema, sheet), date_col, True)
+        return _weekly(read_workbook(spark, path, schema, sheet), date_col, False)
     reader = spark.read.option("header", True)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.parquet(path) if fmt == "parquet" else reader.csv(path)
+    return _weekly(df, date_col, schema is None and fmt == "csv")
+
+
+def _weekly(df: DataFrame, date_col: str, untyped: bool) -> DataFrame:
     if date_col in df.columns and dict(df.dtypes)[date_col] == "string":
         df = df.withColumn(date_col, F.to_date(date_col, "dd.MM.yy"))
-    if schema is None and fmt == "csv":
+    if untyped:
         df = df.select(*[F.col(c) if c == date_col else F.col(c).try_cast("double").alias(c)
                          for c in df.columns])
     return df

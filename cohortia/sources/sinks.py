@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
+from .workbook import write_workbook
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
@@ -20,7 +22,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_report(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """Several result tables side by side, one folder per table."""
+    """Several result tables side by side, one folder per table; with
+    ``xlsx`` as the sheets of one workbook at ``path``."""
+    if fmt == "xlsx":
+        write_workbook(tables, path)
+        return
     for name, df in tables.items():
         write_table(df, f"{path.rstrip('/')}/{name}", fmt=fmt)
 
