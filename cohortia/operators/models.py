@@ -200,14 +200,17 @@ def kmeans_assign(df: DataFrame, cols: Sequence[str], k: int = 3, starts: int =
     return model.setFeaturesCol("__f").setPredictionCol(out).transform(v).drop("__f")
 
 
-def silhouette(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
+def silhouette(df: DataFrame, cols: Sequence[str], label: str, max_points: int = 20_000) -> DataFrame:
     """Mean silhouette width (Euclidean), exact, over distinct points
     weighted by their counts: a(i) excludes the point itself once.
 
-    Needs few distinct points (score lattices); on continuous data use
-    ``ClusteringEvaluator`` instead.
+    Compares all distinct points (score lattices have few), one side sent to
+    every task: more than ``max_points`` raise ``ValueError``. On continuous
+    data use ``ClusteringEvaluator`` instead.
     """
     pts = df.groupBy(label, *cols).agg(F.count(F.lit(1)).alias("w"))
+    if pts.limit(max_points + 1).count() > max_points:
+        raise ValueError(f"more than {max_points} distinct points; use ClusteringEvaluator")
     a = pts.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.col(label).alias("la"),
                    F.col("w").alias("wa"))
     b = pts.select(*[F.col(c).alias(f"b_{c}") for c in cols], F.col(label).alias("lb"),

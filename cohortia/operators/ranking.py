@@ -1,32 +1,59 @@
 """Ranking and rank merging of variable importances.
 
-These tables have one row per model term or variable (tens of rows), so
-their global orderings are cheap; the ranking itself is still written as
-window functions partitioned by method.
+Ranks over a whole table come from a range-partitioned sort and the row counts
+of its partitions; no window holds all rows. Rank merging works on tables with
+one row per model term or variable.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_folder
+
 MISSING_RANK = 21
+LOCAL_ID = (1 << 33) - 1            # the part of Spark's increasing ids that counts within a partition
 
 
 def rank_rows(df: DataFrame, order: Sequence, by: Sequence[str] = (), name: str = "Rank"
               ) -> DataFrame:
-    """1..n after a sort (per group when ``by`` is given)."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
-
+    """1..n after a sort (per group when ``by`` is given).
 
-def top_n_with_ties(df: DataFrame, n: int, order: Sequence, by: Sequence[str] = ()) -> DataFrame:
-    """Rows whose rank (ties share a rank) is at most n."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn("__rk", F.rank().over(w)).where(F.col("__rk") <= n).drop("__rk")
+    Without ``by`` the sorted table is written as a checkpoint, so that the
+    partitions numbered are those counted even when an executor is lost; each
+    row's number is its place in its partition plus the rows of the partitions
+    before (one count a partition).
+    """
+    if by:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    shared_folder(df.sparkSession)                      # sets the checkpoint folder where unset
+    placed = (df.orderBy(*order).withColumn("__part", F.spark_partition_id())
+              .withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_ID)) + 1).checkpoint())
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return (placed.join(F.broadcast(offsets), "__part")
+            .withColumn(name, (F.col("__at") + F.col("__before")))
+            .select(*df.columns, name))
+
+
+def top_n_with_ties(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = (),
+                    descending: bool = False) -> DataFrame:
+    """Rows whose rank by the columns ``order`` (ties share a rank) is at
+    most n; nulls come last. Without ``by`` those are the rows that equal one of
+    the first n rows in ``order``: a top-n and a semi join on n keys at most."""
+    keys = [(F.desc_nulls_last if descending else F.asc_nulls_last)(c) for c in order]
+    if by:
+        w = Window.partitionBy(*by).orderBy(*keys)
+        return df.withColumn("__rk", F.rank().over(w)).where(F.col("__rk") <= n).drop("__rk")
+    first = df.orderBy(*keys).limit(n).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(order)]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(order)]
+    return df.join(F.broadcast(first), reduce(lambda a, b: a & b, same), "left_semi")
 
 
 def rank_logit(coefs: DataFrame, factors: Sequence[str], top: int = 17,
