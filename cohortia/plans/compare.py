@@ -21,7 +21,7 @@ NOISY = re.compile(
     r"^t$|p_value|pvalue|r2|rsq|aic|bic|loglik|deviance|sigma|auc|loss|rmse|mae|mse|"
     r"alpha|loading|weight|score_|density|surv|ci_|conf_|lower|upper|chisq|vif|oe_term|^[xy]_mean$|effect|roi|"
     r"nrmse|rssd|response|spend_opt|theta|slope|intercept|kernel|silhouette|importance|tpr|fpr|"
-    r"fitted|resid|prediction|^ns|_ns\d|adstock|saturated|season|median|spend_opt|total_resp)")
+    r"fitted|resid|prediction|^ns|_ns\d|adstock|saturated|season|median|spend_opt|total_resp|^pc\d+$)")
 
 
 def digits_for(name: str) -> int:

@@ -1005,6 +1005,47 @@ SELECT {rx('sil', 'silhouette')} AS silhouette,
        CASE WHEN sil > 0.5 THEN 'good' WHEN sil > 0.3 THEN 'moderate' ELSE 'poor' END AS quality FROM t"""
 
 
+def leading_sql(name: str, src: str) -> str:
+    """CTEs for the leading unit vector of a symmetric 3 x 3 matrix (one row xx,
+    xy, xz, yy, yz, zz): squared and scaled 60 times, it is the vector's outer
+    product; the largest element is made positive."""
+    sq = {"xx": "xx*xx + xy*xy + xz*xz", "xy": "xx*xy + xy*yy + xz*yz", "xz": "xx*xz + xy*yz + xz*zz",
+          "yy": "xy*xy + yy*yy + yz*yz", "yz": "xy*xz + yy*yz + yz*zz", "zz": "xz*xz + yz*yz + zz*zz"}
+    scale = f"({sq['xx']} + {sq['yy']} + {sq['zz']})"
+    step = ", ".join(f"({e}) / {scale}" for e in sq.values())
+    unit = ", ".join("CASE WHEN xx >= yy AND xx >= zz THEN {}/sqrt(xx) WHEN yy >= zz THEN {}/sqrt(yy) "
+                     "ELSE {}/sqrt(zz) END AS v{}".format(*cols) for cols in
+                     (("xx", "xy", "xz", "x"), ("xy", "yy", "yz", "y"), ("xz", "yz", "zz", "z")))
+    return f"""{name}_p(i, xx, xy, xz, yy, yz, zz) AS (SELECT 0, xx, xy, xz, yy, yz, zz FROM {src}
+  UNION ALL SELECT i + 1, {step} FROM {name}_p WHERE i < 60),
+{name}_v AS (SELECT {unit} FROM {name}_p WHERE i = 60),
+{name} AS (SELECT v.*, vx*vx*xx + vy*vy*yy + vz*vz*zz + 2*(vx*vy*xy + vx*vz*xz + vy*vz*yz) AS ev
+  FROM {name}_v v, {src})"""
+
+
+_PCA = rfm_ctes().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+sx AS (SELECT id_customer, Recency_Score, Frequency_Score, Monetary_Score,
+              CAST(Recency_Score AS DOUBLE) AS x, CAST(Frequency_Score AS DOUBLE) AS y,
+              CAST(Monetary_Score AS DOUBLE) AS z FROM lab),
+cm AS (SELECT 1.0::DOUBLE AS xx, corr(x, y) AS xy, corr(x, z) AS xz, 1.0::DOUBLE AS yy, corr(y, z) AS yz,
+              1.0::DOUBLE AS zz FROM sx),
+{leading_sql('e1', 'cm')},
+cd AS (SELECT xx - ev*vx*vx AS xx, xy - ev*vx*vy AS xy, xz - ev*vx*vz AS xz, yy - ev*vy*vy AS yy,
+              yz - ev*vy*vz AS yz, zz - ev*vz*vz AS zz FROM cm, e1),
+{leading_sql('e2', 'cd')}"""
+ORACLES["pca_loadings"] = _PCA + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS variable, {r(f'e1.v{a}', 'PC1')}, {r(f'e2.v{a}', 'PC2')}, "
+    f"{r('e1.ev / 3', 'PC1_explained_variance')}, {r('e2.ev / 3', 'PC2_explained_variance')} FROM e1, e2"
+    for c, a in (("Recency_Score", "x"), ("Frequency_Score", "y"), ("Monetary_Score", "z")))
+ORACLES["pca_scores"] = _PCA + f""",
+ms AS (SELECT avg(x) AS ax, stddev_samp(x) AS sdx, avg(y) AS ay, stddev_samp(y) AS sdy, avg(z) AS az,
+              stddev_samp(z) AS sdz FROM sx),
+zs AS (SELECT sx.*, (x - ax) / sdx AS tx1, (y - ay) / sdy AS ty1, (z - az) / sdz AS tz1 FROM sx, ms)
+SELECT id_customer, Recency_Score, Frequency_Score, Monetary_Score,
+       {r('tx1 * e1.vx + ty1 * e1.vy + tz1 * e1.vz', 'PC1')}, {r('tx1 * e2.vx + ty1 * e2.vy + tz1 * e2.vz', 'PC2')}
+FROM zs, e1, e2"""
+
+
 # ---------------------------------------------------------------- marketing mix
 import math as _math  # noqa: E402
 
@@ -1199,6 +1240,34 @@ FROM pick p JOIN cv USING (channel)"""
 ORACLES["candidate_params"] = _cand_sql()
 
 
+def best_spend_sql(p: str, low: float, up: float) -> str:
+    """CTEs for the best spends within bounds on the common grid: channel by
+    channel, the best total for every number of steps spent."""
+    ctes = [f"""{p}b AS (SELECT sum(current) / 100 AS unit,
+  floor((sum(current) - sum(current * {low!r})) / (sum(current) / 100) + 1e-9) AS steps FROM cv)""",
+            f"""{p}lv AS (SELECT channel, beta, alpha, inflexion, range AS j, current * {low!r} + range * b.unit AS spend
+  FROM cv, {p}b b, range(101) WHERE range <= floor(current * {(up - low)!r} / b.unit + 1e-9) AND range <= b.steps)""",
+            f"{p}l AS (SELECT channel, j, spend, {_resp('spend')} AS resp FROM {p}lv)",
+            f"{p}s0 AS (SELECT j AS spent, resp AS total, [spend] AS c FROM {p}l WHERE channel = '{_CH[0]}')"]
+    ctes += [f"""{p}s{i} AS (SELECT s.spent + l.j AS spent, max(s.total + l.resp) AS total,
+  arg_max(list_append(s.c, l.spend), s.total + l.resp) AS c FROM {p}s{i - 1} s, {p}l l, {p}b b
+  WHERE l.channel = '{ch}' AND s.spent + l.j <= b.steps GROUP BY 1)""" for i, ch in enumerate(_CH) if i]
+    ctes.append(f"{p}best AS (SELECT c FROM {p}s{len(_CH) - 1} ORDER BY total DESC, spent LIMIT 1)")
+    return ",\n".join(ctes)
+
+
+ORACLES["budget_scenarios"] = f"""WITH {CURVES},
+{best_spend_sql('tight_', 0.7, 1.5)},
+{best_spend_sql('wide_', max(0.0, 1 - 3 * (1 - 0.7)), 1 + 3 * (1.5 - 1))},
+pk AS (SELECT 'initial' AS scenario, channel, current AS spend FROM cv
+""" + "".join(f"  UNION ALL SELECT '{sc}', '{ch}', c[{i + 1}] FROM {p}best\n" for sc, p in
+              (("bounded", "tight_"), ("bounded_x3", "wide_")) for i, ch in enumerate(_CH)) + f"""),
+tt AS (SELECT scenario, sum(spend) AS t FROM pk GROUP BY 1)
+SELECT pk.scenario, pk.channel, {r('pk.spend', 'spend_opt')}, {r(_resp('pk.spend'), 'response_opt')},
+       {r('pk.spend / tt.t', 'spend_share')}
+FROM pk JOIN tt USING (scenario) JOIN cv USING (channel)"""
+
+
 # ---------------------------------------------------------------- survey scores
 def _alpha_sql() -> str:
     from .catalog import SURVEY_BLOCKS
