@@ -1506,3 +1506,32 @@ def q_bootstrap_covariance(spark, sf):
     boot = cs.bootstrap_covariance(fx.survey_answers(spark, sf, SURVEY_BLOCKS), "respondent",
                                    _covariance(spark, sf), n_boot=5000)
     return rounded(sv_.bootstrap_summary(boot))
+
+
+@register("bootstrap_sums")
+def q_bootstrap_sums(spark, sf):
+    """The weighted sums of the first replicates, before any fit."""
+    out = sv_.bootstrap_moments(fx.survey_items(spark, sf), "respondent", ["D12_1", "D12_2"], n_boot=50)
+    names = {"w": "total", "s0": "coef_s1", "s1": "coef_s2", "c0_0": "coef_s11", "c0_1": "coef_s12", "c1_1": "coef_s22"}
+    return rounded(sc.rename_columns(out, names))
+
+
+# ---------------------------------------------------------------- whole-table ranks, column helpers
+@register("rank_customers")
+def q_rank_customers(spark, sf):
+    c = fx.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    return rounded(rk.rank_rows(c, [F.desc("c_acctbal"), F.col("c_custkey")]))
+
+
+@register("top_with_ties")
+def q_top_with_ties(spark, sf):
+    p = fx.table(spark, sf, "part").select("p_partkey", "p_size")
+    return rk.top_n_with_ties(p, 17, ["p_size"], descending=True)
+
+
+@register("chosen_columns")
+def q_chosen_columns(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    have = sc.keep_existing(c, ["c_acctbal", "c_income", "c_custkey", "c_name", "c_mktsegment"])
+    return rounded(sc.rename_columns(sc.exclude_columns(c.select(*have), ["c_name", "c_age"]),
+                                     {"c_custkey": "id_customer", "c_acctbal": "balance"}))

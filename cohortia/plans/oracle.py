@@ -1334,3 +1334,31 @@ w AS (SELECT x, u / h AS v, y, (1 - (far / h) ** 3) ** 3 AS w FROM p JOIN h USIN
 m AS (SELECT x, sum(w) AS s0, sum(w * v) AS s1, sum(w * v * v) AS s2, sum(w * y) AS t0, sum(w * v * y) AS t1
       FROM w GROUP BY x)
 SELECT {r('x', 'x')}, {rx('(s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1)', 'smooth_fitted')} AS smooth_fitted FROM m"""
+
+
+# ---------------------------------------------------------------- bootstrap weights, whole-table ranks, column helpers
+def _poisson_steps() -> str:
+    """Poisson(1) draw of the uniform ``u``: how many cumulated shares it reaches."""
+    share, total, steps = _math.exp(-1.0), 0.0, []
+    for k in range(16):
+        total += share / _math.factorial(k)
+        steps.append(f"CAST(u >= {total!r} AS INTEGER)")
+    return " + ".join(steps)
+
+
+_WRAP = "18446744073709551616::UHUGEINT"
+ORACLES["bootstrap_sums"] = f"""WITH s AS (SELECT respondent, D12_1 AS a, D12_2 AS b FROM ({FIXTURE_SQL['survey_items']})),
+h0 AS (SELECT s.*, range AS rep, xor((respondent::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT % {_WRAP})::UBIGINT,
+              ((range + 42)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT % {_WRAP})::UBIGINT) AS x FROM s, range(50)),
+h1 AS (SELECT * REPLACE ((xor(x, x >> 31)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT % {_WRAP})::UBIGINT AS x) FROM h0),
+h2 AS (SELECT *, CAST(xor(x, x >> 29) >> 11 AS DOUBLE) / 9007199254740992.0 AS u FROM h1),
+h3 AS (SELECT *, {_poisson_steps()} AS w FROM h2)
+SELECT rep, {rx('sum(w)', 'total')} AS total, {rx('sum(w * a)', 'coef_s1')} AS coef_s1, {rx('sum(w * b)', 'coef_s2')} AS coef_s2,
+       {rx('sum(w * a * a)', 'coef_s11')} AS coef_s11, {rx('sum(w * a * b)', 'coef_s12')} AS coef_s12,
+       {rx('sum(w * b * b)', 'coef_s22')} AS coef_s22
+FROM h3 GROUP BY rep"""
+ORACLES["rank_customers"] = f"""SELECT c_custkey, {r('c_acctbal', 'c_acctbal')},
+       row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS Rank FROM customer"""
+ORACLES["top_with_ties"] = """SELECT p_partkey, p_size FROM part
+QUALIFY rank() OVER (ORDER BY p_size DESC) <= 17"""
+ORACLES["chosen_columns"] = f"""SELECT c_custkey AS id_customer, {r('c_acctbal', 'balance')}, c_mktsegment FROM customer"""
