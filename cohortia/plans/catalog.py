@@ -1535,3 +1535,33 @@ def q_chosen_columns(spark, sf):
     have = sc.keep_existing(c, ["c_acctbal", "c_income", "c_custkey", "c_name", "c_mktsegment"])
     return rounded(sc.rename_columns(sc.exclude_columns(c.select(*have), ["c_name", "c_age"]),
                                      {"c_custkey": "id_customer", "c_acctbal": "balance"}))
+
+
+# ---------------------------------------------------------------- scores from given weights
+GIVEN_WEIGHTS = {b: [round(0.2 + 0.05 * i, 2) for i in range(len(items))] for b, items in SURVEY_BLOCKS.items()}
+
+
+def _given_scores(spark, sf):
+    items = [c for b in SURVEY_BLOCKS.values() for c in b]
+    answers = fx.survey_answers(spark, sf, SURVEY_BLOCKS)
+    _, mean, sd = sv_.corr_from_moments(*sv_.item_moments(answers, items))
+    m = sv_.PlsModel(SURVEY_BLOCKS, SURVEY_MODES, SURVEY_PATHS, GIVEN_WEIGHTS, {}, {}, {},
+                     dict(zip(items, mean)), dict(zip(items, sd)), 0)
+    return sv_.construct_scores(answers, m, "respondent")
+
+
+@register("construct_scores_given")
+def q_construct_scores_given(spark, sf):
+    scores = _given_scores(spark, sf)
+    return rounded(sc.rename_columns(scores, {b: f"score_{b}" for b in SURVEY_BLOCKS}))
+
+
+@register("score_index_given")
+def q_score_index_given(spark, sf):
+    out = sc.minmax_scale_0_100(_given_scores(spark, sf), list(SURVEY_BLOCKS))
+    return rounded(out.select("respondent", *[F.col(f"{b}_index").alias(f"score_{b}_index") for b in SURVEY_BLOCKS]))
+
+
+@register("construct_r2_given")
+def q_construct_r2_given(spark, sf):
+    return rounded(sv_.construct_r2(_given_scores(spark, sf), SURVEY_PATHS))

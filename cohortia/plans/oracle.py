@@ -1362,3 +1362,29 @@ ORACLES["rank_customers"] = f"""SELECT c_custkey, {r('c_acctbal', 'c_acctbal')},
 ORACLES["top_with_ties"] = """SELECT p_partkey, p_size FROM part
 QUALIFY rank() OVER (ORDER BY p_size DESC) <= 17"""
 ORACLES["chosen_columns"] = f"""SELECT c_custkey AS id_customer, {r('c_acctbal', 'balance')}, c_mktsegment FROM customer"""
+
+
+# ---------------------------------------------------------------- scores from given weights
+def _answers_sql() -> str:
+    from ..sources.fixtures import ANSWER_LATENTS, ANSWER_LOADINGS
+    from .catalog import GIVEN_WEIGHTS, SURVEY_BLOCKS
+    answers, scores = [], []
+    for b, items in SURVEY_BLOCKS.items():
+        latent = " + ".join(f"{w!r} * embedding[{i}]::DOUBLE" for i, w in ANSWER_LATENTS[b])
+        answers += [f"{load!r} * ({latent}) + embedding[{c.rsplit('_', 1)[1]}]::DOUBLE AS {c}"
+                    for c, load in zip(items, ANSWER_LOADINGS)]
+        scores.append(" + ".join(f"{w!r} * ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()"
+                                 for c, w in zip(items, GIVEN_WEIGHTS[b])) + f" AS {b}")
+    return (f"WITH an AS (SELECT vec_id AS respondent, {', '.join(answers)} FROM embeddings),\n"
+            f"sc AS (SELECT respondent, {', '.join(scores)} FROM an)\n")
+
+
+_BLOCKS = ("DLIT", "HLIT", "DSS", "EHS")
+ORACLES["construct_scores_given"] = _answers_sql() + "SELECT respondent, " + ", ".join(
+    r(b, f"score_{b}") for b in _BLOCKS) + " FROM sc"
+ORACLES["score_index_given"] = _answers_sql() + "SELECT respondent, " + ", ".join(
+    r(f"({b} - min({b}) OVER ()) / (max({b}) OVER () - min({b}) OVER ()) * 100", f"score_{b}_index")
+    for b in _BLOCKS) + " FROM sc"
+ORACLES["construct_r2_given"] = _answers_sql() + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS source, '{b}' AS target, {r(f'corr({a}, {b}) * corr({a}, {b})', 'r2')} FROM sc"
+    for a, b in (("DLIT", "DSS"), ("HLIT", "EHS")))
