@@ -89,8 +89,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)],
-                                  "conv_id bigint, turn bigint, role string, text string")
+    first = F.col("id") == 0
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(first, "user").otherwise("assistant").alias("role"),
+                                  F.lit(PROBE).alias("text"))
     return chat_format.digest(chat_format.format_table(turns.unionByName(probe)))
 
 
