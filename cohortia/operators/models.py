@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import ordered_prefix_sums
+from ..session import packed
 from .evaluate import unit_hash53
 from .linear import Design
 
@@ -158,11 +159,16 @@ def _weighted_points(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                        .transform(x)))
 
 
-def kmeans_best(df: DataFrame, cols: Sequence[str], k: int, starts: int = 20, seed: int = 123):
+# distinct points a task of k-means takes at least
+POINT_ROWS = 10_000
+
+
+def kmeans_best(df: DataFrame, cols: Sequence[str], k: int, starts: int = 20, seed: int = 123,
+                points: DataFrame | None = None):
     """K-means keeping the lowest cost over ``starts`` seeds, fitted on
-    weighted distinct points (same cost as on all rows)."""
-    pts = _weighted_points(df, cols).persist()
-    pts.count()
+    weighted distinct points (same cost as on all rows); ``points``: those of
+    ``df``, persisted, if the caller has them."""
+    pts = points if points is not None else packed(_weighted_points(df, cols), POINT_ROWS)
 
     def one(s):
         m = KMeans(k=k, seed=seed + s, weightCol="w", maxIter=100, tol=1e-9).fit(pts)
@@ -175,7 +181,8 @@ def kmeans_best(df: DataFrame, cols: Sequence[str], k: int, starts: int = 20, se
     for _, m, cost in fits:
         if best is None or cost < best[1] - 1e-9:
             best = (m, cost)
-    pts.unpersist()
+    if points is None:
+        pts.unpersist()
     return best
 
 
@@ -183,13 +190,14 @@ def kmeans_elbow(spark: SparkSession, df: DataFrame, cols: Sequence[str], ks=ran
                  starts: int = 20, seed: int = 42) -> DataFrame:
     """Within-cluster sum of squares per k (best of ``starts``);
     k = 1 is the total sum of squares, one aggregate."""
-    rows = []
+    rows, points = [], packed(_weighted_points(df, cols), POINT_ROWS)
     for k in ks:
         if k == 1:
             tss = df.agg(sum(F.var_pop(c) * F.count(F.lit(1)) for c in cols)).first()[0]
             rows.append((1, float(tss)))
         else:
-            rows.append((k, float(kmeans_best(df, cols, k, starts, seed)[1])))
+            rows.append((k, float(kmeans_best(df, cols, k, starts, seed, points)[1])))
+    points.unpersist()
     return spark.createDataFrame(rows, "k int, wss double")
 
 
