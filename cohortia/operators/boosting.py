@@ -9,9 +9,9 @@ made if that is more than gamma and both sides have a Hessian of
 one set of columns.
 
 The rows stay where they are, packed in blocks: the bin of every value, label
-and margin. Each level of a tree is one job: all blocks add up histograms of g
-and h, nodes x columns x bins of them however many rows there are, and these
-alone reach the driver. The margins of a round come from those of the round
+and margin. Each level of a tree is one job: as many tasks as there are cores add
+up histograms of g and h, nodes x columns x bins of them however many rows there
+are; they meet by node, and the best split of each node reaches the driver. The margins of a round come from those of the round
 before; every ``CHECKPOINT_ROUNDS`` rounds they are written to the checkpoint
 folder, so a lost executor costs a few rounds of margins. A table of one block
 has nothing to add up: its task grows the same trees from the same histograms,
@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +62,14 @@ class Tree:
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """Node each row (its bins) has come to."""
-        at = np.ones(len(bins), np.int64)
-        for n in sorted(self.splits):
-            column, cut, _ = self.splits[n]
-            here = np.flatnonzero(at == n)
-            at[here] = 2 * n + (bins[here, column] > cut)
+        at, size = np.ones(len(bins), np.int64), 2 * max(self.splits, default=0) + 2
+        column, cut = np.full(size, -1), np.zeros(size, np.int64)
+        for n, (c, b, _) in self.splits.items():
+            column[n], cut[n] = c, b
+        go = np.arange(len(bins))
+        while len(go := go[column[at[go]] >= 0]):
+            n = at[go]
+            at[go] = 2 * n + (bins[go, column[n]] > cut[n])
         return at
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
@@ -112,8 +115,10 @@ _STATE = "test boolean, n bigint, ids binary, draws binary, y binary, bins binar
 def _blocks(d: Design, id_col: str, edges: list[np.ndarray], test: bool, start: float) -> DataFrame:
     rows = d.df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col).alias("draw"),
                        F.col(d.y).cast("double").alias("y"), *d.cols)
-    # small tables: no more partitions than there are rows for
-    rows = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), -(-rows.count() // BLOCK_ROWS))))
+    # no more partitions than there are rows for, nor than cores: a task adds up
+    # all its blocks, so the histograms of a level do not grow with the rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), -(-rows.count() // BLOCK_ROWS), cores)))
     cols = list(d.cols)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,25 +192,55 @@ def _cells(sums: np.ndarray, level: list[int], columns: list[int], size: int) ->
                          "g": sums[0][full], "h": sums[1][full]})
 
 
-def _histograms(state: DataFrame, p: Boosting, turn: int, tree: Tree, level: list[int],
-                columns: list[int], width: int, size: int, losses: bool) -> pd.DataFrame:
-    """Sums of g and h per node, column and bin, over all blocks; with
-    ``losses`` the log losses too (node -1 train, -2 test; g the sum, h the
-    number of rows)."""
+# nodes whose histograms one task merges
+MERGED_NODES = 16
+
+
+def _merged(state: DataFrame, p: Boosting, turn: int, tree: Tree, level: list[int], columns: list[int],
+            width: int, size: int, losses: bool, of_node, schema: str) -> pd.DataFrame:
+    """``of_node`` of the sums of g and h per node, column and bin, over all
+    blocks; with ``losses`` also rows of node -1 (train) and -2 (test): G the
+    log loss, H the number of rows. A task sends one row per node."""
+    read = state.select("test", "n", "draws", "y", "bins", "margin")
+    if not losses:
+        read = read.filter("not test")
+    cells = len(columns) * size
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, loss = np.zeros((2, len(level) * len(columns) * size)), np.zeros((2, 2))
+        sums, loss = np.zeros((2, len(level) * cells)), np.zeros((2, 2))
         for batch in batches:
             for row in batch.itertuples():
                 b = _Block.read(row, width)
-                loss[int(b.test)] += _log_loss(b.y, b.margin), len(b.y)
+                if losses:
+                    loss[int(b.test)] += _log_loss(b.y, b.margin), len(b.y)
                 if not b.test:
                     sums += _sums(b, p, turn, tree, level, columns, size)
-        yield _cells(sums, level, columns, size)
+        part = TaskContext.get().partitionId()
+        for k, node in enumerate(level):
+            own = sums[:, k * cells:(k + 1) * cells]
+            if own[1].any():
+                yield pd.DataFrame({"node": [node], "part": [part], "sums": [own.tobytes()]})
         if losses:
-            yield pd.DataFrame({"node": [-1, -2], "column": 0, "bin": 0, "g": loss[:, 0], "h": loss[:, 1]})
+            yield pd.DataFrame({"node": [-1, -2], "part": part, "sums": [v.tobytes() for v in loss]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = int(pdf["node"].iloc[0])
+        # in the order of the tasks: equal sums in every run
+        total = sum(np.frombuffer(v) for v in pdf.sort_values("part")["sums"])
+        if node < 0:
+            return pd.DataFrame({"node": [node], "G": [total[0]], "H": [total[1]]}).reindex(columns=names)
+        return of_node(_cells(total.reshape(2, -1), [node], columns, size)).reindex(columns=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return read.mapInPandas(run, "node bigint, part int, sums binary").repartition(
+        1 + len(level) // MERGED_NODES, "node").groupBy("node").applyInPandas(merge, schema).toPandas()
+
 
-    got = state.mapInPandas(run, "node bigint, column bigint, bin bigint, g double, h double")
-    return got.groupBy("node", "column", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+def _best_splits(state: DataFrame, p: Boosting, turn: int, tree: Tree, level: list[int], columns: list[int],
+                 width: int, size: int, losses: bool) -> pd.DataFrame:
+    """The best allowed split of every node of the level, see ``best_splits``."""
+    return _merged(state, p, turn, tree, level, columns, width, size, losses, lambda c: best_splits(c, p),
+                   "node bigint, G double, H double, column double, bin double, gain double, lg double, lh double")
 
 
 def _shrunk(g, alpha: float):
@@ -229,20 +264,27 @@ def split_gains(cells: pd.DataFrame, p: Boosting) -> pd.DataFrame:
     return cells[["node", "column", "bin"]].assign(gain=gain, G=G, H=H, lg=lg, lh=lh, ok=ok)
 
 
-def _extend(tree: Tree, cells: pd.DataFrame, columns: list[int], p: Boosting, last: bool) -> list[int]:
+def best_splits(cells: pd.DataFrame, p: Boosting) -> pd.DataFrame:
+    """A row per node: its sums ``G, H`` and the allowed split that gains most
+    (``column, bin, gain, lg, lh``, missing if none is allowed)."""
+    found = split_gains(cells, p)
+    best = found[found["ok"]].sort_values(["node", "gain", "column", "bin"], ascending=[True, False, True, True])
+    best = best.groupby("node", as_index=False).first()[["node", "column", "bin", "gain", "lg", "lh"]]
+    return found.groupby("node", as_index=False)[["G", "H"]].first().merge(best, "left", "node")
+
+
+def _extend(tree: Tree, best: pd.DataFrame, columns: list[int], p: Boosting, last: bool) -> list[int]:
     """Split the nodes of a level where that gains more than gamma, make leaves
     of the others, and of the children of the ``last`` level that is split;
     returns the nodes of the next level."""
     def leaf(g: float, h: float) -> float:
         return float(-p.rate * _shrunk(g, p.alpha) / (h + p.lambda_))
     new = []
-    for node, found in split_gains(cells, p).groupby("node"):
-        best = found[found["ok"]].sort_values(["gain", "column", "bin"], ascending=[False, True, True]).head(1)
-        node, G, H = int(node), found["G"].iloc[0], found["H"].iloc[0]
-        if best.empty or not best["gain"].iloc[0] > p.gamma + 1e-12:
+    for b in best.sort_values("node").to_dict("records"):
+        node, G, H = int(b["node"]), b["G"], b["H"]
+        if not b["gain"] > p.gamma + 1e-12:
             tree.leaves[node] = leaf(G, H)
             continue
-        b = best.iloc[0]
         tree.splits[node] = (columns[int(b["column"])], int(b["bin"]), float(b["gain"]))
         if last:
             tree.leaves[2 * node], tree.leaves[2 * node + 1] = leaf(b["lg"], b["lh"]), leaf(G - b["lg"], H - b["lh"])
@@ -291,24 +333,27 @@ def fit(train: Design, params: Boosting, id_col: str, test: Design | None = None
 
 def _grow_together(model: Boosted, state: DataFrame, width: int, size: int) -> DataFrame:
     """All rounds, a job a level; the blocks with their last margins."""
-    p = model.params
+    p, before = model.params, None
     state = state.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def losses(cells: pd.DataFrame, turn: int) -> None:
-        by = {int(r.node): r.g / r.h for r in cells[cells["node"] < 0].itertuples() if r.h}
+    def losses(found: pd.DataFrame, turn: int) -> None:
+        by = {int(r.node): r.G / r.H for r in found[found["node"] < 0].itertuples() if r.H}
         model.losses.append((turn, by.get(-1), by.get(-2)))
     for turn in range(p.rounds):
         columns, tree, level = _columns(p, width, turn), Tree(), [1]
         for depth in range(p.depth):
-            cells = _histograms(state, p, turn, tree, level, columns, width, size, depth == 0)
+            found = _best_splits(state, p, turn, tree, level, columns, width, size, depth == 0)
+            if depth == 0 and before is not None:
+                before.unpersist()
             if depth == 0 and turn:
-                losses(cells, turn)
-            level = _extend(tree, cells[cells["node"] >= 0], columns, p, depth == p.depth - 1)
+                losses(found, turn)
+            level = _extend(tree, found[found["node"] >= 0], columns, p, depth == p.depth - 1)
             if not level:
                 break
         model.trees.append(tree)
-        state = _step(state, tree, width, turn)
-    losses(_histograms(state, p, p.rounds, Tree(), [1], [0], width, size, True), p.rounds)
+        # the margins before are kept until the first job of the next round has those after
+        before, state = state, _step(state, tree, width, turn)
+    losses(_best_splits(state, p, p.rounds, Tree(), [1], [0], width, size, True), p.rounds)
     return state
 
 
@@ -328,7 +373,8 @@ def _grow_alone(model: Boosted, state: DataFrame, width: int, size: int) -> Data
                 columns, tree, level = _columns(p, width, turn), Tree(), [1]
                 for depth in range(p.depth):
                     sums = sum(_sums(b, p, turn, tree, level, columns, size) for b in blocks if not b.test)
-                    level = _extend(tree, _cells(sums, level, columns, size), columns, p, depth == p.depth - 1)
+                    best = best_splits(_cells(sums, level, columns, size), p)
+                    level = _extend(tree, best, columns, p, depth == p.depth - 1)
                     if not level:
                         break
                 mean = []
@@ -362,8 +408,6 @@ def _step(state: DataFrame, tree: Tree, width: int, turn: int) -> DataFrame:
     after = state.mapInPandas(run, _STATE)
     if (turn + 1) % CHECKPOINT_ROUNDS == 0:
         after = after.checkpoint()
-        state.unpersist()
-        return after
     return after.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -400,9 +444,10 @@ def root_gains(train: Design, params: Boosting, id_col: str) -> DataFrame:
     p = Boosting(**{**params.__dict__, "subsample": 1.0})
     edges = bin_edges(train.df, train.cols, p.bins)
     start = float(np.log(p.base_score / (1 - p.base_score)))
-    cells = _histograms(_blocks(train, id_col, edges, False, start), p, 0, Tree(), [1],
-                        list(range(len(train.cols))), len(train.cols), max(map(len, edges)) + 1, False)
-    found = split_gains(cells, p)
+    found = _merged(_blocks(train, id_col, edges, False, start), p, 0, Tree(), [1], list(range(len(train.cols))),
+                    len(train.cols), max(map(len, edges)) + 1, False, lambda c: split_gains(c, p),
+                    "node bigint, column bigint, bin bigint, gain double, G double, H double, lg double, lh double, "
+                    "ok boolean")
     rows = [(train.names[int(r.column)], float(edges[int(r.column)][int(r.bin)]), float(r.gain))
             for r in found[found["ok"]].itertuples()]
     return train.df.sparkSession.createDataFrame(rows, "Variable string, cut double, gain double")

@@ -123,3 +123,20 @@ def test_rows_drawn_anew_for_every_tree():
 def test_no_rows(spark, table):
     with pytest.raises(ValueError):
         bo.fit(design(table.filter(F.lit(False))), bo.Boosting(rounds=1), "row")
+
+
+def test_blocks_lie_in_no_more_partitions_than_cores(spark, table, monkeypatch):
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 10)
+    d = design(table.repartition(64))
+    edges = bo.bin_edges(d.df, d.cols, 32)
+    blocks = bo._blocks(d, "row", edges, False, 0.0)
+    assert blocks.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert blocks.agg(F.sum("n")).first()[0] == 1200
+    # merged over many blocks the best split is that of all rows at once
+    args = (bo.Boosting(subsample=1.0), 0, bo.Tree(), [1], list(range(4)), 4, 33, True)
+    many = bo._best_splits(blocks, *args)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 10_000)
+    one = bo._best_splits(bo._blocks(d, "row", edges, False, 0.0), *args)
+    a, b = (x[x.node == 1].iloc[0] for x in (many, one))
+    assert (a["column"], a["bin"]) == (b["column"], b["bin"]) and a["gain"] == pytest.approx(b["gain"])
+    assert many[many.node == -1]["H"].iloc[0] == 1200 and many[many.node == -2]["H"].iloc[0] == 0
