@@ -159,16 +159,12 @@ def _weighted_points(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                        .transform(x)))
 
 
-# distinct points a task of k-means takes at least
-POINT_ROWS = 10_000
-
-
 def kmeans_best(df: DataFrame, cols: Sequence[str], k: int, starts: int = 20, seed: int = 123,
                 points: DataFrame | None = None):
     """K-means keeping the lowest cost over ``starts`` seeds, fitted on
     weighted distinct points (same cost as on all rows); ``points``: those of
     ``df``, persisted, if the caller has them."""
-    pts = points if points is not None else packed(_weighted_points(df, cols), POINT_ROWS)
+    pts = points if points is not None else packed(_weighted_points(df, cols))
 
     def one(s):
         m = KMeans(k=k, seed=seed + s, weightCol="w", maxIter=100, tol=1e-9).fit(pts)
@@ -190,7 +186,7 @@ def kmeans_elbow(spark: SparkSession, df: DataFrame, cols: Sequence[str], ks=ran
                  starts: int = 20, seed: int = 42) -> DataFrame:
     """Within-cluster sum of squares per k (best of ``starts``);
     k = 1 is the total sum of squares, one aggregate."""
-    rows, points = [], packed(_weighted_points(df, cols), POINT_ROWS)
+    rows, points = [], packed(_weighted_points(df, cols))
     for k in ks:
         if k == 1:
             tss = df.agg(sum(F.var_pop(c) * F.count(F.lit(1)) for c in cols)).first()[0]
