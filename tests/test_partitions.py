@@ -1,7 +1,9 @@
 """Tables that many short jobs read: few partitions, the same rows."""
 import pytest
 
+from cohortia.operators import linear as lm
 from cohortia.operators import models as md
+from cohortia.plans import catalog
 from cohortia.session import packed
 
 
@@ -39,3 +41,29 @@ def test_points_of_k_means_are_few_tasks_and_made_once(wide, monkeypatch):
     assert got[1] == pytest.approx(800) and got[2] < got[1] and got[15] == pytest.approx(0, abs=1e-9)
     assert {n for _, n in seen} == {15}
     assert max(k for k, _ in seen) <= 2 * wide.sparkContext.defaultParallelism < 64
+
+
+@pytest.fixture
+def labelled(wide):
+    rows = [(i, float(i * 37 % 101), float(i * 53 % 89), int((i * 37 % 101 > 50) != (i % 7 == 0))) for i in range(600)]
+    return lm.design(wide.createDataFrame(rows, "id long, a double, b double, y int").repartition(6), "y", ["a", "b"])
+
+
+def test_forest_rows_keep_their_nodes_and_the_trees_are_the_same(labelled, monkeypatch):
+    seen = []
+    fit = md.RandomForestClassifier.fit
+
+    def both(self, data, *a):
+        seen.append(self.getCacheNodeIds())
+        return fit(self, data, *a), fit(self.copy({self.cacheNodeIds: False}), data, *a)
+    monkeypatch.setattr(md.RandomForestClassifier, "fit", both)
+    got, plain = md.rf_classify(labelled, trees=3)
+    assert seen == [True] and got.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+
+
+def test_rates_score_every_row_once(labelled):
+    model = md.rf_classify(labelled, trees=3)
+    got = catalog._test_rates(model, labelled)
+    assert "UDF" not in got._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0]
+    r = got.first()
+    assert r["TN"] + r["FP"] + r["FN"] + r["TP"] == 600 and r["auc"] > 0.9
