@@ -81,3 +81,23 @@ def test_rates_score_every_row_once(labelled):
     assert "UDF" not in got._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0]
     r = got.first()
     assert r["TN"] + r["FP"] + r["FN"] + r["TP"] == 600 and r["auc"] > 0.9
+
+
+def test_churn_table_makes_the_transactions_once(spark, tmp_path, monkeypatch):
+    d = str(tmp_path)
+    n = 400
+    spark.createDataFrame([(k, f"Brand#{k}") for k in range(1, 26)], "p_partkey long, p_brand string"
+                          ).write.parquet(f"{d}/part.parquet")
+    spark.range(n).selectExpr(
+        "id o_orderkey", "id % 40 o_custkey", "timestamp(date_add(date'1997-01-01', int(id * 7 % 700))) o_orderdate",
+        "element_at(array('1-URGENT', '5-LOW'), int(id % 2) + 1) o_orderpriority").write.parquet(f"{d}/orders.parquet")
+    spark.range(3 * n).selectExpr(
+        "id % 400 l_orderkey", "id % 25 + 1 l_partkey", "double(id % 9 + 1) l_quantity",
+        "100.0d + id * 13 % 977 l_extendedprice", "0.01d * (id % 10 + 1) l_discount").write.parquet(f"{d}/lineitem.parquet")
+    made = []
+    make = catalog.fx.transactions
+    monkeypatch.setattr(catalog.fx, "transactions", lambda *a: made.append(make(*a)) or made[-1])
+    table = catalog.churn_model_table(spark, d)
+    assert len(made) == 1 and not made[0].is_cached
+    assert table.count() == table.select("id_customer").distinct().count() == 40
+    catalog.clear_memo()
