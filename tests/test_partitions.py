@@ -1,9 +1,12 @@
 """Tables that many short jobs read: few partitions, the same rows."""
+import datetime as dt
+
 import pytest
 
 from cohortia.operators import linear as lm
 from cohortia.operators import models as md
 from cohortia.plans import catalog
+from cohortia.plans.rfm import rfm_segments
 from cohortia.session import packed
 
 
@@ -28,6 +31,27 @@ def test_packed_keeps_rows_in_few_partitions(spark):
     empty.unpersist()
 
 
+def test_packed_large_tables_keep_more_partitions(spark):
+    df = spark.range(0, 5000, 1, 200)
+    for most, parts in ((5000 // 100, 100), (1, 200)):
+        got = packed(df, most=most)
+        assert got.rdd.getNumPartitions() == max(parts, min(200, 2 * spark.sparkContext.defaultParallelism))
+        assert got.count() == 5000
+        got.unpersist()
+
+
+def test_customers_of_the_rfm_chain_are_few_tasks(wide):
+    rows = [(c, dt.date(2020, 1, 1) + dt.timedelta(days=(c * 7 + k * (c % 13 + 2)) % 700), 10.0 + c % 50 + k,
+             9.0 + c % 50, 0.0, 1, 2, "A") for c in range(400) for k in range(c % 9 + 1)]
+    r = rfm_segments(wide.createDataFrame(rows, "id_customer long, date date, gross_sales double, net_sales double, "
+                                                "PL_gross_sales double, number_item_PL long, "
+                                                "number_items_other long, store_type string"))
+    for t in (r.customers, r.kept, r.lapsed, r.super_, r.regular):
+        assert t.rdd.getNumPartitions() <= 2 * wide.sparkContext.defaultParallelism < 64
+    assert r.customers.count() == 400 == r.kept.count() + r.lapsed.count()
+    assert r.kept.count() == r.super_.count() + r.regular.count()
+
+
 def test_points_of_k_means_are_few_tasks_and_made_once(wide, monkeypatch):
     seen = []
     fit = md.KMeans.fit

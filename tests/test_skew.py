@@ -39,6 +39,27 @@ def test_hot_customer_metrics_match_pandas(spark):
     assert np.allclose(hot_periods.sort_values("Period_ID").Monetary_Value.to_numpy(), want.to_numpy())
 
 
+def test_gap_statistics_walk_the_dates_once(spark):
+    """Many dates a customer: one aggregate over them and none inside another."""
+    base, rng = dt.date(2015, 1, 1), np.random.default_rng(4)
+    days = {c: np.sort(rng.choice(3000, 1500, replace=False)) for c in range(1, 4)}
+    days |= {4: np.arange(0, 3000, 3), 5: np.array([0, 7]), 6: np.array([5])}
+    tx = spark.createDataFrame([(c, base + dt.timedelta(days=int(d)), 10.0, 9.0, 0.0, 1, 2, "A")
+                                for c, v in days.items() for d in v],
+                               "id_customer long, date date, gross_sales double, net_sales double, "
+                               "PL_gross_sales double, number_item_PL long, number_items_other long, store_type string")
+    one_period = cu.period_metrics(tx, 3000)
+    for got, col in ((cu.rfm_customers(tx), "STD_ipt"), (cu.churn_customers(tx), "Regularity"), (one_period, "STD_ipt")):
+        plan = got.select(col)._jdf.queryExecution().optimizedPlan().toString()
+        top = plan.split("InMemoryRelation")[0]
+        assert top.count("aggregate(") == 1 and "transform(" not in top
+        sd = {r[0]: r[1] for r in got.select("id_customer", col).collect()}
+        for c, v in days.items():
+            gaps = np.diff(v).astype(float)
+            assert sd[c] is None if len(gaps) < 2 else abs(sd[c] - np.std(gaps, ddof=1)) < 1e-12
+        assert sd[4] == 0.0
+
+
 def test_quantiles_of_repeating_values(spark):
     df = spark.range(20000).selectExpr("cast(id * 7 % 1000 as double) as x")
     want = np.quantile(np.arange(20000) * 7 % 1000, [0.1, 0.5, 0.9])
