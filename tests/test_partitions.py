@@ -2,6 +2,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortia.operators import linear as lm
 from cohortia.operators import models as md
@@ -125,3 +126,52 @@ def test_churn_table_makes_the_transactions_once(spark, tmp_path, monkeypatch):
     assert len(made) == 1 and not made[0].is_cached
     assert table.count() == table.select("id_customer").distinct().count() == 40
     catalog.clear_memo()
+
+
+def test_settled_table_keeps_rows_and_partitions(spark):
+    from cohortia.session import keep, settled
+    held = keep(spark.range(1000).repartition(5).withColumn("part", F.spark_partition_id()))
+    was = held.rdd.glom().map(len).collect()
+    got = settled(held)
+    assert got.is_cached and not held.is_cached and got.rdd.getNumPartitions() == 5
+    assert got.rdd.glom().map(len).collect() == was and got.filter("part <> spark_partition_id()").count() == 0
+    assert sorted(r["id"] for r in got.collect()) == list(range(1000))
+    got.unpersist()
+
+
+def _orders(spark, d, n=400):
+    """Tables of ``n`` orders of 40 customers."""
+    spark.createDataFrame([(k, f"Brand#{k}") for k in range(1, 26)], "p_partkey long, p_brand string"
+                          ).write.parquet(f"{d}/part.parquet")
+    spark.range(n).selectExpr(
+        "id o_orderkey", "id % 40 o_custkey", "timestamp(date_add(date'1997-01-01', int(id * 7 % 700))) o_orderdate",
+        "element_at(array('1-URGENT', '5-LOW'), int(id % 2) + 1) o_orderpriority").write.parquet(f"{d}/orders.parquet")
+    spark.range(3 * n).selectExpr(
+        f"id % {n} l_orderkey", "id % 25 + 1 l_partkey", "double(id % 9 + 1) l_quantity",
+        "100.0d + id * 13 % 977 l_extendedprice", "0.01d * (id % 10 + 1) l_discount").write.parquet(f"{d}/lineitem.parquet")
+    return d
+
+
+def test_large_sides_are_not_broadcast_for_the_transactions(spark, tmp_path, monkeypatch):
+    """The size of column files says little about the rows the driver would collect."""
+    d, got = _orders(spark, str(tmp_path)), []
+    for most, broadcast in ((3_000_000, True), (49, False)):
+        monkeypatch.setattr(catalog.fx, "BROADCAST_CELLS", most)
+        tx = catalog.fx.transactions(spark, d)
+        assert ("Broadcast" in tx._jdf.queryExecution().executedPlan().toString()) == broadcast
+        got.append(sorted(tx.collect()))
+    assert len(got[0]) == 400 and [[pytest.approx(v) if isinstance(v, float) else v for v in r] for r in got[0]] == [
+        list(r) for r in got[1]]
+    assert "Broadcast" in catalog.fx.not_broadcast(spark.range(49).alias("a"), "merge").join(
+        spark.range(10), "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_survival_table_makes_the_transactions_once_and_leaves_its_plan(spark, tmp_path, monkeypatch):
+    d, made = _orders(spark, str(tmp_path)), []
+    make = catalog.fx.transactions
+    monkeypatch.setattr(catalog.fx, "transactions", lambda *a: made.append(make(*a)) or made[-1])
+    table = catalog.survival_input(spark, d)
+    assert len(made) == 1 and not made[0].drop("PL_gross_sales").is_cached and table.is_cached
+    assert table.count() == 40 and "lineitem" not in table._jdf.queryExecution().toString()
+    want = catalog.ch.customer_churn(catalog.cu.churn_customers(made[0]), catalog.ch.churn_flags(made[0], 31))
+    assert sorted(table.collect()) == sorted(want.select(table.columns).collect())
