@@ -175,3 +175,15 @@ def test_survival_table_makes_the_transactions_once_and_leaves_its_plan(spark, t
     assert table.count() == 40 and "lineitem" not in table._jdf.queryExecution().toString()
     want = catalog.ch.customer_churn(catalog.cu.churn_customers(made[0]), catalog.ch.churn_flags(made[0], 31))
     assert sorted(table.collect()) == sorted(want.select(table.columns).collect())
+
+
+def test_profile_reads_its_table_once(spark, tmp_path):
+    rows = [(float(k % 7), k % 3, None if k % 5 == 0 else f"v{k % 2}") for k in range(50)]
+    spark.createDataFrame(rows, "a double, b long, c string").write.parquet(f"{tmp_path}/t.parquet")
+    got = catalog.qa.profile(spark.read.parquet(f"{tmp_path}/t.parquet"))
+    plan = got._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation") >= 4 and "parquet" not in "".join(
+        x for x in plan.splitlines() if "InMemoryRelation" not in x and "FileScan" not in x)
+    r = {x["column"]: x for x in got.collect()}
+    assert [r[c]["count"] for c in "abc"] == [50, 50, 40] and r["c"]["missing"] == 10 and r["a"]["distinct"] == 7
+    assert r["a"]["median"] == 3.0 and r["b"]["q1"] == 0.0 and r["c"]["mode"] == "v0"
