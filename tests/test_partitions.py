@@ -128,6 +128,17 @@ def test_churn_table_makes_the_transactions_once(spark, tmp_path, monkeypatch):
     catalog.clear_memo()
 
 
+def test_churn_table_leaves_its_plan_behind(spark):
+    """The driver keeps the plan text of every query, with the plans of the
+    persisted tables it reads written out once for each place they are read."""
+    rows = catalog.churn_model_table(spark, "/root/testdata/sf0.001")
+    assert rows.is_cached
+    text = rows.select("id_customer").join(rows, "id_customer").join(
+        rows.selectExpr("id_customer", "Churn c"), "id_customer")._jdf.queryExecution().toString()
+    assert "Scan ExistingRDD" in text and len(text) < 100_000 and "lineitem" not in text
+    catalog.clear_memo()
+
+
 def test_settled_table_keeps_rows_and_partitions(spark):
     from cohortia.session import keep, settled
     held = keep(spark.range(1000).repartition(5).withColumn("part", F.spark_partition_id()))
