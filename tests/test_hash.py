@@ -45,3 +45,30 @@ def test_permutation_importance_finds_the_strong_column(spark):
     got = {r["Variable"]: r["accuracy_drop"] for r in permutation_importance(
         spark, Threshold(), d, "id").collect()}
     assert 0.45 < got["x"] < 0.55 and got["z"] == 0.0
+
+
+def test_permutation_importance_scores_in_one_pass_and_as_one_term_at_a_time(spark):
+    seen = []
+
+    class Sum:
+        def transform(self, df):
+            from pyspark.ml.functions import vector_to_array
+            seen.append(df)
+            v = vector_to_array("features")
+            return df.withColumn("prediction", (v[0] + 2 * v[1] - v[2] > 0.8).cast("double"))
+
+    df = spark.range(2000).select("id", *[unit_hash("id", k).alias(f"x{k}") for k in (3, 4, 5)])
+    df = df.withColumn("y", F.expr("x3 + 2 * x4 - x5 > 0.9").cast("int"))
+    d = Design(df, "y", ["x3", "x4", "x5"], ["x3", "x4", "x5"], ["a", "b", "a"])
+    got = {r["Variable"]: r["accuracy_drop"] for r in permutation_importance(spark, Sum(), d, "id").collect()}
+    assert len(seen) == 1
+    t = df.toPandas()
+    rank = [t["id"].map({r["id"]: k for k, r in enumerate(
+        df.select("id", unit_hash53("id", s).alias("h")).orderBy("h").collect())}) for s in (1, 2)]
+    donor = t.set_index(rank[1].to_numpy()).loc[rank[0].to_numpy()].reset_index(drop=True)
+    assert sorted(donor["id"]) == list(range(2000))
+
+    def hit(v):
+        return ((v["x3"] + 2 * v["x4"] - v["x5"] > 0.8) == t["y"].astype(bool)).mean()
+    for name, cols in (("a", ["x3", "x5"]), ("b", ["x4"])):
+        assert got[name] == hit(t) - hit(t.assign(**{c: donor[c] for c in cols}))
