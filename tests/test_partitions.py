@@ -198,3 +198,20 @@ def test_profile_reads_its_table_once(spark, tmp_path):
     r = {x["column"]: x for x in got.collect()}
     assert [r[c]["count"] for c in "abc"] == [50, 50, 40] and r["c"]["missing"] == 10 and r["a"]["distinct"] == 7
     assert r["a"]["median"] == 3.0 and r["b"]["q1"] == 0.0 and r["c"]["mode"] == "v0"
+
+
+def test_a_large_forest_scores_some_trees_at_a_time(labelled, monkeypatch):
+    model = md.rf_classify(labelled, trees=5)
+    data = md.assemble(labelled)
+    probability = md.vector_to_array("probability")
+    want = sorted(model.transform(data).select(*labelled.cols, "prediction", probability).collect())
+    effect = {r["grid_value"]: r["partial_dependence"] for r in md.partial_dependence(model, labelled, "a", 7).collect()}
+    monkeypatch.setattr(md, "NODES_A_JOB", 2 * max(t.numNodes for t in model.trees))
+    assert 3 <= len(md._tree_jobs(model)) and sum(map(len, md._tree_jobs(model))) == 5
+    got = md.scored(model, data)
+    assert "UDF(features" not in got._jdf.queryExecution().toString()
+    assert sorted(got.select(*labelled.cols, "prediction", probability).collect()) == want
+    parts = {r["grid_value"]: r["partial_dependence"] for r in md.partial_dependence(model, labelled, "a", 7).collect()}
+    assert len(parts) == 7 and parts == {k: pytest.approx(v) for k, v in effect.items()}
+    r = catalog._test_rates(model, labelled).first()
+    assert r["TN"] + r["FP"] + r["FN"] + r["TP"] == 600
